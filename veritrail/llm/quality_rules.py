@@ -32,7 +32,7 @@ SYMBOLS = r"[#*$%&|<>]"
 MARKS = r"[!?]"
 ALPHA = 0.01
 #: signal: slack in thousandths above the spread of its group.
-SIGNALS = {"symbol_pm": 50, "mark_pm": 60, "dup_line_pm": 300, "repeat_pm": 250}
+SIGNALS = {"symbol_pm": 50, "mark_pm": 60, "dup_line_pm": 500, "repeat_pm": 400}
 LOW, MEDIAN, SPREAD, MIN_GROUP = 0.1, 0.5, 4, 20
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
