@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from functools import lru_cache
@@ -67,12 +66,3 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id as text is a multiple of 5 (false for a null id, which counts as a training row)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
-
-
-def local_only(name: str) -> str:
-    """A column name of our own that a caller's extra columns don't clash with."""
-    return f"_vt_{name}"
-
-
-def is_driver_path(path: str) -> bool:
-    return os.path.isabs(path) or path.startswith("file:")

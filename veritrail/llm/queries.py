@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["q_url_filter", "q_mil", "q_bpe", "q_langid", "q_simhash", "q_quality_rules"]
+MODULES = ["q_url_filter", "q_mil", "q_token_counts", "q_topk", "q_bpe", "q_langid", "q_simhash", "q_quality_rules"]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
