@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["q_url_filter", "q_mil", "q_token_counts", "q_topk", "q_bpe", "q_mixing", "q_langid", "q_simhash", "q_quality_rules"]
+MODULES = ["q_url_filter", "q_mil", "q_token_counts", "q_topk", "q_quality_rules", "q_bpe", "q_warc", "q_mixing", "q_langid", "q_simhash"]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
