@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from importlib import import_module
+
+from veritrail.plans.catalog import ORACLE_SQL, QUERIES, Tables
+
+MODULES = ["q_text"]
+for _name in MODULES:
+    import_module(f"veritrail.plans.{_name}")
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    from veritrail.operators.retrieval import cross_corpus_search
+
+    return cross_corpus_search(Tables(spark, sf_dir).documents)
