@@ -29,7 +29,8 @@ def bm25(chunks: DataFrame, query_terms: list[str], id_col: str, text_col: str,
     words = chunks.select(id_col, *(keep or []), terms_of(F.col(text_col)).alias("_w"))
     wanted = F.array(*[F.lit(t) for t in query_terms]) if query_terms else F.array().cast("array<string>")
     hits = words.select(id_col, *(keep or []), F.size("_w").alias("_len"), F.filter("_w", lambda w: F.array_contains(wanted, w)).alias("_h"))
-    tfs = [F.size(F.filter("_h", lambda w, t=t: w == t)).alias(f"_tf{k}") for k, t in enumerate(query_terms)]
+    times = lambda term: F.size(F.filter("_h", lambda w: w == term))
+    tfs = [times(t).alias(f"_tf{k}") for k, t in enumerate(query_terms)]
     counted = hits.select(id_col, *(keep or []), "_len", *tfs)
     stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_mean"), *[F.count_if(F.col(f"_tf{k}") > 0).alias(f"_df{k}") for k in range(len(query_terms))])
     score = F.lit(0.0)

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from veritrail.plans.catalog import ORACLE_SQL, QUERIES, Tables
 
-MODULES = ["q_text", "q_predicates", "q_relational", "q_graph"]
+MODULES = ["q_text", "q_predicates", "q_relational", "q_graph", "q_retrieval", "q_streams"]
 for _name in MODULES:
     import_module(f"veritrail.plans.{_name}")
 
