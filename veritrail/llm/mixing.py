@@ -158,10 +158,10 @@ def row_salt(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> Co
 
 def taken_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **settings) -> DataFrame:
     """The mix itself: docs' rows, each as often as it is taken, with their own columns."""
-    salt, nth, many = "_vt_salt", "_vt_nth", "_vt_copies"
-    counts = mixed(docs, id_col, source_col, text_col, **settings).groupBy("salt").agg(F.array_sort(F.collect_list("copies")).alias(many))
+    salt, nth, many, of = "_vt_salt", "_vt_nth", "_vt_copies", "_vt_of"
+    counts = mixed(docs, id_col, source_col, text_col, **settings).groupBy(F.col("salt").alias(of)).agg(F.array_sort(F.collect_list("copies")).alias(many))
     salted = docs.withColumn(salt, row_salt(docs, id_col, source_col, text_col))
-    joined = salted.join(counts, salted[salt] == counts["salt"]).drop("salt")
+    joined = salted.join(counts, salted[salt] == counts[of])
     numbered = joined.withColumn(nth, F.row_number().over(Window.partitionBy(salt).orderBy(F.lit(0))))
     own = F.get(F.col(many), F.col(nth) - 1)
     return numbered.where(own > 0).withColumn(nth, F.explode(F.sequence(F.lit(1), own))).select(*[F.col(f"`{c}`") for c in docs.columns])
