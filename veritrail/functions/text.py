@@ -32,6 +32,7 @@ BILINGUAL = {
     "руд": ("ore",), "складир": ("stockpile",), "температур": ("temperature",), "давлен": ("pressure",),
     "допир": ("doping", "doped"), "катод": ("cathode",), "прекурсор": ("precursor",), "емкост": ("capacity",), "цикл": ("cycle",),
 }
+WATER_FORMS = ("вод", "вода", "воды", "воде", "воду", "водой", "водах")
 GENERIC_WORDS = (
     "технология", "технологии", "технологический", "technology", "technologies", "метод", "методы", "method", "process",
     "процесс", "решение", "solutions",
@@ -264,7 +265,7 @@ def text_match_score(query: Column, candidate: Column, ignore_generic: bool = Fa
 
     def met(q: Column, there: Column) -> Column:
         return F.exists(
-            there, lambda c: F.when(F.length(q["s"]) < 4, c["t"] == q["t"]).otherwise(F.startswith(q["s"], c["s"]) | F.startswith(c["s"], q["s"]))
+            there, lambda c: F.when(q["t"] == "вод", c["t"].isin(*WATER_FORMS)).when(F.length(q["s"]) < 4, c["t"] == q["t"]).otherwise(F.startswith(q["s"], c["s"]) | F.startswith(c["s"], q["s"]))
         )
 
     share = lambda b: F.size(F.filter(b["asked"], lambda q: met(q, b["there"]))) / F.size(b["asked"])
