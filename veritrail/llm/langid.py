@@ -100,12 +100,13 @@ def counted(texts: list[str]) -> np.ndarray:
     return total
 
 
-def sampled(rows: DataFrame, by: str, per_group: int, key: str) -> DataFrame:
+def sampled(rows: DataFrame, by: str, per_group: int, key: str, counted: DataFrame | None = None) -> DataFrame:
     """At most per_group rows of each value of `by`: those with the smallest hash of `key`, ties to the smaller key.
 
-    A threshold on the hash, from the groups' counts, cuts the rows to about that number before any is ranked.
+    A threshold on the hash, from the groups' counts, cuts the rows to about that number before any is ranked. counted:
+    rows to take those counts from if rows themselves are costly to read (their groups must include those of rows).
     """
-    sizes = {r[0]: r[1] for r in rows.groupBy(by).count().limit(MAX_LANGUAGES + 1).collect()}
+    sizes = {r[0]: r[1] for r in (rows if counted is None else counted).groupBy(by).count().limit(MAX_LANGUAGES + 1).collect()}
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} values of {by}")
     if not sizes:
@@ -122,7 +123,8 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     small_batches(rows.sparkSession)
     usable = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= MAX_TRAIN_BYTES))
     usable = usable.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    picked = sampled(usable, "lang", per_language, "id").select("lang", "text")
+    known = rows.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"))
+    picked = sampled(usable, "lang", per_language, "id", counted=known).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, list] = {}

@@ -183,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
     marks = marks.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").select("id", "label")
     usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).where("octet_length(text) <= " + str(MAX_TRAIN_BYTES))
-    marks = marks.join(usable.select("id"), "id", "left_semi")
+    marks = marks.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi")  # ids alone: no text is read for the draw
     picked = sampled(marks, "label", per_label, "id")
     joined = usable.join(F.broadcast(picked), "id").select("id", "label", "text")  # picked: at most 2 * per_label rows
 
