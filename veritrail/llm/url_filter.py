@@ -117,7 +117,8 @@ def cascade(listed: DataFrame, universe: DataFrame, rate: float = RATE) -> list[
     if not n:
         return []
     levels = [_filter(inside, Level(0, n, rate))]
-    wrong = _through(hashed(universe.where("key is not null")), levels).join(own.select("key"), "key", "left_anti").distinct()
+    # distinct before the join, so that a key that many rows ask is merged before it is shuffled
+    wrong = _through(hashed(universe.where("key is not null")), levels).distinct().join(own.select("key"), "key", "left_anti")
     outside = written(wrong.select("key", "h", "g"), "cascade")
     while len(levels) < MAX_LEVELS:
         n = outside.count()
