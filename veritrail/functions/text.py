@@ -534,3 +534,9 @@ def coerced_label(value: Column, allowed: Sequence[str], default: str, strict_re
         return F.when(made.isin(*allowed), made).otherwise(default)
     known = F.create_map(*[F.lit(x) for a in allowed for x in (a.lower(), a)])
     return F.coalesce(F.try_element_at(known, F.lower(made)), F.lit(default))
+
+
+def vector_literal(vector: Column) -> Column:
+    """A vector as text, for stores that take it so: [x,y,...] with nine significant digits."""
+    short = lambda x: F.regexp_replace(F.regexp_replace(F.format_string("%.9g", x.cast("double")), r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
+    return F.concat(F.lit("["), F.array_join(F.transform(vector, short), ","), F.lit("]"))

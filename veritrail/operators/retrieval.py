@@ -32,12 +32,13 @@ def channel_lists(scored: DataFrame, channel: str, window: int) -> DataFrame:
 def cross_corpus_search(
     chunks: DataFrame, query: str = QUERY, slots: Sequence[str] = ("license terms", "shesh"), final_k: int = 20, k_per_corpus: int = 10, id_col: str = "doc_id",
     document_col: str = "doc_id", corpus_col: str = "source", text_col: str = "text", dense: DataFrame | None = None, strict_numbers: bool = False,
-    weights: dict[str, float] | None = None,
+    weights: dict[str, float] | None = None, rerank: DataFrame | None = None,
 ) -> DataFrame:
     """rank, chunk_id, document_id, corpus_id, score, rrf_norm, bm25_norm, dense_norm, matched_slots.
 
     BM25 (and, given `dense` as (chunk_id, score), dense) lists of each corpus are fused, scored with slots and numbers,
-    weighed by corpus, sorted, and capped by document and corpus."""
+    weighed by corpus, sorted, and capped by document and corpus. rerank: (chunk_id, rerank) scores of a model, if there is
+    one; a chunk that has none keeps its score by rank."""
     window = max(50, 3 * k_per_corpus)
     named = chunks.select(F.col(id_col).alias("chunk_id"), F.col(document_col).alias("document_id"), F.col(corpus_col).alias("corpus_id"), F.col(text_col).alias("text"))
     terms = T_terms(query)
@@ -51,7 +52,11 @@ def cross_corpus_search(
     if strict_numbers and wanted:
         scored = scored.where("numeric > 0")
     final = T.final_score(F.col("rrf_norm"), F.col("dense_norm"), F.col("bm25_norm"), F.col("matched_slots"), len(slots), F.col("numeric"), corpus_weight(F.col("corpus_id"), weights))
-    best = diversified(scored.withColumn("score", final), final_k)
+    scored = scored.withColumn("score", final)
+    if rerank is not None:
+        one = T.reranked_score(F.col("rerank"), F.col("dense_norm"), F.col("bm25_norm"), F.col("matched_slots"), len(slots), F.lit(0.8), F.col("numeric"), corpus_weight(F.col("corpus_id"), weights))
+        scored = scored.join(rerank, "chunk_id", "left").withColumn("score", F.coalesce(one, "score"))
+    best = diversified(scored, final_k)
     rank = F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id"))  # at most final_k rows
     return best.select(rank.alias("rank"), "chunk_id", "document_id", "corpus_id", "score", F.round("rrf_norm", 6).alias("rrf_norm"), F.round("bm25_norm", 6).alias("bm25_norm"),
                        F.round("dense_norm", 6).alias("dense_norm"), "matched_slots")

@@ -341,3 +341,21 @@ def s24(t):
 @query("f1_contradiction_ids")
 def contradiction_ids(t):
     return t.labels.select("doc_id", ids.stable_id("contradiction", F.concat_ws(":", F.col("doc_id").cast("string"), (F.col("doc_id") + 1).cast("string"))).alias("id"))
+
+
+@query("g16_consensus", "SELECT source AS topic, count(DISTINCT doc_id) AS claims FROM documents JOIN labels USING (doc_id) WHERE quality = 1 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 2")
+def g16e(t):
+    return quality.consensus(t.documents.join(t.labels.where("quality = 1"), "doc_id").select(F.col("doc_id").alias("id"), F.col("source").alias("topic")))
+
+
+@query("g16_applicability", "SELECT source AS technology, doc_id AS claim, lang AS geo_scope, 'evidence_available' AS status FROM documents WHERE n_chars > 5000")
+def g16f(t):
+    claims = t.documents.where("n_chars > 5000").select(F.col("source").alias("technology"), F.col("doc_id").alias("claim"), F.col("lang").alias("geo_scope"))
+    return quality.applicability(claims)
+
+
+@query("d2_unknown_relations", f"WITH {E} SELECT rel, count(*) AS n FROM edges WHERE rel IN ('PLACED', 'IN_COMMUNITY', 'PARENT_COMMUNITY') GROUP BY 1")
+def d2(t):
+    from veritrail.schema import unknown_relations
+
+    return unknown_relations(substrate.edges(t)).groupBy("rel").agg(F.count("*").alias("n"))

@@ -46,6 +46,18 @@ def s4(t):
     return readers.kept_figures(figures).select(F.col("sha256").alias("sha"))
 
 
+@query(
+    "s6_pseudo_pages",
+    """WITH RECURSIVE p AS (SELECT conv_id AS doc, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS t FROM conversations),
+    f AS (SELECT doc, n, t AS held, len(t) > 900 AS closed, 1 AS page FROM p WHERE n = 1 UNION ALL
+      SELECT p.doc, p.n, CASE WHEN closed OR held = '' THEN p.t WHEN p.t = '' THEN held ELSE held || chr(10) || p.t END, len(CASE WHEN closed OR held = '' THEN p.t WHEN p.t = '' THEN held ELSE held || chr(10) || p.t END) > 900, page + closed::INT FROM f JOIN p ON p.doc = f.doc AND p.n = f.n + 1)
+    SELECT doc, page::INT AS page_number, max_by(held, n) AS text FROM f GROUP BY ALL HAVING max_by(held, n) <> ''""",
+)
+def s6(t):
+    paragraphs = t.conversations.select(F.col("conv_id").alias("doc"), F.col("turn").alias("position"), "text", F.lit(False).alias("page_break"))
+    return readers.pseudo_pages(paragraphs, size=900)
+
+
 @query("s10_category_inventory", "SELECT source AS category, count(*) AS n FROM documents GROUP BY 1")
 def s10(t):
     return t.documents.groupBy(F.col("source").alias("category")).agg(F.count("*").alias("n"))

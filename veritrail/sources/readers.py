@@ -152,6 +152,29 @@ def partial_targets(jobs: DataFrame, chunks: DataFrame) -> DataFrame:
     return counted.where("n_chunks > 0").orderBy(rank, "document_id")
 
 
+def parser_of(path: str) -> str:
+    """The ending of a file that there is a parser for."""
+    ending = "." + path.rsplit(".", 1)[-1].lower() if "." in path.rsplit("/", 1)[-1] else ""
+    if ending not in SUPPORTED:
+        raise ValueError(f"unsupported file: {path}")
+    return ending
+
+
+def pseudo_pages(paragraphs: DataFrame, doc: str = "doc", position: str = "position", text: str = "text", breaks: str = "page_break", size: int = 10_000) -> DataFrame:
+    """doc, page_number, text: paragraphs buffered to pages. A page closes after a paragraph with a break before it, or with
+    the one that takes it over `size` characters. Each close depends on the one before, so a document is folded."""
+    made = paragraphs.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(position, F.coalesce(breaks, F.lit(False)).alias("b"), F.coalesce(clean_text(F.col(text)), F.lit("")).alias("t")))).alias("p"))
+    start = F.struct(F.lit("").alias("held"), F.array().cast("array<string>").alias("pages"))
+
+    def add(acc, p):
+        held = F.when(p["t"] == "", acc["held"]).when(acc["held"] == "", p["t"]).otherwise(F.concat_ws("\n", acc["held"], p["t"]))
+        closed = p["b"] | (F.length(held) > size)
+        return F.when(closed, F.struct(F.lit("").alias("held"), F.concat(acc["pages"], F.array(held)).alias("pages"))).otherwise(F.struct(held.alias("held"), acc["pages"].alias("pages")))
+
+    pages = F.aggregate("p", start, add, lambda acc: F.when(acc["held"] != "", F.concat(acc["pages"], F.array(acc["held"]))).otherwise(acc["pages"]))
+    return made.select(doc, F.posexplode(pages).alias("page_number", text)).where(F.col(text) != "").withColumn("page_number", F.col("page_number") + 1)
+
+
 class GraphTextSource(DataSource):
     """spark.read.format("graphtext"): nodes or edges from lines of `kind<TAB>...`, a plain exchange format."""
 

@@ -89,6 +89,26 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     query.awaitTermination()
 
 
+def each_batch(stream: DataFrame, use, checkpoint: str, key: str, order: str) -> None:
+    """Calls use(latest row of each key) for each micro-batch: a status feed. Runs over what is there and stops."""
+    from veritrail.operators.relational import latest
+
+    def run(batch: DataFrame, _: int) -> None:
+        use(latest(batch, [key], [F.desc(order)]))
+
+    stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def cancelled(spark: SparkSession, names) -> list[str]:
+    """Stops the running streams of these names; returns those stopped. A stream ends between micro-batches."""
+    stopped = []
+    for query in spark.streams.active:
+        if query.name in set(names):
+            query.stop()
+            stopped.append(query.name)
+    return stopped
+
+
 class RateLimiter:
     """Spacing of requests that grows by half after a rejection and shrinks by 2 % after a success."""
 
