@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veritrail.llm import bpe, langid, mil, mixing, simhash
+from veritrail.llm import bloom, bpe, langid, mil, mixing, simhash
 from veritrail.llm.common import table, written
 
-MIN_LANGUAGE = 0.5
+MIN_LANGUAGE = 0.4
 MIN_QUALITY = 0.3
 
 
@@ -40,16 +40,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = written(simhash.near_duplicates(docs, "doc_id", "text").select("doc_id", "component_id"), "components")
-    extra = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_vt_id")).distinct()
-    kept = docs.join(extra, docs["doc_id"] == extra["_vt_id"], "left_anti")
+    kept = bloom.without(docs, "doc_id", found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
     again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_vt_id"))
     if again.isEmpty():
         return kept
     # ids that occur more than once among those kept: one row of each
-    once = kept.join(again, kept["doc_id"] == again["_vt_id"]).drop("_vt_id")
+    once = kept.join(again, kept["doc_id"] == again["_vt_id"])
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "source", "lang")))
     once = _columns(once.withColumn("_vt_nth", first).where("_vt_nth = 1"), docs)
-    return kept.join(again, kept["doc_id"] == again["_vt_id"], "left_anti").unionByName(once)
+    return bloom.without(kept, "doc_id", again).unionByName(once)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,6 @@ rows are judged each; an empty table or an empty rule list is allowed; columns o
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -28,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veritrail.llm.bloom import Level, filled, unsigned
 from veritrail.llm.common import written
 
 MAX_LISTED = 4_000_000
@@ -36,28 +36,6 @@ MAX_LEVELS = 40
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-class Level:
-    """One Bloom filter; keys come as two 64-bit hashes each."""
-
-    def __init__(self, number: int, keys: int, rate: float):
-        self.number = number
-        self.bits = max(64, 64 * math.ceil(-keys * math.log(rate) / math.log(2) ** 2 / 64))
-        self.hashes = max(1, round(self.bits / max(keys, 1) * math.log(2))) if keys else 1
-        self.hashes = min(self.hashes, 16)
-        self.words = np.zeros(self.bits // 64, np.uint64)
-
-    def places(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
-        """hashes x keys: the bits of each key; a level's number enters, so that levels err independently."""
-        step = (g ^ np.uint64((0x9E3779B97F4A7C15 * (2 * self.number + 1)) & (2**64 - 1))) | np.uint64(1)
-        start = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.uint64(self.number)
-        mixed = [start + np.uint64(i) * step for i in range(self.hashes)]
-        return np.stack([(m ^ (m >> np.uint64(32))) % np.uint64(self.bits) for m in mixed])
-
-    def passes(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
-        at = self.places(h, g)
-        return ((self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=0)
-
-
 def member(levels: Sequence[Level], h: np.ndarray, g: np.ndarray) -> np.ndarray:
     """Which keys the cascade lists."""
     found, alive = np.zeros(len(h), bool), np.arange(len(h))
@@ -69,36 +47,13 @@ def member(levels: Sequence[Level], h: np.ndarray, g: np.ndarray) -> np.ndarray:
     return found
 
 
-def _unsigned(column: pa.Array) -> np.ndarray:
-    return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-
-
-def hash_pair(key: Column) -> list[Column]:
-    return [F.xxhash64(key), F.xxhash64(F.lit("g"), key)]
-
-
-def _filter(keys: DataFrame, level: Level) -> Level:
-    """Sets the level's bits for keys (key, h, g); words are merged by bit_or, so at most bits / 64 rows return."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = level.places(_unsigned(batch.column(0)), _unsigned(batch.column(1))).ravel()
-            bit = np.left_shift(np.uint64(1), at & np.uint64(63)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array(bit)], names=["word", "bit"])
-
-    words = keys.select("h", "g").mapInArrow(run, "word long, bit long").groupBy("word").agg(F.expr("bit_or(bit)").alias("bit"))
-    for row in words.toLocalIterator():
-        level.words[row["word"]] = np.int64(row["bit"]).view(np.uint64)
-    return level
-
-
 def _through(keys: DataFrame, levels: Sequence[Level]) -> DataFrame:
     """Those rows (key, h, g) that all the levels let through."""
     shared = keys.sparkSession.sparkContext.broadcast(list(levels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, g = _unsigned(batch.column(1)), _unsigned(batch.column(2))
+            h, g = unsigned(batch.column(1)), unsigned(batch.column(2))
             inside = np.ones(len(h), bool)
             for level in shared.value:
                 inside &= level.passes(h, g)
@@ -116,7 +71,7 @@ def cascade(listed: DataFrame, universe: DataFrame, rate: float = RATE) -> list[
         raise ValueError(f"{n} keys are listed; a broadcast cascade takes {MAX_LISTED}")
     if not n:
         return []
-    levels = [_filter(inside, Level(0, n, rate))]
+    levels = [filled(inside, Level(0, n, rate))]
     # distinct before the join, so that a key that many rows ask is merged before it is shuffled
     wrong = _through(hashed(universe.where("key is not null")), levels).distinct().join(own.select("key"), "key", "left_anti")
     outside = written(wrong.select("key", "h", "g"), "cascade")
@@ -124,7 +79,7 @@ def cascade(listed: DataFrame, universe: DataFrame, rate: float = RATE) -> list[
         n = outside.count()
         if not n:
             return levels
-        levels.append(_filter(outside, Level(len(levels), n, rate)))
+        levels.append(filled(outside, Level(len(levels), n, rate)))
         inside, outside = outside, _through(inside, levels[-1:])
     raise RuntimeError("two keys share both hashes")
 
@@ -183,7 +138,7 @@ def _probed(asked: DataFrame, cascades: list[list[Level]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index("h"))
-            h, g = _unsigned(lists.flatten()), _unsigned(batch.column(batch.schema.get_field_index("g")).flatten())
+            h, g = unsigned(lists.flatten()), unsigned(batch.column(batch.schema.get_field_index("g")).flatten())
             found = np.zeros(len(h), np.int32)
             for number, levels in reversed(list(enumerate(shared.value, 1))):
                 found[member(levels, h, g)] = number
