@@ -24,8 +24,14 @@ def test_fingerprint_matches_the_definition():
     assert fingerprint(None) == fingerprint(b"") == fingerprint(b" \n\t") == 0
 
 
-def signed(values):
-    return [int(np.uint64(v).view(np.int64)) if v < 1 << 64 else v for v in values]
+def test_blocks_do_not_change_fingerprints(monkeypatch):
+    import veritrail.llm.simhash as simhash
+
+    rnd = random.Random(4)
+    for _ in range(300):
+        text = "".join(rnd.choice(["aa", "b", " ", "  ", "\n", "ccc d", "É"]) for _ in range(rnd.randint(0, 60)))
+        monkeypatch.setattr(simhash, "_BLOCK", rnd.randint(1, 30))
+        assert fingerprint(text.encode()) == slow_fingerprint(text)
 
 
 def test_links_lose_none(spark):

@@ -160,9 +160,18 @@ def test_a_small_memory_gives_the_same(vocabulary, monkeypatch):
         assert small.encode(text) == reference.encode_ordinary(text)
 
 
+def test_blocks_do_not_change_ids(vocabulary):
+    v, reference = vocabulary
+    rnd = random.Random(5)
+    for _ in range(400):
+        text = some_text(rnd) + some_text(rnd)
+        parts = list(v.blocks(text, rnd.randint(1, 20)))
+        assert "".join(parts) == text and [i for p in parts for i in v.encode(p)] == reference.encode_ordinary(text)
+
+
 def test_encode_decode_rows(spark, vocabulary):
     _, reference = vocabulary
-    rows = [(1, None), (2, ""), (3, "the end\n\n of é \U0001f600"), (None, "x"), (3, "the end\n\n of é \U0001f600"), (4, "word " * 50_000)]
+    rows = [(1, None), (2, ""), (3, "the end\n\n of é \U0001f600"), (None, "x"), (3, "the end\n\n of é \U0001f600"), (4, "word " * 250_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_tokens": F.lit("clash"), "ids": F.lit(1), "id": F.lit(1)})
     got = encode_decode(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, keep_ids=True).collect()
     assert len(got) == 6
@@ -322,3 +331,16 @@ def test_no_shared_folder_on_a_cluster_is_an_error():
     context = SimpleNamespace(master="spark://host:7077", getConf=lambda: SimpleNamespace(get=lambda key: None))
     with pytest.raises(RuntimeError):
         shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda key, other=None: None), sparkContext=context))
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 20])
+def test_rows_without_dropped_ids(spark, monkeypatch, bits):
+    from veritrail.llm import bloom
+
+    monkeypatch.setattr(bloom, "SPARING_BITS", bits)
+    rows = [(i, f"t{i}") for i in range(500)] + [(None, "n"), (3, "again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.lit("clash"))
+    dropped = spark.createDataFrame([(i,) for i in range(0, 500, 7)] + [(0,)], "doc_id long")
+    got = bloom.without(docs, "doc_id", dropped)
+    assert got.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in got.where("doc_id is not null").collect()) == sorted((i, t) for i, t in rows if i is not None and (i % 7))
+    assert got.where("doc_id is null").count() == 1 and bloom.without(docs, "doc_id", dropped.where("false")).count() == 502

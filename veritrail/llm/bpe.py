@@ -164,6 +164,20 @@ class Vocabulary:
             end -= len(self.bytes_of[token])
         return tuple(out[::-1])
 
+    def blocks(self, text: str, size: int = 1 << 20) -> Iterator[str]:
+        """text in parts of about `size` characters, each cut before a blank that follows something else than white space:
+        no piece of the pattern holds such a place inside, and none looks back over it."""
+        at = 0
+        while len(text) - at > size:
+            cut = text.find(" ", at + size)
+            while cut > 0 and text[cut - 1].isspace():
+                cut = text.find(" ", cut + 1)
+            if cut < 0:
+                break
+            yield text[at:cut]
+            at = cut
+        yield text[at:]
+
     def encode(self, text: str) -> list[int]:
         known, pieces = self.pieces, self.pattern.findall(text)
         out = list(map(known.get, pieces))
@@ -264,12 +278,18 @@ def encode_decode(docs: DataFrame, vocab_file: str, pattern: str, id_col: str =
         for batch in batches:
             count, coded, decoded, kept = [], [], [], []
             for text in batch.column(1):
-                ids = v.encode((text.as_py() or b"").decode("utf-8", "replace"))
-                count.append(len(ids))
-                coded.append(hashlib.sha256(" ".join(map(text_of, ids)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(v.decode(ids)).hexdigest())
-                if keep_ids:
-                    kept.append(ids)
+                n, told, back, held = 0, hashlib.sha256(), hashlib.sha256(), []
+                for part in v.blocks((text.as_py() or b"").decode("utf-8", "replace")):
+                    ids = v.encode(part)
+                    told.update((" " * (n > 0 and len(ids) > 0) + " ".join(map(text_of, ids))).encode())
+                    back.update(v.decode(ids))
+                    n += len(ids)
+                    if keep_ids:
+                        held += ids
+                count.append(n)
+                coded.append(told.hexdigest())
+                decoded.append(back.hexdigest())
+                kept.append(held)
             columns = [batch.column(0), pa.array(count, pa.int64()), pa.array(coded), pa.array(decoded)]
             names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:

@@ -20,6 +20,7 @@ Defined results for odd input:
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -34,24 +35,42 @@ from veritrail.llm.common import small_batches, written
 BITS = 64
 SEED = 42
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_CHUNK = 1 << 16
+_CHUNK, _BLOCK = 1 << 16, 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def _blocks(data: bytes) -> Iterator[bytes]:
+    """data in parts of about _BLOCK bytes, cut before white space."""
+    at = 0
+    while len(data) - at > _BLOCK:
+        cut = _SPACE.search(data, at + _BLOCK)
+        if cut is None:
+            break
+        yield data[at : cut.start()]
+        at = cut.start()
+    yield data[at:]
 
 
 def fingerprint(text: bytes | None, shingle: int = 4) -> int:
-    """The unsigned 64-bit SimHash of a UTF-8 text: a bit is 1 if it is set in over half the shingles' XXH64."""
-    words = (text or b"").translate(_LOWER).split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[:-shingle])).tolist()
-    stops = (ends[shingle - 1 :] - 1).tolist()
-    digest, total, set_bits = xxhash.xxh64_intdigest, len(starts), np.zeros(BITS, np.int64)
-    for k in range(0, total, _CHUNK):
-        hashes = np.array([digest(joined[i:j], SEED) for i, j in zip(starts[k : k + _CHUNK], stops[k : k + _CHUNK])], np.uint64)
-        set_bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    """The unsigned 64-bit SimHash of a UTF-8 text: a bit is 1 if it is set in over half the shingles' XXH64.
+
+    A long text is walked in blocks, each begun with the last words of the one before, so memory doesn't grow with it."""
+    digest, total, set_bits, words = xxhash.xxh64_intdigest, 0, np.zeros(BITS, np.int64), []
+    for block in _blocks(text or b""):
+        words = words[-(shingle - 1) :] + block.translate(_LOWER).split() if shingle > 1 else block.translate(_LOWER).split()
+        count = len(words) - shingle + 1
+        if count <= 0:
+            continue
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        starts = np.concatenate(([0], ends[:-shingle])).tolist()
+        stops = (ends[shingle - 1 :] - 1).tolist()
+        total += count
+        for k in range(0, count, _CHUNK):
+            hashes = np.array([digest(joined[i:j], SEED) for i, j in zip(starts[k : k + _CHUNK], stops[k : k + _CHUNK])], np.uint64)
+            set_bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    if not total:
+        return digest(b" ".join(words), SEED) if words else 0
     return int(np.packbits(2 * set_bits > total, bitorder="little").view(np.uint64)[0])
 
 
