@@ -4,7 +4,7 @@ A source's documents each get target / size copies, a number from 0 to the cap,
 taken as it is. The fractions are rounded in pairs: words (fraction x size) move from one document of a pair to the
 other, by chance in either direction so that each fraction keeps its mean, until one fraction is 0 or 1. The words
 taken from the source don't change in a step, so a source misses its target by less than one document, whatever the
-number of documents; where the last document shares its group with others, some of those are then switched to land nearer.
+number of documents.
 
 Pairing runs as a reduction tree. Leaves are blocks of about BLOCK documents of one source, told by a hash, so that a hot
 source has more blocks, not larger ones. A block leaves at most one fraction; FAN_IN such residuals of a source form a
@@ -82,13 +82,17 @@ def paired(size: np.ndarray, part: np.ndarray, chance: np.random.Generator) -> t
     return part, held
 
 
-def landed(size: np.ndarray, part: np.ndarray, held: int, over: float) -> None:
-    """Makes good the words that rounding the last document took too many (or, negative, too few), where it can: from
-    the largest document on, a rounded one that was taken is left (or the reverse) if that brings the sum nearer."""
-    for k in np.argsort(-size, kind="stable"):
-        if k != held and size[k] < 2 * abs(over) and part[k] == (over > 0):
-            part[k] = 1 - part[k]
-            over -= size[k] if over > 0 else -size[k]
+def landed(rows: pd.DataFrame) -> pd.DataFrame:
+    """Makes good the words that rounding a source's last document took too many (or, negative, too few): from the largest
+    document of the pool on, one that was rounded up is left (or the reverse) if that brings the sum nearer."""
+    rows = rows.sort_values(["size", "salt", "id", "part"], ascending=[False, True, True, True], kind="stable")
+    part, over, size = rows["part"].to_numpy(np.float64).copy(), float(rows["over"].iloc[0]), rows["size"].to_numpy(np.float64)
+    if _EDGE < rows["fraction"].iloc[0] < 1 - _EDGE:
+        for k in range(len(part)):
+            if size[k] < 2 * abs(over) and part[k] == (over > 0):
+                part[k] = 1 - part[k]
+                over -= size[k] if over > 0 else -size[k]
+    return rows.assign(part=part)
 
 
 def _generator(*key) -> np.random.Generator:
@@ -102,9 +106,7 @@ def _rounder(level: int, last: bool, seed: int):
         chance = _generator(seed, level, None if pd.isna(source) else source, block)
         part, held = paired(rows["size"].to_numpy(np.float64), rows["part"].to_numpy(np.float64), chance)
         if last and held >= 0:
-            left = part[held]
-            part[held] = float(chance.random() < left)
-            landed(rows["size"].to_numpy(np.float64), part, held, (part[held] - left) * rows["size"].iloc[held])
+            part[held] = float(chance.random() < part[held])
             held = -1
         done = np.ones(len(rows), bool)
         if held >= 0:
@@ -142,11 +144,17 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     for level in range(levels):
         now = now.groupBy("source", "block").applyInPandas(_rounder(level, level == levels - 1, seed), schema)
         now = written(now, f"level{level}")
-        parts.append(now.where("done"))
+        parts.append(now.where("done").withColumn("pool", F.lit(level == 0) & (F.col("block") == 0)))
         now = now.where("not done").drop("done").withColumn("block", F.floor(F.col("block") / FAN_IN))
-    out = empty
-    for part in parts:
-        out = out.unionByName(part)
+    rounded = parts[0]
+    for part in parts[1:]:
+        rounded = rounded.unionByName(part)
+    fraction = F.max(F.col("target") / F.col("source_size") - F.col("whole"))
+    missed = rounded.groupBy(F.col("source").alias("of")).agg(fraction.alias("fraction"), (F.sum(F.col("part") * F.col("size")) - fraction * F.sum("size")).alias("over"))
+    pool = rounded.where("pool").join(missed, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    pool = pool.groupBy("source").applyInPandas(landed, pool.schema)  # a source's first block
+    columns = ["id", "salt", "source", "size", "source_size", "target", "whole", "part"]
+    out = empty.select(columns).unionByName(rounded.where("not pool").select(columns)).unionByName(pool.select(columns))
     total = F.col("whole") + F.round("part").cast("int")
     return out.select("id", "salt", "source", "size", "source_size", "target", total.alias("copies"), (total * F.col("size")).alias("taken"))
 
