@@ -10,6 +10,15 @@ from veritrail.plans import substrate
 from veritrail.plans.catalog import query
 
 N, E = substrate.NODES_SQL, substrate.EDGES_SQL
+
+
+def _uuid5(value):
+    """The stable id of a SQL expression."""
+    d = f"sha1(unhex('{ids.NAMESPACE.replace('-', '')}') || encode({value}))"
+    variant = f"lower(printf('%02x', ('0x' || ({d})[17:18])::INT & 63 | 128))"
+    return f"({d})[1:8] || '-' || ({d})[9:12] || '-5' || ({d})[14:16] || '-' || {variant} || ({d})[19:20] || '-' || ({d})[21:32]"
+
+
 _PLACED = "e AS (SELECT src, dst FROM edges WHERE rel = 'PLACED' AND substr(dst, 3)::BIGINT % 3 = 0 UNION ALL SELECT src, dst FROM edges WHERE rel = 'USES_EQUIPMENT' AND substr(src, 3)::BIGINT % 97 = 0)"
 
 
@@ -298,7 +307,7 @@ def g18(t):
     return graph.reviewed(base, decisions)
 
 
-@query("g19_assertions")
+@query("g19_assertions", f"WITH {E} SELECT 'assertion_' || {_uuid5("src || ':' || rel || ':' || dst || ':nation'")} AS assertion_id, src, dst FROM edges WHERE rel = 'PARENT_COMMUNITY'")
 def g19(t):
     return graph.assertions(substrate.edges(t).where("rel = 'PARENT_COMMUNITY'").withColumn("evidence", F.lit("nation")), "evidence").select("assertion_id", "src", "dst")
 
@@ -338,7 +347,7 @@ def s24(t):
     return triples(nodes, edges)
 
 
-@query("f1_contradiction_ids")
+@query("f1_contradiction_ids", f"SELECT doc_id, 'contradiction_' || {_uuid5("doc_id || ':' || (doc_id + 1)")} AS id FROM labels")
 def contradiction_ids(t):
     return t.labels.select("doc_id", ids.stable_id("contradiction", F.concat_ws(":", F.col("doc_id").cast("string"), (F.col("doc_id") + 1).cast("string"))).alias("id"))
 

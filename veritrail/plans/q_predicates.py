@@ -82,7 +82,7 @@ def p13b(t):
     return t.orders.where(evidence.year_filter(F.year("o_orderdate"), 1995, None)).select("o_orderkey")
 
 
-@query("p16_direct_evidence")
+@query("p16_direct_evidence", "SELECT doc_id FROM documents WHERE " + " OR ".join(f"contains(lower(text), '{a}')" for a in ("thereti", "ouining", "over", "shesh")))
 def p16(t):
     return t.documents.where(evidence.is_direct("Compare thereti ouining over Shesh process", F.col("text"), "broad")).select("doc_id")
 

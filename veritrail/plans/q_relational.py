@@ -448,7 +448,13 @@ def w12(t):
     return t.conversations.select("conv_id", "turn", (F.row_number().over(Window.partitionBy("conv_id", "role").orderBy("turn")) - 1).alias("ordinal"))
 
 
-@query("w13_publication_boundaries")
+@query(
+    "w13_publication_boundaries",
+    """WITH RECURSIVE b AS (SELECT l_orderkey, l_linenumber AS s, (l_linenumber + floor(l_quantity / 20))::INT AS e, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, (l_linenumber + floor(l_quantity / 20))::INT) AS n FROM lineitem),
+    f AS (SELECT l_orderkey, n, s, e, s >= 1 AND e <= 8 AND s <= e AND s > 0 AS kept, CASE WHEN s >= 1 AND e <= 8 AND s <= e AND s > 0 THEN e ELSE 0 END AS stop FROM b WHERE n = 1 UNION ALL
+      SELECT b.l_orderkey, b.n, b.s, b.e, b.s >= 1 AND b.e <= 8 AND b.s <= b.e AND b.s > stop, CASE WHEN b.s >= 1 AND b.e <= 8 AND b.s <= b.e AND b.s > stop THEN b.e ELSE stop END FROM f JOIN b ON b.l_orderkey = f.l_orderkey AND b.n = f.n + 1)
+    SELECT l_orderkey, s AS start_page, e AS end_page FROM f WHERE kept""",
+)
 def w13(t):
     from veritrail.operators.agent import valid_boundaries
 

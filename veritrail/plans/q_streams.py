@@ -91,7 +91,13 @@ def s15(t):
     return t.pages.select("page_id", part["lang"].alias("lang"), part["title"].alias("title")).where("title is not null")
 
 
-@query("s16_st1_minute_buckets")
+@query(
+    "s16_st1_minute_buckets",
+    """WITH RECURSIVE p AS (SELECT conv_id AS video, turn * 25 AS start, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS n FROM conversations),
+    f AS (SELECT video, n, start, text, 0 AS bucket, start >= 60 AS closed, 60 AS mark FROM p WHERE n = 1 UNION ALL
+      SELECT p.video, p.n, p.start, p.text, bucket + closed::INT, p.start >= mark + 60 * closed::INT, mark + 60 * closed::INT FROM f JOIN p ON p.video = f.video AND p.n = f.n + 1)
+    SELECT video, bucket, min(start) AS start_time, max(start) AS end_time, string_agg(text, ' ' ORDER BY n) AS text FROM f GROUP BY ALL""",
+)
 def s16(t):
     segments = t.conversations.select(F.col("conv_id").alias("video"), (F.col("turn") * 25).alias("start"), "text")
     return minute_buckets(segments)
@@ -120,7 +126,7 @@ def s31(t):
     return readers.partial_targets(jobs_, chunks).select("job_id", "stage", "n_chunks")
 
 
-@query("s22_graph_source")
+@query("s22_graph_source", "SELECT * FROM (VALUES ('node', 'a', 'Material', NULL), ('node', 'b', 'Process', NULL), ('edge', 'a', 'USES', 'b')) v(kind, a, b, c)")
 def s22(t, spark):
     spark.dataSource.register(readers.GraphTextSource)
     return spark.read.format("graphtext").option("lines", "node\ta\tMaterial\nnode\tb\tProcess\nedge\ta\tUSES\tb").load()

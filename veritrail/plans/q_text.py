@@ -63,7 +63,13 @@ def f6(t):
     return t.documents.select("doc_id", text.infer_title(F.col("text"), name).alias("title"))
 
 
-@query("f7_graph_query_tokens")
+@query(
+    "f7_graph_query_tokens",
+    f"""WITH w AS (SELECT item_id, unnest(m) AS t, unnest(range(len(m))) AS i FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-zА-Яа-яЁё0-9][A-Za-zА-Яа-яЁё0-9+.-]{{1,}}') AS m FROM benchmark)),
+    k AS (SELECT item_id, i, CASE WHEN regexp_matches(lower(t), '^[а-яё]{{8,}}$') THEN lower(t)[1:6] ELSE lower(t) END AS t FROM w WHERE lower(t) NOT IN ({", ".join(f"'{x}'" for x in text.STOP_WORDS)})),
+    o AS (SELECT item_id, t, row_number() OVER (PARTITION BY item_id ORDER BY (NOT regexp_matches(t, '[0-9]'))::INT, -len(t), i) AS n FROM k),
+    d AS (SELECT item_id, t, min(n) AS n FROM o GROUP BY ALL) SELECT b.item_id, coalesce((SELECT list(t ORDER BY n) FROM d WHERE d.item_id = b.item_id)[1:28], []) AS tokens FROM benchmark b""",
+)
 def f7(t):
     return t.benchmark.select("item_id", text.graph_tokens(F.col("text")).alias("tokens"))
 
@@ -137,7 +143,15 @@ def f13(t):
     return t.documents.select("doc_id", text.matched_slots(["license terms", "phone number", "nd"], F.col("text")).alias("slots"))
 
 
-@query("f14_supported_slots")
+_ALIAS = {s: " OR ".join(f"contains(lower(text), '{a}')" for a in text.SLOT_ALIASES.get(s, ())) for s in ("process", "year", "result")}
+
+
+@query(
+    "f14_supported_slots",
+    f"""WITH m AS (SELECT doc_id, text, len(regexp_extract_all(text, '{_FACTS}', 1)) > 0 AS any_number, len(list_filter(regexp_extract_all(text, '{_FACTS}', 3), lambda u: u <> '')) > 0 AS united FROM documents)
+    SELECT doc_id, list_filter([CASE WHEN {_ALIAS['process']} THEN 'process' END, CASE WHEN {_ALIAS['year']} THEN 'year' END, CASE WHEN CASE WHEN any_number THEN united ELSE contains(lower(text), 'unit') END THEN 'unit' END,
+    CASE WHEN any_number OR contains(lower(text), 'numeric_value_or_range') THEN 'numeric_value_or_range' END, CASE WHEN {_ALIAS['result']} THEN 'result' END], lambda x: x IS NOT NULL) AS slots FROM m""",
+)
 def f14(t):
     return t.documents.select("doc_id", text.supported_slots(["process", "year", "unit", "numeric_value_or_range", "result"], F.col("text")).alias("slots"))
 
@@ -158,7 +172,20 @@ def f16(t):
     return t.documents.select("doc_id", text.geography(F.col("text"), ("ntere",), ("tionsh", "eauon")).alias("geography"))
 
 
-@query("f17_unit_normalisation")
+def _unit_values():
+    from veritrail.functions.units import ALIASES, PLAIN
+
+    rows = [(k, s, d) for k, (s, d) in ALIASES.items()] + [(k.lower(), k, d) for k, d in PLAIN.items() if k.lower() not in ALIASES]
+    return ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in rows)
+
+
+@query(
+    "f17_unit_normalisation",
+    f"""WITH k(key, symbol, dimension) AS (VALUES {_unit_values()}), m AS (SELECT doc_id, regexp_extract_all(text, '{_FACTS}', 3) AS u FROM documents),
+    r AS (SELECT doc_id, i, nullif(u[i], '') AS unit FROM (SELECT *, unnest(range(1, len(u) + 1)) AS i FROM m)), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM r WHERE i <= 5 OR unit IS NOT NULL)
+    SELECT unit, coalesce(symbol, trim(unit)) AS symbol, coalesce(dimension, 'unknown') AS dimension, symbol IS NOT NULL AS valid, count(*) AS n FROM f LEFT JOIN k ON key = regexp_replace(replace(lower(trim(unit)), '−', '-'), '\\s+', '', 'g')
+    WHERE unit IS NOT NULL AND f.n <= 20 GROUP BY ALL""",
+)
 def f17(t, spark):
     from veritrail.functions import units
 
@@ -234,12 +261,23 @@ def f26(t):
     return t.documents.select("doc_id", text.redacted(F.col("text"), ("license",)).alias("redacted"))
 
 
-@query("f27_web_profiles")
+def _has(terms):
+    return " OR ".join(f"contains(lower(text), '{x}')" for x in terms)
+
+
+@query(
+    "f27_web_profiles",
+    "SELECT item_id, list_concat(list_filter([" + ", ".join(f"CASE WHEN {_has(terms)} THEN '{name}' END" for name, terms in text.PROFILE_RULES) + "], lambda x: x IS NOT NULL), ['journals', 'indexes'])[1:2] AS profiles FROM benchmark",
+)
 def f27(t):
     return t.benchmark.select("item_id", text.web_profiles(F.col("text")).alias("profiles"))
 
 
-@query("f28_corpus_router")
+@query(
+    "f28_corpus_router",
+    f"SELECT item_id, CASE WHEN {_has(('обзор', 'сравн', 'review', 'миров'))} THEN ['internal_reports', 'reviews', CASE WHEN {_has(('конференц', 'докладчик', 'conference'))} THEN 'conference_materials' ELSE 'scientific_articles' END]"
+    f" WHEN {_has(('конференц', 'докладчик', 'conference'))} THEN ['internal_reports', 'conference_materials', 'scientific_articles'] ELSE ['internal_reports', 'scientific_articles', 'scientific_journals'] END AS route FROM benchmark",
+)
 def f28(t):
     return t.benchmark.select("item_id", text.corpus_route(F.col("text"), F.lit("practice"), 3).alias("route"))
 
