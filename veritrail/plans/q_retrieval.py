@@ -76,7 +76,23 @@ def r1(t):
     return retrieval.cross_corpus_search(t.documents)
 
 
-@query("r1_hybrid_search")
+_R1_HYBRID = rf"""WITH {_bm25_sql()}, {_VEC},
+    near AS (SELECT vec_id, list_cosine_similarity(e, q) AS c FROM v, q ORDER BY c DESC, vec_id LIMIT 400),
+    lists AS (SELECT 'bm25' AS ch, doc_id, source, text, score FROM bm UNION ALL SELECT 'dense', doc_id, source, text, c FROM documents JOIN near ON vec_id = doc_id),
+    top AS (SELECT * FROM lists QUALIFY row_number() OVER (PARTITION BY ch, source ORDER BY score DESC, doc_id) <= 50),
+    ok AS (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS v FROM top),
+    rd AS (SELECT ch, doc_id, source, score, lower(v) AS x FROM ok WHERE len(v) >= 20 AND len(v) - len(regexp_replace(v, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')) <= 0.05 * len(v) AND len(v) - len(regexp_replace(v, '[\p{{L}}\p{{N}}]', '', 'g')) >= 0.2 * len(v)),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY ch, source ORDER BY score DESC, doc_id) AS k, min(score) OVER (PARTITION BY ch, source) AS lo, max(score) OVER (PARTITION BY ch, source) AS hi FROM rd),
+    nm AS (SELECT *, CASE WHEN hi > lo THEN (score - lo) / (hi - lo) WHEN score <> 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM rk),
+    f AS (SELECT doc_id, any_value(source) AS source, any_value(x) AS x, sum(1.0::DOUBLE / (60 + k)) AS rrf, coalesce(max(CASE WHEN ch = 'bm25' THEN norm END), 0) AS bm25_norm, coalesce(max(CASE WHEN ch = 'dense' THEN norm END), 0) AS dense_norm
+        FROM nm GROUP BY doc_id ORDER BY rrf DESC, doc_id LIMIT 80),
+    s AS (SELECT *, rrf / (SELECT max(rrf) FROM f) AS rrf_norm, list_filter(['license terms', 'shesh'], lambda z: CASE z WHEN 'shesh' THEN contains(x, 'shesh') ELSE contains(x, 'license') OR contains(x, 'terms') END) AS matched_slots FROM f),
+    z AS (SELECT *, round_even(0.50::DOUBLE * rrf_norm + 0.20::DOUBLE * dense_norm + 0.15::DOUBLE * bm25_norm + 0.10::DOUBLE * least(1.0, len(matched_slots) / 2), 6) AS final FROM s),
+    c2 AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY source ORDER BY final DESC, doc_id) <= 8), l AS (SELECT * FROM c2 ORDER BY final DESC, doc_id LIMIT 20)
+    SELECT row_number() OVER (ORDER BY final DESC, doc_id)::INT AS rank, doc_id AS chunk_id, doc_id AS document_id, source AS corpus_id, final AS score, round(rrf_norm, 6) AS rrf_norm, round(bm25_norm, 6) AS bm25_norm, round(dense_norm, 6) AS dense_norm, matched_slots FROM l"""
+
+
+@query("r1_hybrid_search", _R1_HYBRID)
 def r1b(t):
     """The same with a dense channel: vectors of the documents' ids."""
     dense = search.nearest_to(t.embeddings, _probe(t), 400, "vec_id", "embedding").select(F.col("vec_id").alias("chunk_id"), F.col("dense_score").alias("score"))
