@@ -101,8 +101,9 @@ def fused(rankings: DataFrame, limit: int) -> DataFrame:
         *[F.coalesce(F.max(F.when(F.col("channel") == ch, F.col("norm"))), F.lit(0.0)).alias(f"{ch}_norm") for ch in ("dense", "bm25")],
         *[F.max(F.when(F.col("channel") == ch, F.col("score"))).alias(f"{ch}_score") for ch in ("dense", "bm25")],
     )
-    top = by_chunk.agg(F.max("rrf").alias("max_rrf"))
-    return by_chunk.crossJoin(F.broadcast(top)).withColumn("rrf_norm", F.col("rrf") / F.col("max_rrf")).drop("max_rrf").orderBy(F.desc("rrf"), "chunk_id").limit(limit)
+    # the greatest rrf is among the rows that the limit keeps, so a window over those few replaces a second pass over all
+    best = by_chunk.orderBy(F.desc("rrf"), "chunk_id").limit(limit)
+    return best.withColumn("rrf_norm", F.col("rrf") / F.max("rrf").over(Window.partitionBy(F.lit(0)))).orderBy(F.desc("rrf"), "chunk_id")
 
 
 def slot_coverage(results: DataFrame, slots: Sequence[str], slots_col: str = "matched_slots") -> DataFrame:
