@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Sequence
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -115,18 +115,22 @@ def projection(edges: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(id, component): the smallest id that edges, in either direction, connect. Alternating large-star and small-star
     rounds; rounds grow with the logarithm of a component's diameter, and each is written to the shared folder."""
-    now = saved(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
-    before = None
+    def kept(rows: DataFrame) -> tuple[DataFrame, tuple]:
+        """rows written, with their number and a checksum that the writing job takes along."""
+        told = Observation()
+        out = saved(rows.observe(told, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")))
+        return out, (told.get["n"], told.get["h"])
+
+    now, before = kept(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     for _ in range(max_rounds):
-        totals = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if totals == before:
-            break
-        before = totals
         sym = now.union(now.select("v", "u"))
         least = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = sym.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
-        now = saved(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", "m")).where("u <> v").distinct())
+        now, totals = kept(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", "m")).where("u <> v").distinct())
+        if totals == before:
+            break
+        before = totals
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return nodes.join(now, nodes["id"] == now["u"], "left").select("id", F.coalesce("v", "id").alias("component"))
