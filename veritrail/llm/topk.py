@@ -228,7 +228,9 @@ def _routed(queries: DataFrame, space, directory, near: bool) -> DataFrame:
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
-    """(query_id, rank from 1, id_col, score) of the k greatest inner products of each query with the other rows."""
+    """(query_id, rank from 1, id_col, score) of the k greatest inner products of each query with the other rows.
+
+    is_query: a predicate on the column `id`, the row's id as long, that says which rows are queries too."""
     spark = vectors.sparkSession
     rows = written(coded(vectors, id_col, vector_col, scale), "vectors")
     total, size, top = rows.agg(F.count("*"), F.max("n"), F.max("sq")).first()
