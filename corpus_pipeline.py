@@ -2,7 +2,8 @@
 
 1. language ID: rejects documents without a letter and documents whose language stays in doubt (score under MIN_LANGUAGE);
 2. quality classifier: rejects documents that score under MIN_QUALITY;
-3. SimHash near-duplicates: of each component one document stays, that with the smallest id;
+3. near-duplicates (5-word shingles, Jaccard similarity 0.8 or more): of each component one document stays, that with
+   the smallest id;
 4. mixing: each document is repeated, or left out, as its source's target weight asks;
 5. byte-level BPE: encodes what is left and decodes it again.
 
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from veritrail.llm import bloom, bpe, langid, mil, mixing, simhash
+from veritrail.llm import bloom, bpe, langid, mil, mixing, near_copies
 from veritrail.llm.common import table, written
 
 MIN_LANGUAGE = 0.4
@@ -39,7 +40,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = written(simhash.near_duplicates(docs, "doc_id", "text").select("doc_id", "component_id"), "components")
+    found = written(near_copies.near_copies(docs, "doc_id", "text"), "components")
     kept = bloom.without(docs, "doc_id", found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
     again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_vt_id"))
     if again.isEmpty():
@@ -64,7 +65,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language ID", language_id),
     ("quality classifier", quality),
-    ("SimHash near-duplicates", near_duplicates),
+    ("near-duplicates", near_duplicates),
     ("mixing to target weights", mix),
     ("byte-level BPE", encode),
 ]

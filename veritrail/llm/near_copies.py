@@ -1,0 +1,146 @@
+"""Near copies by word shingles: components of texts whose sets of 5-word shingles have Jaccard similarity of 0.8 or more.
+
+At this similarity 64-bit SimHashes differ in 10 bits on average and up to 18, too many for a join by parts of them. So
+candidates come from MinHash: PERMS minima of each set, in bands of ROWS; texts that share a band are candidates. A pair
+at 0.8 shares one with probability 1 - (1 - 0.8^5)^20 = 0.9996, closer ones with more. Each link is then decided exactly,
+from the texts.
+
+A bucket of n texts doesn't make n^2 pairs: first each text is compared with the bucket's least one and links are merged
+to components; then every pair of a bucket that is still in different components is compared. What is skipped is joined
+already, so components are those of all candidate pairs. In a group of texts that share bands and yet aren't similar (a
+common passage in short texts) these pairs do grow with the square of the group.
+
+Words, short texts and blocks of long texts are as in simhash. Texts are told apart by XXH64, as fingerprints are.
+
+Defined results for odd input: null, empty and white texts are copies of each other; repeated rows stay rows; null ids
+are kept and don't name a component (null if it has no other); an empty table gives an empty result.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from veritrail.llm.bloom import SPARING_BITS, Level, filled, hash_pair
+from veritrail.llm.common import small_batches, written
+from veritrail.llm.simhash import _CHUNK, _LOWER, SEED, _blocks, components
+
+SHINGLE, SIMILARITY = 5, (4, 5)  # words; at least 4 / 5
+BANDS, ROWS = 20, 5
+PERMS = BANDS * ROWS
+_FACTORS, _FLIPS = np.random.default_rng(SEED).integers(0, 2**64, (2, PERMS), np.uint64)
+_FACTORS |= np.uint64(1)
+
+
+def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The set of XXH64 of a UTF-8 text's word shingles, sorted."""
+    digest, words, found, many = xxhash.xxh64_intdigest, [], [], False
+    for block in _blocks(text or b""):
+        words = (words[-(shingle - 1) :] if shingle > 1 else []) + block.translate(_LOWER).split()
+        count = len(words) - shingle + 1
+        if count <= 0:
+            continue
+        many = True
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        starts = np.concatenate(([0], ends[:-shingle])).tolist()
+        stops = (ends[shingle - 1 :] - 1).tolist()
+        found += [np.unique(np.array([digest(joined[i:j], SEED) for i, j in zip(starts[k : k + _CHUNK], stops[k : k + _CHUNK])], np.uint64)) for k in range(0, count, _CHUNK)]
+    if not many:
+        return np.array([digest(b" ".join(words), SEED)] if words else [], np.uint64)
+    return found[0] if len(found) == 1 else np.unique(np.concatenate(found))
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """The keys of a set's bands, as signed numbers."""
+    least = np.full(PERMS, 2**64 - 1, np.uint64)
+    for k in range(0, len(hashes), 1024):
+        np.minimum(least, ((hashes[k : k + 1024] ^ _FLIPS[:, None]) * _FACTORS[:, None]).min(axis=1), out=least)
+    keys = [xxhash.xxh64_intdigest(least[ROWS * i : ROWS * (i + 1)].tobytes(), i) for i in range(BANDS)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return SIMILARITY[1] * both >= SIMILARITY[0] * (len(a) + len(b) - both)
+
+
+def _texts(docs: DataFrame, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.xxhash64(text).alias("cls"), text.cast("binary").alias("text"))
+
+
+def _signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    picked = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("cls"), text.cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([bands(shingles(x.as_py())) for x in batch.column(2)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), made], names=["id", "cls", "bands"])
+
+    return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, cls long, bands array<long>")
+
+
+def linked(docs: DataFrame, text_col: str, pairs: DataFrame) -> DataFrame:
+    """Those of pairs (a, b), which are XXH64 of texts, that are similar. Only the texts of pairs are shuffled."""
+    needed = written(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "needed")
+    n = needed.count()
+    if not n:
+        return pairs
+    h, g = hash_pair(F.col("cls"))
+    level = filled(needed.select(h.alias("h"), g.alias("g")), Level(0, n, 0.01, SPARING_BITS))
+    shared = docs.sparkSession.sparkContext.broadcast(level)
+
+    @F.pandas_udf("boolean")
+    def suspect(h: pd.Series, g: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.passes(h.to_numpy(np.int64).view(np.uint64), g.to_numpy(np.int64).view(np.uint64)))
+
+    hit = _texts(docs, text_col).where(suspect(h, g)).join(needed, "cls", "left_semi")
+    texts = written(hit.dropDuplicates(["cls"]), "texts")
+    one, other = (texts.select(F.col("cls").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = lru_cache(64)(shingles)
+        for batch in batches:
+            keep = [similar(last(x.as_py()), last(y.as_py())) for x, y in zip(batch.column(2), batch.column(3))]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    both = pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, component_id) for each row of docs; component_id is the smallest id reachable over links."""
+    small_batches(docs.sparkSession)
+    marked = written(_signatures(docs, id_col, text_col), "signatures")
+    classes = written(marked.groupBy("cls").agg(F.min("id").alias("least_id"), F.first("bands").alias("bands")), "classes")
+    index = classes.select("cls", F.explode("bands").alias("band"))
+    buckets = index.groupBy("band").agg(F.min("cls").alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = written(index.join(buckets, "band"), "buckets")
+    first = written(shared.where("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
+    links = written(linked(docs, text_col, first), "similar")
+    root = components(links)
+    # pairs of a bucket in different components: at least one of the two is outside the bucket's largest component
+    placed = shared.join(root, shared["cls"] == root["node"], "left").select("band", "cls", F.coalesce("root", "cls").alias("root"))
+    sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
+    open_ = written(placed.join(mixed.drop("kinds"), "band"), "open")
+    outside = open_.where("root <> most").select("band", F.col("cls").alias("x"), F.col("root").alias("root_x"))
+    inside = open_.select("band", F.col("cls").alias("y"), F.col("root").alias("root_y"))
+    rest = outside.join(inside, "band").where("root_x <> root_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    second = written(rest.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    more = written(linked(docs, text_col, second), "similar")
+    if not more.isEmpty():
+        root = components(links.unionByName(more))
+    rooted = classes.join(root, classes["cls"] == root["node"], "left").select("cls", "least_id", F.coalesce("root", "cls").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    by_class = rooted.join(named, "root").select("cls", "component_id")
+    return marked.join(by_class, "cls").select(F.col("id").alias(id_col), "component_id")
