@@ -137,3 +137,8 @@ def test_urls(spark):
     assert one(spark, urls.video_id(F.lit("https://youtu.be/abcdefghijk?t=1"))) == "abcdefghijk"
     assert one(spark, urls.wiki_parts(F.lit("https://en.wikipedia.org/wiki/Nickel_mine"))).asDict() == {"lang": "en", "title": "Nickel_mine"}
     assert one(spark, urls.html_text(F.lit("<p>a&amp;b</p><script>x<y</script> c"))) == "a&b c"
+
+
+def test_rouge_reads_words_beyond_50000(spark):
+    told = spark.range(1).select(F.concat(F.repeat(F.lit("a "), 50_000), F.lit("b c")).alias("x"))
+    assert told.select(fuzzy.rouge_l(F.lit("b c"), F.col("x")).alias("y")).first()["y"] == pytest.approx(4 / 50_004)

@@ -14,13 +14,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def common(a: str, b: str) -> int:
-    """Length of the longest common subsequence, bit-parallel in the shorter string."""
+def common(a: str | list[int], b: str | list[int]) -> int:
+    """Length of the longest common subsequence, bit-parallel in the shorter sequence."""
     if len(a) > len(b):
         a, b = b, a
     if not a:
         return 0
-    at: dict[str, int] = {}
+    at: dict[str | int, int] = {}
     for k, c in enumerate(a):
         at[c] = at.get(c, 0) | 1 << k
     full = state = (1 << len(a)) - 1
@@ -100,8 +100,8 @@ def rouge_l(candidate: Column, reference: Column) -> Column:
     """F-measure of the longest common subsequence of words."""
 
     def score(a: str, b: str) -> float:
-        words: dict[str, str] = {}
-        code = lambda s: "".join(words.setdefault(w, chr(len(words) + 1)) for w in s.split()[:50_000])
+        words: dict[str, int] = {}
+        code = lambda s: [words.setdefault(w, len(words)) for w in s.split()]
         x, y = code(a), code(b)
         return 2.0 * common(x, y) / (len(x) + len(y)) if x and y else 0.0
 
