@@ -142,3 +142,25 @@ def test_urls(spark):
 def test_rouge_reads_words_beyond_50000(spark):
     told = spark.range(1).select(F.concat(F.repeat(F.lit("a "), 50_000), F.lit("b c")).alias("x"))
     assert told.select(fuzzy.rouge_l(F.lit("b c"), F.col("x")).alias("y")).first()["y"] == pytest.approx(4 / 50_004)
+
+
+def test_near_quotes_are_accepted_as_given(spark):
+    c = lambda q, s: one(spark, text.quote_confidence(F.lit(q), F.lit(s), F.lit(0.9)))
+    assert c("electroextraction temperatures", "the electroextraction temperature, 60 degrees") == 0.9
+    assert c("the quick brown fox jumps over lazy dogs again", "we saw the quick brown fox jump over lazy dogs again") == 0.9
+    assert c("unrelated words", "the electroextraction temperature") is None
+
+
+def test_reaches_agrees_with_partial():
+    rnd = random.Random(5)
+    for _ in range(400):
+        b = "".join(rnd.choice("abc") for _ in range(rnd.randint(1, 90)))
+        a = list(b[rnd.randint(0, len(b) - 1) :][: rnd.randint(1, 60)])
+        for _ in range(rnd.randint(0, 4)):
+            a.insert(rnd.randint(0, len(a)), rnd.choice("abc"))
+        assert fuzzy.reaches("".join(a), b) is (fuzzy.partial("".join(a), b) >= 95)
+
+
+def test_facts_are_matched_after_nfkc(spark):
+    assert one(spark, text.fact_matches(F.lit("ﬁltration １２ percent"), F.lit("filtration of 12 percent"))) is True
+    assert one(spark, text.fact_matches(F.lit("filtration 12"), F.lit("ﬁltration １２"))) is True

@@ -45,6 +45,27 @@ def partial(a: str, b: str) -> float:
     return max(ratio(a, b[max(0, k) : k + n]) for k in range(1 - n, len(b)))
 
 
+def reaches(a: str, b: str, least: float = 95.0) -> bool:
+    """Whether partial(a, b) >= least. The shorter string is cut in more pieces than there may be edits, so one piece of it
+    occurs in the window as it is; only windows about such places are scored."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not a or a in b:
+        return partial(a, b) >= least
+    n = len(a)
+    edits = int(2 * n * (1 - least / 100) + 1e-9)
+    if edits >= n:
+        return partial(a, b) >= least
+    cuts = [n * k // (edits + 1) for k in range(edits + 2)]
+    starts: set[int] = set()
+    for low, high in zip(cuts, cuts[1:]):
+        at = b.find(a[low:high])
+        while at >= 0:
+            starts.update(range(max(1 - n, at - low - edits), min(len(b), at - low + edits + 1)))
+            at = b.find(a[low:high], at + 1)
+    return any(ratio(a, b[max(0, k) : k + n]) >= least for k in starts)
+
+
 def weighted(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
@@ -88,6 +109,10 @@ def partial_score(a: Column, b: Column) -> Column:
     return _over(partial)(a, b)
 
 
+def partial_reaches(a: Column, b: Column, least: float = 95.0) -> Column:
+    return _over(lambda x, y: float(reaches(x, y, least)))(a, b) == 1
+
+
 def nfkc(text: Column) -> Column:
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:

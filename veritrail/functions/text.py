@@ -10,6 +10,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veritrail.functions import fuzzy
+
 # ---- fixed values -------------------------------------------------------------------------------------------------
 
 NUMERIC_UNITS = r"%|°C|℃|мг/л|мг/дм3|г/л|МПа|кПа|ppm|mg/l|g/l|mpa|kpa"
@@ -462,8 +464,8 @@ def reranked_score(rerank: Column, dense: Column, bm25: Column, slots: Column, n
 
 
 def quote_confidence(quote: Column, source: Column, confidence: Column) -> Column:
-    """Confidence of a quote in its source: as given if it occurs there; at most 0.7 if it has four words or more, 85 % of
-    which occur, and all its numbers do; null (rejected) otherwise. fuzzy.partial_score adds the branch of near quotes."""
+    """Confidence of a quote in its source: as given if it occurs there or its partial ratio is 95 or more; at most 0.7 if it
+    has four words or more, 85 % of which occur, and all its numbers do; null (rejected) otherwise."""
     word, number = r"[\p{L}\p{N}]+(?:[.,]\d+)?", r"\d+(?:[.,]\d+)?"
 
     def judged(b: Column) -> Column:
@@ -477,15 +479,17 @@ def quote_confidence(quote: Column, source: Column, confidence: Column) -> Colum
             all_matches(b["q"], number).alias("numbers"), all_matches(b["s"], number).alias("known"),
         )
 
-    both = F.struct(normalized(quote).alias("q"), normalized(source).alias("s"))
-    return let(both, lambda b: F.when((b["q"] != "") & F.contains(b["s"], b["q"]), confidence).when(b["q"] != "", let(parts(b), judged)))
+    q, s = normalized(quote), normalized(source)
+    near = (q != "") & fuzzy.partial_reaches(q, s)
+    both = F.struct(q.alias("q"), s.alias("s"))
+    return F.when(near, confidence).otherwise(let(both, lambda b: F.when(b["q"] != "", let(parts(b), judged))))
 
 
 def fact_matches(fact: Column, answer: Column) -> Column:
     """Whether 70 % of a fact's words occur in the answer: numbers and short words as they are, others by prefix."""
 
     def folded(c: Column) -> Column:
-        flat = F.regexp_replace(F.regexp_replace(F.lower(c), "ё", "е"), "[‐‑‒–—−]", "-")
+        flat = F.regexp_replace(F.regexp_replace(F.lower(fuzzy.nfkc(c)), "ё", "е"), "[‐‑‒–—−]", "-")
         return F.regexp_replace(flat, r"\s*%", "%")
 
     def met(t: Column, there: Column) -> Column:
