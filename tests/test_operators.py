@@ -240,3 +240,16 @@ def test_jobs_and_limits(spark):
     old = spark.createDataFrame([(1, "a", 1)], "k long, name string, v long")
     new = spark.createDataFrame([(1, None, 2), (2, "b", None)], "k long, name string, v long")
     assert sorted(map(tuple, relational.upsert(old, new, ["k"]).collect())) == [(1, "a", 2), (2, "b", None)]
+
+
+def test_supplier_communities_read_all_orders(spark, tmp_path):
+    from veritrail.plans import registry
+
+    rows = [(o, s) for o in range(1, 6) for s in (1, 2, 3)] + [(o, s) for o in range(81, 86) for s in (4, 5, 6)]
+    spark.createDataFrame(rows, "l_orderkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = {frozenset({"s1", "s2", "s3"}), frozenset({"s4", "s5", "s6"})}
+    for name in ("g2_communities", "g2_label_propagation"):
+        found = {}
+        for r in registry.QUERIES[name](spark, str(tmp_path)).collect():
+            found.setdefault((r.asDict().get("level"), r["community"]), set()).add(r["id"])
+        assert {frozenset(x) for x in found.values()} == want, name

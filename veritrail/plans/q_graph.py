@@ -147,21 +147,21 @@ def g1(t):
     return graph.projection(substrate.edges(t))
 
 
-def _small(t):
-    """Suppliers linked by materials of the same orders: a weighted graph of a few hundred edges."""
-    pairs = t.lineitem.where("l_orderkey % 40 = 0").select("l_orderkey", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("s")).distinct()
+def _suppliers(t):
+    """Suppliers linked by materials of the same orders: a weighted graph over all orders."""
+    pairs = t.lineitem.select("l_orderkey", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("s")).distinct()
     a, b = pairs.select("l_orderkey", F.col("s").alias("src")), pairs.select("l_orderkey", F.col("s").alias("dst"))
     return graph.projection(a.join(b, "l_orderkey").where("src < dst").select("src", F.lit("WITH").alias("rel"), "dst"))
 
 
 @query("g2_communities")
 def g2(t):
-    return graph.communities(_small(t), levels=2, rounds=4)
+    return graph.communities(_suppliers(t), levels=2, rounds=4)
 
 
 @query("g2_label_propagation")
 def g2b(t):
-    return graph.label_communities(_small(t), rounds=4)
+    return graph.label_communities(_suppliers(t), rounds=4)
 
 
 @query("g3_community_levels", "SELECT 'c:' || c_custkey AS child, 'IN_COMMUNITY' AS rel, '0-' || c_nationkey AS parent FROM customer UNION SELECT '0-' || c_nationkey, 'PARENT_COMMUNITY', '1-' || n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey")
