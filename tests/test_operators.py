@@ -253,3 +253,12 @@ def test_supplier_communities_read_all_orders(spark, tmp_path):
         for r in registry.QUERIES[name](spark, str(tmp_path)).collect():
             found.setdefault((r.asDict().get("level"), r["community"]), set()).add(r["id"])
         assert {frozenset(x) for x in found.values()} == want, name
+
+
+def test_segment_alignment_reads_all_conversations(spark, tmp_path):
+    from veritrail.plans import registry
+
+    rows = [(c, t, "user", f"words about topic {t} of case {c}") for c in (3, 20, 5000) for t in (0, 1)]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = registry.QUERIES["f47_segment_alignment"](spark, str(tmp_path)).collect()
+    assert {r["chunk_id"] for r in got} == {f"{c}-{t}" for c, t, _, _ in rows}

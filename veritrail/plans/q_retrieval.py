@@ -353,7 +353,7 @@ def f46(t, spark):
 def f47(t):
     from veritrail.operators.align import best_segments
 
-    segments = t.conversations.where("conv_id < 20").select(F.col("conv_id").alias("video"), F.col("turn").alias("segment"), "text")
+    segments = t.conversations.select(F.col("conv_id").alias("video"), F.col("turn").alias("segment"), "text")
     chunks = segments.select("video", F.concat_ws("-", F.col("video").cast("string"), F.col("segment").cast("string")).alias("chunk_id"), "text")
     return best_segments(chunks, segments)
 
