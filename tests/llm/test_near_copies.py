@@ -1,7 +1,8 @@
 import random
 
 import corpus_pipeline as cp
-from veritrail.llm import near_copies as nc
+from veritrail.llm.shingles import distinct, hashes
+from veritrail.llm.simhash import near_duplicates
 
 
 def brute(texts):
@@ -34,7 +35,7 @@ def sample(n=60):
 def test_components_are_those_of_all_pairs(spark):
     texts = sample()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in nc.near_copies(docs).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, shingle=5, similarity=(4, 5)).collect()}
     assert got == dict(enumerate(brute(texts)))
 
 
@@ -52,4 +53,26 @@ def test_stage_drops_a_copy_with_two_of_a_hundred_words_changed(spark, tmp_path)
 
 def test_long_texts_are_read_in_blocks():
     words = [f"w{i}".encode() for i in range(300_000)]
-    assert len(nc.shingles(b" ".join(words))) == len(words) - 4
+    assert len(distinct(list(hashes(b" ".join(words), 5)))) == len(words) - 4
+
+
+def stage(spark, rows, folder):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return sorted(((r["doc_id"], r["text"]) for r in cp.near_duplicates(spark, docs, folder).collect()), key=str)
+
+
+def test_stage_keeps_one_row_of_each_component(spark, tmp_path):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(40)) for c in "abc")
+    rows = [(3, one, "x", "s", 1), (5, one, "x", "s", 1), (5, two, "x", "s", 1), (7, one, None, "s", 1), (7, three, "x", "s", 1),
+            (None, three, "x", "s", 1), (None, None, None, None, None), (None, "", None, None, 0), (None, "lone words", None, None, 0)]
+    rows += [(9, "the same text again and again", "x", "s", 1)] * 30
+    want = [(3, one), (5, two), (7, three), (9, "the same text again and again"), (None, "lone words"), (None, None)]
+    got = stage(spark, rows, str(tmp_path))
+    assert [(i, t or None) for i, t in got] == sorted(want, key=str)
+
+
+def test_stage_agrees_with_brute_force(spark, tmp_path):
+    texts = sample(25)
+    root = brute(texts)
+    got = stage(spark, [(i, t, "x", "s", 1) for i, t in enumerate(texts)], str(tmp_path))
+    assert [i for i, _ in got] == sorted({*root}, key=str)

@@ -4,7 +4,9 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from veritrail.llm.simhash import components, fingerprint, hex_of, links, near_duplicates, ring
+from veritrail.llm import components as cc
+from veritrail.llm.components import components
+from veritrail.llm.simhash import candidates, chain_length, chain_masks, fingerprint, hex_of, links, near_duplicates, ring
 
 
 def slow_fingerprint(text):
@@ -25,12 +27,12 @@ def test_fingerprint_matches_the_definition():
 
 
 def test_blocks_do_not_change_fingerprints(monkeypatch):
-    import veritrail.llm.simhash as simhash
+    import veritrail.llm.shingles as shingles
 
     rnd = random.Random(4)
     for _ in range(300):
         text = "".join(rnd.choice(["aa", "b", " ", "  ", "\n", "ccc d", "É"]) for _ in range(rnd.randint(0, 60)))
-        monkeypatch.setattr(simhash, "_BLOCK", rnd.randint(1, 30))
+        monkeypatch.setattr(shingles, "_BLOCK", rnd.randint(1, 30))
         assert fingerprint(text.encode()) == slow_fingerprint(text)
 
 
@@ -45,9 +47,12 @@ def test_links_lose_none(spark):
     fps = sorted(np.array(sorted(fps), np.uint64).view(np.int64).tolist())
     want = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if bin((a ^ b) & (2**64 - 1)).count("1") <= 4}
     frame = spark.createDataFrame([(f,) for f in fps], "fp long")
-    for segments in (3, 5):
-        got = [tuple(r) for r in links(frame, 4, segments).collect()]
+    for segments, chain in ((None, None), (3, 1), (5, 1), (5, 3), (4, 2)):
+        got = [tuple(r) for r in links(frame, 4, segments, chain).collect()]
         assert set(got) == want and len(got) == len(want)
+    for bits in (0, 1, 9):
+        want = {(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if bin((a ^ b) & (2**64 - 1)).count("1") <= bits}
+        assert {tuple(r) for r in links(frame, bits).collect()} == want
     assert sum(w for _, w in ring(3)) == 64
 
 
@@ -88,3 +93,24 @@ def test_near_copies_meet_and_others_do_not(spark):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
     assert got == {d: find(d) for d in prints}
+
+
+def test_longer_chains_leave_fewer_candidates(spark):
+    rnd = np.random.default_rng(8)
+    frame = spark.createDataFrame([(int(x),) for x in rnd.integers(-(2**63), 2**63, 6000)], "fp long")
+    met = [candidates(frame, 4, 5, chain).count() for chain in (1, 2, 3)]
+    assert met[0] > 20 * met[1] and met[1] <= 60 and met[2] <= met[1]
+    assert len(chain_masks([12, 13], 4, 5)) == 14 and len(chain_masks([13, 13, 13], 4, 5)) == 274
+    assert chain_length(1 << 20, 4, 5) == chain_length(1 << 28, 4, 5) == 2 and chain_length(1 << 36, 4, 5) == 3
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    monkeypatch.setattr(cc, "HOT", 3)
+    monkeypatch.setattr(cc, "PARTS", 4)
+    edges = [(500, x) for x in range(200, 260)] + [(1, x) for x in range(240, 300)] + [(900 + i, 901 + i) for i in range(20)]
+    got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert all(r == (900 if n >= 900 else 1) for n, r in got.items()) and len(got) == 123
+    rows = [(i, "one two three four five six" if i % 3 else f"a b c d {i} {i}") for i in range(60)]
+    for similarity in (None, (4, 5)):
+        found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), similarity=similarity)
+        assert {r["doc_id"]: r["component_id"] for r in found.collect()} == {i: 1 if i % 3 else i for i, _ in rows}

@@ -62,26 +62,39 @@ def filled(keys: DataFrame, level: Level) -> Level:
     return level
 
 
+def _suspect(rows: DataFrame, id_col: str, keys: DataFrame) -> Column | None:
+    """Whether a Bloom filter of keys (one column, id_col), of at most SPARING_BITS, passes the row's key; None without keys."""
+    n = keys.count()
+    if not n:
+        return None
+    h, g = hash_pair(F.col(id_col))
+    level = filled(keys.select(h.alias("h"), g.alias("g")), Level(0, n, 0.01, SPARING_BITS))
+    shared = rows.sparkSession.sparkContext.broadcast(level)
+
+    @F.pandas_udf("boolean")
+    def suspect(h: pd.Series, g: pd.Series) -> pd.Series:
+        return pd.Series(shared.value.passes(h.to_numpy(np.int64).view(np.uint64), g.to_numpy(np.int64).view(np.uint64)))
+
+    return F.col(id_col).isNotNull() & suspect(h, g)
+
+
 def without(rows: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
-    """rows without those whose id is in dropped (one column of ids, without nulls); rows with a null id stay.
+    """rows without those whose id is in dropped (one column, id_col, without nulls); rows with a null id stay.
 
     A Bloom filter of the dropped ids, of at most SPARING_BITS, is broadcast: rows that it rejects are kept where they are,
     and only the others (the dropped ones and a few by error) go through the exact anti-join's shuffle. With more ids than
     the filter can tell apart more rows are shuffled; the result is the same."""
-    key = "_vt_id"
-    ids = dropped.select(F.col(dropped.columns[0]).alias(key)).distinct()
-    n = ids.count()
-    if not n:
+    ids = dropped.distinct()
+    hit = _suspect(rows, id_col, ids)
+    if hit is None:
         return rows
-    h, g = hash_pair(F.col(key))
-    level = filled(ids.select(h.alias("h"), g.alias("g")), Level(0, n, 0.01, SPARING_BITS))
-    shared = rows.sparkSession.sparkContext.broadcast(level)
+    return rows.where(~hit).unionByName(rows.where(hit).join(ids, id_col, "left_anti"))
 
-    @F.pandas_udf("boolean")
-    def suspect(h: pd.Series, g: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.passes(h.to_numpy(np.int64).view(np.uint64), g.to_numpy(np.int64).view(np.uint64)))
 
-    hit = suspect(*hash_pair(F.col(id_col)))
-    clear = rows.where(F.col(id_col).isNull() | ~hit)
-    tested = rows.where(F.col(id_col).isNotNull() & hit)
-    return clear.unionByName(tested.join(ids, tested[id_col] == ids[key], "left_anti"))
+def once(rows: DataFrame, id_col: str, repeated: DataFrame) -> DataFrame:
+    """rows with one row of each id; repeated (one column, id_col): the ids that occur more than once. Only rows that a
+    Bloom filter of these passes are shuffled, after each task has merged its own."""
+    hit = _suspect(rows, id_col, repeated)
+    if hit is None:
+        return rows
+    return rows.where(~hit).unionByName(rows.where(hit).dropDuplicates([id_col]))

@@ -63,6 +63,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def row_hashes(rows: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of all columns of a row. Nulls count (xxhash64 alone passes over them), and maps by their JSON."""
+    parts = []
+    for field in rows.schema.fields:
+        value = F.col(f"`{field.name}`")
+        if "map<" in field.dataType.simpleString() or field.dataType.typeName() == "variant":
+            value = F.to_json(F.struct(value))
+        parts += [value.isNull(), value]
+    return [F.xxhash64(*parts), F.xxhash64(F.lit("row"), *parts)]
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id as text is a multiple of 5 (false for a null id, which counts as a training row)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))

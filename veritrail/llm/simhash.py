@@ -3,75 +3,67 @@
 A 64-bit SimHash is taken of each document's word shingles. Fingerprints are linked if at most `max_bits` bits differ.
 Candidates come from the pigeonring principle: cut a fingerprint into m segments on a ring; if the whole differs in at
 most t bits, there is a segment from which every chain of l consecutive segments differs in at most l * t / m bits.
-So a pair must share, for some start segment, a value up to floor(t / m) bits (the join key), and must then keep to the
-budget of each longer chain before the full Hamming distance is taken.
+With m = t + 1 segments the first one must be equal, the first two may differ in one bit, and so on. A chain of consecutive
+segments is the join's key: a fingerprint is indexed by the chain from each start, and probes with every value of it whose
+cumulative differences keep to the budgets. So pairs that fail the chain test never meet, and the full Hamming distance
+is taken of the others alone. The chain is made longer as fingerprints grow in number, so that chance meetings of
+one stay under MEETINGS.
 
 Exact copies share a fingerprint and are collapsed to one row before the join; a group of copies, however large,
 therefore costs one row there. Linked fingerprints are merged to components by alternating large-star and small-star
-rounds, whose rows are written to the shared folder after each round.
+rounds.
+
+With `similarity` links are by text: two documents are linked if the Jaccard similarity of their shingle sets is at least
+that. Fingerprints at most `max_bits` apart are candidates as before. But at 0.8 64-bit SimHashes differ in 10 bits on
+average and up to 18, and at such a radius segments are too short to be keys; so candidates come from MinHash
+bands of the same shingles too (20 of 5 rows: a pair at 0.8 shares one with probability 0.9996, closer ones with more). Each
+link is then decided exactly, from the texts. A bucket of n texts doesn't make n^2 pairs: first each text is compared with
+the bucket's least one and links are merged to components; then every pair of a bucket that is still in different
+components is compared. What is skipped is joined already, so components are those of all candidate pairs. In a group of
+texts that share bands and yet aren't similar (a common passage in short texts) these pairs do grow with the square
+of the group.
 
 Defined results for odd input:
-* null or empty text, or text of white space only: no words; fingerprint zero, linked like any other;
+* null or empty text, or text of white space only: no words; fingerprint zero, linked like any other (by similarity: to
+  each other);
 * fewer words than a shingle: the whole word sequence is the only shingle;
-* repeated shingles count each time; repeated rows stay rows, each with its own component;
+* repeated shingles count each time in a fingerprint, once in a set; repeated rows stay rows, each with its own component;
 * null ids: kept, with their fingerprint; a component's id is the smallest non-null id in it (null if it has none);
+* very long texts: walked in blocks, whole;
 * empty table: empty result. Other columns of the input are not read.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.llm.common import small_batches, written
+from veritrail.llm.components import components, joined, named
+from veritrail.llm.shingles import bands, distinct, hashes, linked
 
 BITS = 64
-SEED = 42
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_CHUNK, _BLOCK = 1 << 16, 1 << 20
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Unlinked fingerprints that one may meet by chance before the chain is made longer.
+MEETINGS = 1000
 
 
-def _blocks(data: bytes) -> Iterator[bytes]:
-    """data in parts of about _BLOCK bytes, cut before white space."""
-    at = 0
-    while len(data) - at > _BLOCK:
-        cut = _SPACE.search(data, at + _BLOCK)
-        if cut is None:
-            break
-        yield data[at : cut.start()]
-        at = cut.start()
-    yield data[at:]
+def folded(parts: Iterable[np.ndarray]) -> int:
+    """The unsigned fingerprint of hashes: a bit is 1 if it is set in over half of them."""
+    total, set_bits = 0, np.zeros(BITS, np.int64)
+    for part in parts:
+        total += len(part)
+        set_bits += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * set_bits > total, bitorder="little").view(np.uint64)[0]) if total else 0
 
 
 def fingerprint(text: bytes | None, shingle: int = 4) -> int:
-    """The unsigned 64-bit SimHash of a UTF-8 text: a bit is 1 if it is set in over half the shingles' XXH64.
-
-    A long text is walked in blocks, each begun with the last words of the one before, so memory doesn't grow with it."""
-    digest, total, set_bits, words = xxhash.xxh64_intdigest, 0, np.zeros(BITS, np.int64), []
-    for block in _blocks(text or b""):
-        words = words[-(shingle - 1) :] + block.translate(_LOWER).split() if shingle > 1 else block.translate(_LOWER).split()
-        count = len(words) - shingle + 1
-        if count <= 0:
-            continue
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[:-shingle])).tolist()
-        stops = (ends[shingle - 1 :] - 1).tolist()
-        total += count
-        for k in range(0, count, _CHUNK):
-            hashes = np.array([digest(joined[i:j], SEED) for i, j in zip(starts[k : k + _CHUNK], stops[k : k + _CHUNK])], np.uint64)
-            set_bits += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    if not total:
-        return digest(b" ".join(words), SEED) if words else 0
-    return int(np.packbits(2 * set_bits > total, bitorder="little").view(np.uint64)[0])
+    """The SimHash of a UTF-8 text's word shingles."""
+    return folded(hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
@@ -94,85 +86,131 @@ def ring(segments: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def _part(fp: Column, first: int, width: int) -> Column:
-    return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+def chain_masks(widths: list[int], max_bits: int, segments: int) -> list[int]:
+    """The differences of a chain of segments of these widths that keep every prefix's budget l * max_bits / segments."""
+    masks, low = [(0, 0)], 0
+    for length, width in enumerate(widths, 1):
+        own = [(sum(1 << low + b for b in bits), d) for d in range(max_bits + 1) for bits in combinations(range(width), d) if d <= length * max_bits // segments]
+        masks = [(m | o, n + d) for m, n in masks for o, d in own if n + d <= length * max_bits // segments]
+        low += width
+    return sorted(m for m, _ in masks)
 
 
-def links(distinct_fp: DataFrame, max_bits: int = 4, segments: int = 3) -> DataFrame:
-    """Pairs (a, b), a < b, of different fingerprints at most max_bits apart; distinct_fp has one column, fp.
-
-    The index side has a row for each fingerprint and segment. The probe side has, for each segment, a row for each
-    value within floor(max_bits / segments) bits: 67 rows at the defaults, so shuffled rows grow in proportion to the
-    fingerprints. Chain budgets and the full distance are conditions of the join, so only links leave it.
-    """
+def chain_length(n: int, max_bits: int, segments: int) -> int:
+    """The least chain, from 2 segments on, by which a fingerprint of n meets at most MEETINGS others by chance."""
     parts = ring(segments)
-    first_budget = max_bits // segments
-    masks = [
-        sorted(sum(1 << b for b in bits) for d in range(first_budget + 1) for bits in combinations(range(width), d))
-        for _, width in parts
-    ]
-    index = distinct_fp.select(
-        F.col("fp").alias("a"), F.posexplode(F.array(*[_part(F.col("fp"), *p) for p in parts])).alias("seg", "key")
-    )
-    flips = F.array(*[F.array(*[F.lit(x).cast("long") for x in m]) for m in masks])
-    probe = distinct_fp.select(
-        F.col("fp").alias("b"), F.posexplode(F.array(*[_part(F.col("fp"), *p) for p in parts])).alias("seg", "own")
-    ).select("b", "seg", F.explode(F.transform(flips[F.col("seg")], lambda m: m.bitwiseXOR(F.col("own")))).alias("key"))
-    differ = F.col("a").bitwiseXOR(F.col("b"))
-    chains = F.lit(False)
+    for length in range(min(2, segments), segments):
+        widths = [w for _, w in parts[:length]]
+        if n * segments * len(chain_masks(widths, max_bits, segments)) <= MEETINGS << sum(widths):
+            return length
+    return max(1, segments - 1)
+
+
+def _turned(fp: Column, first: int, width: int) -> Column:
+    """width bits of fp from bit first on, around the ring."""
+    turned = fp if not first else F.shiftrightunsigned(fp, first).bitwiseOR(F.shiftleft(fp, BITS - first))
+    return turned if width == BITS else turned.bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+
+
+def _flipped(start: int, key: Column, masks: list[int]) -> Column:
+    """An array of probes (start, key, same): the key under those masks whose lowest bit is 0 in it."""
+    own = F.filter(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: key.bitwiseAND(m).bitwiseAND(-m) == 0)
+    return F.transform(own, lambda m: F.struct(F.lit(start).alias("start"), key.bitwiseXOR(m).alias("key"), (m == 0).alias("same")))
+
+
+def candidates(distinct_fp: DataFrame, max_bits: int = 4, segments: int | None = None, chain: int | None = None) -> DataFrame:
+    """Pairs (a, b) of different fingerprints that pass the chain test from some start; a pair may occur once a start.
+
+    Of two fingerprints that differ within the key only that with a 0 at the lowest different bit probes, which halves
+    the probes: 42 rows in all at the defaults, 37 of them probes. Shuffled rows grow in proportion to the fingerprints."""
+    segments = segments or max_bits + 1
+    chain = chain or chain_length(distinct_fp.count(), max_bits, segments)
+    parts, fp = ring(segments), F.col("fp")
+    index, probes = [], []
     for start in range(segments):
-        within, spent = F.col("seg") == start, None
-        for length in range(1, segments):
-            bits = F.bit_count(_part(differ, *parts[(start + length - 1) % segments]))
-            spent = bits if spent is None else spent + bits
-            within = within & (spent <= length * max_bits // segments)
-        chains = chains | within
-    near = index.join(probe, ["seg", "key"]).where((F.col("a") < F.col("b")) & chains & (F.bit_count(differ) <= max_bits))
-    return near.select("a", "b").distinct()
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of edges (a, b): root is the smallest node of its connected component.
-
-    Each round is a large-star and a small-star step. Both keep components as they are; after a logarithmic number
-    of rounds every component is a star around its smallest node. Nothing but two totals comes to the driver.
-    """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    before = None
-    for _ in range(max_rounds):
-        totals = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(totals) == before:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
-        before = tuple(totals)
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(smallest, "u")
-        now = written(
-            small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-            .where("u <> v").distinct(),
-            "stars",
-        )
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        widths = [parts[(start + k) % segments][1] for k in range(chain)]
+        key = _turned(fp, parts[start][0], sum(widths))
+        index.append(F.struct(F.lit(start).alias("start"), key.alias("key")))
+        probes.append(_flipped(start, key, chain_masks(widths, max_bits, segments)))
+    left = distinct_fp.select(fp.alias("a"), F.explode(F.array(*index)).alias("x")).select("a", "x.start", "x.key")
+    right = distinct_fp.select(fp.alias("b"), F.explode(F.concat(*probes)).alias("x")).select("b", "x.start", "x.key", "x.same")
+    met = left.join(right, ["start", "key"]).where(~F.col("same") | (F.col("a") < F.col("b")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def links(distinct_fp: DataFrame, max_bits: int = 4, segments: int | None = None, chain: int | None = None) -> DataFrame:
+    """Pairs (a, b), a < b, of different fingerprints at most max_bits apart; distinct_fp has one column, fp."""
+    met = candidates(distinct_fp, max_bits, segments, chain)
+    return met.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).distinct()
+
+
+def _by_text(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, cls: XXH64 of the text, fp, bands) for each row of docs."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    picked = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("cls"), text.cast("binary").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, keys = [], []
+            for text in batch.column(2):
+                parts = list(hashes(text.as_py(), shingle))
+                fps.append(folded(parts))
+                keys.append(bands(distinct(parts)))
+            made = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["id", "cls", "fp", "bands"])
+
+    return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, cls long, fp long, bands array<long>")
+
+
+def _similar_links(docs: DataFrame, text_col: str, classes: DataFrame, max_bits: int, shingle: int, similarity: tuple[int, int]) -> DataFrame:
+    """Links (a, b) between classes (cls, fp, bands) of docs that have the components of all similar candidates."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.xxhash64(text).alias("cls"), text.cast("binary").alias("text"))
+    fp_key = F.xxhash64(F.lit("fp"), "fp")
+    index = classes.select("cls", F.explode(F.concat("bands", F.array(fp_key))).alias("band"))
+    near = written(links(classes.select("fp").distinct(), max_bits), "near")
+    ends = near.select(F.xxhash64("a", "b").alias("band"), F.explode(F.array("a", "b")).alias("fp"))
+    index = index.unionByName(ends.join(classes.select("cls", "fp"), "fp").select("cls", "band"))
+    buckets = index.groupBy("band").agg(F.min("cls").alias("lead"), F.count("*").alias("n")).where("n > 1")
+    buckets = written(buckets, "leads")
+    most = buckets.agg(F.max("n")).first()[0] or 0
+    shared = written(joined(index, buckets.drop("n"), "band", "cls", most), "buckets")
+    first = written(shared.where("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
+    found = written(linked(texts, first, shingle, similarity), "similar")
+    # pairs of a bucket in different components: at least one of the two is outside the bucket's largest component
+    root = components(found)
+    placed = shared.join(root, shared["cls"] == root["node"], "left").select("band", "cls", F.coalesce("root", "cls").alias("root"))
+    sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
+    open_ = written(joined(placed, mixed.drop("kinds"), "band", "cls", most), "open")
+    outside = open_.where("root <> most").select("band", F.col("cls").alias("x"), F.col("root").alias("root_x"))
+    inside = open_.select("band", F.col("cls").alias("y"), F.col("root").alias("root_y"))
+    rest = outside.join(inside, "band").where("root_x <> root_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    second = written(rest.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    return found.unionByName(written(linked(texts, second, shingle, similarity), "similar"))
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, segments: int = 3
-) -> DataFrame:
-    """(id_col, fp, component_id) for each row of docs; component_id is the smallest id reachable over links."""
-    marked = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = written(marked.groupBy("fp").agg(F.min(id_col).alias("least_id")), "classes")
-    root = components(links(classes.select("fp"), max_bits, segments))
-    rooted = classes.join(root, classes["fp"] == root["node"], "left").select(
-        "fp", "least_id", F.coalesce("root", "fp").alias("root")
-    )
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_class = rooted.join(named, "root").select("fp", "component_id")
-    return marked.join(by_class, "fp").select(id_col, "fp", "component_id")
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, max_bits: int = 4, similarity: tuple[int, int] | None = None,
+) -> DataFrame:
+    """(id_col, fp, component_id) for each row of docs; component_id is the smallest id reachable over links.
+
+    similarity: a fraction (over, under); None links by fingerprints alone. Ids may be of any type that has an order."""
+    small_batches(docs.sparkSession)
+    if similarity is None:
+        marked, key = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints"), "fp"
+        rows = marked.select(F.col(id_col).alias("id"), "fp")
+        classes = written(rows.groupBy("fp").agg(F.min("id").alias("least_id"), F.count("*").alias("n")), "classes")
+        found = links(classes.select("fp"), max_bits)
+    else:
+        rows, key = written(_by_text(docs, id_col, text_col, shingle), "signatures"), "cls"
+        made = rows.groupBy("cls").agg(F.min("id").alias("least_id"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+        classes = written(made, "classes")
+        found = _similar_links(docs, text_col, classes, max_bits, shingle, similarity)
+        rows = rows.drop("bands")
+    by_class = named(classes.select(key, "least_id"), found, key, "least_id")
+    most = classes.agg(F.max("n")).first()[0] or 0
+    return joined(rows, by_class, key, "id", most).select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def hex_of(fp: Column) -> Column:
