@@ -2,26 +2,27 @@
 
 1. language ID: rejects documents without a letter and documents whose language stays in doubt (score under MIN_LANGUAGE);
 2. quality classifier: rejects documents that score under MIN_QUALITY;
-3. near-duplicates (5-word shingles, Jaccard similarity 0.8 or more): of each component one document stays, that with
-   the smallest id;
+3. SimHash near-duplicates (5-word shingles, Jaccard similarity 0.8 or more): of each component one row stays, that with
+   the smallest id (of rows that share it that with the smallest hash);
 4. mixing: each document is repeated, or left out, as its source's target weight asks;
 5. byte-level BPE: encodes what is left and decodes it again.
 
 The first four return the columns of documents; the last one row for each document of the mix. Models are learned from
-the stage's own input (and labels). Documents without an id can't be named as copies of each other, so all of them stay.
+the stage's own input (and labels). Rows may share an id or have none: the third stage decides by row.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from veritrail.llm import bloom, bpe, langid, mil, mixing, near_copies
-from veritrail.llm.common import table, written
+from veritrail.llm import bloom, bpe, langid, mil, mixing, simhash
+from veritrail.llm.common import row_hashes, table, written
 
 MIN_LANGUAGE = 0.4
 MIN_QUALITY = 0.3
+#: Jaccard similarity of 5-word shingle sets from which two texts are near copies: over, under.
+SIMILARITY = (4, 5)
 
 
 def _columns(frame: DataFrame, like: DataFrame) -> DataFrame:
@@ -40,16 +41,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = written(near_copies.near_copies(docs, "doc_id", "text"), "components")
-    kept = bloom.without(docs, "doc_id", found.where(F.col("doc_id") != F.col("component_id")).select("doc_id"))
-    again = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_vt_id"))
-    if again.isEmpty():
-        return kept
-    # ids that occur more than once among those kept: one row of each
-    once = kept.join(again, kept["doc_id"] == again["_vt_id"])
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text", "source", "lang")))
-    once = _columns(once.withColumn("_vt_nth", first).where("_vt_nth = 1"), docs)
-    return bloom.without(kept, "doc_id", again).unionByName(once)
+    """One row of each component. Rows are told apart by a key of the id and a hash of all columns, so rows that share an
+    id, or have none, are decided one by one; rows with the same key are equal in every column."""
+    key = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), *[h.alias(n) for n, h in zip("gh", row_hashes(docs))])
+    keyed = docs.withColumn("_vt_key", key)
+    found = written(simhash.near_duplicates(keyed, "_vt_key", "text", shingle=5, similarity=SIMILARITY), "components")
+    first = F.col("_vt_key") == F.col("component_id")
+    kept = bloom.without(keyed, "_vt_key", found.where(~first).select("_vt_key"))
+    repeated = found.where(first).groupBy("_vt_key").count().where("count > 1").select("_vt_key")
+    return _columns(bloom.once(kept, "_vt_key", repeated), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +65,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("language ID", language_id),
     ("quality classifier", quality),
-    ("near-duplicates", near_duplicates),
+    ("SimHash near-duplicates", near_duplicates),
     ("mixing to target weights", mix),
     ("byte-level BPE", encode),
 ]
