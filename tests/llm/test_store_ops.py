@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veritrail.llm import mixing, warc
 from veritrail.llm import url_filter as uf
+from veritrail.llm.common import row_hashes
 from veritrail.llm.bpe import Edited, Vocabulary, encode_decode, read_ranks
 from veritrail.llm.topk import top_k
 
@@ -316,6 +317,36 @@ def test_mix_odd_rows(spark):
     assert mixing.mixed(docs.where("doc_id > 1")).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_mix_tells_rows_apart_by_all_columns(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 64)
+    long = " ".join(["w"] * 400)
+    rows = [(1, "x", None, 1), (1, None, "x", 1), (2, long, None, 1), (2, None, long, 1)] + [(5, "same words here", "big", 7)] * 10_000
+    rows += [(6, f"text {i % 2}", "big", i) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, extra int").repartition(5)
+    got = mixing.mixed(docs).toPandas()
+    assert len(got) == len(rows) and (got["taken"] <= 3 * got["size"]).all()
+    counts = {(r["doc_id"], r["text"], r["source"], r["extra"]): 0 for r in docs.collect()}
+    taken = mixing.taken_documents(docs)
+    for r in taken.groupBy(*docs.columns).count().collect():
+        counts[r["doc_id"], r["text"], r["source"], r["extra"]] = r["count"]
+    keyed = docs.select("*", *[c.alias(n) for c, n in zip(row_hashes(docs), "gh")])
+    told = keyed.join(spark.createDataFrame(got[["g", "h", "copies"]]).groupBy("g", "h").agg(F.sum("copies").alias("copies")), ["g", "h"]).distinct()
+    assert {(r["doc_id"], r["text"], r["source"], r["extra"]): r["copies"] for r in told.collect()} == counts
+    again = mixing.taken_documents(docs.repartition(3)).groupBy(*docs.columns).count()
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(((*k, n) for k, n in counts.items() if n), key=str)
+
+
+def test_the_mix_of_equal_rows_and_of_large_blocks_keeps_its_targets(spark):
+    rnd = random.Random(12)
+    rows = [(i, " ".join(["w"] * rnd.choice([3, 10, 30, 80])), "a" if i % 3 else "b") for i in range(3000)] + [(9000, " ".join(["w"] * 5000), "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mixed(docs).toPandas()
+    for _, own in got.groupby("source"):
+        assert abs(own["taken"].sum() - own["target"].iloc[0]) <= 100
+    means = [mixing.mixed(docs, seed=s).where("id < 20").select("id", "copies").toPandas().set_index("id")["copies"] for s in range(3)]
+    assert 0 < np.mean(means) < 3 and len({tuple(m.sort_index()) for m in means}) == 3
+
+
 def test_shared_folder_is_the_session_s(spark):
     from veritrail.llm.common import shared_dir
 
