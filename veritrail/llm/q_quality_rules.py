@@ -1,7 +1,7 @@
 import math
 
 from veritrail.llm.common import table
-from veritrail.llm.quality_rules import ALPHA, LOW, MEDIAN, MIN_GROUP, SIGNALS, SPREAD, judged
+from veritrail.llm.quality_rules import ALPHA, HIGH, LOW, MEDIAN, MIN_GROUP, REACH, SIGNALS, judged
 
 
 def op5_quality_rules(spark, sf_dir):
@@ -9,21 +9,23 @@ def op5_quality_rules(spark, sf_dir):
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-_GAMMA = (1 + ALPHA) / (1 - ALPHA)
-_SLACK = " ".join(f"WHEN '{s}' THEN {v}" for s, v in SIGNALS.items())
-_LONG = " UNION ALL ".join(f"SELECT lang, source, '{s}' AS signal, {s} AS value FROM signals" for s in SIGNALS)
-_FITS = " AND ".join(f"s.{s} <= c.t_{s}" for s in SIGNALS)
-_CUTS = ", ".join(f"max(CASE WHEN signal = '{s}' THEN cut END) AS t_{s}" for s in SIGNALS)
+# The SQL keeps no sketch: it sorts each group's values, reads quantiles by exact rank, and turns those into buckets.
+_BUCKET = f"CASE WHEN {{0}} <= 0 THEN 0 ELSE 1 + ceil(ln(({{0}})::DOUBLE) / {math.log((1 + ALPHA) / (1 - ALPHA))!r})::INT END"
+_LONG = " UNION ALL ".join(f"SELECT lang, source, '{s}' AS signal, {s} AS value FROM signals WHERE NOT base_failed" for s in SIGNALS)
+_AT = lambda q: _BUCKET.format(f"min(CASE WHEN 100 * r >= {q} * n THEN value END)")
+_FITS = " AND ".join(
+    f"(SELECT bool_and({_BUCKET.format(f's.{s}')} {'>= c.low' if side == 'low' else '<= c.high'}) FROM fences c WHERE c.signal = '{s}' "
+    "AND c.lang IS NOT DISTINCT FROM s.lang AND c.source IS NOT DISTINCT FROM s.source) IS NOT FALSE"
+    for s, sides in SIGNALS.items()
+    for side in sides
+)
 
 
-def _quantiles(source, keys):
+def _ranked(keys):
     over = f"PARTITION BY {', '.join([*keys, 'signal'])}"
     lead = "".join(f"{k}, " for k in keys)
-    value = lambda q: f"min(CASE WHEN upto >= {q} * total THEN bucket END)"
-    read = lambda q: f"CASE WHEN {value(q)} = 0 THEN 0.0 ELSE 2 * pow({_GAMMA!r}::DOUBLE, {value(q)} - 1) / ({_GAMMA!r}::DOUBLE + 1) END"
-    return f"""SELECT {lead}signal, max(total) AS total, {read(LOW)} AS low, {read(MEDIAN)} AS median FROM (
-        SELECT *, sum(n) OVER ({over} ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER ({over}) AS total FROM {source})
-        GROUP BY {lead}signal"""
+    return f"""SELECT {lead}signal, max(n) AS n, {_AT(LOW)} AS q_low, {_AT(MEDIAN)} AS q_median, {_AT(HIGH)} AS q_high
+    FROM (SELECT *, row_number() OVER ({over} ORDER BY value) AS r, count(*) OVER ({over}) AS n FROM values_of) GROUP BY {lead}signal"""
 
 
 ORACLE_SQL = {
@@ -34,26 +36,25 @@ w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda
 tri AS (SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 again AS (SELECT r, i FROM (SELECT *, count(*) OVER (PARTITION BY r, x) AS n FROM tri) WHERE n > 1),
 cover AS (SELECT r, count(DISTINCT i + k) AS n FROM again, range(3) AS o(k) GROUP BY r),
-counts AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+counts AS (SELECT r, doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-    (length(t) - length(regexp_replace(t, '[!?]', '', 'g')))::BIGINT AS n_marks,
+    length(regexp_replace(t, '[^\p{{L}}\p{{M}}]', '', 'g'))::BIGINT AS n_letters,
     len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
     coalesce(n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cover USING (r)),
-signals AS (SELECT *, CASE WHEN word_chars > 0 THEN 1000 * n_symbols // word_chars ELSE 0 END AS symbol_pm,
-    CASE WHEN word_chars > 0 THEN 1000 * n_marks // word_chars ELSE 0 END AS mark_pm,
-    CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_line_pm,
-    CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeat_pm FROM counts),
-sketch AS (SELECT lang, source, signal, CASE WHEN value <= 0 THEN 0 ELSE 1 + ceil(ln(value::DOUBLE) / {math.log(_GAMMA)!r}) END::INT AS bucket,
-    count(*) AS n FROM ({_LONG}) GROUP BY ALL),
-merged AS (SELECT signal, bucket, sum(n) AS n FROM sketch GROUP BY ALL),
-own AS ({_quantiles('sketch', ['lang', 'source'])}),
-everywhere AS ({_quantiles('merged', [])}),
-cut AS (SELECT o.lang, o.source, signal, CASE WHEN o.total < {MIN_GROUP} THEN e.median + {SPREAD} * (e.median - e.low)
-    ELSE o.median + {SPREAD} * (o.median - o.low) END + CASE signal {_SLACK} END AS cut FROM own o JOIN everywhere e USING (signal)),
-cuts AS (SELECT lang, source, {_CUTS} FROM cut GROUP BY lang, source),
-judged AS (SELECT s.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {_FITS} AS fits
-    FROM signals s LEFT JOIN cuts c ON s.lang IS NOT DISTINCT FROM c.lang AND s.source IS NOT DISTINCT FROM c.source)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(fits, true) AS kept FROM judged
+signals AS (SELECT *, CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END AS word_length,
+    CASE WHEN word_chars > 0 THEN 100000 * (word_chars - least(word_chars, n_letters)) // word_chars ELSE 0 END AS other_share,
+    CASE WHEN n_lines > 0 THEN 1000 * n_words // n_lines ELSE 0 END AS line_words,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
+values_of AS ({_LONG}),
+own AS ({_ranked(['lang', 'source'])}),
+everywhere AS ({_ranked([])}),
+pooled AS (SELECT signal, floor(avg(q_high - q_median)) AS up, floor(avg(q_median - q_low)) AS down
+    FROM own WHERE n >= {MIN_GROUP} GROUP BY signal),
+read AS (SELECT o.lang, o.source, o.signal, CASE WHEN o.n < {MIN_GROUP} THEN e.q_low ELSE o.q_low END AS a,
+    CASE WHEN o.n < {MIN_GROUP} THEN e.q_median ELSE o.q_median END AS m, CASE WHEN o.n < {MIN_GROUP} THEN e.q_high ELSE o.q_high END AS b,
+    ceil(coalesce(p.up, 0) / 2) AS up, ceil(coalesce(p.down, 0) / 2) AS down FROM own o JOIN everywhere e USING (signal) LEFT JOIN pooled p USING (signal)),
+fences AS (SELECT lang, source, signal, m - {REACH} * greatest(m - a, down, 1) AS low, m + {REACH} * greatest(b - m, up, 1) AS high FROM read)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_FITS} AS kept FROM signals s
 """
 }
 QUERIES = {"op5_quality_rules": op5_quality_rules}

@@ -1,21 +1,28 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
-Each document gets counts (words, symbols, repeated lines, repeated word windows) and, from them, integer signals in
-thousandths. For each language and source the distribution of each signal is kept as a mergeable quantile sketch:
-logarithmic buckets of relative width gamma with a count each, so that partial sketches merge by adding counts and a
-quantile's relative error is at most `alpha`. A signal's threshold is
+Each document gets counts (words, symbols, letters, repeated lines, repeated word windows) and, from them, signals as whole
+numbers: the mean length of words, the share of characters that are no letters, the words of a line. For each language
+and source the distribution of each signal over the documents that pass the base rules is kept as a mergeable quantile
+sketch: logarithmic buckets of relative width 2 * ALPHA with a count each, so that partial sketches merge by adding counts
+and a quantile's relative error is at most ALPHA. Fences are read from the group's own sketch, in buckets (that is, as
+ratios):
 
-    median + spread * (median - low quantile) + slack
+    high = median + REACH * max(90 % quantile - median, pooled / 2, 1)
+    low  = median - REACH * max(median - 10 % quantile, pooled / 2, 1)
 
-read from the group's sketch; a group under `min_group` documents reads the merged sketch of all groups instead.
-A document is kept if it passes the fixed base rules and no signal lies above its group's threshold.
+where pooled is the mean of that spread over the groups of MIN_GROUP documents or more, whatever their sizes; it keeps a
+group of mostly equal documents from rejecting all others. A group under MIN_GROUP documents reads the merged sketch of all groups instead. No fixed
+cutoff enters. A document is kept if it passes the fixed base rules and each signal lies within its group's fences. Up
+to a tenth of a group on either side doesn't move a fence; where over half of a group is junk the median is the junk's own.
 
 The text is read once: signals are written to the shared folder and reread, and only those narrow rows are shuffled.
-Sketch rows are bounded by groups x signals x buckets (about 700), whatever the number of documents.
+Sketch rows are bounded by groups x signals x buckets (about 4,000), whatever the number of documents.
 
-Defined results for odd input: null text counts as a text without words (base rules fail it); null lang and null
-source are groups of their own; repeated rows are judged (and counted) each; an empty table gives an empty result;
-columns of the input other than the four named ones are not read.
+Defined results for odd input: null text counts as a text without words (base rules fail it); very long texts are
+counted whole, on one row; null lang and null source are groups of their own; a value on a fence is within it; repeated
+rows are judged (and counted) each; words that repeat are told by 64-bit hashes of three-word windows, so counts are exact
+but for collisions; an empty table gives an empty result; columns of the input other than the four named ones are not
+read.
 """
 
 from __future__ import annotations
@@ -29,11 +36,13 @@ from pyspark.sql.window import Window
 from veritrail.llm.common import SPACE, written
 
 SYMBOLS = r"[#*$%&|<>]"
-MARKS = r"[!?]"
-ALPHA = 0.01
-#: signal: slack in thousandths above the spread of its group.
-SIGNALS = {"symbol_pm": 50, "mark_pm": 60, "dup_line_pm": 500, "repeat_pm": 400}
-LOW, MEDIAN, SPREAD, MIN_GROUP = 0.1, 0.5, 4, 20
+OTHER = r"[^\p{L}\p{M}]"
+ALPHA = 0.002
+#: signal: the fences that it is held to.
+SIGNALS = {"word_length": ("low", "high"), "other_share": ("high",), "line_words": ("low", "high")}
+#: Quantiles in percent.
+LOW, MEDIAN, HIGH = 10, 50, 90
+REACH, MIN_GROUP = 7, 20
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
@@ -42,7 +51,7 @@ def _count_of(text: Column, pattern: str) -> Column:
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """id_col, g0.. (the group), n_words, word_chars, n_symbols, n_marks, n_lines, n_dup_lines, n_repeat_words."""
+    """id_col, g0.. (the group), n_words, word_chars, n_symbols, n_letters, n_lines, n_dup_lines, n_repeat_words."""
     picked = docs.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"g{i}") for i, c in enumerate(groups)], F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     trimmed = F.btrim(F.col("t"), F.lit(" \t\n\x0b\f\r"))
     words = picked.withColumn("w", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE)))
@@ -52,7 +61,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         _count_of(F.col("t"), SYMBOLS).alias("n_symbols"),
-        _count_of(F.col("t"), MARKS).alias("n_marks"),
+        F.length(F.regexp_replace("t", OTHER, "")).cast("long").alias("n_letters"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
     )
@@ -83,64 +92,69 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gr
 
 
 def with_signals(counts: DataFrame) -> DataFrame:
-    per = lambda a, b: F.when(F.col(b) > 0, F.floor(1000 * F.col(a) / F.col(b))).otherwise(0).cast("long")
+    per = lambda unit, a, b: F.when(b > 0, F.floor(unit * a / b)).otherwise(0).cast("long")
+    words, chars = F.col("n_words"), F.col("word_chars")
     return counts.withColumns({
-        "symbol_pm": per("n_symbols", "word_chars"), "mark_pm": per("n_marks", "word_chars"),
-        "dup_line_pm": per("n_dup_lines", "n_lines"), "repeat_pm": per("n_repeat_words", "n_words"),
+        "word_length": per(1000, chars, words), "other_share": per(100_000, chars - F.least(chars, F.col("n_letters")), chars),
+        "line_words": per(1000, words, F.col("n_lines")),
+        "base_failed": (words < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * words),
     })
 
 
-def sketches(rows: DataFrame, groups: list[str], signals: list[str], alpha: float = ALPHA) -> DataFrame:
-    """groups, signal, bucket, n: bucket 0 is the value 0, bucket k + 1 holds values in (gamma^(k-1), gamma^k].
-
-    Sketches of parts of the corpus merge by adding n; so do those of groups.
-    """
+def bucket_of(value: Column, alpha: float = ALPHA) -> Column:
+    """0 for the value 0; k + 1 for values in (gamma^(k-1), gamma^k]."""
     log_gamma = math.log((1 + alpha) / (1 - alpha))
+    return F.when(value <= 0, 0).otherwise(1 + F.ceil(F.log(value.cast("double")) / log_gamma)).cast("int")
+
+
+def sketches(rows: DataFrame, groups: list[str], signals: list[str], alpha: float = ALPHA) -> DataFrame:
+    """groups, signal, bucket, n. Sketches of parts of the corpus merge by adding n; so do those of groups."""
     pairs = F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).alias("value")) for s in signals])
     long = rows.select(*groups, F.explode(pairs).alias("x")).select(*groups, "x.signal", "x.value")
-    bucket = F.when(F.col("value") <= 0, 0).otherwise(1 + F.ceil(F.log(F.col("value").cast("double")) / log_gamma)).cast("int")
-    return long.groupBy(*groups, "signal", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    return long.groupBy(*groups, "signal", bucket_of(F.col("value"), alpha).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def quantiles(sketch: DataFrame, groups: list[str], at: dict[str, float], alpha: float = ALPHA) -> DataFrame:
-    """groups, signal, total, and a column for each name in at: the estimate of that quantile by nearest rank."""
-    gamma = (1 + alpha) / (1 - alpha)
+def quantiles(sketch: DataFrame, groups: list[str], at: dict[str, int]) -> DataFrame:
+    """groups, signal, total, and for each name in at (percent) the bucket of that quantile by nearest rank."""
     whole = Window.partitionBy(*groups, "signal")
     run = sketch.withColumns({
         "upto": F.sum("n").over(whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum("n").over(whole),
     })
-    value = lambda b: F.when(b == 0, F.lit(0.0)).otherwise(2 * F.pow(F.lit(gamma), b - 1) / (gamma + 1))
-    picks = [value(F.min(F.when(F.col("upto") >= q * F.col("total"), F.col("bucket")))).alias(name) for name, q in at.items()]
+    picks = [F.min(F.when(100 * F.col("upto") >= q * F.col("total"), F.col("bucket"))).alias(name) for name, q in at.items()]
     return run.groupBy(*groups, "signal").agg(F.max("total").alias("total"), *picks)
 
 
 def thresholds(rows: DataFrame, groups: list[str]) -> DataFrame:
-    """One row for each group: groups and a column t_<signal>."""
-    at = {"low": LOW, "median": MEDIAN}
+    """One row for each group: groups and, as buckets, columns low_<signal> and high_<signal>."""
+    at = {"low": LOW, "median": MEDIAN, "high": HIGH}
     sketch = sketches(rows, groups, list(SIGNALS))
     own = quantiles(sketch, groups, at)
-    merged = sketch.groupBy("signal", "bucket").agg(F.sum("n").alias("n"))
-    everywhere = quantiles(merged, [], at).select("signal", F.col("low").alias("all_low"), F.col("median").alias("all_median"))
-    both = own.join(everywhere, "signal")
+    everywhere = quantiles(sketch.groupBy("signal", "bucket").agg(F.sum("n").alias("n")), [], at)
+    everywhere = everywhere.select("signal", *[F.col(c).alias(f"all_{c}") for c in at])
+    large = own.where(F.col("total") >= MIN_GROUP).groupBy("signal")
+    mean = lambda d: F.floor(F.avg(d))
+    pooled = large.agg(mean(F.col("high") - F.col("median")).alias("up"), mean(F.col("median") - F.col("low")).alias("down"))
+    both = own.join(everywhere, "signal").join(pooled, "signal", "left")
     small = F.col("total") < MIN_GROUP
-    low = F.when(small, F.col("all_low")).otherwise(F.col("low"))
-    median = F.when(small, F.col("all_median")).otherwise(F.col("median"))
-    slack = F.create_map(*[x for s, v in SIGNALS.items() for x in (F.lit(s), F.lit(float(v)))])
-    cut = both.select(*groups, "signal", (median + SPREAD * (median - low) + slack[F.col("signal")]).alias("cut"))
-    return cut.groupBy(*groups).agg(*[F.max(F.when(F.col("signal") == s, F.col("cut"))).alias(f"t_{s}") for s in SIGNALS])
+    read = {c: F.when(small, F.col(f"all_{c}")).otherwise(F.col(c)) for c in at}
+    half = lambda c: F.ceil(F.coalesce(c, F.lit(0)) / 2)
+    high = read["median"] + REACH * F.greatest(read["high"] - read["median"], half(F.col("up")), F.lit(1))
+    low = read["median"] - REACH * F.greatest(read["median"] - read["low"], half(F.col("down")), F.lit(1))
+    fences = both.select(*groups, "signal", low.alias("low"), high.alias("high"))
+    return fences.groupBy(*groups).agg(*[F.max(F.when(F.col("signal") == s, F.col(side))).alias(f"{side}_{s}") for s in SIGNALS for side in ("low", "high")])
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups: tuple[str, ...] = ("lang", "source")) -> DataFrame:
-    """The counts of `measured`, the signals, base_failed and kept, for each row of docs."""
+    """The counts of `measured`, the signals, base_failed, the group's fences and kept, for each row of docs."""
     keys = [f"g{i}" for i in range(len(groups))]
     rows = with_signals(written(measured(docs, id_col, text_col, groups), "signals"))
-    cuts = thresholds(rows, keys).select(*[F.col(k).alias(f"c_{k}") for k in keys], *[f"t_{s}" for s in SIGNALS])
+    cuts = thresholds(rows.where("not base_failed"), keys).withColumnsRenamed({k: f"c_{k}" for k in keys})
     on = None
     for k in keys:
         same = F.col(k).eqNullSafe(F.col(f"c_{k}"))
         on = same if on is None else on & same
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     fits = F.lit(True)
-    for s in SIGNALS:
-        fits = fits & (F.col(s) <= F.col(f"t_{s}"))
-    return rows.join(cuts, on, "left").withColumn("base_failed", base).withColumn("kept", ~base & F.coalesce(fits, F.lit(True)))
+    for s, sides in SIGNALS.items():
+        for side in sides:
+            fits = fits & ((bucket_of(F.col(s)) >= F.col(f"low_{s}")) if side == "low" else (bucket_of(F.col(s)) <= F.col(f"high_{s}")))
+    return rows.join(cuts, on, "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(fits, F.lit(True)))
