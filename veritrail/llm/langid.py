@@ -1,13 +1,13 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Character n-grams of each order are hashed into a fixed number of buckets. Training counts buckets by language on a
-sample of at most `per_language` documents of each language; the log-probability matrix (buckets x languages, float32,
-of a size fixed by these parameters) is broadcast. Scoring hashes whole texts in batches: the n-grams of a batch form a
+sample of at most `per_language` documents of each language, drawn by a hash of id and text; the log-probability matrix
+(buckets x languages, float32, at most MATRIX_BYTES: more languages get fewer buckets) is broadcast. Scoring hashes whole texts in batches: the n-grams of a batch form a
 sparse matrix in row order whose product with the matrix is summed by document.
 
 Defined results for odd input: null text and text without a letter give `und` with score 0; so does every text if no
-row has a language to learn from; null languages are never learned; repeated rows are scored each; ties go to the
-language that sorts first; an empty table gives an empty result; other columns are not read.
+row has a language to learn from; null languages are never learned; null and repeated ids are learned from like others,
+equal rows (id, language and text) once; repeated rows are scored each; ties go to the language that sorts first; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +30,8 @@ BUCKETS = 1 << 15
 PER_LANGUAGE = 1500
 #: Training texts beyond this many bytes are passed over (scoring has no such limit).
 MAX_TRAIN_BYTES = 1 << 20
-MAX_LANGUAGES = 500
+#: The matrix's size; beyond it buckets are halved, down to MIN_BUCKETS.
+MATRIX_BYTES, MIN_BUCKETS = 64 << 20, 256
 #: n-grams after which evidence no longer sharpens a score.
 SHARP = 64
 _CHARS = 1 << 18
@@ -58,7 +59,7 @@ class Model:
     """log_prob: buckets x languages; prior: of each language."""
 
     def __init__(self, languages: list[str], counts: np.ndarray, documents: np.ndarray, smoothing: float = 0.1):
-        self.languages = languages
+        self.languages, self.buckets = languages, len(counts)
         likelier = counts + smoothing
         self.log_prob = np.log(likelier / likelier.sum(axis=0, keepdims=True)).astype(np.float32)
         self.prior = np.log(documents / documents.sum()).astype(np.float64)
@@ -70,9 +71,9 @@ class Model:
             points = code_points(text)
             for at in range(0, len(points), _CHARS):
                 for order in ORDERS:
-                    found = hashed(points[at : at + _CHARS + order - 1], order)
-                    if len(found) > BUCKETS:
-                        out[k] += np.bincount(found, minlength=BUCKETS) @ self.log_prob
+                    found = hashed(points[at : at + _CHARS + order - 1], order, self.buckets)
+                    if len(found) > self.buckets:
+                        out[k] += np.bincount(found, minlength=self.buckets) @ self.log_prob
                     else:
                         out[k] += self.log_prob[found].sum(axis=0, dtype=np.float64)
                     size[k] += len(found)
@@ -91,31 +92,28 @@ class Model:
         return names, score
 
 
-def counted(texts: list[str]) -> np.ndarray:
-    total = np.zeros(BUCKETS, np.int64)
+def counted(texts: list[str], buckets: int = BUCKETS) -> np.ndarray:
+    total = np.zeros(buckets, np.int64)
     for text in texts:
         points = code_points(text)
         for order in ORDERS:
-            total += np.bincount(hashed(points, order), minlength=BUCKETS)
+            total += np.bincount(hashed(points, order, buckets), minlength=buckets)
     return total
 
 
-def sampled(rows: DataFrame, by: str, per_group: int, key: str, counted: DataFrame | None = None) -> DataFrame:
-    """At most per_group rows of each value of `by`: those with the smallest hash of `key`, ties to the smaller key.
+def sampled(rows: DataFrame, by: str, per_group: int, key: list[str], counted: DataFrame | None = None) -> DataFrame:
+    """At most per_group rows of each value of `by`: those with the smallest hash of the columns `key`. Rows that are equal
+    in these are drawn once, after each task has merged its own.
 
     A threshold on the hash, from the groups' counts, cuts the rows to about that number before any is ranked. counted:
     rows to take those counts from if rows themselves are costly to read (their groups must include those of rows).
     """
-    sizes = {r[0]: r[1] for r in (rows if counted is None else counted).groupBy(by).count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} values of {by}")
-    if not sizes:
-        return rows.limit(0)
-    share = F.create_map(*[x for g, n in sorted(sizes.items()) for x in (F.lit(g), F.lit(min(1.0, 1.5 * (per_group + 50) / n)))])
-    place = F.xxhash64(key)
-    near = rows.where((place.cast("double") / 2.0**64 + 0.5) <= share[F.col(by)])
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(place, key))
-    return near.withColumn("_vt_rank", rank).where(F.col("_vt_rank") <= per_group).drop("_vt_rank")
+    sizes = (rows if counted is None else counted).groupBy(by).agg(F.least(F.lit(1.0), 1.5 * (per_group + 50) / F.count("*")).alias("_vt_share"))
+    place = F.xxhash64(*[x for k in key for x in (F.col(k).isNull(), F.col(k))])
+    placed = rows.withColumn("_vt_place", place).join(sizes, by)  # a row for each group; Spark broadcasts it if it is small
+    near = placed.where(F.col("_vt_place").cast("double") / 2.0**64 + 0.5 <= F.col("_vt_share")).drop("_vt_share")
+    rank = F.row_number().over(Window.partitionBy(by).orderBy("_vt_place"))
+    return near.dropDuplicates([by, "_vt_place"]).withColumn("_vt_rank", rank).where(F.col("_vt_rank") <= per_group).drop("_vt_rank", "_vt_place")
 
 
 def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
@@ -124,14 +122,18 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     usable = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= MAX_TRAIN_BYTES))
     usable = usable.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     known = rows.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"))
-    picked = sampled(usable, "lang", per_language, "id", counted=known).select("lang", "text")
+    picked = sampled(usable, "lang", per_language, ["id", "text"], counted=known).select("lang", "text")
+    languages = max(1, known.select("lang").distinct().count())
+    buckets = BUCKETS  # fewer with many languages, so that the matrix keeps its size
+    while buckets > MIN_BUCKETS and 4 * buckets * languages > MATRIX_BYTES:
+        buckets //= 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, list] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own = totals.setdefault(lang, [np.zeros(BUCKETS, np.int64), 0])
-                own[0] += counted([text])
+                own = totals.setdefault(lang, [np.zeros(buckets, np.int64), 0])
+                own[0] += counted([text], buckets)
                 own[1] += 1
         for lang, (counts, n) in totals.items():
             at = np.flatnonzero(counts)
@@ -142,13 +144,13 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     summed = picked.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     by_lang = summed.groupBy("lang").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n"))
-    found = sorted(by_lang.collect(), key=lambda r: r["lang"])  # a row for each language, of at most BUCKETS + 1 counts
-    counts, documents = np.zeros((BUCKETS, len(found))), np.ones(len(found))
-    for k, row in enumerate(found):
-        at, n = np.array(row["bucket"]), np.array(row["n"], np.float64)
+    found = by_lang.toArrow().sort_by("lang")  # a row for each language; packed counts of at most `buckets` + 1 each
+    counts, documents = np.zeros((buckets, len(found))), np.ones(len(found))
+    for k in range(len(found)):
+        at, n = (found.column(c)[k].values.to_numpy() for c in ("bucket", "n"))
         counts[at[at >= 0], k] = n[at >= 0]
         documents[k] = n[at < 0].sum()
-    return Model([r["lang"] for r in found], counts, documents)
+    return Model(found.column("lang").to_pylist(), counts, documents)
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:

@@ -10,7 +10,8 @@ text, in chunks of passages. The model (a few hundred kB, fixed) is broadcast.
 
 Defined results for odd input: null and empty texts are a bag of one blank passage and get a score like any other;
 labels that are null or not 0 or 1 are not learned; a document labelled both ways is not learned; without both labels
-to learn from the score is the share of label 1 (0.5 without any label); repeated rows are scored each; an empty table
+to learn from the score is the share of label 1 (0.5 without any label); an id may name several rows, which are learned
+from like others (equal ones once); texts over MAX_TRAIN_BYTES are scored but not drawn; repeated rows are scored each; an empty table
 gives an empty result; other columns are not read.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veritrail.llm.common import small_batches
+from veritrail.llm.common import small_batches, written
 from veritrail.llm.langid import sampled
 
 PASSAGE = 400
@@ -176,24 +177,33 @@ class Model:
                 "w": (t * s).T @ dlogit, "c": z.T @ d, "b": np.array([d.sum()], np.float32)}
 
 
+def drawn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = PER_LABEL) -> DataFrame:
+    """(id, label, text binary) of at most per_label rows of each label, of at most MAX_TRAIN_BYTES each.
+
+    First ids are drawn, then rows of those ids: an id may name any number of rows. Equal rows are drawn once."""
+    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
+    marks = marks.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").select("id", "label")
+    usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).where("octet_length(text) <= " + str(MAX_TRAIN_BYTES))
+    ids = sampled(marks.join(usable.select("id"), "id", "left_semi"), "label", per_label, ["id"])
+    ids = written(ids, "drawn")  # at most per_label ids of either label
+    rows = usable.join(F.broadcast(ids), "id")
+    named = usable.select("id").join(F.broadcast(ids), "id").select("label")
+    return sampled(rows, "label", per_label, ["id", "text"], counted=named).select("id", "label", "text")
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = PER_LABEL) -> Model:
     """Learns from the documents given and their labels (id_col, label_col). Executors encode; the driver gets the
     passages of at most 2 * per_label documents."""
     small_batches(docs.sparkSession)
-    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
-    marks = marks.groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").select("id", "label")
-    usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).where("octet_length(text) <= " + str(MAX_TRAIN_BYTES))
-    marks = marks.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi")  # ids alone: no text is read for the draw
-    picked = sampled(marks, "label", per_label, "id")
-    joined = usable.join(F.broadcast(picked), "id").select("id", "label", "text")  # picked: at most 2 * per_label rows
+    picked = drawn(docs, labels, id_col, text_col, label_col, per_label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [encoded(passages(x)).astype(np.float16).tobytes() for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], names=["id", "label", "x"])
 
-    id_type = usable.schema["id"].dataType.simpleString()
-    rows = sorted(joined.mapInArrow(run, f"id {id_type}, label int, x binary").collect(), key=lambda r: (r["id"], r["x"]))
+    id_type = picked.schema["id"].dataType.simpleString()
+    rows = sorted(picked.mapInArrow(run, f"id {id_type}, label int, x binary").collect(), key=lambda r: (r["id"], r["x"]))
     bags = [np.frombuffer(r["x"], np.float16).reshape(-1, FEATURES).astype(np.float32) for r in rows]
     return Model().fit(bags, np.array([r["label"] for r in rows], np.float32))
 
