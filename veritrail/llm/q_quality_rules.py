@@ -48,11 +48,11 @@ signals AS (SELECT *, CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words EL
 values_of AS ({_LONG}),
 own AS ({_ranked(['lang', 'source'])}),
 everywhere AS ({_ranked([])}),
-pooled AS (SELECT signal, floor(avg(q_high - q_median)) AS up, floor(avg(q_median - q_low)) AS down
+pooled AS (SELECT signal, floor(median(q_high - q_median)) AS up, floor(median(q_median - q_low)) AS down
     FROM own WHERE n >= {MIN_GROUP} GROUP BY signal),
 read AS (SELECT o.lang, o.source, o.signal, CASE WHEN o.n < {MIN_GROUP} THEN e.q_low ELSE o.q_low END AS a,
     CASE WHEN o.n < {MIN_GROUP} THEN e.q_median ELSE o.q_median END AS m, CASE WHEN o.n < {MIN_GROUP} THEN e.q_high ELSE o.q_high END AS b,
-    ceil(coalesce(p.up, 0) / 2) AS up, ceil(coalesce(p.down, 0) / 2) AS down FROM own o JOIN everywhere e USING (signal) LEFT JOIN pooled p USING (signal)),
+    coalesce(p.up, 0) AS up, coalesce(p.down, 0) AS down FROM own o JOIN everywhere e USING (signal) LEFT JOIN pooled p USING (signal)),
 fences AS (SELECT lang, source, signal, m - {REACH} * greatest(m - a, down, 1) AS low, m + {REACH} * greatest(b - m, up, 1) AS high FROM read)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_FITS} AS kept FROM signals s
 """

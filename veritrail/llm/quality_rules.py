@@ -7,10 +7,10 @@ sketch: logarithmic buckets of relative width 2 * ALPHA with a count each, so th
 and a quantile's relative error is at most ALPHA. Fences are read from the group's own sketch, in buckets (that is, as
 ratios):
 
-    high = median + REACH * max(90 % quantile - median, pooled / 2, 1)
-    low  = median - REACH * max(median - 10 % quantile, pooled / 2, 1)
+    high = median + REACH * max(90 % quantile - median, pooled, 1)
+    low  = median - REACH * max(median - 10 % quantile, pooled, 1)
 
-where pooled is the mean of that spread over the groups of MIN_GROUP documents or more, whatever their sizes; it keeps a
+where pooled is the median of that spread over the groups of MIN_GROUP documents or more, whatever their sizes; it keeps a
 group of mostly equal documents from rejecting all others. A group under MIN_GROUP documents reads the merged sketch of all groups instead. No fixed
 cutoff enters. A document is kept if it passes the fixed base rules and each signal lies within its group's fences. Up
 to a tenth of a group on either side doesn't move a fence; where over half of a group is junk the median is the junk's own.
@@ -132,14 +132,13 @@ def thresholds(rows: DataFrame, groups: list[str]) -> DataFrame:
     everywhere = quantiles(sketch.groupBy("signal", "bucket").agg(F.sum("n").alias("n")), [], at)
     everywhere = everywhere.select("signal", *[F.col(c).alias(f"all_{c}") for c in at])
     large = own.where(F.col("total") >= MIN_GROUP).groupBy("signal")
-    mean = lambda d: F.floor(F.avg(d))
-    pooled = large.agg(mean(F.col("high") - F.col("median")).alias("up"), mean(F.col("median") - F.col("low")).alias("down"))
+    middle = lambda d: F.floor(F.median(d))
+    pooled = large.agg(middle(F.col("high") - F.col("median")).alias("up"), middle(F.col("median") - F.col("low")).alias("down"))
     both = own.join(everywhere, "signal").join(pooled, "signal", "left")
     small = F.col("total") < MIN_GROUP
     read = {c: F.when(small, F.col(f"all_{c}")).otherwise(F.col(c)) for c in at}
-    half = lambda c: F.ceil(F.coalesce(c, F.lit(0)) / 2)
-    high = read["median"] + REACH * F.greatest(read["high"] - read["median"], half(F.col("up")), F.lit(1))
-    low = read["median"] - REACH * F.greatest(read["median"] - read["low"], half(F.col("down")), F.lit(1))
+    high = read["median"] + REACH * F.greatest(read["high"] - read["median"], F.coalesce("up", F.lit(0)), F.lit(1))
+    low = read["median"] - REACH * F.greatest(read["median"] - read["low"], F.coalesce("down", F.lit(0)), F.lit(1))
     fences = both.select(*groups, "signal", low.alias("low"), high.alias("high"))
     return fences.groupBy(*groups).agg(*[F.max(F.when(F.col("signal") == s, F.col(side))).alias(f"{side}_{s}") for s in SIGNALS for side in ("low", "high")])
 
