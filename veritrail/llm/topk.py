@@ -10,10 +10,15 @@ of their bounds and stops at the first beyond its current r.
 Pivots are drawn from a sample of at most SAMPLE vectors; every vector is indexed, and the bounds make the result exact
 whatever the pivots. Queries are not collected: they are sent to the groups of blocks that their bounds leave, in batches,
 and meet those blocks there. Groups hold about GROUP vectors each, cut by range with the id last, so that equal vectors
-(however many) spread over groups. The directory of annuli (at most about DIRECTORY rows, as blocks grow with the input)
+(however many) spread over groups; groups grow with the input up to LARGEST, as a query is sent once to each group that its
+bounds leave. The directory of annuli (at most about DIRECTORY rows, as blocks grow with the input)
 is broadcast.
 
-Defined results for odd input: vectors that are null or hold null or non-finite components, and null ids, take no part;
+Scores are exact: while the largest squared norm is under 2^53 all sums are exact in doubles, beyond that products are taken
+in 64-bit integers.
+
+Defined results for odd input: vectors that are null or hold null or non-finite components, and null ids, take no part; nor
+do vectors whose squared norm is 2^63 or more, whose scores need not fit a long;
 vectors shorter than the longest are filled with zeros; a query's own row is every row of its id; a query id that occurs
 more than once is asked once, with the least of its vectors; fewer candidates than k give fewer rows; ties of the score
 go to the smaller id; an empty table gives an empty result; other columns are not read.
@@ -31,8 +36,9 @@ from pyspark.sql.window import Window
 
 from veritrail.llm.common import written
 
-PIVOTS, SAMPLE, GROUP, BLOCK, DIRECTORY = 64, 4096, 8192, 512, 100_000
+PIVOTS, SAMPLE, GROUP, LARGEST, BLOCK, DIRECTORY = 64, 4096, 8192, 65_536, 512, 100_000
 _SLACK = 1e-6
+_NONE = -(1 << 63)
 
 
 def coded(rows: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
@@ -42,11 +48,15 @@ def coded(rows: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [np.floor(scale * np.asarray(x, np.float64)) for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([x.tobytes() for x in made], pa.binary()), pa.array([len(x) for x in made], pa.int32()), pa.array([float(x @ x) for x in made])],
-                names=["id", "v", "n", "sq"],
-            )
+            ids, made, sizes, norms = [], [], [], []
+            for k, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with np.errstate(over="ignore"):
+                    x = np.floor(scale * np.asarray(values, np.float64))
+                    sq = float(x @ x)
+                if sq >= 2.0**53 and (sq > 2.0**64 or sum(int(c) ** 2 for c in x) >= 1 << 63):
+                    continue
+                ids.append(k), made.append(x.tobytes()), sizes.append(len(x)), norms.append(sq)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(made, pa.binary()), pa.array(sizes, pa.int32()), pa.array(norms, pa.float64())], names=["id", "v", "n", "sq"])
 
     return picked.mapInArrow(run, "id long, v binary, n int, sq double")
 
@@ -64,17 +74,22 @@ class Space:
     """The lifted space: dimension, largest squared norm, pivots."""
 
     def __init__(self, size: int, top: float, sample: list[bytes]):
-        self.size, self.top = size, top
+        self.size, self.top, self.wide = size, top, top >= 2.0**53
         self.pivots = chosen(self.lifted(self.rows(sample)), PIVOTS)
 
     def rows(self, values: list[bytes]) -> np.ndarray:
-        out = np.zeros((len(values), self.size))
+        out = np.zeros((len(values), self.size), np.int64)
         for k, v in enumerate(values):
             x = np.frombuffer(v, np.float64)
             out[k, : len(x)] = x
         return out
 
+    def exact(self, x: np.ndarray) -> np.ndarray:
+        """x in the numbers in which its products are exact."""
+        return x if self.wide else x.astype(np.float64)
+
     def lifted(self, x: np.ndarray) -> np.ndarray:
+        x = x.astype(np.float64)
         return np.c_[x, np.sqrt(np.maximum(0, self.top - (x * x).sum(axis=1)))]
 
     def distances(self, lifted: np.ndarray) -> np.ndarray:
@@ -96,8 +111,8 @@ def index(vectors: DataFrame, space: Space, total: int) -> DataFrame:
             )
 
     keyed = vectors.select("id", "v").mapInArrow(key, "pivot int, d double, id long, v binary")
-    block = max(BLOCK, total // DIRECTORY)
-    ordered = keyed.repartitionByRange(max(1, -(-total // max(GROUP, block))), "pivot", "d", "id").sortWithinPartitions("pivot", "d", "id")
+    block, group = max(BLOCK, total // DIRECTORY), min(LARGEST, max(GROUP, total // 64))
+    ordered = keyed.repartitionByRange(max(1, -(-total // max(group, block))), "pivot", "d", "id").sortWithinPartitions("pivot", "d", "id")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, held = shared.value, []
@@ -126,17 +141,18 @@ class Best:
     """The k best (score, id) of some queries so far; reach: the distance beyond which nothing can enter."""
 
     def __init__(self, space: Space, x: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray):
-        self.x, self.ids, self.k = x, ids, k
-        self.sq = (x * x).sum(axis=1)
+        self.x, self.ids, self.k = space.exact(x), ids, k
+        plain = x.astype(np.float64)
+        self.sq = (plain * plain).sum(axis=1)
         self.top = space.top
-        self.d = space.distances(np.c_[x, np.zeros(len(x))])
-        self.found = [(np.empty(0), np.empty(0, np.int64))] * len(x)
+        self.d = space.distances(np.c_[plain, np.zeros(len(x))])
+        self.found = [(np.empty(0, np.int64), np.empty(0, np.int64))] * len(x)
         self.floor = floor.copy()
 
     def reach(self) -> np.ndarray:
         """Of a score floor s: the distance sqrt(|q|^2 + M - 2 s); rounding is allowed for."""
         r = np.sqrt(np.maximum(0, self.sq + self.top - 2 * self.floor))
-        return np.where(np.isneginf(self.floor), np.inf, r * (1 + _SLACK) + _SLACK * np.sqrt(self.sq + self.top))
+        return np.where(self.floor == _NONE, np.inf, r * (1 + _SLACK) + _SLACK * np.sqrt(self.sq + self.top))
 
     def bounds(self, pivot: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """queries x annuli: no vector of the annulus is nearer."""
@@ -145,7 +161,7 @@ class Best:
         return np.maximum(0, np.maximum(low - d, d - high) - slack)
 
     def search(self, own: np.ndarray, ids: np.ndarray, vs: np.ndarray) -> None:
-        scores = self.x[own] @ vs.T
+        scores = (self.x[own] @ vs.T).astype(np.int64)
         for k, q in enumerate(own):
             fits = (ids != self.ids[q]) & (scores[k] >= self.floor[q])
             s, i = np.r_[self.found[q][0], scores[k][fits]], np.r_[self.found[q][1], ids[fits]]
@@ -169,26 +185,27 @@ class Best:
 
 def _visit(annuli: DataFrame, routed: DataFrame, space, k: int, parts: int) -> DataFrame:
     """The k best of each routed query (grp, qid, q, floor) in its group: (qid, q, id, score)."""
-    left = annuli.select("grp", F.lit(0).alias("kind"), "pivot", "low", "high", "ids", "vs")
-    right = routed.select("grp", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("pivot"), F.col("floor").alias("low"), F.lit(None).cast("double").alias("high"),
-                          F.col("qid").alias("ids"), F.col("q").alias("vs"))
-    both = left.unionByName(right.withColumn("ids", F.unhex(F.lpad(F.hex("ids"), 16, "0")))).repartition(parts, "grp").sortWithinPartitions("grp", "kind")
+    none = F.lit(None)
+    left = annuli.select("grp", F.lit(0).alias("kind"), "pivot", "low", "high", none.cast("long").alias("floor"), none.cast("long").alias("qid"), "ids", "vs")
+    right = routed.select("grp", F.lit(1).alias("kind"), none.cast("int").alias("pivot"), none.cast("double").alias("low"), none.cast("double").alias("high"), "floor", "qid",
+                          none.cast("binary").alias("ids"), F.col("q").alias("vs"))
+    both = left.unionByName(right).repartition(parts, "grp").sortWithinPartitions("grp", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, here, blocks, asked = space.value, None, [], []
 
         def answer():
-            best = Best(own, own.rows([a[2] for a in asked]), np.array([a[0] for a in asked], np.int64), k, np.array([a[1] for a in asked]))
+            best = Best(own, own.rows([a[2] for a in asked]), np.array([a[0] for a in asked], np.int64), k, np.array([a[1] for a in asked], np.int64))
             best.expand(blocks)
             size = [len(s) for s, _ in best.found]
             at = np.repeat(np.arange(len(asked)), size)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(best.ids[at]), pa.array(np.concatenate([i for _, i in best.found])), pa.array(np.concatenate([s for s, _ in best.found]).astype(np.int64))],
+                [pa.array(best.ids[at]), pa.array(np.concatenate([i for _, i in best.found])), pa.array(np.concatenate([s for s, _ in best.found]))],
                 names=["qid", "id", "score"],
             )
 
         for batch in batches:
-            for grp, kind, pivot, low, high, ids, vs in zip(*(c.to_pylist() for c in batch.columns)):
+            for grp, kind, pivot, low, high, floor, qid, ids, vs in zip(*(c.to_pylist() for c in batch.columns)):
                 if grp != here or len(asked) >= 512:
                     if asked and blocks:
                         yield from answer()
@@ -197,9 +214,9 @@ def _visit(annuli: DataFrame, routed: DataFrame, space, k: int, parts: int) -> D
                     here, blocks = grp, []
                 if kind == 0:
                     i = np.frombuffer(ids, np.int64)
-                    blocks.append((pivot, low, high, i, np.frombuffer(vs, np.float64).reshape(len(i), -1)))
+                    blocks.append((pivot, low, high, i, own.exact(np.frombuffer(vs, np.int64).reshape(len(i), -1))))
                 else:
-                    asked.append((int.from_bytes(ids, "big", signed=True), low, vs))
+                    asked.append((qid, floor, vs))
         if asked and blocks:
             yield from answer()
 
@@ -224,7 +241,7 @@ def _routed(queries: DataFrame, space, directory, near: bool) -> DataFrame:
                 part = part.take(pa.array(np.concatenate(row)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to).astype(np.int32)), *part.columns], names=["grp", "qid", "q", "floor"])
 
-    return queries.select("qid", "q", "floor").mapInArrow(run, "grp int, qid long, q binary, floor double")
+    return queries.select("qid", "q", "floor").mapInArrow(run, "grp int, qid long, q binary, floor long")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
@@ -246,9 +263,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     parts = len(set(columns[0]))
     asked = rows.where(is_query).groupBy(F.col("id").alias("qid")).agg(F.min("v").alias("q"))
     asked = written(asked, "queries")
-    first = _visit(annuli, _routed(asked.withColumn("floor", F.lit(float("-inf"))), space, directory, True), space, k, parts)
-    floors = first.groupBy("qid").agg(F.when(F.count("*") >= k, F.min("score")).cast("double").alias("floor"))
-    seeded = asked.join(floors, "qid", "left").select("qid", "q", F.coalesce("floor", F.lit(float("-inf"))).alias("floor"))
+    first = _visit(annuli, _routed(asked.withColumn("floor", F.lit(_NONE)), space, directory, True), space, k, parts)
+    floors = first.groupBy("qid").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    seeded = asked.join(floors, "qid", "left").select("qid", "q", F.coalesce("floor", F.lit(_NONE)).alias("floor"))
     found = _visit(annuli, _routed(seeded, space, directory, False), space, k, parts)
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
     ranked = found.withColumn("rank", rank).where(F.col("rank") <= k)
