@@ -105,6 +105,12 @@ def test_evidence(spark):
     assert one(spark, text.fact_matches(F.lit("recovery 95 percent"), F.lit("recoveries 95 percents"))) is True
     assert one(spark, evidence.is_direct("Cu and Ni content", F.lit("cu with ni content here"), "broad")) and not one(spark, evidence.is_direct("Cu and Ni content", F.lit("cu only content"), "broad"))
     assert not one(spark, evidence.is_direct("Leaching of nickel", F.lit("leaching of copper"), "broad"))
+    for strategy, asked, told, want in (
+        ("broad", "какие шламы перерабатывают", "шламы складируют", False), ("broad", "какие шламы перерабатывают", "шламы перерабатывают", True),
+        ("broad", "какие шламы", "шламы складируют", True), ("fallback", "какие шламы", "шламы складируют", False), ("broad", "какие", "что угодно", True),
+        ("fallback", "XRF assay", "by xrf", True), ("fallback", "XRF assay", "other words", False),
+    ):
+        assert one(spark, evidence.is_direct(asked, F.lit(told), strategy)) is want, (strategy, asked, told)
     with pytest.raises(ValueError):
         evidence.parse_triples("A,R", ["A"])
 

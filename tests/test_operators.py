@@ -140,6 +140,17 @@ def test_gates():
     assert agent.judge(a, full, contradictions=1).action == "search_more"
 
 
+def test_analysis_of_a_table_is_that_of_each_question(spark):
+    from veritrail.plans.q_retrieval import QUESTIONS
+
+    asked = [*QUESTIONS, "compare capex and opex", "никель и медь: обжиг при 700 °C", "", "Russia vs world practice 2021"]
+    rows = agent.analysed(spark.createDataFrame([(q,) for q in asked] + [(None,)], "text string")).collect()
+    for q, r in zip([*asked, ""], rows):
+        a = agent.analyse(q)
+        assert (r["intent"], r["answer_type"], r["required"], r["materials"], r["processes"], r["numeric"], r["geography"], r["world"], r["time"]) == (
+            a.intent, a.answer_type, a.required, a.materials, a.processes, a.numeric, a.geography, a.world, a.time), q
+
+
 def test_loop_stops_when_the_gates_pass_and_reports():
     asked = []
 

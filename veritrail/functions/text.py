@@ -144,6 +144,14 @@ def texts(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
+#: Intents and key words that lead to a corpus, and the order of all corpora. Fixed values.
+ROUTE_RULES = (
+    (("internal", "practice"), ("рудник", "предприят", "доклад"), "internal_reports"),
+    ((), ("обзор", "сравн", "review", "миров"), "reviews"),
+    ((), ("конференц", "докладчик", "conference"), "conference_materials"),
+)
+ROUTE_ORDER = ("scientific_articles", "scientific_journals", "conference_materials", "reviews", "internal_reports")
+
 # ---- cleaning -----------------------------------------------------------------------------------------------------
 
 
@@ -400,16 +408,10 @@ def web_profiles(query: Column, most: int = 2) -> Column:
 
 
 def corpus_route(query: Column, intent: Column, most: int = 5) -> Column:
-    """Corpora to search, by intent and key words, then in a fixed order."""
-    folded, none = F.lower(query), F.array().cast("array<string>")
-    lead = [
-        (intent.isin("internal", "practice") | has_any(folded, ("рудник", "предприят", "доклад")), "internal_reports"),
-        (has_any(folded, ("обзор", "сравн", "review", "миров")), "reviews"),
-        (has_any(folded, ("конференц", "докладчик", "conference")), "conference_materials"),
-    ]
-    first = F.concat(*[F.when(test, texts((name,))).otherwise(none) for test, name in lead])
-    rest = texts(("scientific_articles", "scientific_journals", "conference_materials", "reviews", "internal_reports"))
-    return F.slice(F.array_distinct(F.concat(first, rest)), 1, most)
+    """Corpora to search: those that ROUTE_RULES lead to by intent or key words, then all in a fixed order."""
+    folded = F.lower(query)
+    led = [F.when(intent.isin(*intents) | has_any(folded, terms), name) for intents, terms, name in ROUTE_RULES]
+    return F.slice(F.array_distinct(F.concat(F.array_compact(F.array(*led)), texts(ROUTE_ORDER))), 1, most)
 
 
 def upload_category(file_name: Column) -> Column:

@@ -282,9 +282,10 @@ def a22(t):
     SELECT l_orderkey, (CASE WHEN covered >= 5 THEN 25 ELSE round_even(25.0 * covered / 5, 0) END + CASE WHEN numeric THEN 20 ELSE 0 END + 15 + CASE WHEN sources >= 2 THEN 15 ELSE 0 END + 10 + CASE WHEN clear THEN 10 ELSE 0 END + 5)::INT AS score FROM g""",
 )
 def a23(t):
-    yes = F.lit(True)
     g = t.lineitem.groupBy("l_orderkey").agg(F.count_distinct("l_linenumber").alias("covered"), F.count_distinct("l_suppkey").alias("sources"), F.bool_or(F.col("l_tax") > 0.05).alias("numeric"), F.bool_and(F.col("l_returnflag") != "R").alias("clear"))
-    return g.select("l_orderkey", evidence.verdict_score(F.col("covered"), F.lit(5), F.col("numeric"), yes, yes, yes, F.col("sources"), yes, yes, F.col("clear")).alias("score"))
+    states = dict.fromkeys(("basis_for_optimality", "economic_metrics", "claim_sources", "geography_comparison", "time_filter"), F.lit(True))
+    states |= {"numeric_value_and_unit": F.col("numeric"), "two_sources": F.col("sources") >= 2, "contradictions_resolved": F.col("clear")}
+    return g.select("l_orderkey", evidence.verdict_score(F.col("covered"), F.lit(5), states).alias("score"))
 
 
 @query("a24_evaluation_means", "SELECT round(avg((l_linenumber <= 5)::INT), 6) AS recall_5, round(avg((l_linenumber <= 6)::INT), 6) AS recall_6, round(avg(l_discount), 6) AS fact_recall FROM lineitem")

@@ -342,11 +342,33 @@ def f45(t):
     return t.documents.select("doc_id", F.round(score, 6).alias("score"))
 
 
-@query("f46_question_analysis")
+QUESTIONS = (
+    "Compare world practice of leaching at 25 °C and optimal temperature", "gap in nickel experiments", "review of water treatment methods since 2019",
+    "experts on slag", "plain question", "compare capital cost of domestic and foreign options over the last 10 years", "обзор методов за последние 5 лет, 300 мг/л",
+)
+
+
+def _asks(cues):
+    known = {"numeric": f"(asks_number OR regexp_matches(text, '(?i){agent.UNIT.pattern}'))", "geography": "(asks_place AND asks_contrast)", "time": f"regexp_matches(lower(text), '{agent.TIME.pattern}')"}
+    return " AND ".join(known.get(c, f"asks_{c}") for c in sorted(cues))
+
+
+_SAID = ", ".join("(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + f") AS asks_{name}" for name, words in agent.CUES.items())
+_KIND = lambda k: "CASE " + " ".join(f"WHEN {'true' if row[0] is None else 'asks_' + row[0]} THEN {row[k]!r}" for row in agent.KINDS) + " END"
+_FIRST = "CASE " + " ".join(f"WHEN {'true' if row[0] is None else 'asks_' + row[0]} THEN {list(row[3])!r}" for row in agent.KINDS) + " END"
+_MORE = "".join(f" || CASE WHEN {_asks(cues)} THEN {list(slots)!r} ELSE [] END" for cues, slots in agent.SLOTS)
+
+
+@query(
+    "f46_question_analysis",
+    f"""WITH q AS (SELECT doc_id, coalesce(text, '') AS text FROM documents UNION ALL SELECT -1 - i, x FROM (VALUES {', '.join(f"({i}, '{q}')" for i, q in enumerate(QUESTIONS))}) v(i, x)),
+    s AS (SELECT doc_id, text, {_SAID} FROM q)
+    SELECT doc_id, {_KIND(1)} AS intent, {_KIND(2)} AS answer_type, array_to_string(list_sort(list_distinct({_FIRST}{_MORE})), ',') AS required, {_asks(['numeric'])} AS "numeric", {_asks(['time'])} AS "time" FROM s""",
+)
 def f46(t, spark):
-    questions = ["Compare world practice of leaching at 25 °C and optimal temperature", "gap in nickel experiments", "review of water treatment methods since 2019", "experts on slag", "plain question"]
-    rows = [(q, a.intent, a.answer_type, a.required, a.materials, a.processes, a.numeric, a.time) for q in questions for a in [agent.analyse(q)]]
-    return spark.createDataFrame(rows, "question string, intent string, answer_type string, required array<string>, materials array<string>, processes array<string>, numeric boolean, time boolean")
+    asked = spark.createDataFrame([(-1 - i, q) for i, q in enumerate(QUESTIONS)], "doc_id long, text string")
+    found = agent.analysed(t.documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").unionByName(asked))
+    return found.select("doc_id", "intent", "answer_type", F.array_join(F.array_sort("required"), ",").alias("required"), "numeric", "time")
 
 
 @query("f47_segment_alignment")
