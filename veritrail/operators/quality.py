@@ -109,6 +109,26 @@ def similar_cases(uses: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.array_sort(F.collect_set("shared")).alias("shared"), F.lit(0.7).alias("score"))
 
 
+def opposers(claims: DataFrame, id_col: str, topic_col: str, text_col: str, groups: Sequence) -> DataFrame:
+    """claims (one row each) with `opposers`: how many others of the same topic they oppose, where that is one or more.
+
+    Whom a claim opposes depends on which sides of the groups it takes, so claims are counted by topic and sides, and those
+    few classes are compared, not the claims."""
+    small = F.lower(F.col(text_col))
+    sides = F.array(*[has_any(small, terms) for group in groups for terms in group])
+    marked = claims.withColumn("_sides", sides).where(F.exists("_sides", lambda x: x))
+    classes = marked.groupBy(F.col(topic_col).alias("_topic"), "_sides").agg(F.count("*").alias("_n"))
+    own, other = classes.select("_topic", "_sides"), classes.select(F.col("_topic").alias("_t"), F.col("_sides").alias("_s"), "_n")
+    against = F.lit(False)
+    for k in range(0, 2 * len(groups), 2):
+        for x, y in ((k, k + 1), (k + 1, k)):
+            against = against | (F.get("_sides", x) & F.get("_s", y))
+    met = own.join(other, (F.col("_topic") == F.col("_t")) & against)
+    counts = met.groupBy("_topic", "_sides").agg(F.sum(F.col("_n") - (F.col("_sides") == F.col("_s")).cast("long")).alias("opposers"))
+    joined = marked.withColumnRenamed(topic_col, "_topic").join(counts, ["_topic", "_sides"]).where("opposers > 0")
+    return joined.withColumnRenamed("_topic", topic_col).drop("_sides")
+
+
 def risks(claims: DataFrame) -> DataFrame:
     """A risk for each limitation of a claim (id, limitations)."""
     return claims.select("id", F.explode("limitations").alias("description")).withColumn("severity", F.lit("unknown"))

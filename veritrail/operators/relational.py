@@ -127,10 +127,14 @@ def page(rows: DataFrame, order: Sequence[Column], number: int, size: int = 10)
 
 
 def maximal_sets(groups: DataFrame, id_col: str, members_col: str) -> DataFrame:
-    """Drops groups whose members are a strict subset of another's. A superset shares a member, so candidates meet on
-    members, counted instead of compared all with all."""
-    member = groups.select(F.col(id_col).alias("a"), F.size(members_col).alias("na"), F.explode(members_col).alias("m"))
-    other = member.select(F.col("a").alias("b"), F.col("na").alias("nb"), "m")
-    shared = member.join(other, "m").where("nb > na").groupBy("a", "b", "na").agg(F.count("*").alias("n"))
-    covered = shared.where("n = na").select(F.col("a").alias(id_col)).distinct()
-    return groups.join(covered, id_col, "left_anti")
+    """Drops groups whose members are a strict subset of another's. Equal sets are compared once, and a set meets only those
+    larger ones that hold its rarest member, where the join tests containment. Groups without members stay."""
+    sets = groups.select(F.array_sort(F.array_distinct(members_col)).alias("s")).distinct()
+    member = sets.select("s", F.explode("s").alias("m"))
+    often = member.groupBy("m").agg(F.count("*").alias("n"))
+    rarest = member.join(often, "m").groupBy("s").agg(F.min(F.struct("n", "m"))["m"].alias("m"))
+    larger = member.select(F.col("s").alias("t"), "m")
+    holds = (F.size("t") > F.size("s")) & (F.size(F.array_intersect("s", "t")) == F.size("s"))
+    covered = rarest.join(larger, "m").where(holds).select("s").distinct()
+    keyed = groups.withColumn("_s", F.array_sort(F.array_distinct(members_col)))
+    return keyed.join(covered.withColumnRenamed("s", "_s"), "_s", "left_anti").drop("_s")

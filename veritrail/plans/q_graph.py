@@ -19,18 +19,16 @@ def _uuid5(value):
     return f"({d})[1:8] || '-' || ({d})[9:12] || '-5' || ({d})[14:16] || '-' || {variant} || ({d})[19:20] || '-' || ({d})[21:32]"
 
 
-_PLACED = "e AS (SELECT src, dst FROM edges WHERE rel = 'PLACED' AND substr(dst, 3)::BIGINT % 3 = 0 UNION ALL SELECT src, dst FROM edges WHERE rel = 'USES_EQUIPMENT' AND substr(src, 3)::BIGINT % 97 = 0)"
+_PLACED = "e AS (SELECT src, dst FROM edges WHERE rel IN ('PLACED', 'USES_EQUIPMENT'))"
 
 
-def _sparse(t):
-    e = substrate.edges(t)
-    number = lambda c: F.substring(c, 3, 20).cast("long")
-    return e.where("rel = 'PLACED'").where(number(F.col("dst")) % 3 == 0).union(e.where("rel = 'USES_EQUIPMENT'").where(number(F.col("src")) % 97 == 0))
+def _orders(t):
+    return substrate.edges(t).where("rel in ('PLACED', 'USES_EQUIPMENT')")
 
 
 @query(
     "j12_banded_expansion",
-    f"""WITH RECURSIVE {E}, {_PLACED}, s AS (SELECT 'c:' || c_custkey AS id, c_custkey % 11 / 10.0 AS score FROM customer WHERE c_custkey <= 60),
+    f"""WITH RECURSIVE {E}, {_PLACED}, s AS (SELECT 'c:' || c_custkey AS id, c_custkey % 11 / 10.0 AS score FROM customer),
     sym AS (SELECT src AS a, dst AS b, src || '>' || dst AS k FROM e UNION ALL SELECT dst, src, src || '>' || dst FROM e),
     one AS (SELECT id AS seed, score, b, k, 1 AS hops FROM s JOIN sym ON a = id WHERE score >= 0.3),
     two AS (SELECT seed, score, sym.b, sym.k, 2 FROM one JOIN sym ON sym.a = one.b AND sym.k <> one.k WHERE score > 0.9),
@@ -38,8 +36,8 @@ def _sparse(t):
     SELECT seed, b, hops::INT AS hops FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY hops, b) AS n FROM r) WHERE n <= CASE WHEN score > 0.9 THEN 40 ELSE 20 END""",
 )
 def j12(t):
-    seeds = t.customer.where("c_custkey <= 60").select(substrate.key("c", "c_custkey").alias("id"), (F.col("c_custkey") % 11 / 10.0).alias("score"))
-    return graph.banded_expansion(seeds, _sparse(t))
+    seeds = t.customer.select(substrate.key("c", "c_custkey").alias("id"), (F.col("c_custkey") % 11 / 10.0).alias("score"))
+    return graph.banded_expansion(seeds, _orders(t))
 
 
 @query(
@@ -72,7 +70,7 @@ def j17(t):
 
 @query(
     "j18_g15_r10_pathways",
-    """WITH o AS (SELECT o_orderkey, o_orderkey % 100 / 100.0 AS c, CASE WHEN o_orderkey % 9 = 0 THEN 'conflicting' END AS st FROM orders WHERE o_orderkey <= 400),
+    """WITH o AS (SELECT o_orderkey, o_orderkey % 100 / 100.0 AS c, CASE WHEN o_orderkey % 9 = 0 THEN 'conflicting' END AS st FROM orders),
     f AS (SELECT * FROM o ORDER BY c DESC, 'o:' || o_orderkey LIMIT 500),
     m AS (SELECT DISTINCT 'o:' || l_orderkey AS k, 'p:' || l_partkey AS id FROM lineitem WHERE l_linenumber <= 2), e AS (SELECT DISTINCT 'o:' || l_orderkey AS k, 's:' || l_suppkey AS id FROM lineitem WHERE l_linenumber = 3),
     r AS (SELECT DISTINCT 'o:' || l_orderkey AS k, 'm:' || l_orderkey || '-' || l_linenumber AS id, l_discount * 10 AS c FROM lineitem WHERE l_linenumber <= 2 AND l_tax > 0.02),
@@ -85,7 +83,7 @@ def j17(t):
 )
 def j18(t):
     null, none = F.lit(None).cast("double"), F.lit(None).cast("string")
-    o = t.orders.where("o_orderkey <= 400")
+    o = t.orders
     experiments = o.select(substrate.key("o", "o_orderkey").alias("id"), (F.col("o_orderkey") % 100 / 100.0).alias("confidence"), F.when(F.col("o_orderkey") % 9 == 0, "conflicting").alias("status"))
     branch = lambda df, key, col, c: df.select(key.alias("experiment"), col.alias("id"), c.alias("confidence"), none.alias("status"))
     of = substrate.key("o", "l_orderkey")
@@ -187,12 +185,12 @@ def g5(t):
 
 @query(
     "g6_components",
-    f"""WITH RECURSIVE {E}, {_PLACED}, sym AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+    f"""WITH RECURSIVE {E}, e AS (SELECT src, dst FROM edges WHERE rel = 'PLACED'), sym AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
     reach AS (SELECT a AS id, a AS r FROM sym UNION SELECT sym.b, reach.r FROM reach JOIN sym ON sym.a = reach.id WHERE reach.r <= sym.b)
     SELECT component, count(*) AS size FROM (SELECT id, min(r) AS component FROM reach GROUP BY id) GROUP BY 1""",
 )
 def g6(t):
-    e = _sparse(t)
+    e = substrate.edges(t).where("rel = 'PLACED'").select("src", "dst")
     nodes = e.select(F.col("src").alias("id")).union(e.select("dst")).distinct()
     return graph.components(nodes, e).groupBy("component").agg(F.count("*").alias("size"))
 
@@ -263,9 +261,9 @@ def g16(t):
     return found.select("a", "b", F.concat(F.lit("contradiction_"), F.concat_ws(":", F.col("a").cast("string"), F.col("b").cast("string"))).alias("k"))
 
 
-@query("g16_similar_cases", "WITH p AS (SELECT DISTINCT l_orderkey AS e, l_partkey AS k FROM lineitem WHERE l_partkey <= 40) SELECT a.e AS a, b.e AS b, list_sort(list(a.k)) AS shared, 0.7::DOUBLE AS score FROM p a JOIN p b ON a.k = b.k AND a.e < b.e GROUP BY a.e, b.e")
+@query("g16_similar_cases", "WITH p AS (SELECT DISTINCT l_orderkey AS e, l_partkey AS k FROM lineitem) SELECT a.e AS a, b.e AS b, list_sort(list(a.k)) AS shared, 0.7::DOUBLE AS score FROM p a JOIN p b ON a.k = b.k AND a.e < b.e GROUP BY a.e, b.e")
 def g16b(t):
-    return quality.similar_cases(t.lineitem.where("l_partkey <= 40").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("shared")))
+    return quality.similar_cases(t.lineitem.select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("shared")))
 
 
 @query("g16_risks", "SELECT l_orderkey, 'late' AS risk FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50 UNION ALL SELECT l_orderkey, 'returned' FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50")
@@ -289,11 +287,11 @@ def g17(t, spark):
 
 @query(
     "g17_shape_violations",
-    """WITH m AS (SELECT 'm:' || l_orderkey || '-' || l_linenumber AS id, * FROM lineitem WHERE l_orderkey < 3000)
+    """WITH m AS (SELECT 'm:' || l_orderkey || '-' || l_linenumber AS id, * FROM lineitem)
     SELECT id, 'HAS_UNIT' AS path FROM m WHERE id NOT IN (SELECT id FROM m WHERE l_quantity <> 7) UNION ALL SELECT id, 'value' FROM m WHERE l_discount = 0 AND l_tax = 0""",
 )
 def g17b(t):
-    items = t.lineitem.where("l_orderkey < 3000")
+    items = t.lineitem
     mid = F.concat_ws("-", F.concat(F.lit("m:"), F.col("l_orderkey").cast("string")), F.col("l_linenumber").cast("string"))
     nodes = items.select(mid.alias("id"), F.lit("Measurement").alias("label"), F.nullif("l_discount", F.lit(0.0)).alias("value_min"), F.nullif("l_tax", F.lit(0.0)).alias("value_max"))
     units = items.where("l_quantity <> 7").select(mid.alias("src"), F.lit("HAS_UNIT").alias("rel"), F.lit("u").alias("dst"))

@@ -67,10 +67,10 @@ def j8(t):
 
 @query(
     "j9_shared_neighbour_pairs",
-    "WITH s AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem WHERE l_partkey < 60) SELECT a.s AS a, b.s AS b, count(*) AS shared FROM s a JOIN s b ON a.p = b.p AND a.s < b.s GROUP BY ALL",
+    "WITH s AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem) SELECT a.s AS a, b.s AS b, count(*) AS shared FROM s a JOIN s b ON a.p = b.p AND a.s < b.s GROUP BY ALL",
 )
 def j9(t):
-    s = t.lineitem.where("l_partkey < 60").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
+    s = t.lineitem.select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("p")).distinct()
     return s.select(F.col("s").alias("a"), "p").join(s.select(F.col("s").alias("b"), "p"), "p").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
@@ -199,9 +199,9 @@ def a10(t):
     return t.lineitem.groupBy(F.col("l_partkey").alias("entity")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "entity").limit(40)
 
 
-@query("a11_chunk_frequency", "SELECT l_orderkey AS chunk, count(DISTINCT l_partkey) AS n FROM lineitem WHERE l_partkey <= 300 GROUP BY 1 ORDER BY n DESC, chunk LIMIT 3")
+@query("a11_chunk_frequency", "SELECT l_orderkey AS chunk, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, chunk LIMIT 3")
 def a11(t):
-    return t.lineitem.where("l_partkey <= 300").groupBy(F.col("l_orderkey").alias("chunk")).agg(F.count_distinct("l_partkey").alias("n")).orderBy(F.desc("n"), "chunk").limit(3)
+    return t.lineitem.groupBy(F.col("l_orderkey").alias("chunk")).agg(F.count_distinct("l_partkey").alias("n")).orderBy(F.desc("n"), "chunk").limit(3)
 
 
 @query("a12_community_picks", "SELECT n_nationkey AS community, count(DISTINCT s_suppkey) AS rank, sum(s_acctbal) > 0 AS positive FROM nation LEFT JOIN supplier ON n_nationkey = s_nationkey GROUP BY 1 ORDER BY rank, community DESC LIMIT 3")
@@ -212,13 +212,13 @@ def a12(t):
 
 @query(
     "a13_inside_outside",
-    f"""WITH {substrate.EDGES_SQL}, seed AS (SELECT 'o:' || o_orderkey AS id FROM orders WHERE o_orderkey < 200 UNION SELECT 'p:' || p_partkey FROM part WHERE p_partkey < 300),
+    f"""WITH {substrate.EDGES_SQL}, seed AS (SELECT 'o:' || o_orderkey AS id FROM orders WHERE o_orderpriority = '1-URGENT' UNION SELECT 'p:' || p_partkey FROM part WHERE p_size <= 10),
     e AS (SELECT * FROM edges WHERE rel = 'USES_MATERIAL')
     SELECT 'inside' AS side, src || '>' || dst AS what, 1::BIGINT AS n FROM e WHERE src IN (SELECT id FROM seed) AND dst IN (SELECT id FROM seed) UNION ALL
     (SELECT 'outside', dst, count(*) AS n FROM e WHERE src IN (SELECT id FROM seed) AND dst NOT IN (SELECT id FROM seed) GROUP BY dst ORDER BY n DESC, dst LIMIT 10)""",
 )
 def a13(t):
-    seed = t.orders.where("o_orderkey < 200").select(substrate.key("o", "o_orderkey").alias("id")).union(t.part.where("p_partkey < 300").select(substrate.key("p", "p_partkey")))
+    seed = t.orders.where("o_orderpriority = '1-URGENT'").select(substrate.key("o", "o_orderkey").alias("id")).union(t.part.where("p_size <= 10").select(substrate.key("p", "p_partkey")))
     e = substrate.edges(t).where("rel = 'USES_MATERIAL'").join(seed.select(F.col("id").alias("src")), "src", "left_semi")
     end = seed.select(F.col("id").alias("dst"))
     inside = e.join(end, "dst", "left_semi").select(F.lit("inside").alias("side"), F.concat_ws(">", "src", "dst").alias("what"), F.lit(1).cast("long").alias("n"))
@@ -252,10 +252,10 @@ def a15(t):
     return met.groupBy("community").agg(F.count_distinct("c_custkey").alias("rank"), F.count_distinct("o_orderkey").alias("weight"))
 
 
-@query("a19_slot_coverage", "WITH s AS (SELECT unnest(['nthing', 'zzzz', 'license']) AS slot), c AS (SELECT slot, count(doc_id) AS n FROM s LEFT JOIN (SELECT * FROM documents WHERE doc_id < 300) ON contains(lower(text), slot) GROUP BY 1) SELECT slot, n, CASE WHEN n >= 2 THEN 'covered' WHEN n = 1 THEN 'weak' ELSE 'missing' END AS state FROM c")
+@query("a19_slot_coverage", "WITH s AS (SELECT unnest(['nthing', 'zzzz', 'license']) AS slot), c AS (SELECT slot, count(doc_id) AS n FROM s LEFT JOIN documents ON contains(lower(text), slot) GROUP BY 1) SELECT slot, n, CASE WHEN n >= 2 THEN 'covered' WHEN n = 1 THEN 'weak' ELSE 'missing' END AS state FROM c")
 def a19(t):
     slots = ["nthing", "zzzz", "license"]
-    results = t.documents.where("doc_id < 300").select(text.matched_slots(slots, F.col("text")).alias("matched_slots"))
+    results = t.documents.select(text.matched_slots(slots, F.col("text")).alias("matched_slots"))
     return slot_coverage(results, slots)
 
 
@@ -438,10 +438,10 @@ def w10(t):
     return kept.select("conv_id", "turn", F.row_number().over(own.orderBy("turn")).alias("i"))
 
 
-@query("w11_citation_labels", "SELECT doc_id, 'S' || row_number() OVER (ORDER BY (quality = 1) DESC, toxic, doc_id) AS label FROM (SELECT * FROM labels WHERE doc_id < 200)")
+@query("w11_citation_labels", "SELECT doc_id, 'S' || row_number() OVER (ORDER BY (quality = 1) DESC, toxic, doc_id) AS label FROM labels")
 def w11(t):
     n = F.row_number().over(Window.orderBy(F.desc(F.col("quality") == 1), "toxic", "doc_id"))
-    return t.labels.where("doc_id < 200").select("doc_id", F.concat(F.lit("S"), n.cast("string")).alias("label"))
+    return t.labels.select("doc_id", F.concat(F.lit("S"), n.cast("string")).alias("label"))
 
 
 @query("w12_ordinal_by_kind", "SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1)::INT AS ordinal FROM conversations")
@@ -489,11 +489,11 @@ def l6(t):
     return page(t.documents.select("doc_id"), [F.col("doc_id")], 3).crossJoin(pages)
 
 
-@query("l7_severity_order", "SELECT i, s FROM (SELECT row_number() OVER (ORDER BY s DESC, k) AS i, s FROM (SELECT o_orderkey AS k, ['high', 'medium', 'unknown'][o_orderkey % 3 + 1] AS s FROM orders WHERE o_orderkey <= 60))")
+@query("l7_severity_order", "SELECT i, s FROM (SELECT row_number() OVER (ORDER BY s DESC, k) AS i, s FROM (SELECT o_orderkey AS k, ['high', 'medium', 'unknown'][o_orderkey % 3 + 1] AS s FROM orders ORDER BY s DESC, k LIMIT 60))")
 def l7(t):
-    """Severities sort as strings: unknown, medium, high."""
+    """The first 60 risks; severities sort as strings: unknown, medium, high."""
     s = F.element_at(F.array(*map(F.lit, ("high", "medium", "unknown"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
-    rows = t.orders.where("o_orderkey <= 60").select(F.col("o_orderkey").alias("k"), s.alias("s"))
+    rows = t.orders.select(F.col("o_orderkey").alias("k"), s.alias("s")).orderBy(F.desc("s"), "k").limit(60)
     return rows.select(F.row_number().over(Window.orderBy(F.desc("s"), "k")).alias("i"), "s")
 
 
@@ -543,10 +543,10 @@ def u4(t):
     return t.documents.select("doc_id", F.slice(F.array_distinct(F.split("text", " ")), 1, 6).alias("words"))
 
 
-@query("u5_collection_algebra", "SELECT l_orderkey, list_sort(list_filter(list_distinct(flatten(list([l_partkey, l_suppkey]))), lambda x: x NOT IN (1, 2, 3))) AS ids FROM lineitem WHERE l_orderkey < 500 GROUP BY 1")
+@query("u5_collection_algebra", "SELECT l_orderkey, list_sort(list_filter(list_distinct(flatten(list([l_partkey, l_suppkey]))), lambda x: x NOT IN (1, 2, 3))) AS ids FROM lineitem GROUP BY 1")
 def u5(t):
     flat = F.array_distinct(F.flatten(F.collect_list(F.array("l_partkey", "l_suppkey"))))
-    return t.lineitem.where("l_orderkey < 500").groupBy("l_orderkey").agg(F.array_sort(F.array_except(flat, F.array(*[F.lit(v).cast("long") for v in (1, 2, 3)]))).alias("ids"))
+    return t.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.array_except(flat, F.array(*[F.lit(v).cast("long") for v in (1, 2, 3)]))).alias("ids"))
 
 
 @query("u6_union_distinct", "SELECT l_partkey AS k FROM lineitem WHERE l_quantity = 50 UNION SELECT l_suppkey FROM lineitem WHERE l_quantity = 49")
@@ -567,9 +567,10 @@ def u8(t):
 
 @query(
     "u9_maximal_sets",
-    """WITH g AS (SELECT l_orderkey AS g, list_sort(list(DISTINCT l_suppkey % 12)) AS m FROM lineitem WHERE l_orderkey < 1500 GROUP BY 1)
-    SELECT g, m FROM g a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE len(b.m) > len(a.m) AND list_has_all(b.m, a.m))""",
+    """WITH g AS (SELECT l_orderkey AS g, list_sort(list(DISTINCT l_suppkey)) AS m FROM lineitem GROUP BY 1), u AS (SELECT g, len(m) AS n, unnest(m) AS x FROM g),
+    s AS (SELECT a.g FROM u a JOIN u b ON a.x = b.x AND b.n > a.n GROUP BY a.g, b.g, a.n HAVING count(*) = a.n)
+    SELECT g, m FROM g WHERE g NOT IN (SELECT g FROM s)""",
 )
 def u9(t):
-    g = t.lineitem.where("l_orderkey < 1500").groupBy(F.col("l_orderkey").alias("g")).agg(F.array_sort(F.collect_set(F.col("l_suppkey") % 12)).alias("m"))
+    g = t.lineitem.groupBy(F.col("l_orderkey").alias("g")).agg(F.array_sort(F.collect_set("l_suppkey")).alias("m"))
     return maximal_sets(g, "g", "m").select("g", "m")

@@ -233,7 +233,7 @@ def f23(t):
 @query(
     "f24_quote_verification",
     rf"""WITH n AS (SELECT item_id, doc_id, lower(regexp_replace(regexp_replace(b.text, '\s+', ' ', 'g'), {TRIM})) AS q, lower(regexp_replace(regexp_replace(d.text, '\s+', ' ', 'g'), {TRIM})) AS s
-        FROM benchmark b, documents d WHERE item_id < 5),
+        FROM benchmark b, documents d WHERE item_id % 20 = 0),
     w AS (SELECT *, regexp_extract_all(q, '[\p{{L}}\p{{N}}]+(?:[.,]\d+)?') AS qw, regexp_extract_all(s, '[\p{{L}}\p{{N}}]+(?:[.,]\d+)?') AS sw,
         regexp_extract_all(q, '\d+(?:[.,]\d+)?') AS qn, regexp_extract_all(s, '\d+(?:[.,]\d+)?') AS sn FROM n),
     v AS (SELECT item_id, doc_id, CASE WHEN contains(s, q) THEN 0.9 WHEN len(qw) >= 4 AND len(list_filter(qw, lambda x: list_contains(sw, x))) >= 0.85 * len(qw)
@@ -242,7 +242,7 @@ def f23(t):
 )
 def f24(t):
     # five stated quotes against all documents
-    quotes = t.benchmark.where("item_id < 5").select("item_id", F.col("text").alias("quote"))
+    quotes = t.benchmark.where("item_id % 20 = 0").select("item_id", F.col("text").alias("quote"))
     pairs = t.documents.select("doc_id", "text").crossJoin(F.broadcast(quotes))
     return pairs.select("item_id", "doc_id", text.quote_confidence(F.col("quote"), F.col("text"), F.lit(0.9)).alias("confidence")).where("confidence is not null")
 
@@ -422,16 +422,15 @@ def p3(t):
 
 @query(
     "p14_opposition",
-    """WITH l AS (SELECT doc_id, source, lower(text) AS x FROM documents WHERE doc_id < 400)
-    SELECT a.doc_id AS a, b.doc_id AS b FROM l a JOIN l b ON a.source = b.source AND a.doc_id < b.doc_id
-    WHERE (contains(a.x, 'shesh') AND contains(b.x, 'tionou')) OR (contains(b.x, 'shesh') AND contains(a.x, 'tionou'))""",
+    """WITH l AS (SELECT doc_id, source, contains(lower(text), 'shesh') AS one, contains(lower(text), 'tionou') AS other FROM documents),
+    n AS (SELECT source, count(*) FILTER (one) AS n_one, count(*) FILTER (other) AS n_other, count(*) FILTER (one AND other) AS n_both FROM l GROUP BY 1)
+    SELECT doc_id, CASE WHEN one AND other THEN n_one + n_other - n_both - 1 WHEN one THEN n_other ELSE n_one END AS opposers
+    FROM l JOIN n USING (source) WHERE (one OR other) AND CASE WHEN one AND other THEN n_one + n_other - n_both - 1 WHEN one THEN n_other ELSE n_one END > 0""",
 )
 def p14(t):
-    d = t.documents.where("doc_id < 400").select("doc_id", "source", "text")
-    a, b = d.alias("a"), d.alias("b")
-    pairs = a.join(b, (F.col("a.source") == F.col("b.source")) & (F.col("a.doc_id") < F.col("b.doc_id")))
-    found = pairs.where(text.opposed(F.col("a.text"), F.col("b.text"), ((("shesh",), ("tionou",)),)))
-    return found.select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b"))
+    from veritrail.operators.quality import opposers
+
+    return opposers(t.documents.select("doc_id", "source", "text"), "doc_id", "source", "text", ((("shesh",), ("tionou",)),)).select("doc_id", "opposers")
 
 
 @query("p15_technology_claims", "SELECT doc_id FROM documents WHERE " + " OR ".join(f"contains(lower(text), '{s}')" for s in ("tionsh", *text.TECHNOLOGY_STEMS)))
