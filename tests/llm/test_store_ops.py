@@ -220,7 +220,7 @@ def test_arc_records_convert(version):
     archive = b"".join(r.to_bytes() + warc.END for r in records)
     back = list(warc.read_warc(archive))
     assert [(r.headers, r.block) for r in back] == [(r.headers, r.block) for r in records]
-    assert list(warc.packed(iter([]))) == []
+    assert list(warc.grouped(iter([]))) == []
     with pytest.raises(ValueError):
         list(warc.read_arc(data[:-8]))
     with pytest.raises(ValueError):
@@ -246,6 +246,29 @@ def test_pages_round_trip(spark, monkeypatch):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+def test_archives_hold_a_member_for_each_record(spark, tmp_path, monkeypatch):
+    import gzip
+    import zlib
+
+    monkeypatch.setattr(warc, "ARCHIVE", 4000)
+    rows = [(i, f"http://a/{i}", "same" * 400 if i % 2 else f"page {i} " * 120) for i in range(12)]
+    folders = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "out"))
+    kinds = []
+    for folder in folders:
+        for file in sorted((tmp_path / "out" / folder.rsplit("/", 1)[1]).glob("part-*")):
+            data, members = file.read_bytes().rstrip(b"\0"), []
+            while data:
+                d = zlib.decompressobj(31)
+                members.append(d.decompress(data))
+                data = d.unused_data
+            if not members:  # of a task without rows
+                continue
+            own = [next(warc.read_warc(m)).headers["WARC-Type"] for m in members]
+            assert own[0] == "warcinfo" and len(own) > 1 and gzip.decompress(file.read_bytes()) == b"".join(members)
+            kinds += own[1:]
+    assert sorted(kinds) == ["response"] * 7 + ["revisit"] * 5
+
+
 def test_arc_files_convert_by_path(spark, tmp_path):
     import gzip
 
