@@ -308,6 +308,17 @@ def test_attribution_rules_conserve_tokens():
             assert np.allclose(counts, want) and abs(counts.sum() - len(first)) < 1e-9
 
 
+def test_long_texts_are_encoded_in_blocks(monkeypatch):
+    from veritrail.llm import bpe, token_counts as tc
+
+    data = open(TOKENIZER.path("byte_bpe_50k.tiktoken"), "rb").read()
+    counter = Counter(bpe.read_ranks(data.split(b"\n")), TOKENIZER.PATTERN)
+    text = "Some words, 12 of them \U0001f600 é\n\n  more " * 40
+    whole = counter.spans(text)
+    monkeypatch.setattr(tc, "blocks", lambda t: bpe.blocks(t, 37))
+    assert len(list(bpe.blocks(text, 37))) > 20 and all(np.array_equal(a, b) for a, b in zip(whole, counter.spans(text)))
+
+
 def test_token_counts_with_given_sections_and_odd_rows(spark):
     rows = [(1, "title here body follows", [("title", 0, 10), ("body", 11, 999)]), (2, None, None), (3, "", [("x", 0, 5)]), (None, "abc", []), (4, "abc def", [("x", None, 3), None])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, s array<struct<name:string,start:int,end:int>>")

@@ -31,6 +31,21 @@ from veritrail.llm.common import small_batches
 REMEMBER = 250_000
 
 
+def blocks(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """text in parts of about `size` characters, each cut before a blank that follows something else than white space:
+    no piece of the pattern holds such a place inside, and none looks back over it."""
+    at = 0
+    while len(text) - at > size:
+        cut = text.find(" ", at + size)
+        while cut > 0 and text[cut - 1].isspace():
+            cut = text.find(" ", cut + 1)
+        if cut < 0:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
+
+
 class Vocabulary:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.pattern = regex.compile(pattern)
@@ -164,19 +179,7 @@ class Vocabulary:
             end -= len(self.bytes_of[token])
         return tuple(out[::-1])
 
-    def blocks(self, text: str, size: int = 1 << 20) -> Iterator[str]:
-        """text in parts of about `size` characters, each cut before a blank that follows something else than white space:
-        no piece of the pattern holds such a place inside, and none looks back over it."""
-        at = 0
-        while len(text) - at > size:
-            cut = text.find(" ", at + size)
-            while cut > 0 and text[cut - 1].isspace():
-                cut = text.find(" ", cut + 1)
-            if cut < 0:
-                break
-            yield text[at:cut]
-            at = cut
-        yield text[at:]
+    blocks = staticmethod(blocks)
 
     def encode(self, text: str) -> list[int]:
         known, pieces = self.pieces, self.pattern.findall(text)
@@ -279,7 +282,7 @@ def encode_decode(docs: DataFrame, vocab_file: str, pattern: str, id_col: str =
             count, coded, decoded, kept = [], [], [], []
             for text in batch.column(1):
                 n, told, back, held = 0, hashlib.sha256(), hashlib.sha256(), []
-                for part in v.blocks((text.as_py() or b"").decode("utf-8", "replace")):
+                for part in blocks((text.as_py() or b"").decode("utf-8", "replace")):
                     ids = v.encode(part)
                     told.update((" " * (n > 0 and len(ids) > 0) + " ".join(map(text_of, ids))).encode())
                     back.update(v.decode(ids))

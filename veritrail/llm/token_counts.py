@@ -1,8 +1,9 @@
 """Token counts of fields or sections by offset-mapped attribution.
 
 A whole document is encoded once. Each token's bytes give its span of characters (a token that begins or ends inside a
-character's bytes reaches over the whole character). Sections are spans of characters; tokens and sections meet in an
-interval join, by painting characters with their section. A token over a boundary is allocated by an explicit rule:
+character's bytes reaches over the whole character). Sections are spans of characters; they cut the text into sorted
+intervals, and tokens meet these in an interval join by binary search. A token over a boundary is allocated by an explicit
+rule:
 
 * "start": to the section of its first character;
 * "most": to the section with most of its characters, ties to the earlier one;
@@ -12,7 +13,8 @@ Counts of all sections and of the part outside any (section null) add up to the
 
 Defined results for odd input: null or empty text has no tokens and, by lines, no section; a character in several
 sections belongs to the first listed; sections that reach outside the text are cut to it, empty ones get no token;
-repeated rows are counted each; an empty table gives an empty result; other columns are not read.
+very long texts are encoded in blocks cut where no token can span, so that memory for tokens is a few numbers each; repeated
+rows are counted each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.llm.bpe import read_ranks
+from veritrail.llm.bpe import blocks, read_ranks
 from veritrail.llm.common import small_batches
 
 RULES = ("start", "most", "share")
@@ -41,12 +43,17 @@ class Counter:
             self.size[rank] = len(token)
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The first character of each token, and the one after its last."""
-        ids = np.array(self.encoding.encode_ordinary(text), np.int64)
-        stop = np.cumsum(self.size[ids])
-        data = np.frombuffer(text.encode(), np.uint8)
-        character = np.cumsum((data & 0xC0) != 0x80) - 1
-        return character[stop - self.size[ids]], character[stop - 1] + 1
+        """The first character of each token, and the one after its last. A long text is encoded in blocks."""
+        firsts, stops, before = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+        for part in blocks(text):
+            ids = np.array(self.encoding.encode_ordinary(part), np.int64)
+            stop = np.cumsum(self.size[ids])
+            data = np.frombuffer(part.encode(), np.uint8)
+            character = np.cumsum((data & 0xC0) != 0x80) - 1 + before
+            firsts.append(character[stop - self.size[ids]])
+            stops.append(character[stop - 1] + 1)
+            before += len(part)
+        return np.concatenate(firsts), np.concatenate(stops)
 
 
 def lines(text: str) -> list[tuple[str, int, int]]:
@@ -60,26 +67,40 @@ def lines(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def intervals(n_chars: int, sections: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, owners): the text as intervals of one owner each, in order; the owner is the first section listed that holds
+    the interval, or len(sections). Neighbours of the same owner are one interval."""
+    cuts = np.unique(np.clip([0, *(x for s in sections for x in s[1:3])], 0, n_chars))
+    cuts = cuts[cuts < max(1, n_chars)]
+    owner = np.full(len(cuts), len(sections), np.int64)
+    for k in range(len(sections) - 1, -1, -1):
+        first, stop = np.searchsorted(cuts, np.clip(sections[k][1:3], 0, n_chars))
+        owner[first:stop] = k
+    new = np.concatenate(([True], owner[1:] != owner[:-1]))
+    return cuts[new], owner[new]
+
+
 def attributed(first: np.ndarray, stop: np.ndarray, n_chars: int, sections: list[tuple[str, int, int]], rule: str) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, tokens over a boundary) for each section and, last, for what lies outside."""
+    """(tokens, tokens over a boundary) for each section and, last, for what lies outside: a join of the sorted spans of
+    tokens with the sorted intervals of sections by binary search."""
     outside = len(sections)
-    owner = np.full(n_chars, outside, np.int64)
-    for k in range(outside - 1, -1, -1):
-        owner[max(0, sections[k][1]) : max(0, sections[k][2])] = k
+    starts, owner = intervals(n_chars, sections)
     counts, crossing = np.zeros(outside + 1), np.zeros(outside + 1, np.int64)
     if not len(first):
         return counts, crossing
-    change = np.concatenate(([0], np.cumsum(owner[1:] != owner[:-1])))
-    over = change[first] != change[stop - 1]
-    np.add.at(counts, owner[first[~over]], 1)
-    for a, b in zip(first[over], stop[over]):
-        met = np.bincount(owner[a:b], minlength=outside + 1)
+    low, high = np.searchsorted(starts, first, "right") - 1, np.searchsorted(starts, stop - 1, "right") - 1
+    over = low != high
+    np.add.at(counts, owner[low[~over]], 1)
+    ends = np.append(starts[1:], n_chars)
+    for a, b, i, j in zip(first[over], stop[over], low[over], high[over]):
+        own = owner[i : j + 1]
+        share = np.minimum(ends[i : j + 1], b) - np.maximum(starts[i : j + 1], a)  # characters of the token in each interval
+        met = np.bincount(own, weights=share, minlength=outside + 1)
         crossing[np.flatnonzero(met)] += 1
         if rule == "start":
-            counts[owner[a]] += 1
+            counts[own[0]] += 1
         elif rule == "most":
-            most = np.flatnonzero(met == met.max())
-            counts[owner[a:b][np.isin(owner[a:b], most)][0]] += 1
+            counts[own[np.argmax(met[own])]] += 1
         else:
             counts += met / met.sum()
     return counts, crossing
