@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from veritrail.llm.common import small_batches
+from veritrail.llm.common import small_batches, written
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3, 4)
@@ -108,9 +108,10 @@ def sampled(rows: DataFrame, by: str, per_group: int, key: list[str], counted: D
     A threshold on the hash, from the groups' counts, cuts the rows to about that number before any is ranked. counted:
     rows to take those counts from if rows themselves are costly to read (their groups must include those of rows).
     """
-    sizes = (rows if counted is None else counted).groupBy(by).agg(F.least(F.lit(1.0), 1.5 * (per_group + 50) / F.count("*")).alias("_vt_share"))
+    # a row for each group, written: its size is known, so Spark broadcasts it if it is small
+    sizes = written((rows if counted is None else counted).groupBy(by).agg(F.least(F.lit(1.0), 1.5 * (per_group + 50) / F.count("*")).alias("_vt_share")), "shares")
     place = F.xxhash64(*[x for k in key for x in (F.col(k).isNull(), F.col(k))])
-    placed = rows.withColumn("_vt_place", place).join(sizes, by)  # a row for each group; Spark broadcasts it if it is small
+    placed = rows.withColumn("_vt_place", place).join(sizes, by)
     near = placed.where(F.col("_vt_place").cast("double") / 2.0**64 + 0.5 <= F.col("_vt_share")).drop("_vt_share")
     rank = F.row_number().over(Window.partitionBy(by).orderBy("_vt_place"))
     return near.dropDuplicates([by, "_vt_place"]).withColumn("_vt_rank", rank).where(F.col("_vt_rank") <= per_group).drop("_vt_rank", "_vt_place")
