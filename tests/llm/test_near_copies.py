@@ -76,3 +76,21 @@ def test_stage_agrees_with_brute_force(spark, tmp_path):
     root = brute(texts)
     got = stage(spark, [(i, t, "x", "s", 1) for i, t in enumerate(texts)], str(tmp_path))
     assert [i for i, _ in got] == sorted({*root}, key=str)
+
+
+def test_changed_copies_make_few_pairs(spark, monkeypatch):
+    """A group of copies, each with its own changes, most of them under the bound: no pairs in the square of the group."""
+    from veritrail.llm import simhash
+
+    rnd, base, texts = random.Random(5), [f"b{i}" for i in range(90)], []
+    for k in range(240):
+        words = list(base)
+        for _ in range(rnd.choice([0, 1, 2, 3, 4, 6])):
+            words[rnd.randrange(90)] = f"n{k}x{rnd.randint(0, 999)}"
+        texts.append(" ".join(words))
+    seen, own = [], simhash.linked
+    monkeypatch.setattr(simhash, "linked", lambda texts, pairs, *rest: (seen.append(pairs.count()), own(texts, pairs, *rest))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, shingle=5, similarity=(4, 5)).collect()}
+    assert got == dict(enumerate(brute(texts))) and len(set(got.values())) > 40
+    assert sum(seen[1:]) < 240 * 10, seen

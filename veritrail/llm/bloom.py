@@ -62,7 +62,7 @@ def filled(keys: DataFrame, level: Level) -> Level:
     return level
 
 
-def _suspect(rows: DataFrame, id_col: str, keys: DataFrame) -> Column | None:
+def suspected(rows: DataFrame, id_col: str, keys: DataFrame) -> Column | None:
     """Whether a Bloom filter of keys (one column, id_col), of at most SPARING_BITS, passes the row's key; None without keys."""
     n = keys.count()
     if not n:
@@ -85,7 +85,7 @@ def without(rows: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
     and only the others (the dropped ones and a few by error) go through the exact anti-join's shuffle. With more ids than
     the filter can tell apart more rows are shuffled; the result is the same."""
     ids = dropped.distinct()
-    hit = _suspect(rows, id_col, ids)
+    hit = suspected(rows, id_col, ids)
     if hit is None:
         return rows
     return rows.where(~hit).unionByName(rows.where(hit).join(ids, id_col, "left_anti"))
@@ -94,7 +94,7 @@ def without(rows: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
 def once(rows: DataFrame, id_col: str, repeated: DataFrame) -> DataFrame:
     """rows with one row of each id; repeated (one column, id_col): the ids that occur more than once. Only rows that a
     Bloom filter of these passes are shuffled, after each task has merged its own."""
-    hit = _suspect(rows, id_col, repeated)
+    hit = suspected(rows, id_col, repeated)
     if hit is None:
         return rows
     return rows.where(~hit).unionByName(rows.where(hit).dropDuplicates([id_col]))

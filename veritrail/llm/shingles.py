@@ -12,18 +12,19 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.llm.bloom import SPARING_BITS, Level, filled, hash_pair
+from veritrail.llm.bloom import suspected
 from veritrail.llm.common import written
 
 SEED = 42
 BANDS, ROWS = 20, 5
 PERMS = BANDS * ROWS
+#: 64-bit words of a text's map of shingles.
+WORDS = 16
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _CHUNK, _BLOCK = 1 << 16, 1 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0D]")
@@ -82,24 +83,17 @@ def similar(a: np.ndarray, b: np.ndarray, least: tuple[int, int]) -> bool:
     return least[1] * both >= least[0] * (len(a) + len(b) - both)
 
 
-def linked(texts: DataFrame, pairs: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
-    """Those of pairs (a, b) that are similar; a and b are keys of texts (cls, text binary). Only texts of pairs are
+def fetched(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """The rows of texts (cls, text binary) whose cls is in needed (cls, distinct), one for each, written. Only these are
     shuffled: a Bloom filter of the keys, of at most SPARING_BITS, rejects nearly all others where they are."""
-    needed = written(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "needed")
-    n = needed.count()
-    if not n:
-        return pairs
-    h, g = hash_pair(F.col("cls"))
-    level = filled(needed.select(h.alias("h"), g.alias("g")), Level(0, n, 0.01, SPARING_BITS))
-    shared = texts.sparkSession.sparkContext.broadcast(level)
-
-    @F.pandas_udf("boolean")
-    def suspect(h: pd.Series, g: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.passes(h.to_numpy(np.int64).view(np.uint64), g.to_numpy(np.int64).view(np.uint64)))
-
-    hit = texts.where(suspect(h, g)).dropDuplicates(["cls"]).join(needed, "cls", "left_semi")
-    own = written(hit, "texts")
-    one, other = (own.select(F.col("cls").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    hit = suspected(texts, "cls", needed)
+    found = texts.where("false") if hit is None else texts.where(hit).dropDuplicates(["cls"]).join(needed, "cls", "left_semi")
+    return written(found, "texts")
+
+
+def linked(texts: DataFrame, pairs: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
+    """Those of pairs (a, b), keys of texts (cls, text binary; one row for each), that are similar."""
+    one, other = (texts.select(F.col("cls").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = lru_cache(64)(lambda text: distinct(list(hashes(text, shingle))))
@@ -109,3 +103,36 @@ def linked(texts: DataFrame, pairs: DataFrame, shingle: int, least: tuple[int, i
 
     both = pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(run, "a long, b long")
+
+
+def own_shingles(texts: DataFrame, shingle: int) -> DataFrame:
+    """(cls, own): how many of a text's shingles no other of texts (cls, text binary) has; texts without any are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = distinct(list(hashes(batch.column(1)[k].as_py(), shingle))).view(np.int64)
+                for at in range(0, len(found), _CHUNK):
+                    part = pa.array(found[at : at + _CHUNK])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), batch.column(0)[k].as_py(), np.int64)), part], names=["cls", "h"])
+
+    grams = texts.select("cls", "text").mapInArrow(run, "cls long, h long")
+    alone = grams.groupBy("h").agg(F.count("*").alias("n"), F.min("cls").alias("cls")).where("n = 1")
+    return alone.groupBy("cls").agg(F.count("*").alias("own"))
+
+
+def bitmaps(texts: DataFrame, shingle: int) -> DataFrame:
+    """(cls, bits array<long>): a bit for each shingle of texts (cls, text binary) by its hash, 64 * WORDS in all. A bit that one
+    text has and another lacks is a shingle that only the first has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for text in batch.column(1):
+                bits = np.zeros(64 * WORDS, np.uint8)
+                for part in hashes(text.as_py(), shingle):
+                    bits[part % np.uint64(len(bits))] = 1
+                made.append(np.packbits(bits).view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["cls", "bits"])
+
+    return texts.select("cls", "text").mapInArrow(run, "cls long, bits array<long>")

@@ -18,10 +18,12 @@ that. Fingerprints at most `max_bits` apart are candidates as before. But at 0.8
 average and up to 18, and at such a radius segments are too short to be keys; so candidates come from MinHash
 bands of the same shingles too (20 of 5 rows: a pair at 0.8 shares one with probability 0.9996, closer ones with more). Each
 link is then decided exactly, from the texts. A bucket of n texts doesn't make n^2 pairs: first each text is compared with
-the bucket's least one and links are merged to components; then every pair of a bucket that is still in different
-components is compared. What is skipped is joined already, so components are those of all candidate pairs. In a group of
-texts that share bands and yet aren't similar (a common passage in short texts) these pairs do grow with the square
-of the group.
+the bucket's least one and links are merged to components. In buckets of several components each text's shingles that no
+other text of such buckets has are counted: they bound the similarity that it can have to any, or to one of a known size
+and count, which leaves out texts that share no more than a passage or are changed too much. Then each text is compared
+with the bucket's text that has the smallest part of own shingles, and last the pairs that are still in different
+components and within bounds from 1024-bit maps of their shingles, which the join that makes them tests. What is skipped is
+joined already or can't be similar, so components are those of all candidate pairs.
 
 Defined results for odd input:
 * null or empty text, or text of white space only: no words; fingerprint zero, linked like any other (by similarity: to
@@ -45,7 +47,7 @@ from pyspark.sql import functions as F
 
 from veritrail.llm.common import small_batches, written
 from veritrail.llm.components import components, joined, named
-from veritrail.llm.shingles import bands, distinct, hashes, linked
+from veritrail.llm.shingles import WORDS, bands, bitmaps, distinct, fetched, hashes, linked, own_shingles
 
 BITS = 64
 #: Unlinked fingerprints that one may meet by chance before the chain is made longer.
@@ -145,25 +147,27 @@ def links(distinct_fp: DataFrame, max_bits: int = 4, segments: int | None = None
 
 
 def _by_text(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, cls: XXH64 of the text, fp, bands) for each row of docs."""
+    """(id, cls: XXH64 of the text, fp, bands, size: of its shingle set) for each row of docs."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     picked = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("cls"), text.cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, keys = [], []
+            fps, keys, sizes = [], [], []
             for text in batch.column(2):
                 parts = list(hashes(text.as_py(), shingle))
                 fps.append(folded(parts))
                 keys.append(bands(distinct(parts)))
-            made = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["id", "cls", "fp", "bands"])
+                sizes.append(len(distinct(parts)))
+            made = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], names=["id", "cls", "fp", "bands", "size"])
 
-    return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, cls long, fp long, bands array<long>")
+    return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, cls long, fp long, bands array<long>, size long")
 
 
 def _similar_links(docs: DataFrame, text_col: str, classes: DataFrame, max_bits: int, shingle: int, similarity: tuple[int, int]) -> DataFrame:
-    """Links (a, b) between classes (cls, fp, bands) of docs that have the components of all similar candidates."""
+    """Links (a, b) between classes (cls, fp, bands, size) of docs that have the components of all similar candidates."""
+    over, under = similarity
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.xxhash64(text).alias("cls"), text.cast("binary").alias("text"))
     fp_key = F.xxhash64(F.lit("fp"), "fp")
@@ -174,20 +178,41 @@ def _similar_links(docs: DataFrame, text_col: str, classes: DataFrame, max_bits:
     buckets = index.groupBy("band").agg(F.min("cls").alias("lead"), F.count("*").alias("n")).where("n > 1")
     buckets = written(buckets, "leads")
     most = buckets.agg(F.max("n")).first()[0] or 0
-    shared = written(joined(index, buckets.drop("n"), "band", "cls", most), "buckets")
+    sized = index.join(classes.select("cls", "size"), "cls")
+    shared = written(joined(sized, buckets.drop("n"), "band", "cls", most), "buckets")
+    texts = fetched(texts, written(shared.select("cls").distinct(), "needed"))
     first = written(shared.where("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
     found = written(linked(texts, first, shingle, similarity), "similar")
-    # pairs of a bucket in different components: at least one of the two is outside the bucket's largest component
-    root = components(found)
-    placed = shared.join(root, shared["cls"] == root["node"], "left").select("band", "cls", F.coalesce("root", "cls").alias("root"))
+    # shingles that a text has alone, of those whose bucket is not of one component, tell what it can be similar to
+    open_ = written(_mixed(shared.drop("lead"), components(found), most), "open")
+    own = written(own_shingles(texts.join(open_.select("cls").distinct(), "cls", "left_semi"), shingle), "own")
+    open_ = open_.join(own, "cls", "left").withColumn("rest", F.col("size") - F.coalesce("own", F.lit(0)))
+    open_ = written(open_.where(under * F.col("rest") >= over * F.col("size")).drop("own", "root", "most"), "open")
+    central = open_.groupBy("band").agg(F.max_by("cls", F.struct(F.col("rest") / F.col("size"), "cls")).alias("lead"))
+    second = joined(open_, central, "band", "cls", most).where("cls <> lead").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b"))
+    second = written(second.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    found = written(found.unionByName(linked(texts, second, shingle, similarity)), "similar")
+    # a pair in different components has at least one end outside the bucket's largest
+    open_ = written(_mixed(open_, components(found), most), "open")
+    bits = written(bitmaps(texts.join(open_.select("cls").distinct(), "cls", "left_semi"), shingle), "bits")
+    open_ = open_.join(bits, "cls")
+    side = lambda n: ["band", *[F.col(c).alias(f"{c}_{n}") for c in ("cls", "root", "size", "rest", "bits")]]
+    outside, inside = open_.where("root <> most").select(side("x")), open_.select(side("y"))
+    lacks = lambda a, b: sum(F.bit_count(F.get(f"bits_{a}", k).bitwiseAND(F.bitwise_not(F.get(f"bits_{b}", k)))) for k in range(WORDS))
+    common = F.least("rest_x", "rest_y", F.col("size_x") - lacks("x", "y"), F.col("size_y") - lacks("y", "x"))  # at most
+    fits = under * common >= over * (F.col("size_x") + F.col("size_y") - common)
+    third = outside.join(inside, "band").where((F.col("root_x") != F.col("root_y")) & fits)
+    third = third.select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b")).distinct()
+    third = written(third.join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"), "pairs")
+    return found.unionByName(written(linked(texts, third, shingle, similarity), "similar"))
+
+
+def _mixed(shared: DataFrame, root: DataFrame, most: int) -> DataFrame:
+    """Of shared (band, cls, ...) the rows of buckets with more than one component, with root, and the largest as most."""
+    placed = shared.join(root, shared["cls"] == root["node"], "left").drop("node").withColumn("root", F.coalesce("root", "cls"))
     sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
-    open_ = written(joined(placed, mixed.drop("kinds"), "band", "cls", most), "open")
-    outside = open_.where("root <> most").select("band", F.col("cls").alias("x"), F.col("root").alias("root_x"))
-    inside = open_.select("band", F.col("cls").alias("y"), F.col("root").alias("root_y"))
-    rest = outside.join(inside, "band").where("root_x <> root_y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    second = written(rest.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    return found.unionByName(written(linked(texts, second, shingle, similarity), "similar"))
+    return joined(placed, mixed.drop("kinds"), "band", "cls", most)
 
 
 def near_duplicates(
@@ -204,10 +229,10 @@ def near_duplicates(
         found = links(classes.select("fp"), max_bits)
     else:
         rows, key = written(_by_text(docs, id_col, text_col, shingle), "signatures"), "cls"
-        made = rows.groupBy("cls").agg(F.min("id").alias("least_id"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+        made = rows.groupBy("cls").agg(F.min("id").alias("least_id"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("size").alias("size"))
         classes = written(made, "classes")
         found = _similar_links(docs, text_col, classes, max_bits, shingle, similarity)
-        rows = rows.drop("bands")
+        rows = rows.drop("bands", "size")
     by_class = named(classes.select(key, "least_id"), found, key, "least_id")
     most = classes.agg(F.max("n")).first()[0] or 0
     return joined(rows, by_class, key, "id", most).select(F.col("id").alias(id_col), "fp", "component_id")
