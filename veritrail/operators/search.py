@@ -31,7 +31,8 @@ def bm25(chunks: DataFrame, query_terms: list[str], id_col: str, text_col: str,
     hits = words.select(id_col, *(keep or []), F.size("_w").alias("_len"), F.filter("_w", lambda w: F.array_contains(wanted, w)).alias("_h"))
     times = lambda term: F.size(F.filter("_h", lambda w: w == term))
     tfs = [times(t).alias(f"_tf{k}") for k, t in enumerate(query_terms)]
-    counted = hits.select(id_col, *(keep or []), "_len", *tfs)
+    # inline keeps the filter below above it, so that no text is split again for each term of the filter
+    counted = hits.select(id_col, *(keep or []), F.inline(F.array(F.struct("_len", *tfs))))
     stats = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_mean"), *[F.count_if(F.col(f"_tf{k}") > 0).alias(f"_df{k}") for k in range(len(query_terms))])
     score = F.lit(0.0)
     norm = K1 * (1 - B + B * F.col("_len") / F.col("_mean"))
