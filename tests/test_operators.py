@@ -273,3 +273,21 @@ def test_segment_alignment_reads_all_conversations(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = registry.QUERIES["f47_segment_alignment"](spark, str(tmp_path)).collect()
     assert {r["chunk_id"] for r in got} == {f"{c}-{t}" for c, t, _, _ in rows}
+
+
+def test_evidence_tools_take_tables(spark):
+    experiments = spark.createDataFrame([(1, 0.5), (2, 0.9), (3, None), (4, 0.9)], "id long, confidence double")
+    facet = lambda rows: spark.createDataFrame(rows, "id long, score double")
+    first, second = facet([(1, 0.45), (1, 1.0), (2, 0.5), (3, 0.9), (4, 0.44)]), facet([(1, 0.5), (2, 1.0), (3, 0.6)])
+    assert [(r["id"], r["match"]) for r in retrieval.find_experiments(experiments, [first, second]).collect()] == [(2, 0.75), (1, 0.75), (3, 0.75)]
+    assert [r["id"] for r in retrieval.find_experiments(experiments, [first], experiments.where("id in (1, 4)")).collect()] == [1]
+    assert [r["id"] for r in retrieval.find_experiments(experiments, []).collect()] == [2, 4, 1, 3]
+    claims = spark.createDataFrame([(1, 0.3, None, None), (2, 0.1, 0.8, 0.3), (3, 0.1, 0.9, 0.2), (4, 1.0, 1.0, 1.0), (5, None, None, None)], "id long, problem double, constraint double, context double")
+    assert [(r["id"], r["score"], r["constraint_status"]) for r in retrieval.find_technologies(claims).collect()] == [(4, 1.0, "met"), (1, 0.3, "unknown"), (2, 0.235, "met")]
+    works = spark.createDataFrame([("a", 1, 0.9, None), ("a", 1, 0.9, 0.5), ("a", 2, 0.9, 0.1), ("b", 1, 0.1, None), ("c", 3, None, None)], "expert string, work long, topic double, process double")
+    assert [(r["expert"], round(r["score"], 6)) for r in retrieval.find_experts(works).collect()] == [("a", 0.3)]
+    found = spark.createDataFrame([("Nickel slag", "low"), ("nickel", "medium"), ("zinc", "high"), (None, "high")], "topic string, severity string")
+    assert [r["severity"] for r in retrieval.find_findings(found, {"topic": "NICKEL"}, "severity").collect()] == ["medium", "low"]
+    reports = spark.createDataFrame([(1, [(1, 5.0), (2, 4.0), (3, 0.0)]), (2, [(4, 4.5)]), (3, None)], "community long, p array<struct<point: long, score: double>>")
+    assert [r["point"] for r in retrieval.map_reduced(reports, F.col("p"), per_community=1).collect()] == [1, 4]
+    assert retrieval.find_technologies(claims.limit(0)).count() == retrieval.map_reduced(reports.limit(0), F.col("p")).count() == 0

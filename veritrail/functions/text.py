@@ -543,6 +543,6 @@ def coerced_label(value: Column, allowed: Sequence[str], default: str, strict_re
 
 
 def vector_literal(vector: Column) -> Column:
-    """A vector as text, for stores that take it so: [x,y,...] with nine significant digits."""
+    """A vector as text, for stores that take it so: [x,y,...] with nine significant digits, ties away from zero."""
     short = lambda x: F.regexp_replace(F.regexp_replace(F.format_string("%.9g", x.cast("double")), r"(\.\d*?)0+(e|$)", "$1$2"), r"\.(e|$)", "$1")
     return F.concat(F.lit("["), F.array_join(F.transform(vector, short), ","), F.lit("]"))

@@ -15,6 +15,8 @@ from veritrail.operators.search import bm25
 #: Weights of the corpora.
 CORPUS_WEIGHTS = {"internal_reports": 1.15, "scientific_journals": 1.00, "conference_materials": 1.05, "reviews": 1.10, "scientific_articles": 1.05}
 QUERY = "therefore shesh eauon tionou license"
+#: The least match of a facet, of a problem, of a constraint.
+FACET, PROBLEM, CONSTRAINT = 0.45, 0.30, 0.80
 
 
 def corpus_weight(corpus: Column, weights: dict[str, float] | None = None) -> Column:
@@ -140,3 +142,48 @@ def conditions_match(conditions: DataFrame, wanted: DataFrame) -> DataFrame:
         (F.col("_u").isNull() | (F.col("unit") == F.col("_u"))) & (F.col("_min").isNull() | (F.col("high") >= F.col("_min"))) & (F.col("_max").isNull() | (F.col("low") <= F.col("_max")))
     )
     return met.groupBy("id").agg(F.count_distinct("_p").alias("n")).where(F.col("n") == n).select("id")
+
+
+def find_experiments(experiments: DataFrame, facets: Sequence[DataFrame], meeting: DataFrame | None = None, limit: int = 50) -> DataFrame:
+    """id, match, confidence of experiments (id, confidence) that every facet (id, score) matches at FACET or more and that
+    `meeting` (id), if given, names. match: the mean of the facets' best scores (1 without facets). Best first, ties to the
+    smaller id."""
+    found = experiments.select("id", "confidence")
+    for k, facet in enumerate(facets):
+        found = found.join(facet.groupBy("id").agg(F.max("score").alias(f"_f{k}")).where(F.col(f"_f{k}") >= FACET), "id")
+    if meeting is not None:
+        found = found.join(meeting.select("id"), "id", "left_semi")
+    match = sum((F.col(f"_f{k}") for k in range(len(facets))), F.lit(0.0)) / len(facets) if facets else F.lit(1.0)
+    return found.select("id", match.alias("match"), "confidence").orderBy(F.desc("match"), F.desc("confidence"), "id").limit(limit)
+
+
+def find_technologies(claims: DataFrame, limit: int = 30) -> DataFrame:
+    """id, score, constraint_status of claims (id, problem, constraint, context: matches from 0 to 1, null as 0) whose problem
+    matches, or whose constraint matches in a matching context. Best first, ties to the smaller id."""
+    p, c, x = (F.coalesce(F.col(n), F.lit(0.0)) for n in ("problem", "constraint", "context"))
+    score = F.round(F.least(F.lit(1.0), p + 0.15 * c + 0.05 * x), 6)
+    kept = claims.where((p >= PROBLEM) | ((c >= CONSTRAINT) & (x >= PROBLEM)))
+    return kept.select("id", score.alias("score"), F.when(c > 0, "met").otherwise("unknown").alias("constraint_status")).orderBy(F.desc("score"), "id").limit(limit)
+
+
+def find_findings(findings: DataFrame, said: dict[str, str], order: str, limit: int = 50) -> DataFrame:
+    """Contradictions or gaps whose columns hold the given substrings, without regard to case; `order` sorts as a string, last first."""
+    for column, part in said.items():
+        findings = findings.where(F.contains(F.lower(column), F.lit(part.lower())))
+    return findings.orderBy(F.desc(order)).limit(limit)
+
+
+def find_experts(works: DataFrame, least_works: int = 1) -> DataFrame:
+    """expert, score from works (expert, work, topic, process: matches, null if not asked): an expert's distinct works whose
+    weaker match is FACET or more give 0.2 and 0.1 each, 1 at most."""
+    n = works.where(F.least("topic", "process") >= FACET).groupBy("expert").agg(F.count_distinct("work").alias("n"))
+    return n.where(F.col("n") >= least_works).select("expert", F.least(F.lit(1.0), 0.2 + 0.1 * F.col("n")).alias("score"))
+
+
+def map_reduced(reports: DataFrame, points: Column, per_community: int = 3, total: int = 20) -> DataFrame:
+    """community, point, score: each report (community, ...) maps to points (an array of (point, score)); those over 0 are
+    cut to each community's best, then reduced to the best of all."""
+    from veritrail.operators.relational import capped
+
+    made = reports.select("community", F.inline(points)).where("score > 0")
+    return capped(made, "community", [F.desc("score"), F.col("point")], per_community).orderBy(F.desc("score"), "point").limit(total)

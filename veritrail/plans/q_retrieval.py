@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veritrail.functions import evidence, fuzzy, text
-from veritrail.operators import agent, retrieval, search
+from veritrail.operators import agent, modes, retrieval, search
 from veritrail.plans import substrate
 from veritrail.plans.catalog import query
 
@@ -125,12 +125,12 @@ def r4(t):
 )
 def r5(t, spark):
     materials = t.part.where(F.contains(F.lower("p_type"), F.lit("promo"))).select(F.col("p_partkey").alias("l_partkey"))
-    with_material = t.lineitem.join(materials, "l_partkey", "left_semi").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
+    with_material = t.lineitem.join(materials, "l_partkey", "left_semi").select(F.col("l_orderkey").alias("id"), F.lit(1.0).alias("score"))
     ranges = t.lineitem.groupBy(F.col("l_orderkey").alias("id")).agg(F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"))
     wanted = spark.createDataFrame([("quantity", 45.0, 10.0, None)], "parameter string, min double, max double, unit string")
-    met = retrieval.conditions_match(ranges.withColumns({"parameter": F.lit("quantity"), "unit": F.lit(None).cast("string")}), wanted).withColumnRenamed("id", "o_orderkey")
-    found = t.orders.where("o_orderpriority = '1-URGENT'").join(with_material, "o_orderkey", "left_semi").join(met, "o_orderkey", "left_semi")
-    return found.select("o_orderkey", (F.col("o_orderkey") % 100 / 100.0).alias("confidence")).orderBy(F.desc("confidence"), "o_orderkey").limit(50)
+    met = retrieval.conditions_match(ranges.withColumns({"parameter": F.lit("quantity"), "unit": F.lit(None).cast("string")}), wanted)
+    experiments = t.orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 100 / 100.0).alias("confidence"))
+    return retrieval.find_experiments(experiments, [with_material], met).select(F.col("id").alias("o_orderkey"), "confidence")
 
 
 @query("r5_synthetic_gap", "SELECT 'missing_evidence' AS type, 'No verified evidence matches the requested combination' AS description, 'material=zzz, process=leaching' AS filters, 'high' AS severity, 'tool_query' AS detected_by")
@@ -147,10 +147,9 @@ def r6(t):
     folded = F.lower("text")
     problem = text.how_many(folded, ("shesh", "license")) / 2.0
     constraint = text.how_many(folded, ("eauon",)).cast("double")
-    claims = t.documents.join(t.labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi").select("doc_id", problem.alias("p"), constraint.alias("x"))
-    score = F.round(F.least(F.lit(1.0), F.col("p") + 0.15 * F.col("x")), 6)
-    kept = claims.where((F.col("p") >= 0.3) | ((F.col("x") >= 0.8) & (F.col("p") >= 0.3)))
-    return kept.select("doc_id", score.alias("score"), F.when(F.col("x") > 0, "met").otherwise("unknown").alias("constraint_status")).orderBy(F.desc("score"), "doc_id").limit(30)
+    claims = t.documents.join(t.labels.where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    scored = claims.select(F.col("doc_id").alias("id"), problem.alias("problem"), constraint.alias("constraint"), F.lit(0.0).alias("context"))
+    return retrieval.find_technologies(scored).withColumnRenamed("id", "doc_id")
 
 
 @query("r7_evidence_pack", f"WITH {substrate.EDGES_SQL}, e AS (SELECT DISTINCT src, dst FROM edges), a AS (SELECT dst FROM e WHERE src = 'c:7'), b AS (SELECT e.dst FROM e JOIN a ON e.src = a.dst), c AS (SELECT e.dst FROM e JOIN b ON e.src = b.dst) SELECT dst AS id FROM a UNION SELECT dst FROM b UNION SELECT dst FROM c")
@@ -163,13 +162,15 @@ def r7(t, spark):
 @query("r8_contradiction_filter", "SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE contains(lower(r_name), 'a') AND contains(lower(n_name), '1') ORDER BY n_name DESC LIMIT 50")
 def r8(t):
     j = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return j.where(F.contains(F.lower("r_name"), F.lit("a")) & F.contains(F.lower("n_name"), F.lit("1"))).orderBy(F.desc("n_name")).limit(50).select("n_name", "r_name")
+    return retrieval.find_findings(j, {"r_name": "a", "n_name": "1"}, "n_name").select("n_name", "r_name")
 
 
 @query("r9_find_experts", "SELECT s_suppkey, least(1.0, 0.2 + 0.1 * count(DISTINCT l_partkey))::DOUBLE AS score FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE l_quantity = 50 GROUP BY 1 HAVING count(DISTINCT l_partkey) >= 3")
 def r9(t):
-    n = t.lineitem.where("l_quantity = 50").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.count_distinct("l_partkey").alias("n"))
-    return t.supplier.select("s_suppkey").join(n.where("n >= 3"), "s_suppkey").select("s_suppkey", F.least(F.lit(1.0), 0.2 + 0.1 * F.col("n")).alias("score"))
+    topic = F.when(F.col("l_quantity") == 50, 1.0).otherwise(0.0)
+    works = t.lineitem.select(F.col("l_suppkey").alias("expert"), F.col("l_partkey").alias("work"), topic.alias("topic"), F.lit(None).cast("double").alias("process"))
+    found = retrieval.find_experts(works, 3).withColumnRenamed("expert", "s_suppkey")
+    return t.supplier.select("s_suppkey").join(found, "s_suppkey")
 
 
 _HITS = f"WITH {_VEC}, h AS (SELECT vec_id, list_cosine_similarity(e, q) AS score FROM v, q WHERE list_cosine_similarity(e, q) >= 0.1 ORDER BY round(list_cosine_similarity(e, q), 9) DESC, vec_id LIMIT 50)"
@@ -238,6 +239,22 @@ def r17(t):
     return t.embeddings.where(c >= 0.10).select("vec_id")
 
 
+@query(
+    "r18_mode_guard",
+    """SELECT * FROM (VALUES ('entity_vector', false, 10), ('fulltext', false, 5), ('global_vector', false, 10), ('graph_vector', true, 5), ('graph_vector_fulltext', false, 5), ('vector', true, 5)) v(mode, takes_documents, top_k)""",
+)
+def r18(t, spark):
+    """Each mode asked for one document: those that refuse a selection and those that take it."""
+
+    def takes(name):
+        try:
+            return bool(modes.mode_of(name, ["d"]))
+        except ValueError:
+            return False
+
+    return spark.createDataFrame([(name, takes(name), modes.mode_of(name).top_k) for name in modes.MODES], "mode string, takes_documents boolean, top_k int")
+
+
 @query("r19_agentic_loop")
 def r19(t, spark):
     """One question through the loop: its verdict, mode and evidence."""
@@ -295,10 +312,8 @@ def a24b(t):
 
 @query("r22_map_reduce", "WITH m AS (SELECT c_nationkey AS community, c_custkey AS point, c_acctbal AS score FROM customer WHERE c_acctbal > 0 QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) <= 3) SELECT * FROM m ORDER BY score DESC, point LIMIT 20")
 def r22(t):
-    from veritrail.operators.relational import capped
-
-    points = t.customer.where("c_acctbal > 0").select(F.col("c_nationkey").alias("community"), F.col("c_custkey").alias("point"), F.col("c_acctbal").alias("score"))
-    return capped(points, "community", [F.desc("score"), F.col("point")], 3).orderBy(F.desc("score"), "point").limit(20)
+    points = F.array(F.struct(F.col("c_custkey").alias("point"), F.col("c_acctbal").alias("score")))
+    return retrieval.map_reduced(t.customer.withColumnRenamed("c_nationkey", "community"), points)
 
 
 @query("r23_format_documents", "WITH d AS (SELECT * FROM documents ORDER BY n_chars DESC, doc_id LIMIT 4) SELECT string_agg('Document: ' || source || chr(10) || text, chr(10) || chr(10) ORDER BY n_chars DESC, doc_id) AS context, list_sort(list(DISTINCT source)) AS sources FROM d")
@@ -390,6 +405,26 @@ def x1(t):
     return measurements(t.documents, "doc_id", "text").groupBy("doc_id").agg(F.count("*").cast("int").alias("measurements"))
 
 
+@query(
+    "x6_post_processing",
+    f"WITH {substrate.EDGES_SQL}, e AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst) SELECT src AS id, count(*) AS degree FROM e GROUP BY 1",
+)
+def x6(t):
+    """Two tasks, asked for in another order than that in which they run: edges made canonical, then degrees of nodes."""
+    edges = substrate.edges(t)
+    tasks = {
+        "canonical": lambda nodes, edges: (nodes, edges.where("src <> dst").select("src", "dst").distinct()),
+        "degrees": lambda nodes, edges: (nodes.join(edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree")), "id"), edges),
+    }
+    nodes, _ = modes.post_processed(edges.select(F.col("src").alias("id")).distinct(), edges, tasks, ["degrees", "canonical"])
+    return nodes.select("id", "degree")
+
+
+@query("f31_vector_literal", "SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: printf('%.9g', x::DOUBLE)), ',') || ']' AS literal FROM embeddings")
+def f31(t):
+    return t.embeddings.select("vec_id", text.vector_literal(F.col("embedding")).alias("literal"))
+
+
 @query("x3_hashing_embedding")
 def x3(t):
     v = search.hashing_embedding(F.col("text"), 16)
