@@ -38,6 +38,17 @@ def _streamed(name, sql=None):
 # ---- sources ------------------------------------------------------------------------------------------------------
 
 
+@query(
+    "s1_parsed_documents",
+    "SELECT 'doc' || doc_id || '.txt' AS file_name, 'docver_' || sha256(coalesce(text, '')) AS version_id, sha256(coalesce(text, '')) AS sha256, octet_length(encode(coalesce(text, ''))) AS size_bytes FROM documents",
+)
+def s1(t):
+    """The documents as text files of one folder."""
+    name = F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    files = t.documents.select(F.concat(F.lit("/in/"), name).alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    return readers.parsed_documents(files).select("file_name", "version_id", "sha256", F.col("size_bytes").cast("long").alias("size_bytes"))
+
+
 @query("s3_table_rows", "SELECT o_orderkey, o_orderstatus || ' | ' || o_orderpriority AS text FROM orders")
 def s3(t):
     tables = t.orders.select("o_orderkey", F.array(F.array("o_orderstatus", "o_orderpriority"), F.array(F.lit(" "), F.lit(None).cast("string"))).alias("cells"))
@@ -62,6 +73,14 @@ def s6(t):
     return readers.pseudo_pages(paragraphs, size=900)
 
 
+@_streamed("s9_workbook_rows", "SELECT c_custkey || ' | ' || c_name || ' | ' || c_mktsegment AS text FROM customer")
+def s9(spark, sf_dir):
+    """A sheet with a header, written as delimited text and read back."""
+    folder = f"{_scratch(spark)}/sheet"
+    spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_mktsegment").write.option("header", True).csv(folder)
+    return readers.workbook_rows(spark, folder)
+
+
 @query("s10_category_inventory", "SELECT source AS category, count(*) AS n FROM documents GROUP BY 1")
 def s10(t):
     return t.documents.groupBy(F.col("source").alias("category")).agg(F.count("*").alias("n"))
@@ -219,6 +238,15 @@ def st12(t):
     return live.compacted_chats(t.conversations)
 
 
+@_streamed("st13_status_feed", "SELECT user_id, max_by(event_type, event_id) AS status, max(event_id) AS event_id FROM events GROUP BY 1")
+def st13(spark, sf_dir):
+    """What a reader of the feed has seen last: each micro-batch appends the latest row of its keys."""
+    scratch = _scratch(spark)
+    feed = live.event_stream(spark, sf_dir, "events.parquet").select("user_id", "event_id", "event_type")
+    live.each_batch(feed, lambda rows: rows.write.mode("append").parquet(f"{scratch}/out"), f"{scratch}/checkpoint", "user_id", "event_id")
+    return live.latest_status(spark.read.parquet(f"{scratch}/out"))
+
+
 @query("st14_retry_transitions", "SELECT event_id, CASE WHEN event_type = 'click' THEN 'processing' ELSE 'ready_to_reprocess' END AS status, event_id % 3 <> 2 AS reset_counters, event_id % 3 = 1 AS delete_entities FROM events")
 def st14(t):
     mode = F.element_at(F.array(*map(F.lit, ("start_from_beginning", "delete_entities_and_start_from_beginning", "start_from_last_processed_position"))), (F.col("event_id") % 3 + 1).cast("int"))
