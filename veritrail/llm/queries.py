@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["q_url_filter", "q_mil", "q_token_counts", "q_topk", "q_quality_rules", "q_bpe", "q_warc", "q_mixing", "q_langid", "q_simhash", "q_filter_audit", "q_fim"]
+MODULES = ["q_url_filter", "q_mil", "q_token_counts", "q_topk", "q_quality_rules", "q_bpe", "q_warc", "q_mixing", "q_langid", "q_simhash", "q_filter_audit", "q_fim", "q_recompression"]
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
