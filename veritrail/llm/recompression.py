@@ -24,8 +24,8 @@ A block that goes in round 2 needn't be compared in round 3: a document with a s
 Two fingerprints of 64 bits, from words hashed twice with other factors, stand for equal words throughout.
 
 Hot symbols: rows of a batch whose symbol several of its documents have are known to be shared; one of them stays with
-the symbol and the others are dealt out, so that a symbol has a row for each batch at most where rows meet. Blocks and windows
-are merged by each task before they are shuffled and joined in parts. Texts are shuffled for documents that have something to
+the symbol and the others are dealt to parts of it, so that rows of one symbol and part stay few: one for each batch, or a part
+of the symbol's. What the parts keep, a row of each block, meets in a second step, in joins that split hot keys; windows likewise. Texts are shuffled for documents that have something to
 compare or remove only, behind a Bloom filter of their keys.
 
 Defined results for odd input: null or empty text has no words and keeps an empty text; texts under WINDOW words lose nothing; a window that occurs
@@ -250,8 +250,23 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(values).view(np.int64))
 
 
+def _dealt(batch: pa.RecordBatch, made: list[list[np.ndarray]]) -> pa.RecordBatch:
+    """(one, two, at, id, copy, known, part) of made: one, two, at, row of the batch, in portions."""
+    one, two, at, row = (np.concatenate([*x, np.empty(0, t)]).astype(t) for x, t in zip(made, (np.uint64, np.uint64, np.int64, np.int64)))
+    known, part = _shared(one, row)
+    own = [batch.column(k).take(pa.array(row)) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays([_signed(one), _signed(two), pa.array(at), *own, pa.array(known), pa.array(part)], names=_FIELDS)
+
+
+_FIELDS = ["one", "two", "at", "id", "copy", "known", "part"]
+
+
+def _schema(rows: DataFrame) -> str:
+    return f"one long, two long, at long, id {rows.schema['id'].dataType.simpleString()}, copy long, known boolean, part int"
+
+
 def symbols(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(id, copy, symbol, block, at, known, part): a row for each block of rows (id, copy, text binary)."""
+    """_FIELDS, one being the symbol and two the fingerprint of each block of rows (id, copy, text binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -260,21 +275,13 @@ def symbols(rows: DataFrame, window: int = WINDOW) -> DataFrame:
                 symbol, block, at, size = blocks(word_names(data, first, stop), text, window)
                 for column, part in zip(made, (symbol, block, number[at] * LONGEST + size - 1, text[at])):
                     column.append(part)
-            if not made[0]:
-                continue
-            symbol, block, at, row = (np.concatenate(x) for x in made)
-            known, part = _shared(symbol, row)
-            own = [batch.column(k).take(pa.array(row)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays(
-                [*own, _signed(symbol), _signed(block), pa.array(at), pa.array(known), pa.array(part)], names=["id", "copy", "symbol", "block", "at", "known", "part"]
-            )
+            yield _dealt(batch, made)
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, copy long, symbol long, block long, at long, known boolean, part int")
+    return rows.mapInArrow(run, _schema(rows))
 
 
 def windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(id, copy, key, at): the windows of the blocks that rows (id, copy, text binary, ats array<long>) name."""
+    """_FIELDS, one and two being fingerprints of each window of the blocks that rows (id, copy, text binary, ats array<long>) name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,50 +297,67 @@ def windows(rows: DataFrame, window: int = WINDOW) -> DataFrame:
                     own = wanted[np.searchsorted(wanted, number[0]) : np.searchsorted(wanted, number[-1] - window + 2)]
                     wanted = wanted[np.searchsorted(wanted, number[-1] - window + 2) :]
                     names, at = word_names(data, first, stop), own - number[0]
-                    for column, part in zip(made, (np.full(len(own), k), *(ranges(names[j], _BASES[2 + j], at, at + window) for j in range(2)), own * LONGEST)):
+                    for column, part in zip(made, (*(ranges(names[j], _BASES[2 + j], at, at + window) for j in range(2)), own * LONGEST, np.full(len(own), k))):
                         column.append(part)
-            row, one, two, at = (np.concatenate([*x, np.empty(0, t)]).astype(t) for x, t in zip(made, (np.int64, np.uint64, np.uint64, np.int64)))
-            own = [batch.column(k).take(pa.array(row)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*own, _signed(one), _signed(two), pa.array(at)], names=["id", "copy", "one", "two", "at"])
+            yield _dealt(batch, made)
 
-    kind = rows.schema["id"].dataType.simpleString()
-    found = rows.mapInArrow(run, f"id {kind}, copy long, one long, two long, at long")
-    return found.select("id", "copy", F.struct("one", "two").alias("key"), "at")
+    return rows.mapInArrow(run, _schema(rows))
 
 
-def _many(id_: str) -> Column:
-    """Whether ids that are grouped differ; a null id differs from others."""
-    return (F.min(id_) < F.max(id_)) | (F.min(id_).isNotNull() & F.bool_or(F.col(id_).isNull()))
+def _several(least: Column, most: Column, null: Column) -> Column:
+    """Whether ids with this least and greatest one, and a null one or not, differ."""
+    return (least < most) | (least.isNotNull() & null)
 
 
-def _earlier() -> Column:
-    return F.col("least").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("least")))
+def _after(least: Column) -> Column:
+    return least.isNotNull() & (F.col("id").isNull() | (F.col("id") > least))
 
 
 def _by_document(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.struct("id", "copy").alias("doc")).agg(F.collect_list("at").alias("ats"))
 
 
+def settled_blocks(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of symbols' rows (id, copy, at): the blocks that an earlier document has whole, and those to be compared by window.
+
+    Where all rows of a symbol meet (no batch has it twice), one pass over them, sorted by symbol and block, settles it. Of
+    symbols that are dealt out each part keeps a row of each block and id; those few meet in a second step."""
+    met = found.repartition("one", "part").sortWithinPartitions("one", "part", "two")
+    block, symbol, null = Window.partitionBy("one", "part", "two"), Window.partitionBy("one", "part"), F.col("id").isNull()
+    first = met.withColumn("least", F.min("id").over(block))
+    seen = first.select(
+        "id", "copy", "one", "two", "at", _after(F.col("least")).alias("again"), F.max("known").over(symbol).alias("hot"),
+        _several(F.min("id").over(symbol), F.max("id").over(symbol), F.max(null).over(symbol)).alias("shared"),
+        _several(F.min("least").over(symbol), F.max("least").over(symbol), F.max(F.col("least").isNull()).over(symbol)).alias("open"),
+    )
+    live = written(seen.where("again OR hot OR (shared AND open)").drop("shared"), "live")
+    heads = live.where("hot AND NOT again").select("id", "copy", "one", F.struct("one", "two").alias("key"), "at")
+    kinds = written(heads.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")), "kinds")
+    differ = _several(F.min("least"), F.max("least"), F.bool_or(F.col("least").isNull()))
+    open_ = written(kinds.groupBy(F.col("key.one").alias("one")).agg(differ.alias("open"), F.sum("n").alias("n")).where("open").drop("open"), "open")
+    placed = joined(heads, kinds.drop("n"), "key", "at", kinds.agg(F.max("n")).first()[0] or 0)
+    later = _after(F.col("least"))
+    again = live.where("again").select("id", "copy", "at").unionByName(placed.where(later).select("id", "copy", "at"))
+    rest = joined(placed.where(~later), open_.drop("n"), "one", "at", open_.agg(F.max("n")).first()[0] or 0).select("id", "copy", "at")
+    return again, live.where("NOT hot AND NOT again").select("id", "copy", "at").unionByName(rest)
+
+
+def settled_windows(found: DataFrame) -> DataFrame:
+    """Of windows' rows (id, copy, at): those that an earlier document has, in the same two steps."""
+    over = Window.partitionBy("one", "two", "part")
+    seen = found.select("id", "copy", "one", "two", "at", _after(F.min("id").over(over)).alias("again"), F.max("known").over(over).alias("hot"))
+    live = written(seen.where("again OR hot"), "windows")
+    heads = live.where("hot AND NOT again").select("id", "copy", F.struct("one", "two").alias("key"), "at")
+    least = written(heads.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")), "least")
+    placed = joined(heads, least.drop("n"), "key", "at", least.agg(F.max("n")).first()[0] or 0)
+    return live.where("again").select("id", "copy", "at").unionByName(placed.where(_after(F.col("least"))).select("id", "copy", "at"))
+
+
 def repeats(rows: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc: struct of id and copy, ats): the places of repeated blocks and windows of each of rows (id, copy, text binary) that has any."""
-    found = symbols(rows, window)
-    over = Window.partitionBy("symbol", "part")
-    several = (F.min("id").over(over) < F.max("id").over(over)) | (F.min("id").over(over).isNotNull() & F.max(F.col("id").isNull()).over(over))
-    live = found.withColumn("several", F.col("known") | several).where("several").select("id", "copy", "symbol", F.struct("symbol", "block").alias("key"), "at")
-    live = written(live, "live")
-    kinds = written(live.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")), "kinds")
-    by_symbol = kinds.groupBy(F.col("key.symbol").alias("symbol")).agg(_many("least").alias("differ"), F.count("*").alias("n"))
-    open_ = written(by_symbol.where("differ").select("symbol", "n"), "open")
-    most, most_kinds = kinds.agg(F.max("n")).first()[0] or 0, open_.agg(F.max("n")).first()[0] or 0
-    placed = joined(live, kinds.drop("n"), "key", "at", most)
-    again = placed.where(_earlier()).select("id", "copy", "at")
-    heads = joined(placed.where(~_earlier()), open_.drop("n"), "symbol", "at", max(most, most_kinds)).select("id", "copy", "at")
-    heads = written(_by_document(heads), "heads")
-    each = written(windows(_texts(rows, heads), window), "windows")
-    least = each.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"), _many("id").alias("several")).where("several")
-    least = written(least.drop("several"), "least")
-    ends = joined(each, least.drop("n"), "key", "at", least.agg(F.max("n")).first()[0] or 0).where(_earlier()).select("id", "copy", "at")
-    return written(_by_document(again.unionByName(ends)), "repeats")
+    again, rest = settled_blocks(symbols(rows, window))
+    rest = written(_by_document(rest), "rest")
+    return written(_by_document(again.unionByName(settled_windows(windows(_texts(rows, rest), window)))), "repeats")
 
 
 def _texts(rows: DataFrame, ats: DataFrame) -> DataFrame:
