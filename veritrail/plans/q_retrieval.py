@@ -6,6 +6,7 @@ from pyspark.sql.window import Window
 from veritrail.functions import evidence, fuzzy, text
 from veritrail.operators import agent, modes, retrieval, search
 from veritrail.plans import substrate
+from veritrail.operators.index import index_of
 from veritrail.plans.catalog import query
 
 TERMS = ["therefore", "shesh", "eauon", "tionou", "license"]
@@ -39,6 +40,19 @@ def l2(t):
     return found.orderBy(F.desc("score"), "doc_id").limit(40).select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query("l2_index_top_k", f"WITH {_bm25_sql()} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 40")
+def l2i(t):
+    """The same over a written index, whose blocks that can't reach the threshold are skipped."""
+    found = index_of(t.documents, "doc_id", "text", "source").search(TERMS, 40).found
+    return found.select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query("l2_index_report")
+def l2r(t):
+    """Blocks of the asked terms, and of those the ones that the search has read."""
+    return index_of(t.documents, "doc_id", "text", "source").search(TERMS, 40).report
+
+
 @query(
     "l2_bm25_many_queries",
     r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}_-]{2,}') AS w FROM documents), p AS (SELECT doc_id, len(w) AS l, unnest(w) AS term FROM w), tf AS (SELECT doc_id, l, term, count(*) AS tf FROM p GROUP BY ALL),
