@@ -69,18 +69,6 @@ def test_index_of_terms_reads_few_buckets(spark, tmp_path):
     assert got == {(2, 2), (1, 1)}
 
 
-def test_nearest_blocks(spark):
-    import numpy as np
-
-    v = np.random.default_rng(1).normal(size=(150, 6))
-    frame = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "id long, v array<double>")
-    got = {}
-    for r in search.nearest(frame.where("id < 10"), frame, 4, "id", "v", block=37).collect():
-        got.setdefault(r["query_id"], set()).add(r["id"])
-    u = v / np.linalg.norm(v, axis=1, keepdims=True)
-    assert got == {q: set(np.argsort(-(u @ u[q]))[:4].tolist()) for q in range(10)}
-
-
 def test_components_and_communities(spark):
     edges = [(f"a{i}", "R", f"a{i + 1}") for i in range(30)] + [("b1", "R", "b2"), ("b2", "R", "b2")]
     e = spark.createDataFrame(edges, "src string, rel string, dst string")

@@ -74,8 +74,8 @@ def neighbours(edges: DataFrame, ids: Sequence[str]) -> DataFrame:
 
 def reachable(start: DataFrame, edges: DataFrame, hops: int, least: int = 1) -> DataFrame:
     """(origin, id) of nodes that paths of least to hops directed edges reach. start: one column, id. Steps are unrolled,
-    with the frontier made distinct after each."""
-    step = edges.select("src", "dst").distinct()
+    with the frontier made distinct after each; the table of steps is written once."""
+    step = saved(edges.select("src", "dst").distinct())
     frontier, out = start.select(F.col("id").alias("origin"), "id").distinct(), None
     for k in range(1, hops + 1):
         frontier = frontier.join(step, F.col("id") == F.col("src")).select("origin", F.col("dst").alias("id")).distinct()
@@ -223,23 +223,6 @@ def induced(edges: DataFrame, membership: DataFrame) -> DataFrame:
 # ---- maintenance --------------------------------------------------------------------------------------------------
 
 
-def duplicate_groups(nodes: DataFrame, distance: int = 3, longer_than: int = 5) -> DataFrame:
-    """(id, similar array): nodes of one label whose names contain each other or are near in spelling.
-
-    Candidates meet on the label and a trigram of the folded name: names within two edits, and names that contain each
-    other, share one wherever the shorter has 9 characters or more; shorter names meet on the label alone."""
-    folded = nodes.select("id", "label", F.lower("name").alias("name"))
-    size = F.length("name")
-    grams = F.when(size >= 9, F.array_distinct(F.transform(F.sequence(F.lit(1), size - 2), lambda i: F.substr("name", i, F.lit(3)))))
-    long = folded.where(size >= 9).select("*", F.explode(grams).alias("g"))
-    short = folded.where(size < 9)
-    other = lambda df: df.select(F.col("id").alias("id2"), "label", F.col("name").alias("name2"), *(["g"] if "g" in df.columns else []))
-    pairs = long.join(other(long), ["label", "g"]).select("id", "name", "id2", "name2").distinct()
-    pairs = pairs.union(short.join(other(folded), "label").select("id", "name", "id2", "name2")).union(folded.where(size >= 9).join(other(short), "label").select("id", "name", "id2", "name2"))
-    near = F.contains("name", F.col("name2")) | F.contains(F.col("name2"), F.col("name")) | ((F.length("name") > longer_than) & (F.levenshtein("name", "name2", distance - 1) >= 0))
-    return pairs.where("id <> id2").where(near).groupBy("id").agg(F.array_sort(F.collect_set("id2")).alias("similar"))
-
-
 def merged(nodes: DataFrame, edges: DataFrame, mapping: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges after each duplicate of mapping (duplicate, keep) has become its keeper: the keeper's properties
     stay, edges are redirected, and edges that this makes loops or repeats go."""
@@ -262,8 +245,8 @@ def without_documents(chunk_doc: DataFrame, chunk_entity: DataFrame, documents:
 
 def similar_edges(vectors: DataFrame, id_col: str, vector_col: str, k: int = 6, threshold: float = 0.8, max_degree: int = 5) -> DataFrame:
     """(src, dst, score): each vector's k nearest (itself among them) of similarity (1 + cosine) / 2 of at least threshold,
-    at most max_degree a vector. Vectors meet in blocks."""
-    from veritrail.operators.search import nearest
+    at most max_degree a vector."""
+    from veritrail.operators.neighbours import nearest
 
     found = nearest(vectors, vectors, k, id_col, vector_col).where("query_id <> id").withColumn("score", (1 + F.col("cosine")) / 2).where(F.col("score") >= threshold)
     n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))

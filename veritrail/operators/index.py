@@ -15,18 +15,20 @@ A search (block-max pruning):
 
 With `by_group` thresholds and results are those of each corpus. Results are exact; ties go to the smaller id.
 
-Null or empty texts have no postings but count in n and the mean length; null ids and corpora are kept like others; repeated ids are
+Null and empty texts have no postings; both count in n, and empty ones in the mean length; null ids and corpora are kept like others; repeated ids are
 told apart only if their corpus or length differs. Nothing but idf of at most MAX_TERMS terms and one row of totals comes to the driver.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from veritrail.operators.graph import saved, shared_folder
@@ -53,24 +55,23 @@ class PostingsIndex:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self.postings = spark.read.parquet(f"{path}/postings")
-        self.documents, self.mean, self.folders = spark.read.parquet(f"{path}/totals").first()
+        self.documents, self.mean, self.folders, schema = spark.read.parquet(f"{path}/totals").first()
+        self.postings = spark.read.schema(T.StructType.fromJson(json.loads(schema))).parquet(f"{path}/postings")
 
     @classmethod
     def build(cls, chunks: DataFrame, path: str, id_col: str, text_col: str, group_col: str | None = None, folders: int = FOLDERS) -> PostingsIndex:
         spark = chunks.sparkSession
         group = F.col(group_col).cast("string") if group_col else F.lit(None).cast("string")
         words = chunks.select(F.col(id_col).alias("id"), group.alias("grp"), terms_of(F.col(text_col)).alias("w"))
-        words = words.withColumn("length", F.coalesce(F.size("w"), F.lit(0))).withColumn("length", F.greatest("length", F.lit(0)))
+        words = words.withColumn("length", F.when(F.col("w").isNotNull(), F.size("w")))
         words = words.withColumn("alike", F.floor(F.log2(F.col("length") + 1)))
-        cells = saved(words.groupBy("grp", "alike").agg(F.count("*").alias("n"), F.sum("length").alias("words")))
-        totals = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("words") / F.sum("n"), F.lit(0.0)).alias("mean"))
-        totals.select("n", "mean", F.lit(folders).alias("folders")).write.mode("overwrite").parquet(f"{path}/totals")
+        cells = saved(words.groupBy("grp", "alike").agg(F.count("*").alias("n"), F.sum("length").alias("words"), F.count("length").alias("told")))
+        totals = cells.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.try_divide(F.sum("words"), F.sum("told")), F.lit(0.0)).alias("mean"))
         n, mean = totals.first()
         shelves = max(1, math.ceil(n / (BLOCK * SHELF)))
         place = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK))
         same = words["grp"].eqNullSafe(cells["grp"]) & (words["alike"] == cells["alike"])
-        placed = words.join(cells.drop("words"), same).select("id", words["grp"], "length", F.xxhash64(words["grp"], words["alike"], place).alias("range"), "w")
+        placed = words.join(cells.select("grp", "alike", "n"), same).select("id", words["grp"], "length", F.xxhash64(words["grp"], words["alike"], place).alias("range"), "w")
         tf = placed.select("id", "grp", "length", "range", F.explode("w").alias("term")).groupBy("id", "grp", "length", "range", "term").agg(F.count("*").alias("tf"))
         blocks = tf.groupBy("term", "range").agg(
             F.first("grp").alias("grp"), F.max(impact(F.col("tf"), F.col("length"), F.lit(mean))).alias("top"), F.collect_list(F.struct("id", "tf", "length")).alias("list")
@@ -82,6 +83,7 @@ class PostingsIndex:
             F.transform("b", lambda x: F.struct(x["range"].alias("range"), x["grp"].alias("grp"), x["top"].alias("top"))).alias("tops"),
             F.transform("b", lambda x: x["list"]).alias("lists"), folder_of(F.col("term"), folders).alias("folder"),
         )
+        totals.select("n", "mean", F.lit(folders).alias("folders"), F.lit(rows.schema.json()).alias("schema")).write.mode("overwrite").parquet(f"{path}/totals")
         rows.repartition("folder", F.pmod(F.xxhash64("term"), F.lit(1 << 16))).sortWithinPartitions("folder", "term", "shelf").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
         return cls(spark, path)
 

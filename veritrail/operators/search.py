@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 K1, B = 1.2, 0.75
 TERM = r"[\p{L}\p{N}_-]{2,}"
@@ -67,44 +66,6 @@ def nearest_to(vectors: DataFrame, query: list[float], k: int, id_col: str, vect
     return vectors.select(id_col, cosine(F.col(vector_col), q).alias("dense_score")).orderBy(F.desc("dense_score"), id_col).limit(k)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str, vector_col: str, block: int = 2048) -> DataFrame:
-    """(query_id, id, cosine): the k nearest of every query vector, exactly, by blocks of matrices.
-
-    Both sides are packed to blocks; every query block meets every vector block, and a pair of blocks gives at most k rows
-    a query, so rows that leave the step grow with queries x blocks, not with pairs of vectors."""
-    import numpy as np
-    import pyarrow as pa
-
-    def packed(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("v is not null")
-
-        def pack(batches):
-            for batch in batches:
-                for at in range(0, batch.num_rows, block):
-                    part = batch.slice(at, block)
-                    m = np.array(part.column(1).to_pylist(), np.float64)
-                    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-                    yield pa.RecordBatch.from_arrays([pa.array([np.asarray(part.column(0)).tobytes()], pa.binary()), pa.array([m.astype(np.float64).tobytes()], pa.binary())], names=["ids", "m"])
-
-        return rows.mapInArrow(pack, "ids binary, m binary").select(F.col("ids").alias(f"{name}_ids"), F.col("m").alias(f"{name}_m"))
-
-    pairs = packed(queries, "q").crossJoin(packed(vectors, "v"))  # of blocks: (queries / block) x (vectors / block) rows
-
-    def search(batches):
-        for batch in batches:
-            for qi, qm, vi, vm in zip(*(c.to_pylist() for c in batch.columns)):
-                q, v = np.frombuffer(qi, np.int64), np.frombuffer(vi, np.int64)
-                s = np.frombuffer(qm, np.float64).reshape(len(q), -1) @ np.frombuffer(vm, np.float64).reshape(len(v), -1).T
-                s = np.round(s, 12)
-                order = np.lexsort((np.broadcast_to(v, s.shape), -s))[:, :k]
-                rows = np.repeat(np.arange(len(q)), order.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(q[rows]), pa.array(v[order.ravel()]), pa.array(s[rows, order.ravel()])], names=["query_id", "id", "cosine"])
-
-    met = pairs.mapInArrow(search, "query_id long, id long, cosine double")
-    n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("cosine"), "id"))
-    return met.withColumn("n", n).where(F.col("n") <= k).drop("n")
-
-
 def hashing_embedding(text: Column, dimensions: int = 64) -> Column:
     """A deterministic stand-in for an embedding model: signed counts of hashed words."""
     words = F.transform(terms_of(text), lambda w: F.xxhash64(w))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veritrail.functions import ids
-from veritrail.operators import graph, quality
+from veritrail.operators import counters, graph, names, quality
 from veritrail.operators.retrieval import pathways
 from veritrail.plans import substrate
 from veritrail.plans.catalog import query
@@ -65,15 +65,15 @@ def j16(t):
     WHERE contains(a.name, b.name) OR contains(b.name, a.name) OR (len(a.name) > 5 AND levenshtein(a.name, b.name) < 3) GROUP BY 1""",
 )
 def j17(t):
-    return graph.duplicate_groups(t.supplier.select(substrate.key("s", "s_suppkey").alias("id"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("label"), F.col("s_name").alias("name")))
+    return names.duplicate_groups(t.supplier.select(substrate.key("s", "s_suppkey").alias("id"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("label"), F.col("s_name").alias("name")))
 
 
 @query(
     "j18_g15_r10_pathways",
     """WITH o AS (SELECT o_orderkey, o_orderkey % 100 / 100.0 AS c, CASE WHEN o_orderkey % 9 = 0 THEN 'conflicting' END AS st FROM orders),
     f AS (SELECT * FROM o ORDER BY c DESC, 'o:' || o_orderkey LIMIT 500),
-    m AS (SELECT DISTINCT 'o:' || l_orderkey AS k, 'p:' || l_partkey AS id FROM lineitem WHERE l_linenumber <= 2), e AS (SELECT DISTINCT 'o:' || l_orderkey AS k, 's:' || l_suppkey AS id FROM lineitem WHERE l_linenumber = 3),
-    r AS (SELECT DISTINCT 'o:' || l_orderkey AS k, 'm:' || l_orderkey || '-' || l_linenumber AS id, l_discount * 10 AS c FROM lineitem WHERE l_linenumber <= 2 AND l_tax > 0.02),
+    m AS (SELECT DISTINCT 'o:' || l_orderkey AS k, 'p:' || l_partkey AS id FROM lineitem), e AS (SELECT DISTINCT 'o:' || l_orderkey AS k, 's:' || l_suppkey AS id FROM lineitem),
+    r AS (SELECT DISTINCT 'o:' || l_orderkey AS k, 'm:' || l_orderkey || '-' || l_linenumber AS id, l_discount * 10 AS c FROM lineitem WHERE l_tax > 0.02),
     x AS (SELECT 'o:' || o_orderkey AS experiment, o.c AS oc, st, m.id AS material, p.id AS process, e.id AS equipment, r.id AS result, r.c AS rc FROM f o LEFT JOIN m ON m.k = 'o:' || o_orderkey
       LEFT JOIN (SELECT 'o:' || o_orderkey AS k, o_orderpriority AS id FROM orders) p ON p.k = 'o:' || o_orderkey LEFT JOIN e ON e.k = 'o:' || o_orderkey LEFT JOIN r ON r.k = 'o:' || o_orderkey
       ORDER BY oc DESC, experiment, material NULLS FIRST, process NULLS FIRST, equipment NULLS FIRST, result NULLS FIRST LIMIT 200)
@@ -91,10 +91,10 @@ def j18(t):
     return pathways(
         experiments,
         {
-            "material": branch(t.lineitem.where("l_linenumber <= 2"), of, substrate.key("p", "l_partkey"), null),
+            "material": branch(t.lineitem, of, substrate.key("p", "l_partkey"), null),
             "process": branch(o, substrate.key("o", "o_orderkey"), F.col("o_orderpriority"), null),
-            "equipment": branch(t.lineitem.where("l_linenumber = 3"), of, substrate.key("s", "l_suppkey"), null),
-            "result": branch(t.lineitem.where("l_linenumber <= 2 and l_tax > 0.02"), of, item, F.col("l_discount") * 10),
+            "equipment": branch(t.lineitem, of, substrate.key("s", "l_suppkey"), null),
+            "result": branch(t.lineitem.where("l_tax > 0.02"), of, item, F.col("l_discount") * 10),
         },
         limit=200,
     )
@@ -140,6 +140,22 @@ def a18(t):
     return quality.top_degrees(n, substrate.edges(t), 8)
 
 
+_READY_LABELS = {"documents": "Customer", "experiments": "Experiment", "materials": "Material", "equipment": "Equipment", "nations": "Nation", "regions": "Region", "claims": "Claim", "knowledge_gaps": "KnowledgeGap"}
+_READY_COUNTS = " UNION ALL ".join(f"SELECT 'counter', '{name}', NULL, (SELECT count(*) FROM nodes WHERE label = '{label}')" for name, label in _READY_LABELS.items())
+
+
+@query(
+    "a18_readiness_report",
+    f"""WITH {substrate.NODES_SQL}, {E}, d AS (SELECT a, count(*) AS n FROM (SELECT src AS a FROM edges UNION ALL SELECT dst FROM edges) GROUP BY 1),
+    r AS (SELECT label, name, row_number() OVER (PARTITION BY label ORDER BY coalesce(n, 0) DESC, id) AS k, coalesce(n, 0) AS n FROM nodes LEFT JOIN d ON a = id WHERE label IN ('Material', 'Equipment', 'Customer', 'Nation') QUALIFY k <= 8)
+    SELECT 'counter' AS section, 'nodes' AS name, NULL::INT AS rank, (SELECT count(*) FROM nodes) AS value UNION ALL SELECT 'counter', 'review_items', NULL, (SELECT count(*) FROM nodes WHERE status IN ('O', 'P')) UNION ALL {_READY_COUNTS}
+    UNION ALL SELECT 'counter', 'relationships', NULL, (SELECT count(*) FROM edges) UNION ALL SELECT 'coverage', coalesce(status, 'unknown'), NULL, count(*) FROM nodes WHERE label = 'Customer' GROUP BY 2 UNION ALL SELECT 'top', label || ':' || name, k::INT, n FROM r""",
+)
+def a18b(t):
+    nodes = substrate.nodes(t).withColumn("category", F.col("status"))
+    return counters.readiness(nodes, substrate.edges(t), _READY_LABELS, ["Material", "Equipment", "Customer", "Nation"], F.col("status").isin("O", "P"), document_label="Customer")
+
+
 @query("g1_projection", f"WITH {E} SELECT least(src, dst) AS a, greatest(src, dst) AS b, count(*) AS weight FROM edges WHERE src <> dst GROUP BY ALL")
 def g1(t):
     return graph.projection(substrate.edges(t))
@@ -183,6 +199,22 @@ def g5(t):
     return quality.community_summaries(t.customer.select(F.col("c_nationkey").alias("community"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("weight")), 5)
 
 
+@query(
+    "g5_parent_summaries",
+    """WITH RECURSIVE m AS (SELECT 'n:' || c_nationkey AS community, c_name AS name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_name) AS n FROM customer),
+    up AS (SELECT 'n:' || n_nationkey AS community, 'r:' || n_regionkey AS parent FROM nation UNION SELECT 'r:' || r_regionkey, CASE WHEN r_regionkey < 2 THEN 'h:0' ELSE 'h:1' END FROM region UNION VALUES ('h:0', 'world'), ('h:1', 'world')),
+    f AS (SELECT community, 0 AS level, 0::BIGINT AS children, string_agg(name, ', ' ORDER BY n) AS summary FROM m WHERE n <= 3 GROUP BY 1
+      UNION ALL SELECT parent, max(level) + 1, count(*), left(string_agg('Summary ' || k || ': ' || summary, ' ' ORDER BY k), 400) FROM (SELECT parent, level, summary, row_number() OVER (PARTITION BY parent ORDER BY community) AS k FROM f JOIN up USING (community)) GROUP BY parent)
+    SELECT community, level::INT AS level, children, summary FROM f""",
+)
+def g5b(t):
+    """Summaries of nations, of regions from these, of halves of the world, and of the world."""
+    leaves = quality.community_summaries(t.customer.select(substrate.key("n", "c_nationkey").alias("community"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("weight")), 3)
+    half = F.when(F.col("r_regionkey") < 2, "h:0").otherwise("h:1")
+    parents = t.nation.select(substrate.key("n", "n_nationkey").alias("child"), substrate.key("r", "n_regionkey").alias("parent")).union(t.region.select(substrate.key("r", "r_regionkey"), half)).union(t.region.select(half, F.lit("world")).distinct())
+    return counters.parent_summaries(leaves, parents, 3)
+
+
 @query(
     "g6_components",
     f"""WITH RECURSIVE {E}, e AS (SELECT src, dst FROM edges WHERE rel = 'PLACED'), sym AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
@@ -272,9 +304,13 @@ def g16c(t):
     return quality.risks(claims).select(F.col("id").alias("l_orderkey"), F.col("description").alias("risk"))
 
 
-@query("g16_knowledge_gaps", "SELECT unnest(['known', 'unknown', 'also unknown'][2:3]) AS gap, 'high' AS severity")
+_GAPS = [("known", ["the"]), ("unknown", ["zzqx"]), ("also unknown", ["qqq", "xzxz"]), ("licensing", ["zzqx", "license"]), ("untold", ["no such words"])]
+_GAP_ROWS = ", ".join(f"('{name}', '{term}')" for name, terms in _GAPS for term in terms)
+
+
+@query("g16_knowledge_gaps", f"WITH p(gap, term) AS (VALUES {_GAP_ROWS}) SELECT gap, 'high' AS severity FROM p GROUP BY gap HAVING NOT bool_or(EXISTS (SELECT 1 FROM documents WHERE contains(lower(text), term)))")
 def g16d(t):
-    return quality.knowledge_gaps(t.documents.select("text"), [("known", ["the"]), ("unknown", ["zzqx"]), ("also unknown", ["qqq", "xzxz"])]).select("gap", "severity")
+    return quality.knowledge_gaps(t.documents.select("text"), _GAPS).select("gap", "severity")
 
 
 @query("g17_subclass_closure", "WITH RECURSIVE p AS (SELECT * FROM (VALUES ('Pump', 'Equipment'), ('Equipment', 'Entity'), ('Material', 'Entity'), ('Alloy', 'Material')) v(child, parent)), c AS (SELECT child, parent AS ancestor, 1 AS distance FROM p UNION ALL SELECT c.child, p.parent, distance + 1 FROM c JOIN p ON p.child = c.ancestor) SELECT child, ancestor, distance::INT AS distance FROM c")

@@ -4,8 +4,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veritrail.functions import evidence, text
-from veritrail.operators import chunking
+from veritrail.operators import chunking, counters, search
 from veritrail.operators.graph import both_ways, reachable, tree_closure
+from veritrail.operators.ranking import numbered, recall
 from veritrail.operators.relational import capped, diversified, fused, latest, maximal_sets, merged_properties, page, round_robin, slot_coverage, upsert
 from veritrail.operators.retrieval import conditions_match
 from veritrail.plans import substrate
@@ -76,13 +77,12 @@ def j9(t):
 
 @query(
     "j10_bounded_paths",
-    f"""WITH {substrate.EDGES_SQL}, e AS (SELECT DISTINCT src, dst FROM edges WHERE rel IN ('PLACED', 'USES_EQUIPMENT', 'IN_COMMUNITY', 'PARENT_COMMUNITY')), s AS (SELECT 'c:' || c_custkey AS id FROM customer WHERE c_custkey % 100 = 0),
+    f"""WITH {substrate.EDGES_SQL}, e AS (SELECT DISTINCT src, dst FROM edges), s AS (SELECT 'c:' || c_custkey AS id FROM customer),
     h1 AS (SELECT DISTINCT s.id AS origin, e.dst AS id FROM s JOIN e ON e.src = s.id), h2 AS (SELECT DISTINCT h1.origin, e.dst AS id FROM h1 JOIN e ON e.src = h1.id),
     h3 AS (SELECT DISTINCT h2.origin, e.dst AS id FROM h2 JOIN e ON e.src = h2.id) SELECT * FROM h1 UNION SELECT * FROM h2 UNION SELECT * FROM h3""",
 )
 def j10(t):
-    start = t.customer.where("c_custkey % 100 = 0").select(substrate.key("c", "c_custkey").alias("id"))
-    return reachable(start, substrate.edges(t).where("rel <> 'USES_MATERIAL'"), 3)
+    return reachable(t.customer.select(substrate.key("c", "c_custkey").alias("id")), substrate.edges(t), 3)
 
 
 @query(
@@ -237,6 +237,38 @@ def a14(t):
     return t.orders.select("o_orderkey").join(n, "o_orderkey", "left").select("o_orderkey", zero("materials"), zero("equipment"), zero("measurements"))
 
 
+_GRAPH_SQL = """own AS (SELECT o_custkey AS d, o_orderkey AS c FROM orders), held AS (SELECT DISTINCT d, c, l_partkey AS e FROM own JOIN lineitem ON l_orderkey = c), ent AS (SELECT DISTINCT d, e FROM held),
+    nxt AS (SELECT o_orderkey AS c, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS other FROM orders), sim AS (SELECT o_orderkey AS c, lead(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS other FROM orders),
+    rel AS (SELECT DISTINCT l_partkey AS s, l_returnflag AS r, x AS t FROM (SELECT *, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS x FROM lineitem) WHERE x IS NOT NULL),
+    up AS (SELECT DISTINCT p_brand AS child, p_type AS parent FROM part UNION SELECT DISTINCT p_type, 'size ' || p_size FROM part UNION SELECT DISTINCT 'size ' || p_size, 'all' FROM part),
+    l0 AS (SELECT DISTINCT d, p_brand AS k FROM ent JOIN part ON p_partkey = e), s1 AS (SELECT DISTINCT d, k, parent FROM l0 JOIN up ON child = k), l1 AS (SELECT DISTINCT d, parent AS k FROM s1),
+    s2 AS (SELECT DISTINCT d, k, parent FROM l1 JOIN up ON child = k), l2 AS (SELECT DISTINCT d, parent AS k FROM s2), s3 AS (SELECT DISTINCT d, k, parent FROM l2 JOIN up ON child = k), l3 AS (SELECT DISTINCT d, parent AS k FROM s3),
+    n AS (SELECT d, 1 AS g FROM own UNION ALL SELECT d, 2 FROM own UNION ALL SELECT d, 2 FROM held UNION ALL SELECT d, 2 FROM own JOIN nxt USING (c) WHERE other IS NOT NULL UNION ALL SELECT d, 2 FROM own JOIN sim USING (c) WHERE other IS NOT NULL
+      UNION ALL SELECT d, 3 FROM ent UNION ALL SELECT a.d, 4 FROM ent a JOIN rel ON rel.s = a.e JOIN ent b ON b.d = a.d AND b.e = rel.t
+      UNION ALL SELECT d, 5 FROM l0 UNION ALL SELECT d, 5 FROM l1 UNION ALL SELECT d, 5 FROM l2 UNION ALL SELECT d, 5 FROM l3 UNION ALL SELECT d, 6 FROM ent JOIN part ON p_partkey = e UNION ALL SELECT d, 6 FROM s1 UNION ALL SELECT d, 6 FROM s2 UNION ALL SELECT d, 6 FROM s3)"""
+_GRAPH_COUNTS = ", ".join(f"count(*) FILTER (g = {k}) AS {c}" for k, c in enumerate(("chunk_nodes", "chunk_rels", "entity_nodes", "entity_rels", "community_nodes", "community_rels"), 1))
+
+
+@query(
+    "a14_document_graph_counts",
+    f"WITH {_GRAPH_SQL} SELECT c_custkey AS document, {_GRAPH_COUNTS}, count(*) FILTER (g IN (1, 3, 5)) AS nodes, count(*) FILTER (g IN (2, 4, 6)) AS rels FROM customer LEFT JOIN n ON d = c_custkey GROUP BY 1",
+)
+def a14b(t):
+    """All counters of a document: customers as documents, orders as chunks, parts as entities, brands, types and sizes as levels of communities."""
+    after = lambda *by: F.lead("o_orderkey").over(Window.partitionBy(*by).orderBy("o_orderkey"))
+    linked = lambda *by: t.orders.select(F.col("o_orderkey").alias("chunk"), after(*by).alias("other")).where("other IS NOT NULL")
+    following = F.lead("l_partkey").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"))
+    relations = t.lineitem.select(F.col("l_partkey").alias("src"), F.col("l_returnflag").alias("rel"), following.alias("dst")).where("dst IS NOT NULL")
+    size = F.concat(F.lit("size "), F.col("p_size").cast("string"))
+    step = lambda a, b: t.part.select(a.alias("child"), b.alias("parent"))
+    parents = step(F.col("p_brand"), F.col("p_type")).union(step(F.col("p_type"), size)).union(step(size, F.lit("all"))).distinct()
+    return counters.document_counts(
+        t.customer.select(F.col("c_custkey").alias("document")), t.orders.select(F.col("o_custkey").alias("document"), F.col("o_orderkey").alias("chunk")),
+        t.lineitem.select(F.col("l_orderkey").alias("chunk"), F.col("l_partkey").alias("entity")), linked("o_custkey", "o_orderpriority"), linked("o_custkey"), relations,
+        t.part.select(F.col("p_partkey").alias("entity"), F.col("p_brand").alias("community")), parents,
+    )
+
+
 @query(
     "a15_community_rank_weight",
     """WITH c AS (SELECT 'n:' || c_nationkey AS community, o_orderkey, c_custkey FROM customer JOIN orders ON o_custkey = c_custkey UNION ALL
@@ -294,6 +326,28 @@ def a24(t):
     return t.lineitem.agg(share(5).alias("recall_5"), share(6).alias("recall_6"), r6(F.avg("l_discount")).alias("fact_recall"))
 
 
+@query(
+    "a24_retrieval_recall",
+    r"""WITH w AS (SELECT doc_id, source, regexp_extract_all(lower(text), '[\p{L}\p{N}_-]{2,}') AS w FROM documents), p AS (SELECT doc_id, len(w) AS l, unnest(w) AS term FROM w), tf AS (SELECT doc_id, l, term, count(*) AS tf FROM p GROUP BY ALL),
+    n AS (SELECT count(*) AS n, avg(l) AS mean FROM (SELECT DISTINCT doc_id, l FROM tf)), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+    q AS (SELECT DISTINCT doc_id AS question, unnest(w[4:15]) AS term FROM w WHERE doc_id % 20 = 0),
+    s AS (SELECT question, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / mean))), 6) AS score FROM q JOIN df USING (term) JOIN tf USING (term), n GROUP BY ALL),
+    r AS (SELECT question, source, doc_id, row_number() OVER (PARTITION BY question ORDER BY score DESC, doc_id) AS rank FROM s JOIN documents USING (doc_id) QUALIFY rank <= 30),
+    g AS (SELECT doc_id AS question, source AS gs FROM documents WHERE doc_id % 20 = 0), b AS (SELECT g.question, min(CASE WHEN r.source = gs THEN rank END) AS d, min(CASE WHEN r.doc_id = g.question THEN rank END) AS e FROM g LEFT JOIN r USING (question) GROUP BY 1)
+    SELECT count(*) AS questions, round(avg(coalesce((d <= 5)::INT, 0)), 6) AS document_recall_at_5, round(avg(coalesce((d <= 30)::INT, 0)), 6) AS document_recall_at_30, round(avg(coalesce((e <= 30)::INT, 0)), 6) AS element_recall_at_30,
+    round(avg(coalesce(1.0::DOUBLE / d, 0)), 6) AS mean_reciprocal_rank FROM b""",
+)
+def a24b(t):
+    """How well a few words find the text that they are from: every twentieth document asks by its fourth to fifteenth word."""
+    texts = t.documents.select(F.col("doc_id"), "source", search.terms_of(F.col("text")).alias("w"))
+    asked = texts.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.explode(F.slice("w", 4, 12)).alias("term"))
+    scored = search.bm25_by_postings(search.postings(t.documents, "doc_id", "text"), asked)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(r6(F.col("score"))), "chunk_id"))
+    first = scored.withColumn("rank", place).where("rank <= 30").join(t.documents.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("document")), "chunk_id")
+    gold = t.documents.where("doc_id % 20 = 0").select(F.col("doc_id").alias("question"), F.col("source").alias("document"), F.col("doc_id").alias("element"))
+    return recall(first.select(F.col("query_id").alias("question"), "rank", "document", F.col("chunk_id").alias("element")), gold)
+
+
 @query("a25_mode_statistics", "SELECT event_type AS mode, user_id % 3 AS complexity, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high, round(stddev_samp(value), 6) AS sd FROM events GROUP BY ALL")
 def a25(t):
     return t.events.groupBy(F.col("event_type").alias("mode"), (F.col("user_id") % 3).alias("complexity")).agg(F.count("*").alias("n"), r6(F.avg("value")).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), r6(F.stddev_samp("value")).alias("sd"))
@@ -440,8 +494,8 @@ def w10(t):
 
 @query("w11_citation_labels", "SELECT doc_id, 'S' || row_number() OVER (ORDER BY (quality = 1) DESC, toxic, doc_id) AS label FROM labels")
 def w11(t):
-    n = F.row_number().over(Window.orderBy(F.desc(F.col("quality") == 1), "toxic", "doc_id"))
-    return t.labels.select("doc_id", F.concat(F.lit("S"), n.cast("string")).alias("label"))
+    ranked = numbered(t.labels, [F.desc(F.col("quality") == 1), "toxic", "doc_id"])
+    return ranked.select("doc_id", F.concat(F.lit("S"), F.col("rank").cast("string")).alias("label"))
 
 
 @query("w12_ordinal_by_kind", "SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) - 1)::INT AS ordinal FROM conversations")
@@ -466,8 +520,8 @@ def w13(t):
 
 @query("w14_best_rank", "WITH r AS (SELECT label, vec_id, row_number() OVER (ORDER BY embedding[1] DESC, vec_id) AS rk FROM embeddings) SELECT label, min(rk)::INT AS best FROM r GROUP BY 1")
 def w14(t):
-    ranked = t.embeddings.select("label", F.row_number().over(Window.orderBy(F.desc(F.get("embedding", 0)), "vec_id")).alias("rk"))
-    return ranked.groupBy("label").agg(F.min("rk").alias("best"))
+    ranked = numbered(t.embeddings.select("label", "vec_id", F.get("embedding", 0).alias("first")), [F.desc("first"), "vec_id"])
+    return ranked.groupBy("label").agg(F.min("rank").cast("int").alias("best"))
 
 
 # ---- ordering and sets --------------------------------------------------------------------------------------------

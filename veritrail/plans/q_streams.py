@@ -11,7 +11,7 @@ from veritrail.operators.align import minute_buckets, tumbling_minutes
 from veritrail.operators.graph import _own_folder
 from veritrail.plans.catalog import ORACLE_SQL, QUERIES, query
 from veritrail.sources import readers
-from veritrail.streaming import jobs, ledger, live
+from veritrail.streaming import cache, jobs, ledger, live
 
 
 def _scratch(spark) -> str:
@@ -203,6 +203,74 @@ def st6(t):
     return latest(keyed, ["cache_key"], [F.desc("ts"), F.desc("event_id")]).select("cache_key", "event_id")
 
 
+_REQUESTS = """p AS (SELECT sha256('answer:' || user_id || '|' || event_type || '|policy-1') AS k, event_id, epoch_ms(ts) AS tm, (date_diff('day', DATE '2024-01-01', ts::DATE) // 5)::VARCHAR AS v,
+    row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch_ms(ts), event_id) AS n FROM events),
+    f AS (SELECT k, n, event_id, 'first' AS outcome, tm AS made, v AS mv, event_id AS answered_by FROM p WHERE n = 1
+      UNION ALL SELECT k, n, event_id, outcome, CASE outcome WHEN 'hit' THEN made ELSE tm END, CASE outcome WHEN 'hit' THEN mv ELSE v END, CASE outcome WHEN 'hit' THEN answered_by ELSE event_id END
+      FROM (SELECT p.*, made, mv, answered_by, CASE WHEN tm >= made + 259200000 THEN 'expired' WHEN v <> mv THEN 'version' ELSE 'hit' END AS outcome FROM f JOIN p ON p.k = f.k AND p.n = f.n + 1))"""
+_CACHED = f"WITH RECURSIVE {_REQUESTS} SELECT k AS cache_key, event_id AS request, outcome, answered_by FROM f"
+
+
+def _requests(events):
+    """Requests by user and kind of event, against a corpus that has a new version every five days."""
+    from veritrail.functions.ids import cache_key
+
+    version = F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 5).cast("string")
+    key = cache_key("answer", F.concat_ws("|", F.col("user_id").cast("string"), "event_type", F.lit("policy-1")))
+    return events.select(key.alias("cache_key"), F.col("event_id").alias("request"), "ts", version.alias("version"), F.col("props").alias("answer"))
+
+
+@_streamed("st6_r20_answer_cache_stream", _CACHED)
+def st6s(spark, sf_dir):
+    """Hits and misses (first, expired, new version) of an answer cache with timers."""
+    scratch = _scratch(spark)
+    with live.state_in_rocksdb(spark):
+        live.run_to_table(cache.answered(_requests(live.event_stream(spark, sf_dir, "events.parquet")), "72 hours"), f"{scratch}/out", f"{scratch}/checkpoint")
+    return spark.read.parquet(f"{scratch}/out")
+
+
+@query("st6_r20_answer_cache_batch", _CACHED)
+def st6b(t):
+    return cache.answered_batch(_requests(t.events), "72 hours")
+
+
+@_streamed(
+    "st7_adaptive_rate_stream",
+    """WITH RECURSIVE p AS (SELECT user_id, event_id, event_type = 'error' AS rejected, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+    f AS (SELECT user_id, event_id, n, (CASE WHEN rejected THEN 1.5 ELSE 0.98 END)::DOUBLE AS s FROM p WHERE n = 1
+      UNION ALL SELECT p.user_id, p.event_id, p.n, CASE WHEN rejected THEN least(60.0::DOUBLE, s * 1.5::DOUBLE) ELSE greatest(0.05::DOUBLE, s * 0.98::DOUBLE) END FROM f JOIN p ON p.user_id = f.user_id AND p.n = f.n + 1)
+    SELECT user_id AS worker, event_id AS request, round(s, 6) AS seconds, n AS requests FROM f""",
+)
+def st7(spark, sf_dir):
+    """The spacing of each user's requests, where an error is a rejection."""
+    scratch = _scratch(spark)
+    events = live.event_stream(spark, sf_dir, "events.parquet")
+    requests = events.select(F.col("user_id").alias("worker"), F.col("event_id").alias("request"), (F.col("event_type") == "error").alias("rejected"))
+    with live.state_in_rocksdb(spark):
+        live.run_to_table(cache.spaced(requests), f"{scratch}/out", f"{scratch}/checkpoint")
+    return spark.read.parquet(f"{scratch}/out").withColumn("seconds", F.round("seconds", 6))
+
+
+@_streamed(
+    "st3_run_state_stream",
+    """WITH e AS (SELECT user_id, event_id, event_type, epoch_ms(max(ts) OVER w) AS tm, lag(event_type) OVER w AS was, lag(event_id) OVER w AS before FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+    g AS (SELECT *, coalesce(tm - lag(tm) OVER (PARTITION BY user_id ORDER BY event_id) >= 43200000, false) AS gap FROM e),
+    m AS (SELECT *, gap OR was IS NULL OR was <> event_type AS changed FROM g),
+    n AS (SELECT *, sum(gap::INT + changed::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS total FROM m),
+    l AS (SELECT user_id, max(event_id) AS event_id, max(tm) AS tm, max(total) AS total FROM n GROUP BY 1)
+    SELECT user_id AS run, event_id AS event, event_type AS status, total::BIGINT AS changes FROM n WHERE changed UNION ALL SELECT user_id, before, 'stalled', (total - 1)::BIGINT FROM n WHERE gap
+    UNION ALL SELECT user_id, event_id, 'stalled', (total + 1)::BIGINT FROM l WHERE tm + 43200000 <= (SELECT epoch_ms(max(ts)) - 3600000 FROM events)""",
+)
+def st3s(spark, sf_dir):
+    """Every change of a run's status; runs stall after twelve hours of silence."""
+    scratch = _scratch(spark)
+    events = live.event_stream(spark, sf_dir, "events.parquet")
+    runs = events.select(F.col("user_id").alias("run"), F.col("event_id").alias("event"), F.col("event_type").alias("status"), "ts")
+    with live.state_in_rocksdb(spark):
+        live.run_to_table(cache.watched(runs), f"{scratch}/out", f"{scratch}/checkpoint")
+    return spark.read.parquet(f"{scratch}/out")
+
+
 @query("st8_second_pass_capacity", "SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS turn FROM documents ORDER BY turn, source LIMIT 30")
 def st8(t):
     from veritrail.operators.relational import round_robin
