@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -36,6 +37,14 @@ def mode_of(name: str | None, documents: Sequence[str] = ()) -> Mode:
     return mode
 
 
+def guarded(name: Column, documents: Column) -> Column:
+    """struct<mode, top_k, unit, hybrid, refused> for a request's mode and number of selected documents: unknown names get the default mode; a mode that takes no
+    selection refuses one."""
+    known = F.create_map(*[x for k, m in MODES.items() for x in (F.lit(k), F.struct(F.lit(k).alias("mode"), F.lit(m.top_k).alias("top_k"), F.lit(m.unit).alias("unit"), F.lit(m.hybrid).alias("hybrid"), F.lit(m.document_filter).alias("takes")))])
+    mode = F.coalesce(F.try_element_at(known, name), F.element_at(known, F.lit(DEFAULT_MODE)))
+    return F.struct(mode["mode"].alias("mode"), mode["top_k"].alias("top_k"), mode["unit"].alias("unit"), mode["hybrid"].alias("hybrid"), ((documents > 0) & ~mode["takes"]).alias("refused"))
+
+
 Transform = Callable[[DataFrame, DataFrame], tuple[DataFrame, DataFrame]]
 
 

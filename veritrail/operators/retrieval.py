@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veritrail.functions import text as T
+from veritrail.operators.graph import saved
+from veritrail.operators.index import PostingsIndex
 from veritrail.operators.relational import diversified, fused
 from veritrail.operators.search import bm25
 
@@ -34,17 +36,22 @@ def channel_lists(scored: DataFrame, channel: str, window: int) -> DataFrame:
 def cross_corpus_search(
     chunks: DataFrame, query: str = QUERY, slots: Sequence[str] = ("license terms", "shesh"), final_k: int = 20, k_per_corpus: int = 10, id_col: str = "doc_id",
     document_col: str = "doc_id", corpus_col: str = "source", text_col: str = "text", dense: DataFrame | None = None, strict_numbers: bool = False,
-    weights: dict[str, float] | None = None, rerank: DataFrame | None = None,
+    weights: dict[str, float] | None = None, rerank: DataFrame | None = None, index: PostingsIndex | None = None,
 ) -> DataFrame:
     """rank, chunk_id, document_id, corpus_id, score, rrf_norm, bm25_norm, dense_norm, matched_slots.
 
     BM25 (and, given `dense` as (chunk_id, score), dense) lists of each corpus are fused, scored with slots and numbers,
     weighed by corpus, sorted, and capped by document and corpus. rerank: (chunk_id, rerank) scores of a model, if there is
-    one; a chunk that has none keeps its score by rank."""
+    one; a chunk that has none keeps its score by rank. index: a written index of chunks by corpus, which takes the place of the scan;
+    texts are then read for the chunks that it finds alone."""
     window = max(50, 3 * k_per_corpus)
     named = chunks.select(F.col(id_col).alias("chunk_id"), F.col(document_col).alias("document_id"), F.col(corpus_col).alias("corpus_id"), F.col(text_col).alias("text"))
     terms = T_terms(query)
-    lists = channel_lists(bm25(named, terms, "chunk_id", "text", keep=["document_id", "corpus_id", "text"]), "bm25", window)
+    if index is None:
+        scored = bm25(named, terms, "chunk_id", "text", keep=["document_id", "corpus_id", "text"])
+    else:  # at most `window` rows of each corpus, written, so that their size is known
+        scored = named.join(saved(index.search(terms, window, by_group=True).found.select(F.col("id").alias("chunk_id"), "score")), "chunk_id")
+    lists = channel_lists(scored, "bm25", window)
     if dense is not None:
         lists = lists.unionByName(channel_lists(named.join(dense, "chunk_id"), "dense", window).select(*lists.columns))
     candidates = fused(lists, max(40, 4 * final_k))
@@ -106,6 +113,11 @@ def synthetic_gap(spark, **filters) -> DataFrame:
     return spark.createDataFrame(row, "type string, description string, filters string, severity string, detected_by string")
 
 
+def found_or_gap(found: DataFrame, **filters) -> DataFrame:
+    """The gap that a tool reports instead of results: one row if found is empty, none otherwise. Of found at most one row is looked at."""
+    return synthetic_gap(found.sparkSession, **filters).join(found.limit(1).select(F.lit(1).alias("_one")), F.lit(True), "left_anti")
+
+
 def pathways(experiments: DataFrame, branches: dict[str, DataFrame], limit: int, include_incomplete: bool = True) -> DataFrame:
     """Role chains of experiments: one row for each combination of a material, process, equipment and result.
 

@@ -313,12 +313,19 @@ def g16d(t):
     return quality.knowledge_gaps(t.documents.select("text"), _GAPS).select("gap", "severity")
 
 
-@query("g17_subclass_closure", "WITH RECURSIVE p AS (SELECT * FROM (VALUES ('Pump', 'Equipment'), ('Equipment', 'Entity'), ('Material', 'Entity'), ('Alloy', 'Material')) v(child, parent)), c AS (SELECT child, parent AS ancestor, 1 AS distance FROM p UNION ALL SELECT c.child, p.parent, distance + 1 FROM c JOIN p ON p.child = c.ancestor) SELECT child, ancestor, distance::INT AS distance FROM c")
-def g17(t, spark):
-    from veritrail.sources.ontology import read_turtle, subclasses
-
-    sample = "m:Pump a owl:Class ; rdfs:subClassOf m:Equipment .\nm:Equipment a owl:Class ; rdfs:subClassOf m:Entity .\nm:Material a owl:Class ; rdfs:subClassOf m:Entity .\nm:Alloy a owl:Class ; rdfs:subClassOf m:Material .\n"
-    return graph.tree_closure(subclasses(spark, read_turtle(sample)), 4)
+@query(
+    "g17_subclass_closure",
+    r"""WITH RECURSIVE p AS (SELECT DISTINCT regexp_replace(p_brand, '[^A-Za-z0-9]+', '_', 'g') AS child, regexp_replace(p_type, '[^A-Za-z0-9]+', '_', 'g') AS parent FROM part UNION SELECT DISTINCT regexp_replace(p_type, '[^A-Za-z0-9]+', '_', 'g'), 'Material' FROM part UNION VALUES ('Material', 'Entity')),
+    c AS (SELECT child, parent AS ancestor, 1 AS distance FROM p UNION SELECT c.child, p.parent, distance + 1 FROM c JOIN p ON p.child = c.ancestor) SELECT child, ancestor, distance::INT AS distance FROM c""",
+)
+def g17(t):
+    """An ontology in Turtle made of all parts: brands are kinds of their types, these of materials."""
+    from veritrail.sources.ontology import subclass_lines
+
+    name = lambda c: F.concat(F.lit("m:"), F.regexp_replace(c, "[^A-Za-z0-9]+", "_"))
+    stated = lambda child, parent: t.part.select(F.concat(child, F.lit(" a owl:Class ; rdfs:subClassOf "), parent, F.lit(" .")).alias("value"))
+    lines = stated(name("p_brand"), name("p_type")).union(stated(name("p_type"), F.lit("m:Material"))).union(stated(F.lit("m:Material"), F.lit("m:Entity"))).distinct()
+    return graph.tree_closure(subclass_lines(lines), 4).distinct()
 
 
 @query(

@@ -90,6 +90,12 @@ def r1(t):
     return retrieval.cross_corpus_search(t.documents)
 
 
+@query("r1_indexed_search", _R1)
+def r1i(t):
+    """The same over a written index: only the folders of the query's terms and, of these, the blocks that can matter are read."""
+    return retrieval.cross_corpus_search(t.documents, index=index_of(t.documents, "doc_id", "text", "source"))
+
+
 _R1_HYBRID = rf"""WITH {_bm25_sql()}, {_VEC},
     near AS (SELECT vec_id, list_cosine_similarity(e, q) AS c FROM v, q ORDER BY c DESC, vec_id LIMIT 400),
     lists AS (SELECT 'bm25' AS ch, doc_id, source, text, score FROM bm UNION ALL SELECT 'dense', doc_id, source, text, c FROM documents JOIN near ON vec_id = doc_id),
@@ -147,9 +153,19 @@ def r5(t, spark):
     return retrieval.find_experiments(experiments, [with_material], met).select(F.col("id").alias("o_orderkey"), "confidence")
 
 
-@query("r5_synthetic_gap", "SELECT 'missing_evidence' AS type, 'No verified evidence matches the requested combination' AS description, 'material=zzz, process=leaching' AS filters, 'high' AS severity, 'tool_query' AS detected_by")
-def r5b(t, spark):
-    return retrieval.synthetic_gap(spark, material="zzz", process="leaching", geography=[], year=None)
+@query(
+    "r5_synthetic_gap",
+    """SELECT 'missing_evidence' AS type, 'No verified evidence matches the requested combination' AS description, 'material=' || m || ', process=' || p AS filters, 'high' AS severity, 'tool_query' AS detected_by
+    FROM (VALUES ('zzz', 'F'), ('ring', 'O'), ('ring', 'zzz')) v(m, p) WHERE NOT EXISTS (SELECT 1 FROM lineitem JOIN part ON p_partkey = l_partkey WHERE contains(lower(p_name), m) AND l_linestatus = p)""",
+)
+def r5b(t):
+    """Three questions for a material and a status of line items; those that no line item answers are gaps."""
+    out = None
+    for material, process in (("zzz", "F"), ("ring", "O"), ("ring", "zzz")):
+        parts = t.part.where(F.contains(F.lower("p_name"), F.lit(material))).select(F.col("p_partkey").alias("l_partkey"))
+        gap = retrieval.found_or_gap(t.lineitem.where(F.col("l_linestatus") == process).join(parts, "l_partkey", "left_semi"), material=material, process=process, geography=[], year=None)
+        out = gap if out is None else out.union(gap)
+    return out
 
 
 @query(
@@ -255,18 +271,14 @@ def r17(t):
 
 @query(
     "r18_mode_guard",
-    """SELECT * FROM (VALUES ('entity_vector', false, 10), ('fulltext', false, 5), ('global_vector', false, 10), ('graph_vector', true, 5), ('graph_vector_fulltext', false, 5), ('vector', true, 5)) v(mode, takes_documents, top_k)""",
+    """WITH m AS (SELECT * FROM (VALUES ('vector', 5, 'chunk', false, true), ('fulltext', 5, 'chunk', true, false), ('entity_vector', 10, 'entity', false, false), ('graph_vector', 5, 'chunk', false, true), ('graph_vector_fulltext', 5, 'chunk', true, false),
+    ('global_vector', 10, 'community', true, false)) v(mode, top_k, unit, hybrid, takes)), e AS (SELECT event_id, user_id % 3 AS n, ['vector', 'fulltext', 'entity_vector', 'graph_vector', 'graph_vector_fulltext', 'global_vector', 'unheard of'][event_id % 7 + 1] AS asked FROM events)
+    SELECT event_id, mode, top_k, unit, hybrid, n > 0 AND NOT takes AS refused FROM e JOIN m ON mode = CASE WHEN asked = 'unheard of' THEN 'graph_vector_fulltext' ELSE asked END""",
 )
-def r18(t, spark):
-    """Each mode asked for one document: those that refuse a selection and those that take it."""
-
-    def takes(name):
-        try:
-            return bool(modes.mode_of(name, ["d"]))
-        except ValueError:
-            return False
-
-    return spark.createDataFrame([(name, takes(name), modes.mode_of(name).top_k) for name in modes.MODES], "mode string, takes_documents boolean, top_k int")
+def r18(t):
+    """Every event as a request in one of the modes (or one that nobody knows), for no, one or two documents."""
+    asked = F.get(F.array(*map(F.lit, ("vector", "fulltext", "entity_vector", "graph_vector", "graph_vector_fulltext", "global_vector", "unheard of"))), (F.col("event_id") % 7).cast("int"))
+    return t.events.select("event_id", modes.guarded(asked, F.col("user_id") % 3).alias("g")).select("event_id", "g.*")
 
 
 @query("r19_agentic_loop")

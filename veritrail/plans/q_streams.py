@@ -9,8 +9,9 @@ from pyspark.sql.window import Window
 from veritrail.functions import urls
 from veritrail.operators.align import minute_buckets, tumbling_minutes
 from veritrail.operators.graph import _own_folder
-from veritrail.plans.catalog import ORACLE_SQL, QUERIES, query
-from veritrail.sources import readers
+from veritrail.plans import substrate
+from veritrail.plans.catalog import ORACLE_SQL, QUERIES, Tables, query
+from veritrail.sources import citations, openxml, readers, sinks
 from veritrail.streaming import cache, jobs, ledger, live
 
 
@@ -107,6 +108,53 @@ def s14(t):
     return readers.web_pages(t.pages, "page_id", "url", "html")
 
 
+@query(
+    "s8_slides",
+    r"""WITH t AS (SELECT 'conv' || conv_id || '.pptx' AS path, role, turn, array_to_string(list_filter(list_transform(str_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS said,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text)::INT AS n FROM conversations)
+    SELECT path, n AS slide_number, 'table' AS kind, 'Slide ' || n || ' table' AS text FROM t UNION ALL SELECT path, n, 'table_row', role || ' | ' || turn FROM t
+    UNION ALL SELECT path, n, 'text', CASE WHEN said <> '' THEN said || chr(10) ELSE '' END || 'Speaker notes: turn ' || turn FROM t""",
+)
+def s8(t):
+    """Each conversation as a presentation of a slide for each turn, and back."""
+    turns = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
+    return openxml.elements(readers.presentations(turns, F.concat(F.lit("conv"), F.col("conv_id").cast("string"), F.lit(".pptx")), "t")).select("path", "slide_number", "kind", "text")
+
+
+@query("s9_workbook_sheets", "SELECT 'nation' || s_nationkey || '.xlsx' AS path, 'suppliers' AS sheet_name, s_name || ' |  | ' || s_suppkey AS text, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey)::INT AS row_number FROM supplier")
+def s9b(t):
+    """The suppliers of each nation as a workbook, and back."""
+    cells = F.array_sort(F.collect_list(F.struct("s_suppkey", F.array("s_name", F.lit(""), F.col("s_suppkey").cast("string")).alias("cells"))))
+    rows = t.supplier.groupBy("s_nationkey").agg(F.transform(cells, lambda x: x["cells"]).alias("rows"))
+    files = readers.workbooks(rows, F.concat(F.lit("nation"), F.col("s_nationkey").cast("string"), F.lit(".xlsx")), F.lit("suppliers"), "rows")
+    return openxml.elements(files).where("kind = 'table_row'").select("path", "sheet_name", "text", "row_number")
+
+
+_ALLOWED, _THIN = ["example.com", "Example.org"], ["example.org"]
+
+
+@query(
+    "s20_citation_tiers",
+    r"""WITH c AS (SELECT page_id // 4 AS answer, page_id % 4 AS k, CASE WHEN page_id % 5 = 0 THEN regexp_replace(url, '(?i)^https?://', '') ELSE url END AS raw, CASE WHEN page_id % 3 = 0 THEN NULL ELSE 'Page ' || page_id END AS title FROM pages),
+    d AS (SELECT answer, k AS place, raw, title FROM c UNION ALL SELECT answer, k + 4, raw, 'again' FROM c), u AS (SELECT *, CASE WHEN regexp_matches(raw, '(?i)^https?://') THEN trim(raw) ELSE 'https://' || trim(raw) END AS url FROM d),
+    h AS (SELECT *, lower(regexp_replace(regexp_extract(url, '(?i)^https?://([^/?#]*)', 1), ':[0-9]*$', '')) AS host FROM u),
+    f AS (SELECT * FROM h WHERE host = 'example.com' OR ends_with(host, '.example.com') OR host = 'example.org' OR ends_with(host, '.example.org') QUALIFY row_number() OVER (PARTITION BY answer, url ORDER BY place) = 1),
+    m AS (SELECT *, host = 'example.org' OR ends_with(host, '.example.org') AS thin FROM f)
+    SELECT answer, url, coalesce(title, host) AS title, CASE WHEN thin THEN 'web_metadata' ELSE 'web' END AS source_type, thin AS metadata_only, CASE WHEN thin THEN 'metadata' ELSE 'science' END AS evidence_tier FROM m""",
+)
+def s20(t):
+    """Answers that cite four pages each, twice, in JSON: their sources by tier."""
+    raw = F.when(F.col("page_id") % 5 == 0, F.regexp_replace("url", "(?i)^https?://", "")).otherwise(F.col("url"))
+    title = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("Page "), F.col("page_id").cast("string")))
+    one = lambda title: F.struct(F.lit("url_citation").alias("type"), raw.alias("url"), title.alias("title"))
+    by = lambda x: F.transform(F.array_sort(F.collect_list(F.struct("page_id", x.alias("c")))), lambda x: x["c"])
+    told = t.pages.groupBy(F.floor(F.col("page_id") / 4).alias("answer")).agg(by(one(title)).alias("first"), by(one(F.lit("again"))).alias("second"))
+    content = F.struct(F.lit("output_text").alias("type"), F.concat("first", "second").alias("annotations"))
+    answers = told.select("answer", F.to_json(F.struct(F.array(F.struct(F.array(content).alias("content"))).alias("output"))).alias("json"))
+    cited = answers.select("answer", F.posexplode(citations.annotations(F.col("json"))).alias("place", "c")).select("answer", "place", "c.url", "c.title")
+    return citations.cited_sources(cited, _ALLOWED, "science", _THIN).select("answer", "url", "title", "source_type", "metadata_only", "evidence_tier")
+
+
 @query("s15_article_urls", "SELECT page_id, 'en' AS lang, 'Page_' || page_id AS title FROM pages WHERE page_id % 2 = 0")
 def s15(t):
     made = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("https://en.wikipedia.org/wiki/Page_"), F.col("page_id").cast("string"), F.lit("?x=1"))).otherwise(F.col("url"))
@@ -149,10 +197,46 @@ def s31(t):
     return readers.partial_targets(jobs_, chunks).select("job_id", "stage", "n_chunks")
 
 
-@query("s22_graph_source", "SELECT * FROM (VALUES ('node', 'a', 'Material', NULL), ('node', 'b', 'Process', NULL), ('edge', 'a', 'USES', 'b')) v(kind, a, b, c)")
-def s22(t, spark):
-    spark.dataSource.register(readers.GraphTextSource)
-    return spark.read.format("graphtext").option("lines", "node\ta\tMaterial\nnode\tb\tProcess\nedge\ta\tUSES\tb").load()
+@_streamed(
+    "s22_graph_source",
+    f"WITH {substrate.NODES_SQL}, {substrate.EDGES_SQL} SELECT 'node' AS kind, id AS a, label AS b, NULL AS c FROM nodes UNION ALL SELECT 'edge', src, rel, dst FROM edges",
+)
+def s22(spark, sf_dir):
+    """The graph of all tables written as lines of text, and read again."""
+    t = Tables(spark, sf_dir)
+    lines = substrate.nodes(t).select(F.concat_ws("\t", F.lit("node"), "id", "label").alias("value")).union(substrate.edges(t).select(F.concat_ws("\t", F.lit("edge"), "src", "rel", "dst")))
+    path = f"{_scratch(spark)}/lines"
+    lines.write.text(path)
+    return readers.graph_lines(spark.read.text(path))
+
+
+@query(
+    "s7_text_documents",
+    r"""WITH d AS (SELECT 'item' || item_id || '.docx' AS path, item_id, list_filter(list_transform(str_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS said FROM benchmark)
+    SELECT path, 'text' AS kind, unnest(said) AS text, unnest(range(len(said)))::INT AS position FROM d UNION ALL SELECT path, 'table_row', 'item | ' || item_id, len(said)::INT FROM d""",
+)
+def s7(t):
+    """Each benchmark item as a text document of its lines and a table, and back."""
+    path = F.concat(F.lit("item"), F.col("item_id").cast("string"), F.lit(".docx"))
+    files = readers.text_documents(t.benchmark, path, F.split("text", "\n"), F.array(F.lit("item"), F.col("item_id").cast("string")))
+    return readers.openxml_elements(files).select("path", "kind", "text", "position")
+
+
+@_streamed("s23_corpus_folders", "SELECT doc_id, source AS corpus_id, sha256(text) AS digest FROM documents")
+def s23(spark, sf_dir):
+    """All documents written by corpus and read again; the corpus comes back from the folders' names."""
+    path = f"{_scratch(spark)}/corpus"
+    sinks.write_corpus(Tables(spark, sf_dir).documents.select("doc_id", F.col("source").alias("corpus_id"), "text"), path)
+    return spark.read.parquet(path).select("doc_id", F.col("corpus_id").cast("string").alias("corpus_id"), F.sha2("text", 256).alias("digest"))
+
+
+@_streamed("s26_spool", "SELECT conv_id, turn, role, sha256(text) AS digest FROM conversations")
+def s26(spark, sf_dir):
+    """All turns spooled as compressed lines of JSON and read again."""
+    path = f"{_scratch(spark)}/spool"
+    turns = Tables(spark, sf_dir).conversations
+    sinks.spool(turns, path)
+    return spark.read.schema(turns.schema).json(path).select("conv_id", "turn", "role", F.sha2("text", 256).alias("digest"))
 
 
 # ---- streams ------------------------------------------------------------------------------------------------------

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _TOKEN = re.compile(r'"(?:[^"\\]|\\.)*"(?:@[\w-]+|\^\^[\w:]+)?|<[^>]*>|[;.,\[\]()]|[^\s;,\[\]()]+?(?=\s|[;,\[\]()]|\.\s|\.$|$)')
@@ -50,3 +52,14 @@ def terms(spark: SparkSession, triples: list[tuple[str, str, str]]) -> DataFrame
     kinds = {"Class": "class", "ObjectProperty": "object_property", "DatatypeProperty": "datatype_property"}
     rows = [(local(s), kinds[local(o)]) for s, p, o in triples if p in ("a", "rdf:type") and local(o) in kinds]
     return spark.createDataFrame(rows, "name string, kind string")
+
+
+def subclass_lines(lines: DataFrame, line: str = "value") -> DataFrame:
+    """(child, parent) from Turtle of one statement a line, as large ontologies are exchanged; each line is parsed where it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(local(s), local(o)) for text in batch.column(0).to_pylist() if text for s, p, o in read_turtle(text) if local(p) == "subClassOf"]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in (0, 1)], names=["child", "parent"])
+
+    return lines.select(line).mapInArrow(run, "child string, parent string").distinct()

@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import re
-import zipfile
 from collections.abc import Iterator, Sequence
-from io import BytesIO
-from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +13,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from veritrail.functions import urls
 from veritrail.functions.ids import stable_id
 from veritrail.functions.text import clean_text, infer_language, infer_title
+from veritrail.sources import openxml
 
 #: File endings that a parser exists for, limits of figures, cells and encyclopedia texts.
 SUPPORTED = (".pdf", ".doc", ".docx", ".docm", ".pptx", ".xls", ".xlsx")
@@ -82,28 +80,41 @@ def pages_regrouped(elements: DataFrame, doc: str, page: str, order: str, text:
 
 
 def openxml_elements(files: DataFrame) -> DataFrame:
-    """Text and table rows of word-processing files (path, content) from the zip's XML."""
-    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    """path, kind, text, position of word-processing files (path, content): their paragraphs and table rows."""
+    return openxml.elements(files).where("kind <> 'error'").select("path", "kind", "text", "position")
+
+
+def presentations(turns: DataFrame, path: Column, turns_col: str) -> DataFrame:
+    """(path, content): a presentation for each row, with a slide for each of its turns (array of structs turn, role, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with zipfile.ZipFile(BytesIO(content)) as z:
-                    body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{w}body")
-                said = lambda e: "".join(t.text or "" for t in e.iter(f"{w}t")).strip()
-                for n, part in enumerate(body):
-                    if part.tag == f"{w}p" and said(part):
-                        out.append((path, "text", said(part), n))
-                    elif part.tag == f"{w}tbl":
-                        for row in part.iter(f"{w}tr"):
-                            cells = [said(c) for c in row.iter(f"{w}tc")]
-                            if any(cells):
-                                out.append((path, "table_row", " | ".join(cells), n))
-            yield pa.RecordBatch.from_pydict(dict(zip(("path", "kind", "text", "position"), map(list, zip(*out)))) if out else {"path": [], "kind": [], "text": [], "position": []},
-                                             schema=pa.schema([("path", pa.string()), ("kind", pa.string()), ("text", pa.string()), ("position", pa.int32())]))
-
-    return files.select("path", "content").mapInArrow(run, "path string, kind string, text string, position int")
+            made = [openxml.presentation([(x["text"] or "", [[x["role"] or "", str(x["turn"])]], f"turn {x['turn']}") for x in turns]) for turns in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["path", "content"])
+
+    return turns.select(path.alias("path"), turns_col).mapInArrow(run, "path string, content binary")
+
+
+def text_documents(texts: DataFrame, path: Column, paragraphs: Column, cells: Column) -> DataFrame:
+    """(path, content): a text document for each row, of paragraphs (array of strings) and a table of one row of cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [openxml.text_document([x or "" for x in said or []], [[c or "" for c in row]] if row else []) for said, row in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["path", "content"])
+
+    return texts.select(path.alias("path"), paragraphs.alias("said"), cells.alias("cells")).mapInArrow(run, "path string, content binary")
+
+
+def workbooks(tables: DataFrame, path: Column, sheet: Column, rows_col: str) -> DataFrame:
+    """(path, content): a workbook for each row, of one sheet with its rows (array of arrays of cells)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [openxml.workbook([(name, [[c or "" for c in row] for row in rows])]) for name, rows in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["path", "content"])
+
+    return tables.select(path.alias("path"), sheet.alias("sheet"), rows_col).mapInArrow(run, "path string, content binary")
 
 
 def workbook_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -175,6 +186,12 @@ def pseudo_pages(paragraphs: DataFrame, doc: str = "doc", position: str = "posit
     return made.select(doc, F.posexplode(pages).alias("page_number", text)).where(F.col(text) != "").withColumn("page_number", F.col("page_number") + 1)
 
 
+def graph_lines(lines: DataFrame, line: str = "value") -> DataFrame:
+    """(kind, a, b, c) of lines of `kind<TAB>a<TAB>b<TAB>c`, fields that are missing null; blank lines are left out."""
+    parts = F.split(line, "\t", -1)
+    return lines.where(F.trim(line) != "").select(*[F.get(parts, k).alias(n) for k, n in enumerate(("kind", "a", "b", "c"))])
+
+
 class GraphTextSource(DataSource):
     """spark.read.format("graphtext"): nodes or edges from lines of `kind<TAB>...`, a plain exchange format."""
 
