@@ -335,10 +335,10 @@ def settled_blocks(found: DataFrame) -> tuple[DataFrame, DataFrame]:
     kinds = written(heads.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")), "kinds")
     differ = _several(F.min("least"), F.max("least"), F.bool_or(F.col("least").isNull()))
     open_ = written(kinds.groupBy(F.col("key.one").alias("one")).agg(differ.alias("open"), F.sum("n").alias("n")).where("open").drop("open"), "open")
-    placed = joined(heads, kinds.drop("n"), "key", "at", kinds.agg(F.max("n")).first()[0] or 0)
+    placed = joined(heads, kinds.drop("n"), "key", "id", kinds.agg(F.max("n")).first()[0] or 0)
     later = _after(F.col("least"))
     again = live.where("again").select("id", "copy", "at").unionByName(placed.where(later).select("id", "copy", "at"))
-    rest = joined(placed.where(~later), open_.drop("n"), "one", "at", open_.agg(F.max("n")).first()[0] or 0).select("id", "copy", "at")
+    rest = joined(placed.where(~later), open_.drop("n"), "one", "id", open_.agg(F.max("n")).first()[0] or 0).select("id", "copy", "at")
     return again, live.where("NOT hot AND NOT again").select("id", "copy", "at").unionByName(rest)
 
 
@@ -349,7 +349,7 @@ def settled_windows(found: DataFrame) -> DataFrame:
     live = written(seen.where("again OR hot"), "windows")
     heads = live.where("hot AND NOT again").select("id", "copy", F.struct("one", "two").alias("key"), "at")
     least = written(heads.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n")), "least")
-    placed = joined(heads, least.drop("n"), "key", "at", least.agg(F.max("n")).first()[0] or 0)
+    placed = joined(heads, least.drop("n"), "key", "id", least.agg(F.max("n")).first()[0] or 0)
     return live.where("again").select("id", "copy", "at").unionByName(placed.where(_after(F.col("least"))).select("id", "copy", "at"))
 
 
