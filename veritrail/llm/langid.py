@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from veritrail.llm.common import small_batches, written
@@ -101,20 +102,32 @@ def counted(texts: list[str], buckets: int = BUCKETS) -> np.ndarray:
     return total
 
 
-def sampled(rows: DataFrame, by: str, per_group: int, key: list[str], counted: DataFrame | None = None) -> DataFrame:
+def sampled(rows: DataFrame, by: str, per_group: int, key: list[str]) -> DataFrame:
     """At most per_group rows of each value of `by`: those with the smallest hash of the columns `key`. Rows that are equal
-    in these are drawn once, after each task has merged its own.
-
-    A threshold on the hash, from the groups' counts, cuts the rows to about that number before any is ranked. counted:
-    rows to take those counts from if rows themselves are costly to read (their groups must include those of rows).
-    """
-    # a row for each group, written: its size is known, so Spark broadcasts it if it is small
-    sizes = written((rows if counted is None else counted).groupBy(by).agg(F.least(F.lit(1.0), 1.5 * (per_group + 50) / F.count("*")).alias("_vt_share")), "shares")
-    place = F.xxhash64(*[x for k in key for x in (F.col(k).isNull(), F.col(k))])
-    placed = rows.withColumn("_vt_place", place).join(sizes, by)
-    near = placed.where(F.col("_vt_place").cast("double") / 2.0**64 + 0.5 <= F.col("_vt_share")).drop("_vt_share")
+    in these are drawn once, and any number of them leaves no less room for others.
+
+    Each task keeps the per_group smallest hashes of each group, as it goes; these are merged, and the last that
+    counts is the group's threshold for the rows themselves."""
+    placed = rows.withColumn("_vt_place", F.xxhash64(*[x for k in key for x in (F.col(k).isNull(), F.col(k))]))
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            values = batch.column(0).dictionary_encode()
+            own, places = values.indices.to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
+            for k, value in enumerate(values.dictionary.to_pylist()):
+                held[value] = np.unique(np.concatenate((held.get(value, places[:0]), places[own == k])))[:per_group]
+        for value, places in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([value] * len(places), kind), pa.array(places)], names=[by, "_vt_place"])
+
+    slim = placed.where(F.col(by).isNotNull()).select(by, "_vt_place")
+    kind = to_arrow_type(slim.schema[by].dataType)
+    kept = slim.mapInArrow(smallest, slim.schema).distinct()
     rank = F.row_number().over(Window.partitionBy(by).orderBy("_vt_place"))
-    return near.dropDuplicates([by, "_vt_place"]).withColumn("_vt_rank", rank).where(F.col("_vt_rank") <= per_group).drop("_vt_rank", "_vt_place")
+    last = kept.withColumn("_vt_rank", rank).where(F.col("_vt_rank") <= per_group).groupBy(by).agg(F.max("_vt_place").alias("_vt_last"))
+    last = written(last, "thresholds")  # a row for each group: its size is known, so Spark broadcasts it if it is small
+    near = placed.join(last, by).where(F.col("_vt_place") <= F.col("_vt_last"))
+    return near.dropDuplicates([by, "_vt_place"]).drop("_vt_place", "_vt_last")
 
 
 def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
@@ -122,9 +135,8 @@ def train(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     small_batches(rows.sparkSession)
     usable = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= MAX_TRAIN_BYTES))
     usable = usable.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    known = rows.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"))
-    picked = sampled(usable, "lang", per_language, ["id", "text"], counted=known).select("lang", "text")
-    languages = max(1, known.select("lang").distinct().count())
+    picked = sampled(usable, "lang", per_language, ["id", "text"]).select("lang", "text")
+    languages = max(1, rows.where(F.col(lang_col).isNotNull()).select(lang_col).distinct().count())
     buckets = BUCKETS  # fewer with many languages, so that the matrix keeps its size
     while buckets > MIN_BUCKETS and 4 * buckets * languages > MATRIX_BYTES:
         buckets //= 2

@@ -187,8 +187,7 @@ def drawn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids = sampled(marks.join(usable.select("id"), "id", "left_semi"), "label", per_label, ["id"])
     ids = written(ids, "drawn")  # at most per_label ids of either label
     rows = usable.join(F.broadcast(ids), "id")
-    named = usable.select("id").join(F.broadcast(ids), "id").select("label")
-    return sampled(rows, "label", per_label, ["id", "text"], counted=named).select("id", "label", "text")
+    return sampled(rows, "label", per_label, ["id", "text"]).select("id", "label", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = PER_LABEL) -> Model:
