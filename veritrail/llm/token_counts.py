@@ -24,6 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,22 +33,34 @@ from veritrail.llm.bpe import blocks, read_ranks
 from veritrail.llm.common import small_batches
 
 RULES = ("start", "most", "share")
+#: Rows of a document's result that leave a task at once.
+ROWS = 1 << 16
+
+
+_LONG_RUN = regex.compile(r"\s{50000}")
 
 
 class Counter:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import tiktoken
 
+        self.pattern = regex.compile(pattern)
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.size = np.zeros(max(ranks.values()) + 1, np.int64)
         for token, rank in ranks.items():
             self.size[rank] = len(token)
 
+    def ids(self, part: str) -> list[int]:
+        """The tokens of a text. A very long run of white space is too much for the library's matching, so such a text is cut into pieces here."""
+        if not _LONG_RUN.search(part):
+            return self.encoding.encode_ordinary(part)
+        return [i for m in self.pattern.finditer(part) for i in self.encoding._encode_single_piece(m.group().encode())]
+
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The first character of each token, and the one after its last. A long text is encoded in blocks."""
         firsts, stops, before = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
         for part in blocks(text):
-            ids = np.array(self.encoding.encode_ordinary(part), np.int64)
+            ids = np.array(self.ids(part), np.int64)
             stop = np.cumsum(self.size[ids])
             data = np.frombuffer(part.encode(), np.uint8)
             character = np.cumsum((data & 0xC0) != 0x80) - 1 + before
@@ -56,56 +70,97 @@ class Counter:
         return np.concatenate(firsts), np.concatenate(stops)
 
 
-def lines(text: str) -> list[tuple[str, int, int]]:
+class Sections:
+    """Spans of characters, in the order given: arrays of first characters and of those after the last, and titles."""
+
+    def __init__(self, first: np.ndarray, stop: np.ndarray, titles: pa.Array):
+        self.first, self.stop, self.titles = first, stop, titles
+
+    def __len__(self) -> int:
+        return len(self.first)
+
+    @classmethod
+    def of(cls, spans: list[tuple], n_chars: int) -> Sections:
+        first, stop = (np.array([min(s[k] or 0, n_chars) for s in spans], np.int64) for k in (1, 2))
+        return cls(first, stop, pa.array([s[0] for s in spans], pa.string()))
+
+
+def lines(text: str) -> Sections:
     """A section for each line, with its line end."""
-    out, at = [], 0
-    for k, line in enumerate(text.split("\n")):
-        stop = min(at + len(line) + 1, len(text))
-        if stop > at:
-            out.append((f"line {k + 1}", at, stop))
-        at += len(line) + 1
-    return out
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    stop = np.flatnonzero(points == 10) + 1
+    if len(text) and (not len(stop) or stop[-1] < len(text)):
+        stop = np.append(stop, len(text))
+    first = np.concatenate(([0], stop[:-1])) if len(stop) else stop
+    titles = pc.binary_join_element_wise("line", pa.array(np.arange(1, len(stop) + 1)).cast(pa.string()), " ")
+    return Sections(first, stop, titles)
 
 
-def intervals(n_chars: int, sections: list[tuple[str, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+def intervals(n_chars: int, sections: Sections) -> tuple[np.ndarray, np.ndarray]:
     """(starts, owners): the text as intervals of one owner each, in order; the owner is the first section listed that holds
     the interval, or len(sections). Neighbours of the same owner are one interval."""
-    cuts = np.unique(np.clip([0, *(x for s in sections for x in s[1:3])], 0, n_chars))
+    first, stop = np.clip(sections.first, 0, n_chars), np.clip(sections.stop, 0, n_chars)
+    cuts = np.unique(np.concatenate(([0], first, stop)))
     cuts = cuts[cuts < max(1, n_chars)]
     owner = np.full(len(cuts), len(sections), np.int64)
-    for k in range(len(sections) - 1, -1, -1):
-        first, stop = np.searchsorted(cuts, np.clip(sections[k][1:3], 0, n_chars))
-        owner[first:stop] = k
+    begin, end = np.searchsorted(cuts, first), np.searchsorted(cuts, stop)
+    if len(sections) and (begin[1:] >= end[:-1]).all() and (end >= begin).all():  # in order and apart: no section hides another
+        size = end - begin
+        owner[np.repeat(begin, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = np.repeat(np.arange(len(sections)), size)
+    else:
+        for k in range(len(sections) - 1, -1, -1):
+            owner[begin[k] : end[k]] = k
     new = np.concatenate(([True], owner[1:] != owner[:-1]))
     return cuts[new], owner[new]
 
 
-def attributed(first: np.ndarray, stop: np.ndarray, n_chars: int, sections: list[tuple[str, int, int]], rule: str) -> tuple[np.ndarray, np.ndarray]:
+def attributed(first: np.ndarray, stop: np.ndarray, n_chars: int, sections: Sections, rule: str) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, tokens over a boundary) for each section and, last, for what lies outside: a join of the sorted spans of
-    tokens with the sorted intervals of sections by binary search."""
+    tokens with the sorted intervals of sections by binary search. Work grows with tokens and intervals that meet."""
     outside = len(sections)
     starts, owner = intervals(n_chars, sections)
-    counts, crossing = np.zeros(outside + 1), np.zeros(outside + 1, np.int64)
     if not len(first):
-        return counts, crossing
+        return np.zeros(outside + 1), np.zeros(outside + 1, np.int64)
     low, high = np.searchsorted(starts, first, "right") - 1, np.searchsorted(starts, stop - 1, "right") - 1
     over = low != high
-    np.add.at(counts, owner[low[~over]], 1)
-    ends = np.append(starts[1:], n_chars)
-    for a, b, i, j in zip(first[over], stop[over], low[over], high[over]):
-        own = owner[i : j + 1]
-        share = np.minimum(ends[i : j + 1], b) - np.maximum(starts[i : j + 1], a)  # characters of the token in each interval
-        met = np.bincount(own, weights=share, minlength=outside + 1)
-        crossing[np.flatnonzero(met)] += 1
-        if rule == "start":
-            counts[own[0]] += 1
-        elif rule == "most":
-            counts[own[np.argmax(met[own])]] += 1
-        else:
-            counts += met / met.sum()
+    counts = np.bincount(owner[low[~over]], minlength=outside + 1).astype(np.float64)
+    if not over.any():
+        return counts, np.zeros(outside + 1, np.int64)
+    first, stop, low, size = first[over], stop[over], low[over], (high - low)[over] + 1
+    head = np.cumsum(size) - size
+    token = np.repeat(np.arange(len(size)), size)  # a row for each token and interval that meet
+    at = np.repeat(low - head, size) + np.arange(size.sum())
+    chars = np.minimum(np.append(starts[1:], n_chars)[at], stop[token]) - np.maximum(starts[at], first[token])
+    pair, back = np.unique(token * (outside + 1) + owner[at], return_inverse=True)
+    met, token_of, owner_of = np.bincount(back, weights=chars), pair // (outside + 1), pair % (outside + 1)
+    crossing = np.bincount(owner_of, minlength=outside + 1)
+    if rule == "start":
+        counts += np.bincount(owner[low], minlength=outside + 1)
+    elif rule == "most":
+        own = met[back]
+        best = np.flatnonzero(own == np.repeat(np.maximum.reduceat(own, head), size))
+        earliest = best[np.concatenate(([True], token[best][1:] != token[best][:-1]))]
+        counts += np.bincount(owner[at[earliest]], minlength=outside + 1)
+    else:
+        total = np.bincount(token_of, weights=met)
+        counts += np.bincount(owner_of, weights=met / total[token_of], minlength=outside + 1)
     return counts, crossing
 
 
+def _shown(row: int, own: Sections, counts: np.ndarray, crossing: np.ndarray, low: int, high: int) -> list[pa.Array]:
+    """The columns of the result's rows low .. high for one document; the row after the sections is what lies outside."""
+    inner = slice(low, min(high, len(own)))
+    rest = pa.nulls(high - low - len(own.first[inner]), pa.int32())
+    with_rest = lambda values: pa.concat_arrays([pa.array(values.astype(np.int32)), rest])
+    titles = pa.concat_arrays([own.titles.slice(low, high - low - len(rest)), rest.cast(pa.string())])
+    return [pa.array(np.full(high - low, row)), with_rest(np.arange(low, inner.stop)), titles, with_rest(own.first[inner]), with_rest(own.stop[inner]), pa.array(counts[low:high]), pa.array(crossing[low:high])]
+
+
+def _batch(ids: pa.Array, held: list[list[pa.Array]]) -> pa.RecordBatch:
+    row, *others = (pa.concat_arrays(x) for x in held)
+    return pa.RecordBatch.from_arrays([ids.take(row), *others], names=["id", "section_no", "section", "first_char", "end_char", "n_tokens", "n_crossing"])
+
+
 _at_hand: dict[str, Counter] = {}
 
 
@@ -133,26 +188,24 @@ def token_counts(
         if counter is None:
             counter = _at_hand[name] = Counter(read_ranks(shared.value.split(b"\n")), pattern)
         for batch in batches:
-            row, number, title, begin, end, tokens, over = [], [], [], [], [], [], []
+            held: list[list[pa.Array]] = [[] for _ in range(7)]
+            rows = 0
             for k in range(batch.num_rows):
                 text = (batch.column(1)[k].as_py() or b"").decode("utf-8", "replace")
-                own = [tuple(s.values()) for s in batch.column(2)[k].as_py() or [] if s] if sections_col else lines(text)
-                own = [(s[0], min(s[1] or 0, len(text)), min(s[2] or 0, len(text))) for s in own]
+                own = Sections.of([tuple(s.values()) for s in batch.column(2)[k].as_py() or [] if s], len(text)) if sections_col else lines(text)
                 first, stop = counter.spans(text) if text else (np.empty(0, np.int64),) * 2
                 counts, crossing = attributed(first, stop, len(text), own, rule)
                 shown = len(own) + bool(counts[-1] or crossing[-1])
-                row += [k] * shown
-                number += [*range(len(own)), None][:shown]
-                title += [*(s[0] for s in own), None][:shown]
-                begin += [*(s[1] for s in own), None][:shown]
-                end += [*(s[2] for s in own), None][:shown]
-                tokens.append(counts[:shown])
-                over.append(crossing[:shown])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(row, pa.int64())), pa.array(number, pa.int32()), pa.array(title, pa.string()), pa.array(begin, pa.int32()),
-                 pa.array(end, pa.int32()), pa.array(np.concatenate([*tokens, np.empty(0)])), pa.array(np.concatenate([*over, np.empty(0, np.int64)]))],
-                names=["id", "section_no", "section", "first_char", "end_char", "n_tokens", "n_crossing"],
-            )
+                for low in range(0, shown, ROWS):
+                    high = min(low + ROWS, shown)
+                    for column, part in zip(held, _shown(k, own, counts, crossing, low, high)):
+                        column.append(part)
+                    rows += high - low
+                    if rows >= ROWS:
+                        yield _batch(batch.column(0), held)
+                        held, rows = [[] for _ in range(7)], 0
+            if rows:
+                yield _batch(batch.column(0), held)
 
     id_type = picked.schema["id"].dataType.simpleString()
     schema = f"id {id_type}, section_no int, section string, first_char int, end_char int, n_tokens double, n_crossing long"
