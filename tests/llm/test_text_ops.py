@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from veritrail.llm import langid, mil
 from veritrail.llm.common import held_out
 from veritrail.llm.quality_rules import ALPHA, SIGNALS, judged, measured, quantiles, sketches
-from veritrail.llm.token_counts import Counter, attributed, lines, token_counts
+from veritrail.llm.token_counts import Counter, Sections, attributed, lines, token_counts
 
 TOKENIZER = pytest.importorskip("public_tokenizers")
 EMPTY = "doc_id long, text string, lang string, source string"
@@ -55,6 +55,26 @@ def test_sample_is_bounded_and_stable(spark, corpus):
     assert same.count() == same.distinct().count() > 0
 
 
+def test_no_language_or_label_is_lost_to_repeated_or_null_rows(spark):
+    """200,000 equal rows, or as many null texts, beside 60 documents of the same and 60 of another group."""
+    rnd = random.Random(4)
+    some = [(i, speak(rnd, LANGS["aa" if i % 2 else "bb"], 40), "aa" if i % 2 else "bb") for i in range(120)]
+    good = spark.createDataFrame(some, "doc_id long, text string, lang string")
+    flood = lambda text: spark.range(200_000).select(F.lit(999).cast("long").alias("doc_id"), F.lit(text).cast("string").alias("text"), F.lit("bb").alias("lang"))
+    for text in ("der und nicht", None):
+        rows = good.unionByName(flood(text))
+        model = langid.train(rows)
+        assert model.languages == ["aa", "bb"]
+        got = langid.predict(good, model).toPandas()
+        assert (got["lang"] == got["lang_pred"]).all()
+        picked = langid.sampled(rows.where("text IS NOT NULL"), "lang", 1500, ["doc_id", "text"])
+        assert picked.count() == 120 + (text is not None)
+    labels = good.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality")).unionByName(spark.createDataFrame([(999, 0)], "doc_id long, quality int"))
+    for text in ("der und nicht", None):
+        drawn = mil.drawn(good.unionByName(flood(text)), labels)
+        assert {r["label"]: r["count"] for r in drawn.groupBy("label").count().collect()} == {0: 60 + (text is not None), 1: 60}
+
+
 def test_language_id_learns_from_null_and_repeated_ids(spark, corpus):
     for ids in (F.lit(None).cast("long"), F.lit(7).cast("long")):
         rows = corpus.withColumn("doc_id", ids)
@@ -243,6 +263,14 @@ def quality_rows():
     return rows
 
 
+def test_symbols_are_junk_where_they_are_rare_only(spark):
+    rnd = random.Random(11)
+    text = lambda share: " ".join(rnd.choice(["some", "plain", "words", "here", "now"]) + rnd.choice("abc") + ("|" if rnd.random() < share else rnd.choice([",", "", "", ""])) for _ in range(120)) + ".\n"
+    rows = [(i, text(0), "aa", "prose") for i in range(60)] + [(100 + i, text(rnd.uniform(0.2, 0.4)), "aa", "tables") for i in range(60)] + [(200, text(0.3), "aa", "prose"), (201, text(0.02), "aa", "prose")]
+    kept = {r["doc_id"]: r["kept"] for r in judged(spark.createDataFrame(rows, EMPTY)).collect()}
+    assert not kept.pop(200) and all(kept.values())
+
+
 def test_the_same_text_is_kept_in_one_source_and_dropped_in_another(spark):
     found = judged(spark.createDataFrame(quality_rows(), EMPTY)).collect()
     kept = {r["doc_id"]: r["kept"] for r in found}
@@ -281,7 +309,7 @@ def test_token_counts_match_the_other_library(spark):
         sections = lines(text)
         want = [0] * len(sections)
         for a, _ in encoded.offsets:
-            want[next(i for i, (_, s, e) in enumerate(sections) if s <= a < e)] += 1
+            want[next(i for i, (s, e) in enumerate(zip(sections.first, sections.stop)) if s <= a < e)] += 1
         assert [got[k, i] for i in range(len(sections))] == want, text
 
 
@@ -294,7 +322,7 @@ def test_attribution_rules_conserve_tokens():
         sections = [("s", a := rnd.randint(0, n), rnd.randint(a, n)) for _ in range(rnd.randint(0, 4))]
         owner = [next((k for k, (_, a, b) in enumerate(sections) if a <= c < b), len(sections)) for c in range(n)]
         for rule in ("start", "most", "share"):
-            counts, crossing = attributed(first, stop, n, sections, rule)
+            counts, crossing = attributed(first, stop, n, Sections.of(sections, n), rule)
             want = np.zeros(len(sections) + 1)
             for a, b in zip(first, stop):
                 own = owner[a:b]
@@ -319,6 +347,26 @@ def test_long_texts_are_encoded_in_blocks(monkeypatch):
     assert len(list(bpe.blocks(text, 37))) > 20 and all(np.array_equal(a, b) for a, b in zip(whole, counter.spans(text)))
 
 
+def test_attribution_of_very_many_lines(spark):
+    import time
+
+    began = time.perf_counter()
+    text = "\n" * 2_000_000 + "end of it\n\n" * 100_000
+    docs = spark.createDataFrame([(1, text), (2, "a\n\n\nb")], "doc_id long, text string")
+    counter = Counter(read_ranks_of(), TOKENIZER.PATTERN)
+    for rule in ("start", "share"):
+        found = token_counts(docs, TOKENIZER.path("byte_bpe_50k.tiktoken"), TOKENIZER.PATTERN, rule=rule).where("doc_id = 1")
+        n, total = found.agg(F.count("*"), F.sum("n_tokens")).first()
+        assert n == 2_200_000 and abs(total - len(counter.spans(text)[0])) < 1e-6 * n
+    assert time.perf_counter() - began < 120
+
+
+def read_ranks_of():
+    from veritrail.llm.bpe import read_ranks
+
+    return read_ranks(open(TOKENIZER.path("byte_bpe_50k.tiktoken"), "rb").read().split(b"\n"))
+
+
 def test_token_counts_with_given_sections_and_odd_rows(spark):
     rows = [(1, "title here body follows", [("title", 0, 10), ("body", 11, 999)]), (2, None, None), (3, "", [("x", 0, 5)]), (None, "abc", []), (4, "abc def", [("x", None, 3), None])]
     docs = spark.createDataFrame(rows, "doc_id long, text string, s array<struct<name:string,start:int,end:int>>")

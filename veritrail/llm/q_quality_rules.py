@@ -43,7 +43,7 @@ counts AS (SELECT r, doc_id, lang, source, len(w)::BIGINT AS n_words, length(arr
     coalesce(n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cover USING (r)),
 signals AS (SELECT *, CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END AS word_length,
     CASE WHEN word_chars > 0 THEN 100000 * (word_chars - least(word_chars, n_letters)) // word_chars ELSE 0 END AS other_share,
-    CASE WHEN n_lines > 0 THEN 1000 * n_words // n_lines ELSE 0 END AS line_words,
+    CASE WHEN n_lines > 0 THEN 1000 * n_words // n_lines ELSE 0 END AS line_words, CASE WHEN n_words > 0 THEN 10 * n_symbols // n_words ELSE 0 END AS symbol_share,
     n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
 values_of AS ({_LONG}),
 own AS ({_ranked(['lang', 'source'])}),

@@ -1,19 +1,19 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
 Each document gets counts (words, symbols, letters, repeated lines, repeated word windows) and, from them, signals as whole
-numbers: the mean length of words, the share of characters that are no letters, the words of a line. For each language
+numbers: the mean length of words, the share of characters that are no letters, the words of a line, the symbols in ten words. For each language
 and source the distribution of each signal over the documents that pass the base rules is kept as a mergeable quantile
 sketch: logarithmic buckets of relative width 2 * ALPHA with a count each, so that partial sketches merge by adding counts
 and a quantile's relative error is at most ALPHA. Fences are read from the group's own sketch, in buckets (that is, as
 ratios):
 
-    high = median + REACH * max(90 % quantile - median, pooled, 1)
-    low  = median - REACH * max(median - 10 % quantile, pooled, 1)
+    high = median + REACH * max(75 % quantile - median, pooled, 1)
+    low  = median - REACH * max(median - 25 % quantile, pooled, 1)
 
 where pooled is the median of that spread over the groups of MIN_GROUP documents or more, whatever their sizes; it keeps a
 group of mostly equal documents from rejecting all others. A group under MIN_GROUP documents reads the merged sketch of all groups instead. No fixed
 cutoff enters. A document is kept if it passes the fixed base rules and each signal lies within its group's fences. Up
-to a tenth of a group on either side doesn't move a fence; where over half of a group is junk the median is the junk's own.
+to a quarter of a group on either side doesn't move a fence; where over half of a group is junk the median is the junk's own.
 
 The text is read once: signals are written to the shared folder and reread, and only those narrow rows are shuffled.
 Sketch rows are bounded by groups x signals x buckets (about 4,000), whatever the number of documents.
@@ -39,10 +39,10 @@ SYMBOLS = r"[#*$%&|<>]"
 OTHER = r"[^\p{L}\p{M}]"
 ALPHA = 0.002
 #: signal: the fences that it is held to.
-SIGNALS = {"word_length": ("low", "high"), "other_share": ("high",), "line_words": ("low", "high")}
+SIGNALS = {"word_length": ("low", "high"), "other_share": ("high",), "line_words": ("low", "high"), "symbol_share": ("high",)}
 #: Quantiles in percent.
-LOW, MEDIAN, HIGH = 10, 50, 90
-REACH, MIN_GROUP = 7, 20
+LOW, MEDIAN, HIGH = 25, 50, 75
+REACH, MIN_GROUP = 12, 20
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
@@ -96,7 +96,7 @@ def with_signals(counts: DataFrame) -> DataFrame:
     words, chars = F.col("n_words"), F.col("word_chars")
     return counts.withColumns({
         "word_length": per(1000, chars, words), "other_share": per(100_000, chars - F.least(chars, F.col("n_letters")), chars),
-        "line_words": per(1000, words, F.col("n_lines")),
+        "line_words": per(1000, words, F.col("n_lines")), "symbol_share": per(10, F.col("n_symbols"), words),
         "base_failed": (words < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * words),
     })
 
