@@ -1,7 +1,7 @@
 import math
 
 from veritrail.llm.common import table
-from veritrail.llm.quality_rules import ALPHA, HIGH, LOW, MEDIAN, MIN_GROUP, REACH, SIGNALS, judged
+from veritrail.llm.quality_rules import ALPHA, HIGH, LEAST, LOW, MEDIAN, MIN_GROUP, REACH, SHIFT, SIGNALS, judged
 
 
 def op5_quality_rules(spark, sf_dir):
@@ -11,6 +11,7 @@ def op5_quality_rules(spark, sf_dir):
 
 # The SQL keeps no sketch: it sorts each group's values, reads quantiles by exact rank, and turns those into buckets.
 _BUCKET = f"CASE WHEN {{0}} <= 0 THEN 0 ELSE 1 + ceil(ln(({{0}})::DOUBLE) / {math.log((1 + ALPHA) / (1 - ALPHA))!r})::INT END"
+_LEAST = f"CASE signal {' '.join(f"WHEN '{s}' THEN {n}" for s, n in LEAST.items())} ELSE 1 END"
 _LONG = " UNION ALL ".join(f"SELECT lang, source, '{s}' AS signal, {s} AS value FROM signals WHERE NOT base_failed" for s in SIGNALS)
 _AT = lambda q: _BUCKET.format(f"min(CASE WHEN 100 * r >= {q} * n THEN value END)")
 _FITS = " AND ".join(
@@ -43,7 +44,7 @@ counts AS (SELECT r, doc_id, lang, source, len(w)::BIGINT AS n_words, length(arr
     coalesce(n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cover USING (r)),
 signals AS (SELECT *, CASE WHEN n_words > 0 THEN 1000 * word_chars // n_words ELSE 0 END AS word_length,
     CASE WHEN word_chars > 0 THEN 100000 * (word_chars - least(word_chars, n_letters)) // word_chars ELSE 0 END AS other_share,
-    CASE WHEN n_lines > 0 THEN 1000 * n_words // n_lines ELSE 0 END AS line_words, CASE WHEN n_words > 0 THEN 10 * n_symbols // n_words ELSE 0 END AS symbol_share,
+    CASE WHEN n_lines > 0 THEN 1000 * n_words // n_lines ELSE 0 END AS line_words, CASE WHEN n_words > 0 THEN {SHIFT} + 100 * n_symbols // n_words ELSE 0 END AS symbol_share,
     n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counts),
 values_of AS ({_LONG}),
 own AS ({_ranked(['lang', 'source'])}),
@@ -53,7 +54,7 @@ pooled AS (SELECT signal, floor(median(q_high - q_median)) AS up, floor(median(q
 read AS (SELECT o.lang, o.source, o.signal, CASE WHEN o.n < {MIN_GROUP} THEN e.q_low ELSE o.q_low END AS a,
     CASE WHEN o.n < {MIN_GROUP} THEN e.q_median ELSE o.q_median END AS m, CASE WHEN o.n < {MIN_GROUP} THEN e.q_high ELSE o.q_high END AS b,
     coalesce(p.up, 0) AS up, coalesce(p.down, 0) AS down FROM own o JOIN everywhere e USING (signal) LEFT JOIN pooled p USING (signal)),
-fences AS (SELECT lang, source, signal, m - {REACH} * greatest(m - a, down, 1) AS low, m + {REACH} * greatest(b - m, up, 1) AS high FROM read)
+fences AS (SELECT lang, source, signal, m - {REACH} * greatest(m - a, down, {_LEAST}) AS low, m + {REACH} * greatest(b - m, up, {_LEAST}) AS high FROM read)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_FITS} AS kept FROM signals s
 """
 }

@@ -1,16 +1,17 @@
 """Quality rules with adaptive thresholds, in DataFrame functions only.
 
 Each document gets counts (words, symbols, letters, repeated lines, repeated word windows) and, from them, signals as whole
-numbers: the mean length of words, the share of characters that are no letters, the words of a line, the symbols in ten words. For each language
+numbers: the mean length of words, the share of characters that are no letters, the words of a line, the symbols in a
+hundred words (and SHIFT more, so that few symbols where there are none otherwise are no great ratio). For each language
 and source the distribution of each signal over the documents that pass the base rules is kept as a mergeable quantile
 sketch: logarithmic buckets of relative width 2 * ALPHA with a count each, so that partial sketches merge by adding counts
 and a quantile's relative error is at most ALPHA. Fences are read from the group's own sketch, in buckets (that is, as
 ratios):
 
-    high = median + REACH * max(75 % quantile - median, pooled, 1)
-    low  = median - REACH * max(median - 25 % quantile, pooled, 1)
+    high = median + REACH * max(75 % quantile - median, pooled, least)
+    low  = median - REACH * max(median - 25 % quantile, pooled, least)
 
-where pooled is the median of that spread over the groups of MIN_GROUP documents or more, whatever their sizes; it keeps a
+where least is a bucket (a tenth for symbols) and pooled is the median of that spread over the groups of MIN_GROUP documents or more, whatever their sizes; it keeps a
 group of mostly equal documents from rejecting all others. A group under MIN_GROUP documents reads the merged sketch of all groups instead. No fixed
 cutoff enters. A document is kept if it passes the fixed base rules and each signal lies within its group's fences. Up
 to a quarter of a group on either side doesn't move a fence; where over half of a group is junk the median is the junk's own.
@@ -40,6 +41,8 @@ OTHER = r"[^\p{L}\p{M}]"
 ALPHA = 0.002
 #: signal: the fences that it is held to.
 SIGNALS = {"word_length": ("low", "high"), "other_share": ("high",), "line_words": ("low", "high"), "symbol_share": ("high",)}
+#: Symbols are counted from here; the least spread of a signal in buckets, where it isn't 1.
+SHIFT, LEAST = 10, {"symbol_share": 24}
 #: Quantiles in percent.
 LOW, MEDIAN, HIGH = 25, 50, 75
 REACH, MIN_GROUP = 12, 20
@@ -96,7 +99,7 @@ def with_signals(counts: DataFrame) -> DataFrame:
     words, chars = F.col("n_words"), F.col("word_chars")
     return counts.withColumns({
         "word_length": per(1000, chars, words), "other_share": per(100_000, chars - F.least(chars, F.col("n_letters")), chars),
-        "line_words": per(1000, words, F.col("n_lines")), "symbol_share": per(10, F.col("n_symbols"), words),
+        "line_words": per(1000, words, F.col("n_lines")), "symbol_share": F.when(words > 0, SHIFT + per(100, F.col("n_symbols"), words)).otherwise(0).cast("long"),
         "base_failed": (words < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * words),
     })
 
@@ -137,8 +140,11 @@ def thresholds(rows: DataFrame, groups: list[str]) -> DataFrame:
     both = own.join(everywhere, "signal").join(pooled, "signal", "left")
     small = F.col("total") < MIN_GROUP
     read = {c: F.when(small, F.col(f"all_{c}")).otherwise(F.col(c)) for c in at}
-    high = read["median"] + REACH * F.greatest(read["high"] - read["median"], F.coalesce("up", F.lit(0)), F.lit(1))
-    low = read["median"] - REACH * F.greatest(read["median"] - read["low"], F.coalesce("down", F.lit(0)), F.lit(1))
+    least = F.lit(1)
+    for s, buckets in LEAST.items():
+        least = F.when(F.col("signal") == s, buckets).otherwise(least)
+    high = read["median"] + REACH * F.greatest(read["high"] - read["median"], F.coalesce("up", F.lit(0)), least)
+    low = read["median"] - REACH * F.greatest(read["median"] - read["low"], F.coalesce("down", F.lit(0)), least)
     fences = both.select(*groups, "signal", low.alias("low"), high.alias("high"))
     return fences.groupBy(*groups).agg(*[F.max(F.when(F.col("signal") == s, F.col(side))).alias(f"{side}_{s}") for s in SIGNALS for side in ("low", "high")])
 
