@@ -94,3 +94,13 @@ def test_changed_copies_make_few_pairs(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, shingle=5, similarity=(4, 5)).collect()}
     assert got == dict(enumerate(brute(texts))) and len(set(got.values())) > 40
     assert sum(seen[1:]) < 240 * 10, seen
+
+
+def test_components_are_the_same_where_large_buckets_are_dealt_in_parts(spark, monkeypatch):
+    from veritrail.llm import simhash
+
+    monkeypatch.setattr(simhash, "HOT", 2)
+    texts = sample(25)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, shingle=5, similarity=(4, 5)).collect()}
+    assert got == dict(enumerate(brute(texts)))

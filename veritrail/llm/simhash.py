@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.llm.common import small_batches, written
-from veritrail.llm.components import components, joined, named
+from veritrail.llm.components import HOT, components, joined, named
 from veritrail.llm.shingles import WORDS, bands, bitmaps, distinct, fetched, hashes, linked, own_shingles
 
 BITS = 64
@@ -196,17 +196,29 @@ def _similar_links(docs: DataFrame, text_col: str, classes: DataFrame, max_bits:
     open_ = written(_mixed(open_, components(found), most), "open")
     bits = written(bitmaps(texts.join(open_.select("cls").distinct(), "cls", "left_semi"), shingle), "bits")
     open_ = open_.join(bits, "cls")
-    side = lambda n: ["band", *[F.col(c).alias(f"{c}_{n}") for c in ("cls", "root", "size", "rest", "bits")]]
-    outside, inside = open_.where("root <> most").select(side("x")), open_.select(side("y"))
+    outside, inside = _dealt(open_, 1.01 * under / over)
+    side = lambda rows, n: rows.select("band", "part", "sized", *[F.col(c).alias(f"{c}_{n}") for c in ("cls", "root", "size", "rest", "bits")])
     lacks = lambda a, b: sum(F.bit_count(F.get(f"bits_{a}", k).bitwiseAND(F.bitwise_not(F.get(f"bits_{b}", k)))) for k in range(WORDS))
     common = F.least("rest_x", "rest_y", F.col("size_x") - lacks("x", "y"), F.col("size_y") - lacks("y", "x"))  # at most
     fits = under * common >= over * (F.col("size_x") + F.col("size_y") - common)
-    third = outside.join(inside, "band").where((F.col("root_x") != F.col("root_y")) & fits)
+    third = side(outside, "x").join(side(inside, "y"), ["band", "part", "sized"]).where((F.col("root_x") != F.col("root_y")) & fits)
     third = third.select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b")).distinct()
     third = written(third.join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"), "pairs")
     return found.unionByName(written(linked(texts, third, shingle, similarity), "similar"))
 
 
+def _dealt(open_: DataFrame, ratio: float) -> tuple[DataFrame, DataFrame]:
+    """open_ (band, cls, root, most, size, ...) as the two sides of a join on band, part and sized: the rows outside their bucket's
+    largest component, and all rows. Sizes of similar sets differ by less than the ratio, so a row of one size class meets that
+    class and its neighbours alone; and the rows outside of a large bucket are dealt in parts of about HOT, each of which meets all others."""
+    sized = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / F.log(F.lit(ratio)))
+    parts = open_.where("root <> most").groupBy("band").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts"))
+    rows = joined(open_, written(parts, "parts"), "band", "cls", open_.groupBy("band").count().agg(F.max("count")).first()[0] or 0)
+    outside = rows.where("root <> most").withColumn("sized", sized).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    inside = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return outside, inside.withColumn("sized", F.explode(F.array(sized - 1, sized, sized + 1)))
+
+
 def _mixed(shared: DataFrame, root: DataFrame, most: int) -> DataFrame:
     """Of shared (band, cls, ...) the rows of buckets with more than one component, with root, and the largest as most."""
     placed = shared.join(root, shared["cls"] == root["node"], "left").drop("node").withColumn("root", F.coalesce("root", "cls"))
