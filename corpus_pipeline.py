@@ -7,7 +7,7 @@
 4. mixing: each document is repeated, or left out, as its source's target weight asks;
 5. byte-level BPE: encodes what is left and decodes it again.
 
-The first four return the columns of documents; the last one row for each document of the mix. Models are learned from
+The first four return the columns of documents; the last one row for each document of the mix, with its token ids. Models are learned from
 the stage's own input (and labels). Rows may share an id or have none: the third stage decides by row.
 """
 
@@ -59,7 +59,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "doc_id", "text")
+    return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, "doc_id", "text", keep_ids=True)
 
 
 STAGES = [
