@@ -99,15 +99,22 @@ def test_top_k_odd_rows(spark):
     assert top_k(vectors.where("vec_id = 0"), F.col("id") % 50 == 0).count() == 0
 
 
+def test_far_vectors_score_with_near_ones(spark):
+    rows = [(0, [1.3e7, 0.0]), (50, [1.0, 2.0]), (3, [2.0, 1.0])]
+    found = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 50 == 0)
+    assert sorted(map(tuple, found.collect())) == slow_top(rows, 5, 50)
+
+
 @pytest.mark.parametrize("bits", [24, 28, 30])
 def test_scores_are_exact_at_any_magnitude(spark, bits):
     rnd = random.Random(bits)
     rows = [(i, [float(rnd.randint(-(2**bits), 2**bits)) / 256 for _ in range(6)]) for i in range(120)]
-    rows += [(500, [1e200, 1.0]), (501, [3e9] * 6), (550, [2.0**60 / 256, 0.0])]  # their scores need not fit
-    good = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i < 500]
+    rows += [(500, [1e200, 1.0]), (501, [3e9] * 6), (550, [2.0**60 / 256, 0.0]), (551, [0.0, 1e305]), (552, [1e308, 0.0])]  # not all of their scores fit; 552 overflows
+    good = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if i < 552]
+    fits = lambda s: max(-(2**63), min(2**63 - 1, s))
     want = []
-    for q in range(0, 120, 10):
-        scored = sorted((-sum(a * b for a, b in zip(good[q][1], v)), i) for i, v in good if i != q)[:5]
+    for q, x in (r for r in good if r[0] % 10 == 0):
+        scored = sorted((-fits(sum(a * b for a, b in zip(x, v))), i) for i, v in good if i != q)[:5]
         want += [(q, rank, i, -score) for rank, (score, i) in enumerate(scored, 1)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(map(tuple, top_k(frame, F.col("id") % 10 == 0).collect())) == want

@@ -15,10 +15,12 @@ bounds leave. The directory of annuli (at most about DIRECTORY rows, as blocks g
 is broadcast.
 
 Scores are exact: while the largest squared norm is under 2^53 all sums are exact in doubles, beyond that products are taken
-in 64-bit integers.
+in 64-bit integers. Vectors whose squared norm is 2^63 or more (FAR) are kept out of the index, whose distances they would blur; every query meets
+them, and they as queries meet all vectors, in blocks, with products in integers of any size. A score that doesn't fit a long is the
+long next to it.
 
-Defined results for odd input: vectors that are null or hold null or non-finite components, and null ids, take no part; nor
-do vectors whose squared norm is 2^63 or more, whose scores need not fit a long;
+Defined results for odd input: vectors that are null or hold null or non-finite components, or components that overflow a double once
+scaled, and null ids, take no part;
 vectors shorter than the longest are filled with zeros; a query's own row is every row of its id; a query id that occurs
 more than once is asked once, with the least of its vectors; fewer candidates than k give fewer rows; ties of the score
 go to the smaller id; an empty table gives an empty result; other columns are not read.
@@ -27,6 +29,7 @@ go to the smaller id; an empty table gives an empty result; other columns are no
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
@@ -42,23 +45,25 @@ _NONE = -(1 << 63)
 
 
 def coded(rows: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """(id long, v binary: the components floor(scale * x) as doubles, n their number, sq their squared norm)."""
+    """(id long, v binary: the components floor(scale * x) as doubles, n their number, sq their squared norm, far: whether that is 2^63 or more)."""
     good = F.col(vector_col).isNotNull() & F.forall(vector_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     picked = rows.where(F.col(id_col).isNotNull() & F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, made, sizes, norms = [], [], [], []
+            ids, made, sizes, norms, far = [], [], [], [], []
             for k, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with np.errstate(over="ignore"):
                     x = np.floor(scale * np.asarray(values, np.float64))
                     sq = float(x @ x)
-                if sq >= 2.0**53 and (sq > 2.0**64 or sum(int(c) ** 2 for c in x) >= 1 << 63):
+                if not np.isfinite(x).all():
                     continue
+                far.append(sq >= 2.0**53 and (sq > 2.0**64 or sum(int(c) ** 2 for c in x) >= 1 << 63))
                 ids.append(k), made.append(x.tobytes()), sizes.append(len(x)), norms.append(sq)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(made, pa.binary()), pa.array(sizes, pa.int32()), pa.array(norms, pa.float64())], names=["id", "v", "n", "sq"])
+            columns = [pa.array(ids, pa.int64()), pa.array(made, pa.binary()), pa.array(sizes, pa.int32()), pa.array(norms, pa.float64()), pa.array(far, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "v", "n", "sq", "far"])
 
-    return picked.mapInArrow(run, "id long, v binary, n int, sq double")
+    return picked.mapInArrow(run, "id long, v binary, n int, sq double, far boolean")
 
 
 def chosen(sample: np.ndarray, count: int) -> np.ndarray:
@@ -244,15 +249,45 @@ def _routed(queries: DataFrame, space, directory, near: bool) -> DataFrame:
     return queries.select("qid", "q", "floor").mapInArrow(run, "grp int, qid long, q binary, floor long")
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
-    """(query_id, rank from 1, id_col, score) of the k greatest inner products of each query with the other rows.
+def _blocks(rows: DataFrame, name: str, size: int) -> DataFrame:
+    """rows (id, v) as blocks (name: array of structs id, v) of at most `size` rows, each of one batch."""
 
-    is_query: a predicate on the column `id`, the row's id as long, that says which rows are queries too."""
-    spark = vectors.sparkSession
-    rows = written(coded(vectors, id_col, vector_col, scale), "vectors")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size).to_struct_array()
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part)], names=[name])
+
+    return rows.select("id", "v").mapInArrow(run, f"{name} array<struct<id:long,v:binary>>")
+
+
+def _far(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score) of the k best of each pair of blocks of queries and vectors (id, v), by integers of any size."""
+    most, least = (1 << 63) - 1, -(1 << 63)
+
+    def whole(row: dict) -> list[int]:
+        return [int(c) for c in np.frombuffer(row["v"], np.float64)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for asked, given in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                others, out = [(r["id"], whole(r)) for r in given], []
+                for q in asked:
+                    x = whole(q)
+                    scored = ((-min(most, max(least, sum(a * b for a, b in zip(x, y)))), i) for i, y in others if i != q["id"])
+                    out += [(q["id"], i, -s) for s, i in nsmallest(k, scored)]
+                columns = list(zip(*out)) or [[]] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["qid", "id", "score"])
+
+    return _blocks(queries, "a", 256).crossJoin(_blocks(vectors, "b", 1024)).mapInArrow(run, "qid long, id long, score long")  # blocks of a stated set of queries
+
+
+def _indexed(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(qid, id, score) of the k best of rows (id, v, n, sq) for asked (qid, q), by the index."""
+    spark = rows.sparkSession
     total, size, top = rows.agg(F.count("*"), F.max("n"), F.max("sq")).first()
     if not total:
-        return spark.createDataFrame([], f"query_id long, rank int, {id_col} long, score long")
+        return asked.where("false").select("qid", F.col("qid").alias("id"), F.col("qid").alias("score"))
     sample = [r["v"] for r in rows.orderBy(F.xxhash64("id"), "id", "v").select("v").limit(SAMPLE).collect()]
     own = Space(size, top, sample)
     space = spark.sparkContext.broadcast(own)
@@ -261,12 +296,24 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     columns = list(zip(*entries))
     directory = spark.sparkContext.broadcast((np.array(columns[0], np.int32), np.array(columns[1], np.int32), np.array(columns[2]), np.array(columns[3])))
     parts = len(set(columns[0]))
-    asked = rows.where(is_query).groupBy(F.col("id").alias("qid")).agg(F.min("v").alias("q"))
-    asked = written(asked, "queries")
     first = _visit(annuli, _routed(asked.withColumn("floor", F.lit(_NONE)), space, directory, True), space, k, parts)
     floors = first.groupBy("qid").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
     seeded = asked.join(floors, "qid", "left").select("qid", "q", F.coalesce("floor", F.lit(_NONE)).alias("floor"))
-    found = _visit(annuli, _routed(seeded, space, directory, False), space, k, parts)
+    return _visit(annuli, _routed(seeded, space, directory, False), space, k, parts)
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
+    """(query_id, rank from 1, id_col, score) of the k greatest inner products of each query with the other rows.
+
+    is_query: a predicate on the column `id`, the row's id as long, that says which rows are queries too."""
+    rows = written(coded(vectors, id_col, vector_col, scale), "vectors")
+    asked = rows.where(is_query).groupBy(F.col("id").alias("qid")).agg(F.min(F.struct("v", "far")).alias("x"))
+    asked = written(asked.select("qid", F.col("x.v").alias("q"), F.col("x.far").alias("far")), "queries")
+    near, far = rows.where("NOT far"), rows.where("far")
+    found = _indexed(near, asked.where("NOT far").select("qid", "q"), k)
+    if far.limit(1).count():
+        vector = lambda frame: frame.select(F.col("qid").alias("id"), F.col("q").alias("v"))
+        found = found.unionByName(_far(vector(asked), far, k)).unionByName(_far(vector(asked.where("far")), near, k))
     rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))
     ranked = found.withColumn("rank", rank).where(F.col("rank") <= k)
     return ranked.select(F.col("qid").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
