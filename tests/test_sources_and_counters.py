@@ -157,3 +157,46 @@ def test_recall(spark):
     told = ranking.recall(ranked, gold).first().asDict()
     assert told == {"questions": 4, "document_recall_at_5": 0.25, "document_recall_at_30": 0.5, "element_recall_at_30": 0.5, "mean_reciprocal_rank": round((1 / 2 + 1 / 6) / 4, 6)}
     assert Counter(r["question"] for r in ranked.collect())[1] == 3
+
+
+# ---- objects in parts -----------------------------------------------------------------------------------------------
+
+
+def put(root, upload, part, content):
+    folder = root / "parts" / f"upload={upload}" / f"part={part}"
+    folder.mkdir(parents=True)
+    (folder / "object.bin").write_bytes(content)
+
+
+def contents(frame):
+    return {r["upload"]: bytes(r["content"]) for r in frame.collect()}
+
+
+def test_an_interrupted_merge_goes_on_and_merges_nothing_twice(spark, tmp_path, monkeypatch):
+    from veritrail.sources.objects import PartStore
+
+    for upload, parts in {"a": [b"one ", b"two"], "b": [b"\x00\xff"]}.items():
+        for k, content in enumerate(parts, 1):
+            put(tmp_path, upload, k, content)
+    put(tmp_path, "gap", 1, b"x")
+    put(tmp_path, "gap", 3, b"z")
+    store = PartStore(spark, f"file://{tmp_path}")
+
+    def fail(*_):
+        raise OSError("the copy failed")
+
+    with monkeypatch.context() as m:
+        m.setattr(PartStore, "commit", fail)
+        with pytest.raises(OSError):
+            store.run()
+    assert store.versions() == [] and contents(store.merged()) == {} and store.listed().count() == 5
+    with monkeypatch.context() as m:
+        m.setattr(PartStore, "_delete", fail)
+        with pytest.raises(OSError):
+            store.run()
+    assert store.versions() == [1] and contents(store.merged()) == {"a": b"one two", "b": b"\x00\xff"} and store.listed().count() == 5
+    put(tmp_path, "gap", 2, b"y")
+    got = store.run()
+    assert contents(got) == {"a": b"one two", "b": b"\x00\xff", "gap": b"xyz"} and got.count() == 3
+    assert store.versions() == [1, 2] and store.listed().count() == 0
+    assert contents(store.run()) == contents(got) and contents(PartStore(spark, f"file://{tmp_path}/none").run()) == {}

@@ -11,7 +11,7 @@ from veritrail.operators.align import minute_buckets, tumbling_minutes
 from veritrail.operators.graph import _own_folder
 from veritrail.plans import substrate
 from veritrail.plans.catalog import ORACLE_SQL, QUERIES, Tables, query
-from veritrail.sources import citations, openxml, readers, sinks
+from veritrail.sources import citations, objects, openxml, readers, sinks
 from veritrail.streaming import cache, jobs, ledger, live
 
 
@@ -230,6 +230,17 @@ def s23(spark, sf_dir):
     return spark.read.parquet(path).select("doc_id", F.col("corpus_id").cast("string").alias("corpus_id"), F.sha2("text", 256).alias("digest"))
 
 
+@_streamed("s17_merged_objects", "SELECT 'conv' || conv_id AS upload, string_agg(text || chr(10), '' ORDER BY turn) AS text, count(*)::INT AS parts FROM conversations GROUP BY 1")
+def s17(spark, sf_dir):
+    """All conversations uploaded in parts, one for each turn, and merged."""
+    root = f"{_scratch(spark)}/objects"
+    turns = Tables(spark, sf_dir).conversations
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    parts = turns.select(F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("upload"), number.alias("part"), "text")
+    parts.repartition("upload").write.partitionBy("upload", "part").text(f"{root}/parts")
+    return objects.PartStore(spark, root).run().select("upload", F.decode("content", "UTF-8").alias("text"), "parts")
+
+
 @_streamed("s26_spool", "SELECT conv_id, turn, role, sha256(text) AS digest FROM conversations")
 def s26(spark, sf_dir):
     """All turns spooled as compressed lines of JSON and read again."""
