@@ -38,6 +38,8 @@ from veritrail.operators.search import K1, B, terms_of
 BLOCK, SHELF, FOLDERS, MAX_TERMS = 64, 64, 32, 24
 #: Ranges that are scored first, in multiples of those that k documents would fill.
 PROBE = 4
+#: Counts changes of the written form, so that an index of an older one isn't read.
+FORMAT = 2
 #: Sums of the same numbers in another order differ by less.
 SLACK = 1e-9
 
@@ -156,7 +158,7 @@ def version_of(chunks: DataFrame) -> str:
 def index_of(chunks: DataFrame, id_col: str, text_col: str, group_col: str | None = None) -> PostingsIndex:
     """The index of chunks (read from files), built on first use of this version of the files and read again afterwards."""
     spark = chunks.sparkSession
-    key = hashlib.sha256("|".join(map(str, (version_of(chunks), id_col, text_col, group_col, BLOCK, SHELF, FOLDERS))).encode()).hexdigest()
+    key = hashlib.sha256("|".join(map(str, (version_of(chunks), id_col, text_col, group_col, FORMAT, BLOCK, SHELF, FOLDERS))).encode()).hexdigest()
     path = f"{shared_folder(spark)}/index/{key}"
     jvm = spark.sparkContext._jvm
     done = jvm.org.apache.hadoop.fs.Path(f"{path}/postings/_SUCCESS")
