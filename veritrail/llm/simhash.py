@@ -195,8 +195,7 @@ def _similar_links(docs: DataFrame, text_col: str, classes: DataFrame, max_bits:
     # a pair in different components has at least one end outside the bucket's largest
     open_ = written(_mixed(open_, components(found), most), "open")
     bits = written(bitmaps(texts.join(open_.select("cls").distinct(), "cls", "left_semi"), shingle), "bits")
-    open_ = open_.join(bits, "cls")
-    outside, inside = _dealt(open_, 1.01 * under / over)
+    outside, inside = _dealt(open_, bits, 1.01 * under / over)
     side = lambda rows, n: rows.select("band", "part", "sized", *[F.col(c).alias(f"{c}_{n}") for c in ("cls", "root", "size", "rest", "bits")])
     lacks = lambda a, b: sum(F.bit_count(F.get(f"bits_{a}", k).bitwiseAND(F.bitwise_not(F.get(f"bits_{b}", k)))) for k in range(WORDS))
     common = F.least("rest_x", "rest_y", F.col("size_x") - lacks("x", "y"), F.col("size_y") - lacks("y", "x"))  # at most
@@ -207,13 +206,14 @@ def _similar_links(docs: DataFrame, text_col: str, classes: DataFrame, max_bits:
     return found.unionByName(written(linked(texts, third, shingle, similarity), "similar"))
 
 
-def _dealt(open_: DataFrame, ratio: float) -> tuple[DataFrame, DataFrame]:
-    """open_ (band, cls, root, most, size, ...) as the two sides of a join on band, part and sized: the rows outside their bucket's
+def _dealt(open_: DataFrame, bits: DataFrame, ratio: float) -> tuple[DataFrame, DataFrame]:
+    """open_ (band, cls, root, most, size, ...) with bits (cls, bits) as the two sides of a join on band, part and sized: the rows outside their bucket's
     largest component, and all rows. Sizes of similar sets differ by less than the ratio, so a row of one size class meets that
     class and its neighbours alone; and the rows outside of a large bucket are dealt in parts of about HOT, each of which meets all others."""
     sized = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / F.log(F.lit(ratio)))
     parts = open_.where("root <> most").groupBy("band").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts"))
-    rows = joined(open_, written(parts, "parts"), "band", "cls", open_.groupBy("band").count().agg(F.max("count")).first()[0] or 0)
+    most = open_.groupBy("band").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    rows = written(joined(open_.join(bits, "cls"), written(parts, "parts"), "band", "cls", most), "dealt")
     outside = rows.where("root <> most").withColumn("sized", sized).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     inside = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return outside, inside.withColumn("sized", F.explode(F.array(sized - 1, sized, sized + 1)))
