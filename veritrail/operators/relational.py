@@ -126,15 +126,28 @@ def page(rows: DataFrame, order: Sequence[Column], number: int, size: int = 10)
     return rows.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+#: Sets of up to so many members are indexed by all pairs of them (about n^2 / 2), larger ones by each member.
+PAIRED = 64
+
+
 def maximal_sets(groups: DataFrame, id_col: str, members_col: str) -> DataFrame:
-    """Drops groups whose members are a strict subset of another's. Equal sets are compared once, and a set meets only those
-    larger ones that hold its rarest member, where the join tests containment. Groups without members stay."""
+    """Drops groups whose members are a strict subset of another's. Equal sets are compared once. A set of one member is covered if a larger
+    set holds that; others meet only those larger sets that hold their two rarest members (of sets over PAIRED: the rarest), where the join tests
+    containment. Groups without members stay. All joins are sorted ones: sets are never gathered in one place."""
     sets = groups.select(F.array_sort(F.array_distinct(members_col)).alias("s")).distinct()
-    member = sets.select("s", F.explode("s").alias("m"))
-    often = member.groupBy("m").agg(F.count("*").alias("n"))
-    rarest = member.join(often, "m").groupBy("s").agg(F.min(F.struct("n", "m"))["m"].alias("m"))
-    larger = member.select(F.col("s").alias("t"), "m")
+    member = sets.where(F.size("s") > 0).select("s", F.explode("s").alias("m"))
+    often = member.groupBy("m").agg(F.count("*").alias("n"), F.max(F.size("s")).alias("largest"))
+    met = member.join(often.withColumnRenamed("m", "_m").hint("merge"), F.col("m").eqNullSafe(F.col("_m")))
+    known = met.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("n", "m"))).alias("r"), F.min("largest").alias("largest"))
+    single = known.where((F.size("s") == 1) & (F.col("largest") > 1)).select("s")
+    asked = known.where((F.size("s") > 1) & (F.col("largest") > F.size("s"))).select("s", F.get("r", 0)["m"].alias("m"), F.get("r", 1)["m"].alias("m2"))
+    pair = lambda a, b: F.xxhash64(F.least(a, b), F.greatest(a, b))
+    pairs = F.flatten(F.transform("t", lambda x, i: F.transform(F.slice("t", i + 2, F.size("t")), lambda y: pair(x, y))))
+    larger = sets.select(F.col("s").alias("t"))
+    small = larger.where((F.size("t") > 2) & (F.size("t") <= PAIRED)).select("t", F.explode(F.array_distinct(pairs)).alias("k"))
+    big = larger.where(F.size("t") > PAIRED).select("t", F.explode("t").alias("_m"))
     holds = (F.size("t") > F.size("s")) & (F.size(F.array_intersect("s", "t")) == F.size("s"))
-    covered = rarest.join(larger, "m").where(holds).select("s").distinct()
+    covered = asked.select("s", pair(F.col("m"), F.col("m2")).alias("k")).join(small.hint("merge"), "k").where(holds).select("s")
+    covered = covered.union(asked.select("s", "m").join(big.hint("merge"), F.col("m").eqNullSafe(F.col("_m"))).where(holds).select("s")).union(single).distinct()
     keyed = groups.withColumn("_s", F.array_sort(F.array_distinct(members_col)))
-    return keyed.join(covered.withColumnRenamed("s", "_s"), "_s", "left_anti").drop("_s")
+    return keyed.join(covered.withColumnRenamed("s", "_s").hint("merge"), "_s", "left_anti").drop("_s")
