@@ -88,15 +88,30 @@ def _counted(index: DataFrame) -> DataFrame:
     return index.groupBy("label", "key").agg(F.count("*").alias("n"))
 
 
-def candidates(classes: DataFrame, edits: int) -> DataFrame:
-    """(label, name, other) of classes (label, name) that share a key, each pair in one direction at least."""
+def spelt_alike(classes: DataFrame, edits: int) -> DataFrame:
+    """(label, name, other) of classes (label, name) among which are all pairs of up to `edits` edits, in one direction at least; repeats stay."""
     keyed = lambda rows, keys: rows.select("label", F.explode(keys).alias("key"), "name")
     short = classes.where(F.length("name") <= DELETED)
     near = keyed(short, F.transform(rests(F.col("name"), edits), lambda x: F.xxhash64(x)))
     met = _pairs(near, near, _counted(near).where("n > 1"))
     long = classes.where(F.length("name") > DELETED - edits)
     cut = keyed(long, segments(F.col("name"), edits))
-    met = met.unionByName(_pairs(keyed(long, probes(F.col("name"), edits)), cut, _counted(cut)))
+    return met.unionByName(_pairs(keyed(long, probes(F.col("name"), edits)), cut, _counted(cut)))
+
+
+def near_names(names: DataFrame, edits: int) -> DataFrame:
+    """(label, name, other, d) of the distinct names (label, name) that are up to `edits` edits apart, in both directions and each with itself."""
+    classes = saved(names.select("label", "name").distinct())
+    met = spelt_alike(classes, edits)
+    met = met.unionByName(met.select("label", F.col("other").alias("name"), F.col("name").alias("other"))).distinct()
+    near = met.withColumn("d", F.levenshtein("name", "other", edits)).where("d >= 0")
+    return near.unionByName(classes.select("label", "name", F.col("name").alias("other"), F.lit(0).alias("d")))
+
+
+def candidates(classes: DataFrame, edits: int) -> DataFrame:
+    """(label, name, other) of classes (label, name) that share a key, each pair in one direction at least."""
+    keyed = lambda rows, keys: rows.select("label", F.explode(keys).alias("key"), "name")
+    met = spelt_alike(classes, edits)
     every = saved(keyed(classes, F.flatten(F.array(*[grams(F.col("name"), n) for n in GRAMS]))))
     counts = saved(_counted(every))
     own = F.lit(None).cast("array<string>")
