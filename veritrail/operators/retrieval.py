@@ -145,6 +145,18 @@ def pathways(experiments: DataFrame, branches: dict[str, DataFrame], limit: int,
     return cut.select("experiment", *[F.col(f"{r}.id").alias(r) for r in roles], missing.alias("missing"), (F.size(missing) == 0).alias("complete"), F.round(confidence, 3).alias("confidence"), status.alias("status"))
 
 
+def facts_found(facts: DataFrame, answers: DataFrame, id_col: str, fact_col: str, answer_col: str) -> DataFrame:
+    """(id_col, found): how many answers each fact is found in, by `text.fact_matches`. Each text is cut into its keys once; facts and answers
+    meet on equal keys, so no pair without a common word is made."""
+    told = facts.select(id_col, F.monotonically_increasing_id().alias("_f"), T.fact_keys(F.col(fact_col)).alias("_keys"))
+    asked = told.select("_f", F.size("_keys").alias("_words"), F.explode("_keys").alias("_key")).groupBy("_f", "_words", "_key").agg(F.count("*").alias("_times"))
+    numbered = answers.select(F.monotonically_increasing_id().alias("_a"), T.answer_keys(F.col(answer_col)).alias("_keys"))
+    held = numbered.select("_a", F.explode("_keys").alias("_key"))
+    met = held.join(asked, "_key").groupBy("_f", "_a", "_words").agg(F.sum("_times").alias("_n")).where("10 * _n >= 7 * _words")
+    counts = met.groupBy("_f").agg(F.count("*").alias("_n"))
+    return told.join(counts, "_f", "left").groupBy(id_col).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("found"))
+
+
 def conditions_match(conditions: DataFrame, wanted: DataFrame) -> DataFrame:
     """ids whose conditions meet every wanted range: conditions (id, parameter, low, high, unit), wanted (parameter, min, max,
     unit; nulls don't restrict). Ranges must overlap; all wanted parameters must be met."""
