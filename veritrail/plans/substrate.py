@@ -31,6 +31,11 @@ def nodes(t) -> DataFrame:
 
 
 def edges(t) -> DataFrame:
+    return every_edge(t).distinct()
+
+
+def every_edge(t) -> DataFrame:
+    """The edges with their repeats, for queries that make their rows distinct later."""
     return (
         t.orders.select(key("c", "o_custkey").alias("src"), F.lit("PLACED").alias("rel"), key("o", "o_orderkey").alias("dst"))
         .union(t.lineitem.select(key("o", "l_orderkey"), F.lit("USES_MATERIAL"), key("p", "l_partkey")))
@@ -38,7 +43,6 @@ def edges(t) -> DataFrame:
         .union(t.customer.select(key("c", "c_custkey"), F.lit("IN_COMMUNITY"), key("n", "c_nationkey")))
         .union(t.supplier.select(key("s", "s_suppkey"), F.lit("IN_COMMUNITY"), key("n", "s_nationkey")))
         .union(t.nation.select(key("n", "n_nationkey"), F.lit("PARENT_COMMUNITY"), key("r", "n_regionkey")))
-        .distinct()
     )
 
 
