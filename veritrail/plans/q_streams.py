@@ -236,9 +236,10 @@ def s17(spark, sf_dir):
     root = f"{_scratch(spark)}/objects"
     turns = Tables(spark, sf_dir).conversations
     number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
-    parts = turns.select(F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("upload"), number.alias("part"), "text")
-    parts.repartition("upload").write.partitionBy("upload", "part").text(f"{root}/parts")
-    return objects.PartStore(spark, root).run().select("upload", F.decode("content", "UTF-8").alias("text"), "parts")
+    content = F.encode(F.concat("text", F.lit("\n")), "UTF-8")
+    store = objects.PartStore(spark, root)
+    store.pack(turns.select(F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("upload"), number.alias("part"), content.alias("content")))
+    return store.run().select("upload", F.decode("content", "UTF-8").alias("text"), "parts")
 
 
 @_streamed("s26_spool", "SELECT conv_id, turn, role, sha256(text) AS digest FROM conversations")

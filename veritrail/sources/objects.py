@@ -1,15 +1,16 @@
 """Objects of a store that arrive in parts: listed, merged and deleted in two phases, with a manifest that makes a rerun safe.
 
-Parts lie at <root>/parts/upload=<name>/part=<number>/<file>. A run
+Parts lie at <root>/parts/upload=<name>/part=<number>/<file>, or, where they are many and small, packed as the rows of Parquet files below
+<root>/packs (`pack`): a file for each part costs the store, and the driver that commits, lists and deletes it, far more than a row. A run
 
 1. lists the parts that no committed version has consumed, and takes the uploads whose parts are all there;
 2. writes their merged contents and the list of the parts that went into them, to folders of the next version;
 3. commits: the version's manifest is written last, and counts once its success mark is there;
-4. deletes the folders of uploads that a committed version has consumed.
+4. deletes the folders of uploads, and the packs, that committed versions have consumed.
 
 If a run breaks off before its commit, what it wrote is ignored and written anew by the next one; if it breaks off after it, the next
 run deletes what is left and merges nothing twice. Contents pass through tasks only; the driver sees one row for each version and,
-to delete it, the path of each consumed upload that is still there.
+to delete it, the path of each consumed upload's folder, or of each consumed pack, that is still there.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LISTED = "path string, upload string, part int, length long"
+PACKED = "upload string, part int, length long, content binary"
 
 
 class PartStore:
@@ -55,13 +57,30 @@ class PartStore:
 
     # ---- what is there ----
 
-    def listed(self) -> DataFrame:
-        """(path, upload, part, length) of all parts that are there and hold something; contents are not read."""
+    def pack(self, parts: DataFrame) -> None:
+        """Adds parts (upload, part, content binary), those of an upload in one file."""
+        rows = parts.select("upload", F.col("part").cast("int").alias("part"), F.coalesce(F.length("content"), F.lit(0)).cast("long").alias("length"), F.coalesce("content", F.lit(b"")).alias("content"))
+        rows.repartition("upload").write.mode("append").parquet(f"{self.root}/packs")
+
+    def _packs(self) -> DataFrame:
+        """(path, upload, part, length, content): a packed part's path is its file's, with its name behind it."""
+        if not self._exists(f"{self.root}/packs"):
+            return self.spark.createDataFrame([], f"path string, {PACKED}")
+        path = F.concat(F.lit(f"{self.root}/packs/"), F.col("_metadata.file_name"), F.lit("#"), "upload", F.lit("/"), F.col("part").cast("string"))
+        return self.spark.read.schema(PACKED).parquet(f"{self.root}/packs").select(path.alias("path"), "upload", "part", "length", "content")
+
+    def _files(self) -> DataFrame | None:
         if not self._exists(f"{self.root}/parts"):
-            return self.spark.createDataFrame([], LISTED)
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.root}/parts").select("path", "length")
+            return None
+        return self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.root}/parts")
+
+    def listed(self) -> DataFrame:
+        """(path, upload, part, length) of all parts that are there, of files those that hold something; contents are not read."""
+        packed, files = self._packs().select("path", "upload", "part", "length"), self._files()
+        if files is None:
+            return packed
         found = files.select("path", F.regexp_extract("path", "/upload=([^/]+)/part=([0-9]+)/[^/]+$", 1).alias("upload"), F.regexp_extract("path", "/upload=([^/]+)/part=([0-9]+)/[^/]+$", 2).alias("part"), "length")
-        return found.where("upload <> '' AND length > 0").withColumn("part", F.col("part").cast("int"))
+        return found.where("upload <> '' AND length > 0").withColumn("part", F.col("part").cast("int")).union(packed)
 
     def consumed(self) -> DataFrame:
         return self._versions_of("consumed", LISTED)
@@ -82,9 +101,9 @@ class PartStore:
         """Writes what the version consists of; nothing of it counts before its commit."""
         self.complete().write.mode("overwrite").parquet(f"{self.root}/consumed/v={version}")
         taken = self.spark.read.parquet(f"{self.root}/consumed/v={version}")
-        contents = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.root}/parts").select("path", "content") if self._exists(f"{self.root}/parts") else None
-        if contents is None:
-            contents = self.spark.createDataFrame([], "path string, content binary")
+        contents, files = self._packs().select("path", "content"), self._files()
+        if files is not None:
+            contents = contents.union(files.select("path", "content"))
         parts = taken.join(contents, "path").groupBy("upload").agg(F.array_sort(F.collect_list(F.struct("part", "path", "content"))).alias("p"))
 
         def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,9 +118,13 @@ class PartStore:
         told.coalesce(1).write.mode("overwrite").json(f"{self.root}/manifest/v={version}")
 
     def clean(self) -> int:
-        """Deletes the folders of consumed uploads whose every part is consumed; returns how many were there."""
+        """Deletes the folders of uploads, and the packs, whose every part is consumed; returns how many were there."""
+        if not self._exists(f"{self.root}/parts") and not self._exists(f"{self.root}/packs"):
+            return 0
+        pack = F.regexp_extract("path", r"^(.*/packs/[^/#]*[.]parquet)#", 1)
+        folder = F.when(pack != "", pack).otherwise(F.regexp_replace("path", "/part=[^/]*/[^/]*$", ""))
         left = self.listed().join(self.consumed().select("path", F.lit(True).alias("gone")), "path", "left")
-        done = left.groupBy("upload").agg(F.bool_and(F.coalesce("gone", F.lit(False))).alias("done"), F.min(F.regexp_replace("path", "/part=[^/]*/[^/]*$", "")).alias("folder")).where("done")
+        done = left.groupBy(folder.alias("folder")).agg(F.bool_and(F.coalesce("gone", F.lit(False))).alias("done")).where("done")
         n = 0
         for row in done.toLocalIterator():
             self._delete(row["folder"])
