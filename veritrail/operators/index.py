@@ -24,8 +24,10 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,6 +40,8 @@ from veritrail.operators.search import K1, B, terms_of
 BLOCK, SHELF, FOLDERS, MAX_TERMS = 64, 64, 32, 24
 #: Ranges that are scored first, in multiples of those that k documents would fill.
 PROBE = 4
+#: Tasks that an index is made in; each writes a file to each folder.
+MAX_TASKS = 1024
 #: Counts changes of the written form, so that an index of an older one isn't read.
 FORMAT = 2
 #: Sums of the same numbers in another order differ by less.
@@ -52,6 +56,19 @@ def impact(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
+def tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, words, becomes two: its different words, and how often each occurs."""
+    for batch in batches:
+        words = batch.column(batch.num_columns - 1)
+        flat = words.flatten().dictionary_encode()
+        size = max(1, len(flat.dictionary))
+        row = np.repeat(np.arange(len(words)), words.value_lengths().to_numpy(zero_copy_only=False))
+        pair, tf = np.unique(row * size + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        cuts = pa.array(np.searchsorted(pair, np.arange(len(words) + 1) * size), pa.int32())
+        made = pa.ListArray.from_arrays(cuts, flat.dictionary.take(pa.array(pair % size))), pa.ListArray.from_arrays(cuts, pa.array(tf, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *made], names=[*batch.schema.names[:-1], "term", "tf"])
+
+
 class PostingsIndex:
     """A written index at path: folders postings, totals."""
 
@@ -73,20 +90,24 @@ class PostingsIndex:
         shelves = max(1, math.ceil(n / (BLOCK * SHELF)))
         place = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / BLOCK))
         same = words["grp"].eqNullSafe(cells["grp"]) & (words["alike"] == cells["alike"])
-        placed = words.join(cells.select("grp", "alike", "n"), same).select("id", words["grp"], "length", F.xxhash64(words["grp"], words["alike"], place).alias("range"), "w")
-        tf = placed.select("id", "grp", "length", "range", F.explode("w").alias("term")).groupBy("id", "grp", "length", "range", "term").agg(F.count("*").alias("tf"))
-        blocks = tf.groupBy("term", "range").agg(
+        placed = words.join(cells.select("grp", "alike", "n"), same).select("id", words["grp"], "length", F.xxhash64(words["grp"], words["alike"], place).alias("range"), "w").where(F.size("w") > 0)
+        told = T.StructType([f for f in placed.schema.fields if f.name != "w"]).add("term", T.ArrayType(T.StringType())).add("tf", T.ArrayType(T.LongType()))
+        # chunks are shuffled once, as their terms, to their shelf; all that follows is grouped where they then are
+        shelved = placed.mapInArrow(tallied, told).withColumn("shelf", F.pmod("range", F.lit(shelves))).repartition(min(2 * shelves, MAX_TASKS), "shelf")
+        each = shelved.select("id", "grp", "length", "range", "shelf", F.inline(F.arrays_zip("term", "tf")))
+        tf = each.select("id", "grp", "length", "range", "shelf", F.col("term"), F.col("tf")).groupBy("shelf", "range", "term", "id", "grp", "length").agg(F.sum("tf").alias("tf"))  # an id's repeats
+        blocks = tf.groupBy("shelf", "term", "range").agg(
             F.first("grp").alias("grp"), F.max(impact(F.col("tf"), F.col("length"), F.lit(mean))).alias("top"), F.collect_list(F.struct("id", "tf", "length")).alias("list")
         )  # a block: at most the documents of a range
         falling = F.sort_array(F.collect_list(F.struct("top", "range", "grp", "list")), asc=False)  # a shelf has about SHELF ranges
-        rows = blocks.groupBy("term", F.pmod("range", F.lit(shelves)).alias("shelf")).agg(falling.alias("b"))
+        rows = blocks.groupBy("shelf", "term").agg(falling.alias("b"))
         rows = rows.select(
             "term", "shelf", F.aggregate("b", F.lit(0).cast("long"), lambda acc, x: acc + F.size(x["list"])).alias("n"),
             F.transform("b", lambda x: F.struct(x["range"].alias("range"), x["grp"].alias("grp"), x["top"].alias("top"))).alias("tops"),
             F.transform("b", lambda x: x["list"]).alias("lists"), folder_of(F.col("term"), folders).alias("folder"),
         )
         totals.select("n", "mean", F.lit(folders).alias("folders"), F.lit(rows.schema.json()).alias("schema")).write.mode("overwrite").parquet(f"{path}/totals")
-        rows.repartition("folder", F.pmod(F.xxhash64("term"), F.lit(1 << 16))).sortWithinPartitions("folder", "term", "shelf").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
+        rows.sortWithinPartitions("folder", "term", "shelf").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/postings")
         return cls(spark, path)
 
     def rows_of(self, terms: Sequence[str]) -> DataFrame:
