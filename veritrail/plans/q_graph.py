@@ -265,7 +265,7 @@ def g10(t):
 )
 def g12(t):
     mapping = t.supplier.where("s_suppkey % 10 = 5").select(substrate.key("s", "s_suppkey").alias("duplicate"), F.concat(F.lit("s:"), (F.col("s_suppkey") - 1).cast("string")).alias("keep"))
-    _, edges = graph.merged(substrate.nodes(t), substrate.edges(t).where("rel in ('USES_EQUIPMENT', 'IN_COMMUNITY')"), mapping)
+    _, edges = graph.merged(substrate.nodes(t), substrate.every_edge(t).where("rel in ('USES_EQUIPMENT', 'IN_COMMUNITY')"), mapping)
     return edges.groupBy("rel").agg(F.count("*").alias("n"))
 
 
