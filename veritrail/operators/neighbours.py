@@ -8,6 +8,10 @@ a pivot differs from the query's by more than the k-th best distance can't be am
 an interval of distances around every pivot, and meets the blocks of vectors whose annuli reach into it, by a join on the
 pivot. Only pairs that beat the k-th best so far leave a task.
 
+Blocks meet in tiles, a strip of blocks of queries by a strip of blocks of vectors: a task gets each block of its tile once, and multiplies
+those pairs of them that are to meet. A block is sent to one tile in each strip of the other side, not to each block that it meets. Strips
+grow with the tables up to TILE blocks, so what is shuffled grows as the tables do up to STRIPS x TILE blocks, and then as their product over TILE.
+
 The result doesn't depend on the pivots; how many blocks meet does. Where distances concentrate (many dimensions, no
 clusters) the intervals spare little, and work is that of all pairs of blocks that are left.
 
@@ -28,6 +32,8 @@ from pyspark.sql.window import Window
 from veritrail.operators.graph import saved
 
 PIVOTS, SAMPLE, BLOCK = 64, 4096, 1024
+#: Strips that a side is cut into, as long as none has more than TILE blocks.
+STRIPS, TILE = 16, 64
 #: Rounding of cosines, so that they don't depend on how blocks are cut; and room for errors of distances.
 DECIMALS, SLACK = 12, 1e-6
 
@@ -59,8 +65,9 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1) - 2 * a @ b.T))
 
 
-def _matrix(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, np.float64).reshape(n, -1)
+def _matrix(data: bytes, n: int, kind: type) -> np.ndarray:
+    """The unit vectors of a block, which is kept as it was given."""
+    return units(np.frombuffer(data, kind).reshape(n, -1).astype(np.float64))
 
 
 def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -68,17 +75,21 @@ def usable(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return rows.where(F.col(id_col).isNotNull() & F.coalesce(good, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
 
 
-def packed(rows: DataFrame, pivots: np.ndarray, side: int, block: int) -> DataFrame:
+def kept_as(rows: DataFrame, vector_col: str) -> type:
+    return np.float32 if rows.schema[vector_col].dataType.elementType.typeName() == "float" else np.float64
+
+
+def packed(rows: DataFrame, pivots: np.ndarray, side: int, block: int, kind: type) -> DataFrame:
     """(no, pivot, low, high, ids, m) for each block of usable rows, written."""
     shared = rows.sparkSession.sparkContext.broadcast(pivots)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                m = units(np.array(batch.column(1).to_pylist(), np.float64))
-                d = distances(lifted(m, side), shared.value)
+                given = np.array(batch.column(1).to_pylist(), np.float64)
+                d = distances(lifted(units(given), side), shared.value)
                 near = d.argmin(axis=1)
-                vectors = pa.array([x.tobytes() for x in m], pa.binary())
+                vectors = pa.array([x.tobytes() for x in given.astype(kind)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(near.astype(np.int32)), pa.array(d[np.arange(len(d)), near]), batch.column(0), vectors], names=["pivot", "d", "id", "v"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,6 +106,17 @@ def packed(rows: DataFrame, pivots: np.ndarray, side: int, block: int) -> DataFr
     return saved(keyed.mapInArrow(pack, "pivot int, low double, high double, ids binary, m binary").withColumn("no", F.monotonically_increasing_id()))
 
 
+def stripped(blocks: DataFrame, strips: int, most: int) -> DataFrame:
+    """(no, strip): blocks in the order of their numbers, in so many strips, or more of `most` blocks each."""
+    part = F.shiftright("no", 33)
+    sizes = blocks.groupBy(part.alias("part")).agg(F.count("*").alias("n"))  # a row for each task that wrote blocks
+    before = F.sum("n").over(Window.orderBy("part")) - F.col("n")
+    size = F.least(F.lit(most), F.ceil(F.sum("n").over(Window.partitionBy(F.lit(0))) / strips))
+    starts = sizes.select("part", before.alias("before"), size.alias("size"))
+    place = F.col("before") + F.col("no").bitwiseAND((1 << 33) - 1)
+    return blocks.select("no", part.alias("part")).join(F.broadcast(starts), "part").select("no", F.floor(place / F.col("size")).alias("strip"))
+
+
 def best(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(cosines, ids) of the k nearest rows of v for each row of q."""
     s = np.round(q @ v.T, DECIMALS) + 0.0
@@ -102,6 +124,19 @@ def best(q: np.ndarray, v: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndar
     return np.take_along_axis(s, order, axis=1), ids[order]
 
 
+def kept_best(row: np.ndarray, cosine: np.ndarray, ids: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of (row, cosine, id) the k best of each row, and the floor of each row raised to its k-th."""
+    order = np.lexsort((ids, -cosine, row))
+    row, cosine, ids = row[order], cosine[order], ids[order]
+    starts = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+    place = np.arange(len(row)) - np.repeat(starts, np.diff(np.append(starts, len(row))))
+    floor = floor.copy()
+    last = place == k - 1
+    floor[row[last]] = np.maximum(floor[row[last]], cosine[last])
+    good = place < k
+    return row[good], cosine[good], ids[good], floor
+
+
 class AllNearest:
     """`found` (query_id, id, cosine): the k nearest of each query; `report` (query_blocks, vector_blocks, met): how many pairs of blocks met."""
 
@@ -115,8 +150,10 @@ class AllNearest:
             self.found = asked.where("false").select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("cosine"))
             self.report = asked.limit(0).agg(*[F.count("*").alias(c) for c in ("query_blocks", "vector_blocks", "met")])
             return
-        v = packed(given, self.pivots, 0, block)
-        q = packed(asked, self.pivots, 1, block)
+        self.q_kind, self.v_kind = kept_as(queries, vector_col), kept_as(vectors, vector_col)
+        v = packed(given, self.pivots, 0, block, self.v_kind)
+        q = packed(asked, self.pivots, 1, block, self.q_kind)
+        self.q_strips, self.v_strips = saved(stripped(q, STRIPS, TILE)), saved(stripped(v, STRIPS, TILE))
         ring = [F.col(c) for c in ("no", "pivot", "low", "high")]
         q_ring, v_ring = q.select(*[c.alias(f"q_{n}") for c, n in zip(ring, ("no", "pivot", "low", "high"))]), v.select(*[c.alias(f"v_{n}") for c, n in zip(ring, ("no", "pivot", "low", "high"))])
         apart = F.abs(F.col("q_low") + F.col("q_high") - F.col("v_low") - F.col("v_high"))
@@ -138,40 +175,58 @@ class AllNearest:
     def _met(self, pairs: DataFrame, q: DataFrame, v: DataFrame, least: DataFrame | None) -> DataFrame:
         """Rows of three kinds: (query_id, id, cosine) of the k best of each query; and, in the first step (least is None), for each block of queries (no, pivot,
         low, high) the interval around each pivot, and (no, least) the cosines to beat."""
-        k, shared = self.k, self.shared
+        k, shared, q_kind, v_kind = self.k, self.shared, self.q_kind, self.v_kind
+        of = lambda strips, side: strips.select(F.col("no").alias(f"{side}_no"), F.col("strip").alias(f"{side}_strip"))
+        placed = pairs.join(of(self.q_strips, "q"), "q_no").join(of(self.v_strips, "v"), "v_no", "left").withColumn("v_strip", F.coalesce("v_strip", F.lit(-1)))
+        meets = placed.groupBy("q_strip", "v_strip", "q_no").agg(F.collect_list("v_no").alias("v_nos"))  # at most a strip
         one = q.select(F.col("no").alias("q_no"), F.col("ids").alias("q_ids"), F.col("m").alias("q_m"))
         other = v.select(F.col("no").alias("v_no"), F.col("ids").alias("v_ids"), F.col("m").alias("v_m"))
         if least is not None:
             one = one.join(least.select(F.col("no").alias("q_no"), "least"), "q_no")
         else:
             one = one.withColumn("least", F.lit(None).cast("binary"))
-        rows = pairs.join(one, "q_no").join(other, "v_no", "left").select("q_no", "q_ids", "q_m", "least", "v_ids", "v_m")
+        asked = meets.join(one, "q_no").select("q_strip", "v_strip", "q_no", "q_ids", "q_m", "least", "v_nos")
+        met = placed.where("v_no IS NOT NULL").select("q_strip", "v_strip", "v_no").distinct().join(other, "v_no").select(F.col("q_strip").alias("to_q"), F.col("v_strip").alias("to_v"), "v_no", "v_ids", "v_m")
         fields = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("cosine", pa.float64()), ("no", pa.int64()), ("pivot", pa.int32()), ("low", pa.float64()), ("high", pa.float64()), ("least", pa.binary())])
 
         def made(**columns) -> pa.RecordBatch:
             n = len(next(iter(columns.values())))
             return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in fields], schema=fields)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for no, q_ids, q_m, bound, v_ids, v_m in zip(*(c.to_pylist() for c in batch.columns)):
-                    ids = np.frombuffer(q_ids, np.int64)
-                    m = _matrix(q_m, len(ids))
-                    floor = np.full(len(ids), -np.inf) if bound is None else np.frombuffer(bound, np.float64)
-                    kth = floor
-                    if v_ids is not None:
-                        others = np.frombuffer(v_ids, np.int64)
-                        s, found = best(m, _matrix(v_m, len(others)), others, k)
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            blocks = {}
+            for no, v_ids, v_m in zip(*(right.column(c).to_pylist() for c in ("v_no", "v_ids", "v_m"))):
+                others = np.frombuffer(v_ids, np.int64)
+                blocks[no] = others, _matrix(v_m, len(others), v_kind)
+            out = []
+            for no, q_ids, q_m, bound, v_nos in zip(*(left.column(c).to_pylist() for c in ("q_no", "q_ids", "q_m", "least", "v_nos"))):
+                ids = np.frombuffer(q_ids, np.int64)
+                m = _matrix(q_m, len(ids), q_kind)
+                floor = np.full(len(ids), -np.inf) if bound is None else np.frombuffer(bound, np.float64)
+                hits = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+                for v_no in sorted(v_nos):
+                    others, vectors = blocks[v_no]
+                    if np.isneginf(floor).any():
+                        s, found = best(m, vectors, others, k)
                         row, at = np.nonzero(s >= floor[:, None])
-                        yield made(query_id=ids[row], id=found[row, at], cosine=s[row, at])
-                        kth = s[:, k - 1] if s.shape[1] >= k else floor
-                    if bound is None:
-                        reach = np.sqrt(np.maximum(0, 2 - 2 * np.maximum(kth, -1))) + SLACK
-                        d = distances(lifted(m, 1), shared.value)
-                        yield made(no=[no] * d.shape[1], pivot=np.arange(d.shape[1]), low=(d - reach[:, None]).min(axis=0), high=(d + reach[:, None]).max(axis=0))
-                        yield made(no=[no], least=[np.ascontiguousarray(kth).tobytes()])
-
-        return rows.mapInArrow(run, "query_id long, id long, cosine double, no long, pivot int, low double, high double, least binary")
+                        more = row, s[row, at], found[row, at]
+                    else:
+                        s = m @ vectors.T
+                        row, at = np.nonzero(s >= floor[:, None] - SLACK)
+                        s = np.round(s[row, at], DECIMALS) + 0.0
+                        good = s >= floor[row]
+                        more = row[good], s[good], others[at[good]]
+                    *hits, floor = kept_best(*(np.concatenate(x) for x in zip(hits, more)), k, floor)
+                out.append(made(query_id=ids[hits[0]], id=hits[2], cosine=hits[1]))
+                if bound is None:
+                    reach = np.sqrt(np.maximum(0, 2 - 2 * np.maximum(floor, -1))) + SLACK
+                    d = distances(lifted(m, 1), shared.value)
+                    out.append(made(no=[no] * d.shape[1], pivot=np.arange(d.shape[1]), low=(d - reach[:, None]).min(axis=0), high=(d + reach[:, None]).max(axis=0)))
+                    out.append(made(no=[no], least=[np.ascontiguousarray(floor).tobytes()]))
+            return pa.Table.from_batches(out, fields)
+
+        tiles = asked.groupBy("q_strip", "v_strip").cogroup(met.groupBy("to_q", "to_v"))
+        return tiles.applyInArrow(run, "query_id long, id long, cosine double, no long, pivot int, low double, high double, least binary")
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, id_col: str, vector_col: str, block: int = BLOCK) -> DataFrame:
