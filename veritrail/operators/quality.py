@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veritrail.functions.text import OPPOSITES, has_any, opposed
-from veritrail.operators.graph import both_ways
+from veritrail.operators.graph import both_ways, saved
 
+#: Experiments of up to so many entities take their lists along.
+LISTED = 64
 #: Combinations that are looked for in all claims, by name and terms.
 GAP_PATTERNS = (
     ("закачка шахтных вод", ("закач", "injection")), ("скорость циркуляции католита", ("католит", "catholyte")),
@@ -103,10 +105,20 @@ def consensus(claims: DataFrame, least: int = 2) -> DataFrame:
 
 
 def similar_cases(uses: DataFrame) -> DataFrame:
-    """(a, b, shared, score): experiments (id) that share an entity (shared)."""
-    own = uses.distinct()
-    pairs = own.select(F.col("id").alias("a"), "shared").join(own.select(F.col("id").alias("b"), "shared"), "shared").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.array_sort(F.collect_set("shared")).alias("shared"), F.lit(0.7).alias("score"))
+    """(a, b, shared, score): experiments (id) that share an entity (shared).
+
+    Experiments of up to LISTED entities take their lists along to each, so that two of them find all that they share where they meet on the first
+    of it, and pairs aren't grouped. Pairs with a longer one are grouped."""
+    sets = saved(uses.where("id IS NOT NULL").groupBy("id").agg(F.array_sort(F.collect_set("shared")).alias("own")))
+    at = lambda rows: rows.select("id", "own", F.explode("own").alias("met"))
+    short, every = at(sets.where(F.size("own") <= LISTED)), at(sets).drop("own")
+    side = lambda name: short.select(F.col("id").alias(name), F.col("own").alias(f"{name}_own"), "met")
+    both = F.array_intersect("a_own", "b_own")  # in order, as the lists are
+    found = side("a").join(side("b"), "met").where((F.col("a") < F.col("b")) & (F.get(both, 0) == F.col("met"))).select("a", "b", both.alias("shared"))
+    long = at(sets.where(F.size("own") > LISTED)).select(F.col("id").alias("long"), "met")
+    pairs = long.join(every, "met").where("long <> id").select(F.least("long", "id").alias("a"), F.greatest("long", "id").alias("b"), "met")
+    rest = pairs.groupBy("a", "b").agg(F.array_sort(F.collect_set("met")).alias("shared"))
+    return found.unionByName(rest).withColumn("score", F.lit(0.7))
 
 
 def opposers(claims: DataFrame, id_col: str, topic_col: str, text_col: str, groups: Sequence) -> DataFrame:
