@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -85,18 +86,23 @@ def answered(requests: DataFrame, ttl: str = "24 hours", late: str = "1 hour") -
 
 
 def answered_batch(requests: DataFrame, ttl: str = "24 hours") -> DataFrame:
-    """The batch twin: the same rows from a table of requests. A key's requests are folded in order by one task."""
+    """The batch twin: the same rows from a table of requests. Requests are dealt and sorted by key, and a task folds its own one after the other."""
     ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
 
-    def fold(asked: pd.DataFrame) -> pd.DataFrame:
-        entry, out = None, []
-        for at, version, request in asked.sort_values(["at", "request"])[["at", "version", "request"]].itertuples(index=False):
-            entry, reason = looked_up(entry, int(at), version, int(request), ttl_ms)
-            out.append((asked["cache_key"].iloc[0], request, reason, entry.request))
-        return pd.DataFrame(out, columns=["cache_key", "request", "outcome", "answered_by"])
-
-    slim = requests.select("cache_key", "request", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "version")
-    return slim.groupBy("cache_key").applyInPandas(fold, RESULT)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, entry = None, None
+        for batch in batches:
+            told = []
+            for k, request, at, version in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != key:
+                    key, entry = k, None
+                entry, reason = looked_up(entry, at, version, request, ttl_ms)
+                told.append((reason, entry.request))
+            reasons, by = map(list, zip(*told)) if told else ([], [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(reasons, pa.string()), pa.array(by, pa.int64())], names=["cache_key", "request", "outcome", "answered_by"])
+
+    slim = requests.select("cache_key", F.col("request").cast("long").alias("request"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at"), "version")
+    return slim.repartition("cache_key").sortWithinPartitions("cache_key", "at", "request").mapInArrow(fold, RESULT)
 
 
 class Spacing(StatefulProcessor):
