@@ -162,14 +162,19 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
 
 
 def label_communities(weighted: DataFrame, rounds: int = 8) -> DataFrame:
-    """(id, community): weighted label propagation on (a, b, weight); ties to the smaller label. The fast path."""
-    sym = saved(weighted.select("a", "b", "weight").union(weighted.select("b", "a", "weight")))
-    now = sym.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id"))
+    """(id, community): weighted label propagation on (a, b, weight); ties to the smaller label. The fast path.
+
+    Edges are kept by their first end, so that votes are mostly counted where they are read; in the first round the neighbours are the labels."""
+    sym = saved(weighted.select("a", "b", "weight").union(weighted.select("b", "a", "weight")).repartition("a").groupBy("a", "b").agg(F.sum("weight").alias("weight")).sortWithinPartitions("a"))
+    now = None
     for _ in range(rounds):
-        votes = sym.join(now, sym["b"] == now["id"]).groupBy("a", "community").agg(F.sum("weight").alias("w"))
+        if now is None:
+            votes = sym.select("a", F.col("b").alias("community"), F.col("weight").alias("w"))
+        else:
+            votes = sym.join(now, sym["b"] == now["id"]).groupBy("a", "community").agg(F.sum("weight").alias("w"))
         best = votes.groupBy("a").agg(F.min(F.struct((-F.col("w")).alias("w"), "community")).alias("best"))
         now = saved(best.select(F.col("a").alias("id"), F.least("best.community", "a").alias("community")))
-    return now
+    return sym.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id")) if now is None else now
 
 
 def modularity(weighted: DataFrame, membership: DataFrame) -> DataFrame:

@@ -163,9 +163,9 @@ def g1(t):
 
 def _suppliers(t):
     """Suppliers linked by materials of the same orders: a weighted graph over all orders."""
-    pairs = t.lineitem.select("l_orderkey", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("s")).distinct()
-    a, b = pairs.select("l_orderkey", F.col("s").alias("src")), pairs.select("l_orderkey", F.col("s").alias("dst"))
-    return graph.projection(a.join(b, "l_orderkey").where("src < dst").select("src", F.lit("WITH").alias("rel"), "dst"))
+    met = graph.shared_neighbours(t.lineitem.select(F.col("l_suppkey").alias("id"), F.col("l_orderkey").alias("met")))
+    a, b = (F.concat(F.lit("s"), F.col(c).cast("string")) for c in ("a", "b"))
+    return met.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.col("shared").alias("weight"))
 
 
 @query("g2_communities")
