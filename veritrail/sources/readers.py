@@ -88,7 +88,7 @@ def presentations(turns: DataFrame, path: Column, turns_col: str) -> DataFrame:
     """(path, content): a presentation for each row, with a slide for each of its turns (array of structs turn, role, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in openxml.sliced(batches):
             made = [openxml.presentation([(x["text"] or "", [[x["role"] or "", str(x["turn"])]], f"turn {x['turn']}") for x in turns]) for turns in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["path", "content"])
 
@@ -99,7 +99,7 @@ def text_documents(texts: DataFrame, path: Column, paragraphs: Column, cells: Co
     """(path, content): a text document for each row, of paragraphs (array of strings) and a table of one row of cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in openxml.sliced(batches):
             made = [openxml.text_document([x or "" for x in said or []], [[c or "" for c in row]] if row else []) for said, row in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["path", "content"])
 
@@ -110,7 +110,7 @@ def workbooks(tables: DataFrame, path: Column, sheet: Column, rows_col: str) ->
     """(path, content): a workbook for each row, of one sheet with its rows (array of arrays of cells)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in openxml.sliced(batches):
             made = [openxml.workbook([(name, [[c or "" for c in row] for row in rows])]) for name, rows in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["path", "content"])
 
