@@ -3,7 +3,8 @@
 An answer is kept for its key (a digest of kind, request and policy) with the time it was made and the version of the corpus it was made from.
 A request is a hit if its key has an answer that is younger than the time to live and of the request's version; otherwise it is a
 miss, and its answer takes the old one's place. Requests of one key are taken in order of time and id, in each micro-batch. When the
-watermark passes an answer's end, a timer drops the answer itself; what stays is when and for which version it was made.
+watermark passes an answer's end, a timer drops the answer itself; what stays is when and for which version it was made. Keys share rows of
+state by a hash, so that messages between Python and the state store don't grow with keys.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -41,48 +42,65 @@ def looked_up(entry: Entry | None, at: int, version: str, request: int, ttl: int
 
 
 class AnswerCache(StatefulProcessor):
+    """The entries of one bucket of keys. Each call on state is a message to the JVM, so a bucket's entries are read once and written once in a
+    micro-batch, and one timer stands for the earliest end of its answers."""
+
     def __init__(self, ttl_ms: int):
         self.ttl = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.entry = handle.getValueState("entry", "made bigint, version string, request bigint")
-        self.answer = handle.getValueState("answer", "text string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        asked = pd.concat(list(rows)).sort_values(["at", "request"])
-        entry = Entry(*self.entry.get()) if self.entry.exists() else None
-        before, out = entry, []
-        for at, version, request, answer in zip(asked["at"], asked["version"], asked["request"], asked["answer"]):
-            now, reason = looked_up(entry, int(at), version, int(request), self.ttl)
-            out.append((key[0], int(request), reason, now.request))
+        self.state = handle.getValueState("entries", "due bigint, entries array<struct<cache_key: string, made: bigint, version: string, request: bigint, held: boolean, answer: string>>")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        due, entries, answers = self._read()
+        asked = sorted(((r["at"], r["request"], r["cache_key"], r["version"], r["answer"]) for r in rows), key=lambda r: r[:2])
+        changed = False
+        for at, request, cache_key, version, answer in asked:
+            entry = entries.get(cache_key)
+            now, reason = looked_up(entry, at, version, request, self.ttl)
             if now is not entry:
-                self.answer.update((answer,))
-            entry = now
-        if entry is not before:
-            self.entry.update((entry.made, entry.version, entry.request))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(entry.made + self.ttl)
-        yield pd.DataFrame(out, columns=["cache_key", "request", "outcome", "answered_by"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.answer.clear()
+                entries[cache_key], answers[cache_key], changed = now, answer, True
+            yield Row(cache_key=cache_key, request=request, outcome=reason, answered_by=now.request)
+        if changed:
+            self._write(due, entries, answers)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        _, entries, answers = self._read()
+        passed = timerValues.getCurrentWatermarkInMs()
+        self._write(None, entries, {k: answer for k, answer in answers.items() if entries[k].made + self.ttl > passed})
         return iter(())
 
     def close(self) -> None:
         pass
 
+    def _read(self) -> tuple[int | None, dict[str, Entry], dict[str, str]]:
+        """When the bucket's timer is due, its entries, and the answers that haven't been dropped."""
+        due, kept = self.state.get() or (None, ())
+        return due, {k: Entry(*entry) for k, *entry, _, _ in kept}, {k: answer for k, _, _, _, held, answer in kept if held}
+
+    def _write(self, due: int | None, entries: dict[str, Entry], answers: dict[str, str]) -> None:
+        first = min((entries[k].made for k in answers), default=None)
+        now = None if first is None else first + self.ttl
+        self.state.update((now, [(k, e.made, e.version, e.request, k in answers, answers.get(k)) for k, e in entries.items()]))
+        if due is not None and due != now:
+            self.handle.deleteTimer(due)
+        if now is not None and due != now:
+            self.handle.registerTimer(now)
+
 
+#: Buckets of keys that share a row of state: with fewer keys nearly each has its own.
+BUCKETS = 16384
 RESULT = "cache_key string, request bigint, outcome string, answered_by bigint"
 
 
-def answered(requests: DataFrame, ttl: str = "24 hours", late: str = "1 hour") -> DataFrame:
+def answered(requests: DataFrame, ttl: str = "24 hours", late: str = "1 hour", buckets: int = BUCKETS) -> DataFrame:
     """cache_key, request, outcome (hit, first, expired, version), answered_by (the request whose answer it is) for a stream of
-    requests (cache_key, request, ts, version, answer)."""
+    requests (cache_key, request, ts, version, answer). State is kept by bucket of keys; a checkpoint goes on only with the number of buckets it began with."""
     ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
-    stream = requests.withWatermark("ts", late).select("cache_key", "request", "ts", F.unix_millis("ts").alias("at"), "version", "answer")
-    return stream.groupBy("cache_key").transformWithStateInPandas(AnswerCache(ttl_ms), RESULT, "Append", "EventTime")
+    bucket = F.pmod(F.xxhash64("cache_key"), F.lit(buckets)).alias("bucket")
+    stream = requests.withWatermark("ts", late).select(bucket, "cache_key", F.col("request").cast("long").alias("request"), "ts", F.unix_millis("ts").alias("at"), "version", "answer")
+    return stream.groupBy("bucket").transformWithState(AnswerCache(ttl_ms), RESULT, "Append", "EventTime")
 
 
 def answered_batch(requests: DataFrame, ttl: str = "24 hours") -> DataFrame:
