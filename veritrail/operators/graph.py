@@ -14,6 +14,8 @@ from pyspark.sql.window import Window
 
 #: Pairs that one task counts.
 DEALT = 2_000_000
+#: Nodes up to which a column of them is sent to all tasks.
+NUMBERED = 1_000_000
 
 
 @lru_cache(maxsize=1)
@@ -190,46 +192,71 @@ def modularity(weighted: DataFrame, membership: DataFrame) -> DataFrame:
     return parts.agg(F.sum("q").alias("modularity"))
 
 
+def ordered_numbers(ids: DataFrame) -> DataFrame:
+    """(id, n) for the distinct ids: numbers in the order of the ids, whose last bit is that of the id's hash."""
+    n = F.monotonically_increasing_id() * 2 + F.pmod(F.xxhash64("id"), F.lit(2))  # sorted into ranges: numbers grow with partitions and within them
+    return saved(ids.select("id").distinct().orderBy("id").select("id", n.alias("n")))
+
+
 def communities(weighted: DataFrame, levels: int = 3, rounds: int = 6) -> DataFrame:
     """(id, level, community): hierarchical communities by local moving and aggregation, level 0 the finest.
 
     In a round every node may move to the neighbouring community of the greatest modularity gain (ties to the smaller
     id); nodes of even and odd hash move in turn, which keeps neighbours from swapping. Communities then become the nodes
-    of the next level. Moves that split a community are undone by taking its connected parts (refinement)."""
-    graph, out, names = saved(weighted.select("a", "b", F.col("weight").cast("double").alias("weight"))), None, None
+    of the next level. Moves that split a community are undone by taking its connected parts (refinement).
+
+    Nodes are numbered in their order. Edges are kept in both directions by their first end: a round reads those of the nodes that may move, adds them up
+    where they are read, and shuffles sums for each node and community. Parts are found after each node has met its least neighbour in its community."""
+    given = saved(weighted.select("a", "b", F.col("weight").cast("double").alias("weight")))
+    nodes = ordered_numbers(given.select(F.col("a").alias("id")).union(given.select("b")))
+    small = F.broadcast if nodes.count() <= NUMBERED else (lambda df: df)
+
+    def of(rows: DataFrame, end: str, table: DataFrame, **columns: str) -> DataFrame:
+        """rows with columns of table (id, ...) for the node in the column end."""
+        return rows.join(small(table.select(F.col("id").alias(end), *(F.col(c).alias(name) for name, c in columns.items()))), end)
+
+    graph = of(of(given, "a", nodes, na="n"), "b", nodes, nb="n").select(F.col("na").alias("a"), F.col("nb").alias("b"), "weight")
+    parts, names = [], nodes.select(F.col("n").alias("id"), F.col("n").alias("community"))
     for level in range(levels):
-        sym = saved(graph.where("a <> b").union(graph.where("a <> b").select("b", "a", "weight")))
-        loops = graph.where("a = b").select("a", (2 * F.col("weight")).alias("weight"))
-        degree = saved(sym.select("a", "weight").union(loops).groupBy("a").agg(F.sum("weight").alias("k")))
+        ways = graph.union(graph.where("a <> b").select("b", "a", "weight"))
+        kept = saved(ways.repartition("a").groupBy("a", "b").agg(F.sum("weight").alias("weight")).sortWithinPartitions("a"))
+        sym = kept.where("a <> b")
+        degree = saved(kept.groupBy("a").agg(F.sum(F.when(F.col("a") == F.col("b"), 2 * F.col("weight")).otherwise(F.col("weight"))).alias("k")))
         m2 = degree.agg(F.sum("k")).first()[0]
         if not m2:
             break
-        now = degree.select(F.col("a").alias("id"), F.col("a").alias("c"))
+        now = degree.select(F.col("a").alias("id"), F.col("a").alias("c"), "k")
         for turn in range(rounds):
-            totals = now.join(degree, now["id"] == degree["a"]).groupBy("c").agg(F.sum("k").alias("tot"))
-            to = sym.join(now, sym["b"] == now["id"]).groupBy(sym["a"], "c").agg(F.sum("weight").alias("w"))
-            own = now.select(F.col("id").alias("_i"), F.col("c").alias("_own"))
-            gain = to.join(totals, "c").join(degree, "a").join(own, F.col("a") == F.col("_i"))
-            tot = F.when(F.col("c") == F.col("_own"), F.col("tot") - F.col("k")).otherwise(F.col("tot"))
-            scored = gain.select("a", "c", "_own", F.round(F.col("w") - F.col("k") * tot / m2, 9).alias("g"))
-            stay = F.max(F.when(F.col("c") == F.col("_own"), F.col("g"))).alias("stay")
-            best = scored.groupBy("a", "_own").agg(F.min(F.struct((-F.col("g")).alias("g"), "c")).alias("best"), stay)
-            lone = degree.select(F.col("a"), F.col("k"))
-            best = best.join(lone, "a").join(totals.select(F.col("c").alias("_own"), F.col("tot").alias("own_tot")), "_own")
+            totals = saved(now.groupBy("c").agg(F.sum("k").alias("tot")).withColumnRenamed("c", "id"))
+            moving = sym.where(F.col("a").bitwiseAND(1) == turn % 2)
+            if turn == 0:
+                to = moving.select("a", F.col("b").alias("c"), F.col("weight").alias("w"))  # each node is its own community yet
+            else:
+                to = of(moving, "b", now, c="c").groupBy("a", "c").agg(F.sum("weight").alias("w"))
+            gain = of(of(to, "c", totals, tot="tot"), "a", now, k="k", own="c")
+            tot = F.when(F.col("c") == F.col("own"), F.col("tot") - F.col("k")).otherwise(F.col("tot"))
+            scored = gain.select("a", "c", "own", "k", F.round(F.col("w") - F.col("k") * tot / m2, 9).alias("g"))
+            stay = F.max(F.when(F.col("c") == F.col("own"), F.col("g"))).alias("stay")
+            best = scored.groupBy("a").agg(F.min(F.struct((-F.col("g")).alias("g"), "c")).alias("best"), stay, F.first("own").alias("own"), F.first("k").alias("k"))
             here = F.coalesce("stay", -F.col("k") * (F.col("own_tot") - F.col("k")) / m2)
-            movable = (F.pmod(F.xxhash64("a"), F.lit(2)) == turn % 2) & (-F.col("best.g") > here + 1e-9)
-            moved = best.select(F.col("a").alias("_i"), F.when(movable, F.col("best.c")).otherwise(F.col("_own")).alias("_c"))
-            now = saved(now.join(moved, F.col("id") == F.col("_i"), "left").select("id", F.coalesce("_c", "c").alias("c")))
-        inside = sym.join(now.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(now.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b").where("ca = cb and a < b")
-        refined = components(now.select("id"), inside.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select("id", F.col("component").alias("c"))
-        refined = saved(refined)
-        names = refined.select("id", F.col("c").alias("community")) if names is None else names.join(refined.select(F.col("id").alias("community"), "c"), "community").select("id", F.col("c").alias("community"))
-        names = saved(names)
-        part = names.select("id", F.lit(level).alias("level"), "community")
-        out = part if out is None else out.union(part)
-        ends = graph.join(refined.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(refined.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b")
-        graph = saved(ends.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight")))
-    return out
+            moved = of(best, "own", totals, own_tot="tot").where(-F.col("best.g") > here + 1e-9).select(F.col("a").alias("id"), F.col("best.c").alias("to"))
+            now = saved(now.join(moved, "id", "left").select("id", F.coalesce("to", "c").alias("c"), "k"))
+        inside = of(of(sym, "a", now, ca="c"), "b", now, cb="c").where("ca = cb").select("a", "b")
+        least = inside.groupBy("a").agg(F.min("b").alias("b"))
+        met = saved(now.join(least, F.col("id") == F.col("a"), "left").select("id", F.least("id", "b").alias("m")))
+        links = of(of(inside.where("a < b"), "a", met, src="m"), "b", met, dst="m").where("src <> dst").select("src", "dst").distinct()
+        refined = components(met.select(F.col("m").alias("id")).distinct(), links)
+        refined = saved(met.join(refined.withColumnRenamed("id", "m"), "m").select("id", F.col("component").alias("c")))
+        names = saved(of(names, "community", refined, c="c").select("id", F.col("c").alias("community")))
+        parts.append(names.select("id", F.lit(level).alias("level"), "community"))
+        if level + 1 < levels:
+            ends = of(of(kept.where("a <= b"), "a", refined, ca="c"), "b", refined, cb="c")
+            graph = saved(ends.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight")))
+    out = names.select("id", F.lit(0).alias("level"), "community").where("false")
+    for part in parts:
+        out = out.union(part)
+    called = nodes.select(F.col("n").alias("id"), F.col("id").alias("name"))
+    return of(of(out, "id", called, name="name"), "community", called, named="name").select(F.col("name").alias("id"), "level", F.col("named").alias("community"))
 
 
 def community_levels(membership: DataFrame) -> DataFrame:
