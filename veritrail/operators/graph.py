@@ -87,12 +87,14 @@ def neighbours(edges: DataFrame, ids: Sequence[str]) -> DataFrame:
 
 
 def reachable(start: DataFrame, edges: DataFrame, hops: int, least: int = 1) -> DataFrame:
-    """(origin, id) of nodes that paths of least to hops directed edges reach. start: one column, id. Steps are unrolled,
-    with the frontier made distinct after each; the table of steps is written once."""
+    """(origin, id) of nodes that paths of least to hops directed edges reach. start: one column, id. Steps are unrolled; the table of
+    steps and each frontier, made distinct, are written once. The last frontier is made distinct with the result alone."""
     step = saved(edges.select("src", "dst").distinct())
     frontier, out = start.select(F.col("id").alias("origin"), "id").distinct(), None
     for k in range(1, hops + 1):
-        frontier = frontier.join(step, F.col("id") == F.col("src")).select("origin", F.col("dst").alias("id")).distinct()
+        frontier = frontier.join(step, F.col("id") == F.col("src")).select("origin", F.col("dst").alias("id"))
+        if k < hops:
+            frontier = saved(frontier.distinct())
         if k >= least:
             out = frontier if out is None else out.union(frontier)
     return out.distinct()

@@ -81,7 +81,8 @@ def j9(t):
     h3 AS (SELECT DISTINCT h2.origin, e.dst AS id FROM h2 JOIN e ON e.src = h2.id) SELECT * FROM h1 UNION SELECT * FROM h2 UNION SELECT * FROM h3""",
 )
 def j10(t):
-    return reachable(t.customer.select(substrate.key("c", "c_custkey").alias("id")), substrate.edges(t), 3)
+    found = reachable(t.customer.select(substrate.number("c", "c_custkey").alias("id")), substrate.every_edge(t, substrate.number), 3)
+    return found.select(*(substrate.named(F.col(c)).alias(c) for c in ("origin", "id")))
 
 
 @query(

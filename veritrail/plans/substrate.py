@@ -14,6 +14,21 @@ def key(kind: str, column: str) -> Column:
     return F.concat(F.lit(f"{kind}:"), F.col(column).cast("string"))
 
 
+#: Kinds of ids, by the three last bits of their numbers.
+KINDS = "copsnr"
+
+
+def number(kind: str, column: str) -> Column:
+    """An id as a number, for queries that shuffle many of them: keys up to 2**60 either way; a larger one is an error."""
+    return F.col(column).cast("long") * 8 + KINDS.index(kind)
+
+
+def named(number: Column) -> Column:
+    """The id of a number."""
+    kind = F.substr(F.lit(KINDS), number.bitwiseAND(7).cast("int") + 1, F.lit(1))
+    return F.concat(kind, F.lit(":"), F.shiftright(number, 3).cast("string"))
+
+
 def nodes(t) -> DataFrame:
     null = F.lit(None).cast("double")
     kinds = [
@@ -34,8 +49,8 @@ def edges(t) -> DataFrame:
     return every_edge(t).distinct()
 
 
-def every_edge(t) -> DataFrame:
-    """The edges with their repeats, for queries that make their rows distinct later."""
+def every_edge(t, key=key) -> DataFrame:
+    """The edges with their repeats, for queries that make their rows distinct later. key: how an id is made of its kind and column."""
     return (
         t.orders.select(key("c", "o_custkey").alias("src"), F.lit("PLACED").alias("rel"), key("o", "o_orderkey").alias("dst"))
         .union(t.lineitem.select(key("o", "l_orderkey"), F.lit("USES_MATERIAL"), key("p", "l_partkey")))
