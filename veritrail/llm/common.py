@@ -56,6 +56,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """df, marked for its next join to shuffle both sides. Spark sizes a table by its files: rows that were exploded, texts that compress well and
+    columns with few values take many times that in the driver if they are broadcast."""
+    return df.hint("merge")
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a written table whose rows nobody will read again."""
     jvm = spark.sparkContext._jvm

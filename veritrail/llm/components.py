@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import written
+from veritrail.llm.common import apart, written
 
 HOT, PARTS = 1000, 64
 
@@ -20,11 +20,11 @@ def joined(rows: DataFrame, table: DataFrame, key: str, spread: str, most: int)
     """rows joined with table (one row for each key) on key. most: the rows of the commonest key; if these are over HOT,
     keys are split in PARTS by a hash of the column spread, and table is repeated for the parts that occur."""
     if most <= HOT:
-        return rows.join(table, key)
+        return rows.join(apart(table), key)
     part = "_vt_part"
     split = rows.withColumn(part, F.pmod(F.xxhash64(spread), F.lit(PARTS)))
-    occurring = split.select(key, part).distinct().join(table, key)  # at most PARTS rows for a key, merged before their shuffle
-    return split.join(occurring, [key, part]).drop(part)
+    occurring = split.select(key, part).distinct().join(apart(table), key)  # at most PARTS rows for a key, merged before their shuffle
+    return split.join(apart(occurring), [key, part]).drop(part)
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -62,9 +62,9 @@ def named(members: DataFrame, links: DataFrame, key: str, id_col: str) -> DataFr
     links (a, b) between keys reach."""
     root = written(components(links), "roots")
     most = root.groupBy("root").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    rooted = root.join(members, F.col("node") == F.col(key)).select(key, id_col, "root")
+    rooted = root.join(apart(members), F.col("node") == F.col(key)).select(key, id_col, "root")
     parts = rooted.groupBy("root", F.pmod(F.xxhash64(key), F.lit(PARTS)).alias("part")).agg(F.min(id_col).alias("least"))
     least = parts.groupBy("root").agg(F.min("least").alias("component_id"))
     inside = joined(rooted, least, "root", key, most).select(key, "component_id")
-    alone = members.join(root, members[key] == root["node"], "left_anti").select(key, F.col(id_col).alias("component_id"))
+    alone = members.join(apart(root), members[key] == root["node"], "left_anti").select(key, F.col(id_col).alias("component_id"))
     return inside.unionByName(alone)

@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.llm.common import small_batches, written
+from veritrail.llm.common import apart, small_batches, written
 from veritrail.llm.components import HOT, components, joined, named
 from veritrail.llm.shingles import WORDS, bands, bitmaps, distinct, fetched, hashes, linked, own_shingles
 
@@ -136,7 +136,7 @@ def candidates(distinct_fp: DataFrame, max_bits: int = 4, segments: int | None =
         probes.append(_flipped(start, key, chain_masks(widths, max_bits, segments)))
     left = distinct_fp.select(fp.alias("a"), F.explode(F.array(*index)).alias("x")).select("a", "x.start", "x.key")
     right = distinct_fp.select(fp.alias("b"), F.explode(F.concat(*probes)).alias("x")).select("b", "x.start", "x.key", "x.same")
-    met = left.join(right, ["start", "key"]).where(~F.col("same") | (F.col("a") < F.col("b")))
+    met = left.join(apart(right), ["start", "key"]).where(~F.col("same") | (F.col("a") < F.col("b")))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
