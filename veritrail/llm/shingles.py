@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veritrail.llm.bloom import suspected
-from veritrail.llm.common import written
+from veritrail.llm.common import apart, written
 
 SEED = 42
 BANDS, ROWS = 20, 5
@@ -101,7 +101,7 @@ def linked(texts: DataFrame, pairs: DataFrame, shingle: int, least: tuple[int, i
             keep = [similar(last(x.as_py()), last(y.as_py()), least) for x, y in zip(batch.column(2), batch.column(3))]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(one, "a").join(other, "b").select("a", "b", "text_a", "text_b")
+    both = pairs.join(apart(one), "a").join(apart(other), "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(run, "a long, b long")
 
 

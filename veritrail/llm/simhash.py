@@ -171,26 +171,25 @@ def _similar_links(docs: DataFrame, text_col: str, classes: DataFrame, max_bits:
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.xxhash64(text).alias("cls"), text.cast("binary").alias("text"))
     fp_key = F.xxhash64(F.lit("fp"), "fp")
-    index = classes.select("cls", F.explode(F.concat("bands", F.array(fp_key))).alias("band"))
+    index = classes.select("cls", "size", F.explode(F.concat("bands", F.array(fp_key))).alias("band"))
     near = written(links(classes.select("fp").distinct(), max_bits), "near")
     ends = near.select(F.xxhash64("a", "b").alias("band"), F.explode(F.array("a", "b")).alias("fp"))
-    index = index.unionByName(ends.join(classes.select("cls", "fp"), "fp").select("cls", "band"))
+    index = index.unionByName(ends.join(apart(classes.select("cls", "fp", "size")), "fp").select("cls", "size", "band"))
     buckets = index.groupBy("band").agg(F.min("cls").alias("lead"), F.count("*").alias("n")).where("n > 1")
     buckets = written(buckets, "leads")
     most = buckets.agg(F.max("n")).first()[0] or 0
-    sized = index.join(classes.select("cls", "size"), "cls")
-    shared = written(joined(sized, buckets.drop("n"), "band", "cls", most), "buckets")
+    shared = written(joined(index, buckets.drop("n"), "band", "cls", most), "buckets")
     texts = fetched(texts, written(shared.select("cls").distinct(), "needed"))
     first = written(shared.where("cls <> lead").select(F.col("lead").alias("a"), F.col("cls").alias("b")).distinct(), "pairs")
     found = written(linked(texts, first, shingle, similarity), "similar")
     # shingles that a text has alone, of those whose bucket is not of one component, tell what it can be similar to
     open_ = written(_mixed(shared.drop("lead"), components(found), most), "open")
     own = written(own_shingles(texts.join(open_.select("cls").distinct(), "cls", "left_semi"), shingle), "own")
-    open_ = open_.join(own, "cls", "left").withColumn("rest", F.col("size") - F.coalesce("own", F.lit(0)))
+    open_ = open_.join(apart(own), "cls", "left").withColumn("rest", F.col("size") - F.coalesce("own", F.lit(0)))
     open_ = written(open_.where(under * F.col("rest") >= over * F.col("size")).drop("own", "root", "most"), "open")
     central = open_.groupBy("band").agg(F.max_by("cls", F.struct(F.col("rest") / F.col("size"), "cls")).alias("lead"))
     second = joined(open_, central, "band", "cls", most).where("cls <> lead").select(F.least("cls", "lead").alias("a"), F.greatest("cls", "lead").alias("b"))
-    second = written(second.distinct().join(first, ["a", "b"], "left_anti"), "pairs")
+    second = written(second.distinct().join(apart(first), ["a", "b"], "left_anti"), "pairs")
     found = written(found.unionByName(linked(texts, second, shingle, similarity)), "similar")
     # a pair in different components has at least one end outside the bucket's largest
     open_ = written(_mixed(open_, components(found), most), "open")
@@ -200,9 +199,9 @@ def _similar_links(docs: DataFrame, text_col: str, classes: DataFrame, max_bits:
     lacks = lambda a, b: sum(F.bit_count(F.get(f"bits_{a}", k).bitwiseAND(F.bitwise_not(F.get(f"bits_{b}", k)))) for k in range(WORDS))
     common = F.least("rest_x", "rest_y", F.col("size_x") - lacks("x", "y"), F.col("size_y") - lacks("y", "x"))  # at most
     fits = under * common >= over * (F.col("size_x") + F.col("size_y") - common)
-    third = side(outside, "x").join(side(inside, "y"), ["band", "part", "sized"]).where((F.col("root_x") != F.col("root_y")) & fits)
+    third = side(outside, "x").join(apart(side(inside, "y")), ["band", "part", "sized"]).where((F.col("root_x") != F.col("root_y")) & fits)
     third = third.select(F.least("cls_x", "cls_y").alias("a"), F.greatest("cls_x", "cls_y").alias("b")).distinct()
-    third = written(third.join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti"), "pairs")
+    third = written(third.join(apart(first), ["a", "b"], "left_anti").join(apart(second), ["a", "b"], "left_anti"), "pairs")
     return found.unionByName(written(linked(texts, third, shingle, similarity), "similar"))
 
 
@@ -213,7 +212,7 @@ def _dealt(open_: DataFrame, bits: DataFrame, ratio: float) -> tuple[DataFrame,
     sized = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / F.log(F.lit(ratio)))
     parts = open_.where("root <> most").groupBy("band").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts"))
     most = open_.groupBy("band").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    rows = written(joined(open_.join(bits, "cls"), written(parts, "parts"), "band", "cls", most), "dealt")
+    rows = written(joined(open_.join(apart(bits), "cls"), written(parts, "parts"), "band", "cls", most), "dealt")
     outside = rows.where("root <> most").withColumn("sized", sized).withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     inside = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return outside, inside.withColumn("sized", F.explode(F.array(sized - 1, sized, sized + 1)))
@@ -221,7 +220,7 @@ def _dealt(open_: DataFrame, bits: DataFrame, ratio: float) -> tuple[DataFrame,
 
 def _mixed(shared: DataFrame, root: DataFrame, most: int) -> DataFrame:
     """Of shared (band, cls, ...) the rows of buckets with more than one component, with root, and the largest as most."""
-    placed = shared.join(root, shared["cls"] == root["node"], "left").drop("node").withColumn("root", F.coalesce("root", "cls"))
+    placed = shared.join(apart(root), shared["cls"] == root["node"], "left").drop("node").withColumn("root", F.coalesce("root", "cls"))
     sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.count("*").alias("kinds")).where("kinds > 1")
     return joined(placed, mixed.drop("kinds"), "band", "cls", most)
