@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veritrail.operators.graph import saved
+from veritrail.operators.graph import apart, saved
 
 #: Names of up to so many characters are indexed by deletions (about n^2 / 2 rests for two edits).
 DELETED = 32
@@ -75,13 +75,13 @@ def probes(name: Column, edits: int) -> Column:
     return F.array_distinct(F.array_compact(F.array(*out)))
 
 
-def _pairs(asked: DataFrame, index: DataFrame, counts: DataFrame) -> DataFrame:
-    """(label, name, other) where asked and index, both (label, key, name), share a key; counts: the index rows (label, key, n) of each."""
+def _pairs(asked: DataFrame, index: DataFrame, counts: DataFrame, fits: Column) -> DataFrame:
+    """(label, name, other) that fit where asked and index, both (label, key, name), share a key; counts: the index rows (label, key, n) of each."""
     parts = F.ceil(F.col("n") / HOT).cast("int")
     sized = counts.select("label", "key", parts.alias("parts"))
-    dealt = index.join(sized, ["label", "key"]).select("label", "key", F.col("name").alias("other"), F.pmod(F.xxhash64("name"), F.col("parts")).cast("int").alias("part"))
-    sent = asked.join(sized, ["label", "key"]).select("label", "key", "name", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return sent.join(dealt, ["label", "key", "part"]).where("name <> other").select("label", "name", "other")
+    dealt = index.join(apart(sized), ["label", "key"]).select("label", "key", F.col("name").alias("other"), F.pmod(F.xxhash64("name"), F.col("parts")).cast("int").alias("part"))
+    sent = asked.join(apart(sized), ["label", "key"]).select("label", "key", "name", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return sent.join(apart(dealt), ["label", "key", "part"]).where("name <> other").where(fits).select("label", "name", "other")
 
 
 def _counted(index: DataFrame) -> DataFrame:
@@ -89,14 +89,15 @@ def _counted(index: DataFrame) -> DataFrame:
 
 
 def spelt_alike(classes: DataFrame, edits: int) -> DataFrame:
-    """(label, name, other) of classes (label, name) among which are all pairs of up to `edits` edits, in one direction at least; repeats stay."""
+    """(label, name, other): all pairs of classes (label, name) that are up to `edits` edits apart, in one direction at least; repeats stay."""
     keyed = lambda rows, keys: rows.select("label", F.explode(keys).alias("key"), "name")
-    short = classes.where(F.length("name") <= DELETED)
-    near = keyed(short, F.transform(rests(F.col("name"), edits), lambda x: F.xxhash64(x)))
-    met = _pairs(near, near, _counted(near).where("n > 1"))
+    tasks, fits = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.levenshtein("name", "other", edits) >= 0
+    short = classes.where(F.length("name") <= DELETED).repartition(tasks, "name")  # names are few, what is left of them is not
+    near = saved(keyed(short, F.transform(rests(F.col("name"), edits), lambda x: F.xxhash64(x))))
+    met = _pairs(near, near, saved(_counted(near).where("n > 1")), (F.col("name") < F.col("other")) & fits)
     long = classes.where(F.length("name") > DELETED - edits)
     cut = keyed(long, segments(F.col("name"), edits))
-    return met.unionByName(_pairs(keyed(long, probes(F.col("name"), edits)), cut, _counted(cut)))
+    return met.unionByName(_pairs(keyed(long, probes(F.col("name"), edits)), cut, _counted(cut), fits))
 
 
 def near_names(names: DataFrame, edits: int) -> DataFrame:
@@ -109,17 +110,18 @@ def near_names(names: DataFrame, edits: int) -> DataFrame:
 
 
 def candidates(classes: DataFrame, edits: int) -> DataFrame:
-    """(label, name, other) of classes (label, name) that share a key, each pair in one direction at least."""
+    """(label, name, other) of classes (label, name) that are up to `edits` edits apart or contain each other, each pair in one direction at least."""
     keyed = lambda rows, keys: rows.select("label", F.explode(keys).alias("key"), "name")
     met = spelt_alike(classes, edits)
-    every = saved(keyed(classes, F.flatten(F.array(*[grams(F.col("name"), n) for n in GRAMS]))))
+    tasks = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every = saved(keyed(classes.repartition(tasks, "name"), F.flatten(F.array(*[grams(F.col("name"), n) for n in GRAMS]))))
     counts = saved(_counted(every))
     own = F.lit(None).cast("array<string>")
     for size in reversed(GRAMS):
         own = F.when(F.length("name") >= size, grams(F.col("name"), size)).otherwise(own)
     rarest = keyed(classes, own).join(counts, ["label", "key"]).groupBy("label", "name").agg(F.min(F.struct("n", "key")).alias("x"))
     asked = rarest.where("x.n > 1").select("label", "x.key", "name")
-    return met.unionByName(_pairs(asked, every, counts))
+    return met.unionByName(_pairs(asked, every, counts.join(apart(asked.select("label", "key").distinct()), ["label", "key"], "left_semi"), F.contains("other", F.col("name"))))
 
 
 def duplicate_groups(nodes: DataFrame, distance: int = 3, longer_than: int = 5) -> DataFrame:
