@@ -119,7 +119,7 @@ def candidates(classes: DataFrame, edits: int) -> DataFrame:
     own = F.lit(None).cast("array<string>")
     for size in reversed(GRAMS):
         own = F.when(F.length("name") >= size, grams(F.col("name"), size)).otherwise(own)
-    rarest = keyed(classes, own).join(counts, ["label", "key"]).groupBy("label", "name").agg(F.min(F.struct("n", "key")).alias("x"))
+    rarest = keyed(classes, own).join(apart(counts), ["label", "key"]).groupBy("label", "name").agg(F.min(F.struct("n", "key")).alias("x"))
     asked = rarest.where("x.n > 1").select("label", "x.key", "name")
     return met.unionByName(_pairs(asked, every, counts.join(apart(asked.select("label", "key").distinct()), ["label", "key"], "left_semi"), F.contains("other", F.col("name"))))
 
@@ -134,6 +134,6 @@ def duplicate_groups(nodes: DataFrame, distance: int = 3, longer_than: int = 5)
     near = F.contains("name", F.col("other")) | F.contains("other", F.col("name")) | ((F.length("name") > longer_than) & (F.levenshtein("name", "other", distance - 1) >= 0))
     pairs = met.where(near).unionByName(sizes.where("n > 1").select("label", "name", F.col("name").alias("other")))
     ids = folded.select("label", F.col("name").alias("other"), F.col("id").alias("id2"))
-    told = pairs.join(ids, ["label", "other"]).groupBy("label", "name").agg(F.array_sort(F.collect_set("id2")).alias("all"))  # a list for each name
-    own = folded.join(told, ["label", "name"]).select("id", F.filter("all", lambda x: x != F.col("id")).alias("similar"))
+    told = pairs.join(apart(ids), ["label", "other"]).groupBy("label", "name").agg(F.array_sort(F.collect_set("id2")).alias("all"))  # a list for each name
+    own = folded.join(apart(told), ["label", "name"]).select("id", F.filter("all", lambda x: x != F.col("id")).alias("similar"))
     return own.where(F.size("similar") > 0)
