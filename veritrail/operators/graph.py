@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-#: Pairs that one task counts.
-DEALT = 2_000_000
+#: Pairs that one task counts; nodes of one list up to which its pairs are made where it is.
+DEALT, LISTED = 4_000_000, 1000
 #: Nodes up to which a column of them is sent to all tasks.
 NUMBERED = 1_000_000
 
@@ -107,13 +107,22 @@ def reachable(start: DataFrame, edges: DataFrame, hops: int, least: int = 1) ->
 
 
 def shared_neighbours(links: DataFrame) -> DataFrame:
-    """(a, b, shared), a < b: how many neighbours (met) two nodes (id) of links share. Few pairs meet twice in a task, so they are dealt to as many tasks
-    as their number asks and counted there alone, not before."""
+    """(a, b, shared), a < b: how many neighbours (met) two nodes (id) of links share. Lists of neighbouring nodes lie together, in as many tasks as their
+    pairs ask, and pairs are counted there before they are shuffled: nodes that meet often mostly do so at near places. Longer lists
+    than LISTED are joined instead."""
     own = saved(links.where("id IS NOT NULL AND met IS NOT NULL").distinct())
     n = F.count("*")
-    met = own.groupBy("met").agg((n * (n - 1) / 2).alias("pairs")).agg(F.coalesce(F.sum("pairs"), F.lit(0.0))).first()[0]
-    pairs = own.select(F.col("id").alias("a"), "met").join(own.select(F.col("id").alias("b"), "met"), "met").where("a < b").select("a", "b")
-    return pairs.repartition(int(met // DEALT) + 1, "a", "b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    sizes = own.groupBy("met").agg(n.alias("n"))
+    pairs, most = sizes.agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0.0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    few, many = own, None
+    if most > LISTED:
+        hot = saved(sizes.where(F.col("n") > LISTED).select("met"))
+        few, long = own.join(hot, "met", "left_anti"), own.join(hot, "met", "left_semi")
+        many = long.select(F.col("id").alias("a"), "met").join(apart(long.select(F.col("id").alias("b"), "met")), "met").where("a < b").select("a", "b")
+    lists = few.repartitionByRange(int(pairs // DEALT) + 1, "met").groupBy("met").agg(F.array_sort(F.collect_list("id")).alias("ids")).where(F.size("ids") > 1)
+    starts = lists.select("ids", F.posexplode("ids").alias("at", "a"))
+    met = starts.select("a", F.explode(F.slice("ids", F.col("at") + 2, F.size("ids"))).alias("b"))
+    return (met if many is None else met.union(many)).groupBy("a", "b").agg(n.alias("shared"))
 
 
 def tree_closure(parents: DataFrame, depth: int) -> DataFrame:
